@@ -173,12 +173,12 @@ def write_token_files(
 
     spark = docs.sparkSession
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = sorted(ordered.mapInArrow(write, "part int, n_docs long, n_tokens long").collect())  # one row a file
+    rows = sorted(ordered.mapInArrow(write, "part long, n_docs long, n_tokens long").collect())  # one row a file
     manifest, start = [], 0
     for r in rows:
         manifest.append((r.part, r.n_docs, r.n_tokens, start))
         start += r.n_tokens
-    return spark.createDataFrame(manifest, "part int, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(manifest, "part long, n_docs long, n_tokens long, start long")
 
 
 def open_sequences(path: str) -> pa.ipc.RecordBatchFileReader:
