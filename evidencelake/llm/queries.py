@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from evidencelake.llm.prefix_bpe import op9_prefix_bpe
 from evidencelake.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op9_prefix_bpe": op9_prefix_bpe,
     "op8_token_files": op8_token_files,
 }
 
