@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from evidencelake.llm import quality_rules
+from evidencelake.llm import decontamination, license_scan, quality_rules
+from evidencelake.llm.decontamination import op10_decontamination
 from evidencelake.llm.language_id import op6_language_id
+from evidencelake.llm.license_scan import op1_license_scan
 from evidencelake.llm.prefix_bpe import op9_prefix_bpe
 from evidencelake.llm.quality_rules import op2_quality_rules
 from evidencelake.llm.rule_ensemble import op5_rule_ensemble
 from evidencelake.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_id": op6_language_id,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op8_token_files": op8_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
 }
