@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidencelake.llm.token_files import byte_alphabet
 from evidencelake.llm.wordcache import TwoGenerations
 
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_PAIRS, SLICE = 200_000, 1_000_000, 256
 #: White space in the sense of the tokenizer's normalizer (fixed values); str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -59,7 +59,7 @@ class PrefixBpe:
             symbols = self._symbols(name)
             self.matches.add_word(symbols, (i, len(symbols)))
         self.matches.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.cache = TwoGenerations(CACHED_WORDS)
 
     def _symbols(self, name: str) -> str:
@@ -112,12 +112,12 @@ class PrefixBpe:
             if before >= 0:
                 if last[at] is not None or last[before] is None:
                     continue
-                pair = (last[before][0], token)
+                pair = last[before][0] << 32 | token
                 fits = known.get(pair)
                 if fits is None:
-                    fits = known[pair] = self._pair(*pair)
-                    if len(known) > 4_000_000:
+                    if len(known) >= CACHED_PAIRS:
                         known.clear()
+                    fits = known[pair] = self._pair(last[before][0], token)
                 if not fits:
                     continue
             elif last[at] is not None:
@@ -184,20 +184,22 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests_only else "n_tokens long, token_ids binary, decoded string"
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["n_tokens", "token_ids", "decoded"]
+
     @F.pandas_udf(kind)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = prefix_bpe(tokenizer_file)
         for texts in batches:
-            rows = bpe.encode(texts.tolist())
-            n = [len(x) // 4 for x, _ in rows]
-            if digests_only:
-                rows = [(hashlib.sha256(x).hexdigest(), hashlib.sha256(y.encode("utf-8")).hexdigest()) for x, y in rows]
-                yield pd.DataFrame({"n_tokens": n, "ids_sha256": [x for x, _ in rows], "decoded_sha256": [y for _, y in rows]})
-            else:
-                yield pd.DataFrame({"n_tokens": n, "token_ids": [x for x, _ in rows], "decoded": [y for _, y in rows]})
+            rows: list[tuple] = []
+            for a in range(0, len(texts), SLICE):
+                for ids, decoded in bpe.encode(texts.iloc[a : a + SLICE].tolist()):
+                    if digests_only:
+                        rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+                    else:
+                        rows.append((len(ids) // 4, ids, decoded))
+            yield pd.DataFrame(rows, columns=names)
 
     udf = encode.asNondeterministic()
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["n_tokens", "token_ids", "decoded"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*rest, udf(F.col(text_col)).alias("__bpe")).select(*rest, *[F.col(f"__bpe.{n}").alias(n) for n in names])
 
