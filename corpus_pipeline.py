@@ -4,11 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencelake.llm.token_files import op8_token_files  # noqa: F401
+from evidencelake.llm.chosen_path import keep_first
+from evidencelake.llm.decontamination import drop_leaked
+from evidencelake.llm.prefix_bpe import bpe_round_trip
+from evidencelake.llm.quality_rules import keep_good as keep_by_rules
+from evidencelake.llm.rule_ensemble import keep_good as keep_by_score
 from evidencelake.scratch import new_path
 
-STAGES: list = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    return keep_by_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on what is left, predicts good."""
+    return keep_by_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The lowest id of each group of near copies."""
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded text of every document left."""
+    import public_tokenizers
+
+    out = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: The classifier's fit cannot be put in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

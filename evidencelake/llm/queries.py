@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evidencelake.llm import decontamination, license_scan, quality_rules
+from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules
+from evidencelake.llm.chosen_path import op3_chosen_path_join
 from evidencelake.llm.decontamination import op10_decontamination
 from evidencelake.llm.language_id import op6_language_id
 from evidencelake.llm.license_scan import op1_license_scan
@@ -14,6 +15,7 @@ from evidencelake.llm.token_files import op8_token_files
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chosen_path_join": op3_chosen_path_join,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_id": op6_language_id,
     "op9_prefix_bpe": op9_prefix_bpe,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
+    "op3_chosen_path_join": chosen_path.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
