@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules
+from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules, url_filters
 from evidencelake.llm.chosen_path import op3_chosen_path_join
 from evidencelake.llm.decontamination import op10_decontamination
 from evidencelake.llm.language_id import op6_language_id
@@ -11,14 +11,18 @@ from evidencelake.llm.prefix_bpe import op9_prefix_bpe
 from evidencelake.llm.quality_rules import op2_quality_rules
 from evidencelake.llm.rule_ensemble import op5_rule_ensemble
 from evidencelake.llm.token_files import op8_token_files
+from evidencelake.llm.url_filters import op7_url_filters
+from evidencelake.llm.warc_derivatives import op4_warc_derivatives
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_chosen_path_join": op3_chosen_path_join,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_id": op6_language_id,
     "op9_prefix_bpe": op9_prefix_bpe,
+    "op7_url_filters": op7_url_filters,
     "op8_token_files": op8_token_files,
     "op10_decontamination": op10_decontamination,
 }
@@ -27,5 +31,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_chosen_path_join": chosen_path.ORACLE,
+    "op7_url_filters": url_filters.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
