@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evidencelake.plans import retrieval  # noqa: F401
+from evidencelake.plans.registry import ORACLES, QUERIES  # noqa: F401
