@@ -56,9 +56,10 @@ def windows(rows: DataFrame, stride: int) -> DataFrame:
     """``rows`` (with ``s``, shingles) once for each window and band: adds ``at`` and ``band``. The last window may be short."""
     last = F.greatest(F.size("s") - PER_WINDOW + stride - 1, F.lit(0))
     each = rows.withColumn("at", F.explode(F.when(F.size("s") > 0, F.sequence(F.lit(0), last, F.lit(stride)))))
-    inside = [F.get("s", F.col("at") + i) for i in range(PER_WINDOW)]
-    low = [F.xxhash64(F.lit(b), F.least(*[F.when(x.isNotNull(), F.xxhash64(x, F.lit(b))) for x in inside])) for b in range(BANDS)]
-    return each.withColumn("band", F.explode(F.array(*low)))
+    inside = each.withColumns({f"__s{i}": F.get("s", F.col("at") + i) for i in range(PER_WINDOW)})
+    banded = inside.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    low = F.least(*[F.when(F.col(f"__s{i}").isNotNull(), F.xxhash64(f"__s{i}", "__b")) for i in range(PER_WINDOW)])
+    return banded.withColumn("band", F.xxhash64("__b", low)).drop("__b", *[f"__s{i}" for i in range(PER_WINDOW)])
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
