@@ -9,7 +9,8 @@ from evidencelake.operators.ranking import top_k
 from evidencelake.scratch import is_small
 
 SPARSE_TOKEN = r"([a-z0-9_\-]+|[\x{4e00}-\x{9fff}]+)"
-WORD_TOKEN = r"\b([a-z]{3,})\b"
+WORD_TOKEN = r"([\p{L}\p{N}_]+)"
+PLAIN_WORD = r"^[a-z]{3,}$"
 MAX_BROADCAST_TERMS = 1_000_000
 
 
@@ -26,9 +27,10 @@ def chunk_fixed(docs: DataFrame, size: int = 1400, overlap: int = 200) -> DataFr
     return out.select("doc_id", stable_chunk_id(F.col("doc_id"), F.lit(1), F.lit(""), F.col("start"), F.col("start") + F.length("content")).alias("chunk_id"), "start", "content")
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
-    """``id, token, tf, n_tokens``: the inverted index, one row for each token of a text."""
+def terms(df: DataFrame, id_col: str, text_col: str, pattern: str, keep: str | None = None) -> DataFrame:
+    """``id, token, tf, n_tokens``: the inverted index, one row for each token (that matches ``keep``) of a text."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), 1)
+    found = F.filter(found, lambda t: t.rlike(keep)) if keep else found
     each = df.select(id_col, found.alias("all"))
     return each.select(id_col, F.size("all").alias("n_tokens"), F.explode("all").alias("token")).groupBy(id_col, "n_tokens", "token").agg(F.count("*").alias("tf"))
 
@@ -51,8 +53,8 @@ def sparse_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: flo
 
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """F-12: sum over distinct question tokens of tf / length * ln 2."""
-    q = terms(queries, "query_id", "question", WORD_TOKEN).select("query_id", "token")
-    hits = _match(q, terms(chunks, "chunk_id", "content", WORD_TOKEN))
+    q = terms(queries, "query_id", "question", WORD_TOKEN, PLAIN_WORD).select("query_id", "token")
+    hits = _match(q, terms(chunks, "chunk_id", "content", WORD_TOKEN, PLAIN_WORD))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") / F.col("n_tokens") * F.log(F.lit(2.0))).alias("score"))
 
 

@@ -22,8 +22,8 @@ c AS (SELECT chunk_id, n, token, count(*) AS tf FROM (SELECT chunk_id, len(w) AS
 sraw AS (SELECT query_id, chunk_id, sum((ln(1 + 1 / (1 + length(token) * 0.25)) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * n / 200.0)) * q_tf) AS raw FROM q JOIN c USING (token) GROUP BY ALL),
 sparse AS (SELECT query_id, chunk_id, raw / (raw + 5) AS score FROM sraw)"""
 TFIDF = r"""
-qt3 AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\b[a-z]{3,}\b')) AS token FROM benchmark),
-cw3 AS (SELECT chunk_id, regexp_extract_all(lower(content), '\b[a-z]{3,}\b') AS w FROM chunks),
+qt3 AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[a-z]{3,}'))) AS token FROM benchmark),
+cw3 AS (SELECT chunk_id, list_filter(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[a-z]{3,}')) AS w FROM chunks),
 c3 AS (SELECT chunk_id, n, token, count(*) AS tf FROM (SELECT chunk_id, len(w) AS n, unnest(w) AS token FROM cw3) GROUP BY ALL),
 tfidf AS (SELECT query_id, chunk_id, sum(tf / n * ln(2)) AS score FROM qt3 JOIN c3 USING (token) GROUP BY ALL)"""
 

@@ -13,7 +13,7 @@ VIEWS = {
     "papers_v": """SELECT o_orderkey AS paper_id, o_custkey AS user_id, c_nationkey AS project_id,
         c_mktsegment || ' study ' || CAST(o_orderkey % 97 AS STRING) || CASE WHEN o_orderkey % 4 = 0 THEN ' of graph retrieval' WHEN o_orderkey % 4 = 1 THEN ' on neural ranking' ELSE '' END AS title,
         CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE c_mktsegment END AS venue, c_name AS author, lower(o_orderpriority) AS keyword, year(o_orderdate) AS pub_year,
-        o_orderstatus AS status, o_orderkey % 3 = 0 AS starred, o_orderdate AS created_at, CAST(o_totalprice AS INT) % 5000 AS citations
+        o_orderstatus AS status, o_orderkey % 3 = 0 AS starred, o_orderdate AS created_at, CAST(floor(o_totalprice) AS INT) % 5000 AS citations
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     # chunks: one per paper and line number
     "chunks_v": """SELECT l_orderkey AS paper_id, l_linenumber AS pos, l_orderkey * 10 + l_linenumber AS chunk_id,
@@ -35,7 +35,7 @@ VIEWS = {
         min(CASE l_partkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' ELSE 'text' END) AS content_type, min(l_linenumber) AS page_num, min(l_quantity) / 50 AS score, min(l_discount) * 8 AS vector_score, min(l_shipmode_stub) AS section
         FROM (SELECT *, 'sec' || CAST(l_suppkey % 5 AS STRING) AS l_shipmode_stub FROM lineitem) li JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, l_orderkey, l_linenumber""",
     # usage: token counts and models from events
-    "usage_v": """SELECT event_id, user_id, event_type AS model, CAST(value * 1000 AS BIGINT) AS tokens, ts FROM events""",
+    "usage_v": """SELECT event_id, user_id, event_type AS model, CAST(floor(value * 1000) AS BIGINT) AS tokens, ts FROM events""",
     # edges: which paper (part) cites which (supplier-linked part)
     "edges_v": """SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey) % 2000 AS dst FROM lineitem WHERE l_partkey <> (l_partkey * 7 + l_suppkey) % 2000""",
 }
