@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges count once; an empty table gives an empty result.
     """
     clean = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    clean = materialize(clean.distinct(), "pairs")
     nodes = clean.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     live = materialize(clean.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
     labels = nodes.withColumn("component", F.col("node"))
