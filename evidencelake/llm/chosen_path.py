@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencelake.operators.components import connected_components
-from evidencelake.scratch import materialize
+from evidencelake.scratch import is_small, materialize
 
 NGRAM, SIMILARITY = 5, 0.8
 RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 400, 256
 BITMAP = 1024
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SETS = "doc_id long, set_key binary, sid long, n long, bitmap binary, nodes array<long>, shingles binary"
+SETS = "doc_id long, set_key binary, sid long, n long, bitmap binary, nodes array<long>"
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +70,40 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
 
 
+def set_ids(shingles: np.ndarray) -> tuple[bytes, int]:
+    """The key that equal sets share, and a 64-bit id from it."""
+    key = xxhash.xxh3_128_digest(shingles.tobytes())
+    return key, int.from_bytes(key[:8], "little", signed=True)
+
+
+def _again(ngram: int) -> Callable:
+    """``rep, sid, text`` to ``rep, sid, shingles`` of the rows whose set is ``sid``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                out: list[list] = [[], [], []]
+                for rep, sid, text in zip(*(c.to_pylist() for c in batch.slice(a, 512).columns)):
+                    s = shingle_set(text, ngram)
+                    if set_ids(s)[1] == sid:
+                        for c, v in zip(out, (rep, sid, s.tobytes())):
+                            c.append(v)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], names=["rep", "sid", "shingles"])
+
+    return run
+
+
+def shingles_of(rows: DataFrame, needed: DataFrame, ngram: int) -> DataFrame:
+    """``rep, sid, shingles`` of the needed sets, made again from their texts: sets are never stored.
+
+    Ids that are few by count go to the texts; more of them and the texts are shuffled by id.
+    """
+    ids = needed.select("rep", "sid").distinct()
+    if is_small(ids, MAX_BROADCAST_IDS):
+        ids = F.broadcast(ids)
+    return rows.withColumnRenamed("doc_id", "rep").join(ids, "rep").select("rep", "sid", "text").mapInArrow(_again(ngram), "rep long, sid long, shingles binary")
+
+
 def _sets(ngram: int, similarity: float) -> Callable:
     roots = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * ODD)
 
@@ -76,15 +111,15 @@ def _sets(ngram: int, similarity: float) -> Callable:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                columns: list[list] = [[] for _ in range(6)]
+                columns: list[list] = [[] for _ in range(5)]
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, ngram)
-                    key = xxhash.xxh3_128_digest(s.tobytes())
+                    key, sid = set_ids(s)
                     nodes = draw(s, roots, similarity)[1] if len(s) else s
-                    for c, v in zip(columns, (key, int.from_bytes(key[:8], "little", signed=True), len(s), parity(s), nodes.astype(np.int64), s.tobytes())):
+                    for c, v in zip(columns, (key, sid, len(s), parity(s), nodes.astype(np.int64))):
                         c.append(v)
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-                yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "set_key", "sid", "n", "bitmap", "nodes", "shingles"])
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "set_key", "sid", "n", "bitmap", "nodes"])
 
     return run
 
@@ -244,7 +279,7 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         big = live.where(F.col("c") > LIMIT)
         if big.isEmpty():
             break
-        inside = big.join(some.select("sid", F.col("doc_id").alias("rep"), "shingles"), ["sid", "rep"]).select("node", "sid", "rep", "shingles")
+        inside = big.join(shingles_of(rows, big, ngram), ["sid", "rep"]).select("node", "sid", "rep", "shingles")
         live = materialize(_counted(inside.mapInArrow(_split(similarity), "node long, sid long, rep long").distinct()), f"buckets-{depth}")
         buckets = buckets.unionByName(live if depth == MAX_DEPTH else live.where(F.col("c") <= LIMIT))
 
@@ -253,7 +288,8 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     clusters = connected_components(near)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("c"))
     named = clusters.join(sizes, "component").select(F.col("component").alias("node"), F.col("node").alias("sid"), "c").join(copies.select("sid", "rep", "n_copies"), "sid")
-    held = named.join(some.select("sid", F.col("doc_id").alias("rep"), "shingles"), ["sid", "rep"])
+    named = materialize(named, "clusters")
+    held = named.join(shingles_of(rows, named, ngram), ["sid", "rep"])
     exact = _in_blocks(held, BLOCK).select("node", "lo", "hi", "sid", "own", "shingles", "n_copies").mapInArrow(_exact(similarity), "sid long, root long, links long")
     exact = materialize(exact, "links")
 
