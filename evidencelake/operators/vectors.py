@@ -80,7 +80,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, drop_same: bool = F
     return top_k(met.mapInPandas(pairs, kind), ["query_id"], "score", "vec_id", k)
 
 
-def ann_join(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 16, nprobe: int = 6, seed: int = 3) -> DataFrame:
+def ann_join(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 16, nprobe: int = 12, seed: int = 3) -> DataFrame:
     """C-6: inverted-file search: k-means cells, each question looks into its ``nprobe`` nearest cells, exact scores there.
 
     The join is on the cell, so only probed cells meet; centres number ``nlist``, whatever the input.
