@@ -119,7 +119,7 @@ def retrieval_weakness(hits: DataFrame) -> DataFrame:
     """H-12: reasons why a query's hits are weak: low scores, one paper dominating, few papers."""
     n = F.count("*")
     by = hits.groupBy("query_id", "paper_id").agg(n.alias("n"), F.sum("score").alias("s"))
-    q = by.groupBy("query_id").agg(F.sum("n").alias("hits"), (F.sum("s") / F.sum("n")).alias("mean_score"), (F.max("n") / F.sum("n")).alias("concentration"), n.alias("papers"))
+    q = by.groupBy("query_id").agg(F.sum("n").alias("hits"), F.round(F.sum("s") / F.sum("n"), 9).alias("mean_score"), (F.max("n") / F.sum("n")).alias("concentration"), n.alias("papers"))
     reasons = F.array_compact(F.array(F.when(F.col("mean_score") < 0.5, "low_score"), F.when(F.col("concentration") > 0.6, "single_paper"), F.when(F.col("papers") < 2, "few_papers"), F.when(F.col("hits") < 3, "few_hits")))
     return q.withColumns({"reasons": reasons, "weak": F.size(reasons) > 0})
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from evidencelake.plans import graphs, relational, retrieval, structure, understanding  # noqa: F401
+from evidencelake.plans import graphs, planning, relational, retrieval, structure, understanding  # noqa: F401
 from evidencelake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -27,9 +27,9 @@ def progress(orders: DataFrame) -> DataFrame:
     return orders.where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") % 30 + 1).alias("current_page"), F.lit(25).alias("total_pages"), F.col("o_orderdate").alias("last_read_at"))
 
 
-@q("constraint_predicate", "SELECT paper_id FROM papers_v WHERE pub_year BETWEEN 1994 AND 1996 AND user_id % 1 = 0 AND paper_id IN (1, 5, 9, 20, 33, 57, 100, 404)", "papers_v")
+@q("constraint_predicate", "SELECT paper_id FROM papers_v WHERE pub_year BETWEEN 1993 AND 1996 AND paper_id IN (1, 5, 9, 20, 33, 57, 100, 101, 102, 103, 104, 105, 106, 404)", "papers_v")
 def constraint_predicate(p):
-    return p.where(B.constraint_predicate(B.Constraints(paper_ids=[1, 5, 9, 20, 33, 57, 100, 404], year_from=1994, year_to=1996))).select("paper_id")
+    return p.where(B.constraint_predicate(B.Constraints(paper_ids=[1, 5, 9, 20, 33, 57, 100, 101, 102, 103, 104, 105, 106, 404], year_from=1993, year_to=1996))).select("paper_id")
 
 
 @q("list_papers", f"SELECT paper_id, title FROM papers_v WHERE status = 'F' AND starred AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1997-01-01' AND paper_id NOT IN (SELECT paper_id FROM ({PROGRESS}))", "papers_v", "orders")
