@@ -42,28 +42,28 @@ def ratio_column(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def title_blocks(title: Column, cutoff: float) -> Column:
-    """Blocking keys: pieces of the title so many that a pair above the cutoff shares one.
+def title_blocks(title: Column) -> Column:
+    """Blocking keys: all 3-grams of a title, of one up to 9 characters all 2-grams too, and a very short one itself.
 
-    A ratio of c percent leaves at most (1 - c/100) (|a| + |b|) edits, each of which touches one
-    piece of a; keys are all 4-grams, so titles that pass share one unless shorter than about 27 characters,
-    for which the first and last characters are keys too.
+    With S the joined length, a ratio of c percent keeps c S / 200 characters in at most (1 - c / 100) S + 1 runs,
+    so from c = 85 on some run has three characters for S over 16, and two for shorter titles: no pair is lost.
     """
     t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 3, F.lit(1))), lambda i: t.substr(i, F.lit(4)))
-    return F.array_distinct(F.concat(grams, F.array(F.concat(F.lit("^"), F.substring(t, 1, 1)), F.concat(F.lit("$"), t.substr(F.greatest(F.length(t), F.lit(1)), F.lit(1))))))
+    grams = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: t.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    short = F.when(F.length(t) <= 9, F.concat(grams(2), F.array(t))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(grams(3), short))
 
 
 def fuzzy_title_match(jobs: DataFrame, papers: DataFrame, cutoff: float = 85.0) -> DataFrame:
     """C-7: the best paper of the same user for each job: ``job_id, paper_id, title_ratio, match_score``.
 
     Titles need a ratio of ``cutoff``; the score is cut to 0.85 if the authors' ratio is 70 or less or the years are
-    more than one apart, to 0.7 if both. Candidates share the user, a length band and one of the title's
-    rarest 4-grams, so no user's titles are paired outright.
+    more than one apart, to 0.7 if both. Candidates share the user and a key of ``title_blocks`` and lie in the
+    length band that the cutoff allows; a user's titles are a library, not a corpus. ``cutoff``: 85 or more.
     """
     j = jobs.select("job_id", "user_id", F.lower(F.trim("title")).alias("t1"), F.col("author").alias("a1"), F.col("year").alias("y1"))
     p = papers.select("paper_id", "user_id", F.lower(F.trim("title")).alias("t2"), F.col("author").alias("a2"), F.col("year").alias("y2"))
-    keyed = lambda df, t: df.withColumn("key", F.explode(title_blocks(F.col(t), cutoff)))
+    keyed = lambda df, t: df.withColumn("key", F.explode(title_blocks(F.col(t))))
     pairs = keyed(j, "t1").join(keyed(p, "t2"), ["user_id", "key"]).where(2 * F.least(F.length("t1"), F.length("t2")) * 100 >= cutoff * (F.length("t1") + F.length("t2")))
     one = pairs.drop("key").distinct().withColumn("title_ratio", ratio_column(F.col("t1"), F.col("t2"))).where(F.col("title_ratio") >= cutoff)
     author_ok = F.coalesce(ratio_column(F.lower("a1"), F.lower("a2")) > 70, F.lit(False))

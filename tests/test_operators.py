@@ -73,6 +73,29 @@ def test_fuzzy_titles(spark):
     assert got == {1: (10, pytest.approx(200 * 23 / 47))}
 
 
+def test_no_fuzzy_pair_is_lost(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        base = "".join(rng.choice("abcde ") for _ in range(rng.randint(2, 24)))
+        for k in range(2):
+            t = list(base)
+            for _ in range(k * rng.randint(0, max(1, len(t) // 6))):
+                t.insert(rng.randrange(len(t) + 1), rng.choice("abcde"))
+            rows.append((2 * i + k, 0, "".join(t).strip() or "x"))
+    jobs = [(i, 0, t, "a", 1) for i, _, t in rows if i % 2 == 0]
+    papers = [(i, 0, t, "a", 1) for i, _, t in rows if i % 2 == 1]
+    best = {}
+    for i, _, t, *_ in jobs:
+        found = [(-C.indel_ratio(t, u), j) for j, _, u, *_ in papers if C.indel_ratio(t, u) >= 85]
+        if found:
+            best[i] = min(found)[1]
+    cols = "user_id int, title string, author string, year int"
+    got = C.fuzzy_title_match(spark.createDataFrame(jobs, f"job_id int, {cols}"), spark.createDataFrame(papers, f"paper_id int, {cols}"))
+    assert {r.job_id: r.paper_id for r in got.collect()} == best and len(best) > 60
+
+
 def test_three_tiers(spark):
     cols = "user_id int, title string, author string, year int"
     jobs = spark.createDataFrame([(1, "e1", "h1", 1, "t", "a", 1), (2, "", "h1", 1, "t", "a", 1), (3, "", "h9", 1, "a long enough title", "a", 2000)], f"job_id int, external_id string, file_hash string, {cols}")
@@ -85,10 +108,10 @@ def test_merge_keeps_the_end_of_a_chain(spark):
     a, b, c = "abcdefghijklmnopqrst", "abcdefghijklmnopqrxy", "abcdefghijklmnopzwxy"
     assert C.indel_ratio(a, b) == C.indel_ratio(b, c) == 90 and C.indel_ratio(a, c) < 90
     rows = [(1, "arxiv", "", a), (2, "arxiv", "", b), (3, "arxiv", "", c), (4, "semantic-scholar", "X1", "other"), (5, "arxiv", "X1", "unrelated"), (6, "arxiv", None, "")]
-    df = spark.createDataFrame(rows, "result_id int, source string, arxiv_id string, title string")
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, 9, "arxiv", "X1", a)], "scope int, result_id int, source string, arxiv_id string, title string")
     ids = lambda cut: sorted(r.result_id for r in M.merge_search_results(df, cut).collect())
-    assert ids(90) == [1, 2, 3, 4, 6]  # a ratio of exactly 90 is not over 90
-    assert ids(89) == [1, 3, 4, 6]
+    assert ids(90) == [1, 2, 3, 4, 6, 9]  # a ratio of exactly 90 is not over 90
+    assert ids(89) == [1, 3, 4, 6, 9]
 
 
 def test_vector_search(spark):
