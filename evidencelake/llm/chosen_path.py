@@ -27,7 +27,7 @@ from evidencelake.operators.components import connected_components
 from evidencelake.scratch import is_small, materialize
 
 NGRAM, SIMILARITY = 5, 0.8
-RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 400, 256
+RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 2048, 512
 BITMAP = 1024
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SETS = "doc_id long, set_key binary, sid long, n long, bitmap binary, nodes array<long>"
@@ -169,30 +169,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tupl
         yield key[1] != key[2], list(rows.values())
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
-def _linked(rows: list[tuple], across: bool, may: np.ndarray) -> tuple[np.ndarray, _Union]:
-    """The pairs that count among ``may`` (a symmetric matrix), and the sets they connect."""
-    own = np.array([r[4] for r in rows])
-    pairs = may & (own[:, None] != own[None, :]) if across else may.copy()
-    np.fill_diagonal(pairs, False)
-    union = _Union(len(rows))
-    for a, b in zip(*np.nonzero(np.triu(pairs))):
-        union.join(int(a), int(b))
-    return pairs, union
+def _linked(rows: list[tuple], across: bool, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that count among ``may`` (a symmetric matrix), and for each set the first that they connect it to."""
+    if across:
+        own = np.array([r[4] for r in rows])
+        may &= own[:, None] != own[None, :]
+    np.fill_diagonal(may, False)
+    root = np.arange(len(rows))
+    busy = np.flatnonzero(may.any(axis=1))
+    while True:
+        before = root.copy()
+        for i in busy:
+            root[i] = min(root[i], root[may[i]].min())
+        root = root[root]
+        if (root == before).all():
+            return may, root
 
 
 def _near(similarity: float) -> Callable:
@@ -204,15 +195,15 @@ def _near(similarity: float) -> Callable:
         for across, rows in _groups(batches):
             n = np.array([r[5] for r in rows], np.int64)
             bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
-            may = np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
-            most = (n[:, None] + n[None, :]) * share + 1e-9
+            may = np.zeros((len(rows), len(rows)), bool)
             for i in range(len(rows)):
-                may[i] &= np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= most[i]
-            _, union = _linked(rows, across, may)
-            for i, r in enumerate(rows):
-                if (root := union.find(i)) != i:
-                    src.append(r[3])
-                    dst.append(rows[root][3])
+                sized = np.flatnonzero(np.minimum(n[i], n[i:]) >= similarity * np.maximum(n[i], n[i:]) - 1e-9) + i
+                good = sized[np.bitwise_count(bits[sized] ^ bits[i]).sum(axis=1) <= (n[i] + n[sized]) * share + 1e-9]
+                may[i, good] = may[good, i] = True
+            _, root = _linked(rows, across, may)
+            for i in np.flatnonzero(root != np.arange(len(rows))):
+                src.append(rows[i][3])
+                dst.append(rows[root[i]][3])
             if len(src) > 50_000:
                 yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
                 src, dst = [], []
@@ -223,16 +214,23 @@ def _near(similarity: float) -> Callable:
 
 def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of 0/1 matrices over slices of the vocabulary."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float64)
-    for a in range(0, int(column[-1]) + 1, width):
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    row, every = row[order], every[order]
+    opens = np.concatenate(([True], every[1:] != every[:-1]))
+    column = np.cumsum(opens) - 1
+    shared = np.bincount(column) > 1  # a shingle of one set only is in no intersection
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    out = np.diag([float(len(s)) for s in sets])
+    own = np.diagonal(out).copy()
+    for a in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(column, (a, a + width))
-        m = np.zeros((len(sets), min(width, int(column[-1]) + 1 - a)), np.float32)
+        m = np.zeros((len(sets), width), np.float32)
         m[row[lo:hi], column[lo:hi] - a] = 1
         out += m @ m.T
+    np.fill_diagonal(out, own)
     return out
 
 
@@ -246,12 +244,11 @@ def _exact(similarity: float) -> Callable:
             n = np.array([len(s) for s in sets], np.float64)
             both = common_counts(sets)
             true = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
-            pairs, union = _linked(rows, across, true)
+            pairs, root = _linked(rows, across, true)
             links = pairs @ np.array([r[6] for r in rows], np.int64)
-            for i, r in enumerate(rows):
-                if links[i]:
-                    for c, v in zip(out, (r[3], rows[union.find(i)][3], int(links[i]))):
-                        c.append(v)
+            for i in np.flatnonzero(links):
+                for c, v in zip(out, (rows[i][3], rows[root[i]][3], int(links[i]))):
+                    c.append(v)
         yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["sid", "root", "links"])
 
     return run
