@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencelake.operators.components import connected_components
-from evidencelake.scratch import is_small, materialize
+from evidencelake.scratch import broadcast_if_small, is_small, materialize
 
 NGRAM, SIMILARITY = 5, 0.8
 RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 2048, 512
@@ -305,8 +305,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows with a null id stay, and so do all rows that repeat the class's lowest id.
     """
-    gone = jaccard_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(jaccard_classes(docs).where("class_id <> doc_id").select("doc_id").distinct(), "copies-gone")
+    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti")
 
 
 def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

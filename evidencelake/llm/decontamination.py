@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidencelake.scratch import is_small
+from evidencelake.scratch import broadcast_if_small, is_small, materialize
 
 #: Places that each mask selects, of SPAN (fixed values; each weighs 6).
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 7, 8))
@@ -18,6 +18,7 @@ SPAN = 9
 #: An item has leaked where at least this share of its words stands in place.
 SHARE = 0.6
 MAX_BROADCAST_SEEDS = 4_000_000
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -65,7 +66,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose document leaks an item; rows with a null id stay."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = materialize(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
+    return docs.join(broadcast_if_small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
