@@ -69,3 +69,50 @@ def stratified_sample(df: DataFrame, family: str, key: str, n: int, seed: int =
     h = F.xxhash64(F.lit(seed), key)
     first = df.withColumn("__f", F.row_number().over(Window.partitionBy(family).orderBy(h, key)) > 1)
     return first.orderBy("__f", h, key).limit(n).drop("__f")
+
+
+def corpus_check(papers: DataFrame, queries: DataFrame, min_papers: int, min_queries: int, families: list[str], disciplines: list[str]) -> DataFrame:
+    """H-23: one row: counts, required families and disciplines that are absent, queries without claims, and whether all is well."""
+    p = papers.agg(F.count_distinct("paper_id").alias("papers"), F.collect_set("discipline").alias("d"))
+    q = queries.agg(F.count_distinct("query_id").alias("queries"), F.collect_set("family").alias("f"), F.count_if(F.coalesce("n_claims", F.lit(0)) == 0).alias("without_claims"))
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    both = p.crossJoin(q).withColumns({"absent_families": F.array_sort(F.array_except(lit(families), "f")), "absent_disciplines": F.array_sort(F.array_except(lit(disciplines), "d"))})
+    ok = (F.col("papers") >= min_papers) & (F.col("queries") >= min_queries) & (F.size("absent_families") == 0) & (F.size("absent_disciplines") == 0) & (F.col("without_claims") == 0)
+    return both.select("papers", "queries", "absent_families", "absent_disciplines", "without_claims", ok.alias("ok"))
+
+
+def annotation_qa(queries: DataFrame) -> DataFrame:
+    """H-24: one row for each broken rule of each query: no question, no expected paper, no evidence (unless it must abstain), not reviewed."""
+    broken = F.array_compact(F.array(
+        F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "no_question"), F.when(~F.col("must_abstain") & (F.coalesce("n_papers", F.lit(0)) == 0), "no_papers"),
+        F.when(~F.col("must_abstain") & (F.coalesce("n_evidence", F.lit(0)) == 0), "no_evidence"), F.when(~F.coalesce("reviewed", F.lit(False)), "not_reviewed"),
+    ))
+    return queries.select("query_id", F.explode(broken).alias("rule"))
+
+
+def validate_runs(runs: DataFrame, samples: DataFrame, states: list[str]) -> DataFrame:
+    """H-26: problems of nested run rows ``run_id, sample_ids, state``: repeated ids, unknown states, unknown samples."""
+    repeated = runs.groupBy("run_id").agg(F.count("*").alias("n")).where("n > 1").select("run_id", F.lit("repeated_run").alias("problem"), F.lit(None).cast("string").alias("detail"))
+    state = runs.where(~F.col("state").isin(states) | F.col("state").isNull()).select("run_id", F.lit("unknown_state").alias("problem"), F.col("state").alias("detail"))
+    named = runs.select("run_id", F.explode("sample_ids").alias("sample_id")).join(samples.select("sample_id"), "sample_id", "left_anti")
+    return repeated.unionByName(state).unionByName(named.select("run_id", F.lit("unknown_sample").alias("problem"), F.col("sample_id").alias("detail")))
+
+
+def paragraph_coverage(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
+    """H-30: sections with their paragraphs that have citations and evidence; a section without any is omitted with a reason."""
+    kept = paragraphs.where("n_citations > 0 and n_evidence > 0").groupBy("draft_id", "section").agg(F.count("*").alias("kept"))
+    out = sections.join(kept, ["draft_id", "section"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return out.withColumn("omitted", F.when(F.col("kept") == 0, "no_supported_paragraph"))
+
+
+#: Fields that a release check needs from every run (fixed values).
+HOOKS = ("citation_coverage", "unsupported_rate", "total_latency_ms", "cost_estimate", "execution_mode")
+
+
+def missing_hooks(runs: DataFrame, hooks: tuple[str, ...] = HOOKS) -> DataFrame:
+    """H-27: the fields that each case of a run lacks."""
+    return runs.select("case_id", F.array_compact(F.array(*[F.when(F.col(h).isNull(), h) for h in hooks])).alias("missing"))
+
+
+#: Limits of the older benchmark (fixed values).
+BENCHMARK_LIMITS = [("citation_coverage", "min", 0.85), ("unsupported_rate", "max", 0.1), ("consistency", "min", 0.65), ("jump_rate", "min", 0.9), ("latency_p95", "max", 60.0)]
