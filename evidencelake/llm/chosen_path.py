@@ -3,10 +3,10 @@
 Texts are sets of hashed 5-word shingles; equal sets are one class of copies and take part
 once. In each of RUNS runs a set draws shingles with a hash that all sets share, so that
 each set of n draws 1 / (0.8 n) of its shingles: sets of similarity 0.8 or more draw one in
-common with probability 1 - 1/e or more. A drawn shingle is a bucket. Buckets of more than
-LIMIT sets are split again in the same way on shingles drawn within the bucket, down to
-MAX_DEPTH levels; RUNS runs leave a pair at exactly 0.8 without a common bucket with
-probability 2e-9 at the first level and 6e-4 at the fourth.
+common with probability 1 - 1/e or more, and a second one within that choice in the same way; the two
+are a bucket. Buckets of more than LIMIT sets are split again on shingles drawn within the bucket,
+down to MAX_DEPTH levels. RUNS runs leave a pair at exactly 0.8 without a common bucket with
+probability 3e-6 at the second level and 6e-4 at the fourth.
 
 Small buckets are brute-forced on parity bitmaps, whose differing bits never exceed the sets'
 symmetric difference, so no true pair is lost. What is still larger than LIMIT is
@@ -17,6 +17,7 @@ again in blocks; tasks give a row for each set and block, never a row for each p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencelake.operators.components import connected_components
-from evidencelake.scratch import broadcast_if_small, is_small, materialize
+from evidencelake.scratch import broadcast_if_small, materialize
 
 NGRAM, SIMILARITY = 5, 0.8
 RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 2048, 512
 BITMAP = 1024
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SETS = "doc_id long, set_key binary, sid long, n long, bitmap binary, nodes array<long>"
-MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_IDS, BATCH_ROWS = 1_000_000, 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,32 +77,44 @@ def set_ids(shingles: np.ndarray) -> tuple[bytes, int]:
     return key, int.from_bytes(key[:8], "little", signed=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows for the plans made and run inside: rows with a whole set are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _again(ngram: int) -> Callable:
-    """``rep, sid, text`` to ``rep, sid, shingles`` of the rows whose set is ``sid``."""
+    """``text, sid, ...`` to ``shingles, sid, ...`` of the rows whose set is ``sid``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                out: list[list] = [[], [], []]
-                for rep, sid, text in zip(*(c.to_pylist() for c in batch.slice(a, 512).columns)):
-                    s = shingle_set(text, ngram)
-                    if set_ids(s)[1] == sid:
-                        for c, v in zip(out, (rep, sid, s.tobytes())):
-                            c.append(v)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], names=["rep", "sid", "shingles"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                made = [shingle_set(t, ngram) for t in part.column(0).to_pylist()]
+                good = [i for i, (s, sid) in enumerate(zip(made, part.column(1).to_pylist())) if set_ids(s)[1] == sid]
+                at = pa.array(good, pa.int64())
+                rest = [c.take(at) for c in part.columns[1:]]
+                yield pa.record_batch([pa.array([made[i].tobytes() for i in good], pa.binary()), *rest], names=["shingles", *part.schema.names[1:]])
 
     return run
 
 
 def shingles_of(rows: DataFrame, needed: DataFrame, ngram: int) -> DataFrame:
-    """``rep, sid, shingles`` of the needed sets, made again from their texts: sets are never stored.
+    """``needed(sid, rep, ...)`` with ``shingles``, made again from the texts: sets are never stored.
 
-    Ids that are few by count go to the texts; more of them and the texts are shuffled by id.
+    Needed rows that are few by count go to the texts; more of them and the texts are shuffled by id.
     """
-    ids = needed.select("rep", "sid").distinct()
-    if is_small(ids, MAX_BROADCAST_IDS):
-        ids = F.broadcast(ids)
-    return rows.withColumnRenamed("doc_id", "rep").join(ids, "rep").select("rep", "sid", "text").mapInArrow(_again(ngram), "rep long, sid long, shingles binary")
+    names = [c for c in needed.columns if c != "sid"]
+    ids = broadcast_if_small(needed, MAX_BROADCAST_IDS)
+    kinds = ", ".join(f"{c} long" for c in names)
+    both = rows.withColumnRenamed("doc_id", "rep").join(ids, "rep")
+    return both.select("text", "sid", *[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(_again(ngram), f"shingles binary, sid long, {kinds}")
 
 
 def _sets(ngram: int, similarity: float) -> Callable:
@@ -115,7 +128,7 @@ def _sets(ngram: int, similarity: float) -> Callable:
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, ngram)
                     key, sid = set_ids(s)
-                    nodes = draw(s, roots, similarity)[1] if len(s) else s
+                    nodes = draw(s, draw(s, roots, similarity)[1], similarity)[1] if len(s) else s
                     for c, v in zip(columns, (key, sid, len(s), parity(s), nodes.astype(np.int64))):
                         c.append(v)
                 types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
@@ -265,19 +278,23 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     texts are equal; extra columns are not read; an empty table gives no rows.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(rows.mapInArrow(_sets(ngram, similarity), SETS), "sets")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        sets = materialize(rows.mapInArrow(_sets(ngram, similarity), SETS), "sets")
     some = sets.where("n > 0")
     copies = materialize(some.groupBy("set_key", "sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
 
     first = some.select("set_key", F.col("doc_id").alias("rep"), "sid", "nodes").join(copies.select("set_key", "rep"), ["set_key", "rep"], "left_semi")
-    live = materialize(_counted(first.select(F.explode("nodes").alias("node"), "sid", "rep")), "buckets-1")
+    live = materialize(_counted(first.select(F.explode("nodes").alias("node"), "sid", "rep")), "buckets-2")
     buckets = live.where(F.col("c") <= LIMIT)
-    for depth in range(2, MAX_DEPTH + 1):
+    for depth in range(3, MAX_DEPTH + 1):
         big = live.where(F.col("c") > LIMIT)
         if big.isEmpty():
             break
-        inside = big.join(shingles_of(rows, big, ngram), ["sid", "rep"]).select("node", "sid", "rep", "shingles")
-        live = materialize(_counted(inside.mapInArrow(_split(similarity), "node long, sid long, rep long").distinct()), f"buckets-{depth}")
+        sets_inside = shingles_of(rows, big.select("sid", "rep").distinct(), ngram)
+        inside = big.join(sets_inside, ["sid", "rep"]).select("node", "sid", "rep", "shingles")
+        with small_batches(spark):
+            live = materialize(_counted(inside.mapInArrow(_split(similarity), "node long, sid long, rep long").distinct()), f"buckets-{depth}")
         buckets = buckets.unionByName(live if depth == MAX_DEPTH else live.where(F.col("c") <= LIMIT))
 
     known = buckets.join(some.select("sid", F.col("doc_id").alias("rep"), "n", "bitmap"), ["sid", "rep"])
@@ -285,10 +302,10 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     clusters = connected_components(near)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("c"))
     named = clusters.join(sizes, "component").select(F.col("component").alias("node"), F.col("node").alias("sid"), "c").join(copies.select("sid", "rep", "n_copies"), "sid")
-    named = materialize(named, "clusters")
-    held = named.join(shingles_of(rows, named, ngram), ["sid", "rep"])
+    held = shingles_of(rows, materialize(named.select("sid", "rep", "node", "c", "n_copies"), "clusters"), ngram)
     exact = _in_blocks(held, BLOCK).select("node", "lo", "hi", "sid", "own", "shingles", "n_copies").mapInArrow(_exact(similarity), "sid long, root long, links long")
-    exact = materialize(exact, "links")
+    with small_batches(spark):
+        exact = materialize(exact, "links")
 
     classes = connected_components(exact.select(F.col("sid").alias("src"), F.col("root").alias("dst")))
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
