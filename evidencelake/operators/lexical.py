@@ -27,24 +27,33 @@ def chunk_fixed(docs: DataFrame, size: int = 1400, overlap: int = 200) -> DataFr
     return out.select("doc_id", stable_chunk_id(F.col("doc_id"), F.lit(1), F.lit(""), F.col("start"), F.col("start") + F.length("content")).alias("chunk_id"), "start", "content")
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, pattern: str, keep: str | None = None) -> DataFrame:
-    """``id, token, tf, n_tokens``: the inverted index, one row for each token (that matches ``keep``) of a text."""
+def tokens(df: DataFrame, id_col: str, text_col: str, pattern: str, keep: str | None = None) -> DataFrame:
+    """``id, n_tokens, token``: one row for each token (that matches ``keep``) of a text, with the text's token count."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), 1)
     found = F.filter(found, lambda t: t.rlike(keep)) if keep else found
-    each = df.select(id_col, found.alias("all"))
-    return each.select(id_col, F.size("all").alias("n_tokens"), F.explode("all").alias("token")).groupBy(id_col, "n_tokens", "token").agg(F.count("*").alias("tf"))
+    return df.select(id_col, found.alias("all")).select(id_col, F.size("all").alias("n_tokens"), F.explode("all").alias("token"))
+
+
+def terms(df: DataFrame, id_col: str, text_col: str, pattern: str, keep: str | None = None) -> DataFrame:
+    """``id, n_tokens, token, tf``: the inverted index of some texts."""
+    return tokens(df, id_col, text_col, pattern, keep).groupBy(id_col, "n_tokens", "token").agg(F.count("*").alias("tf"))
+
 
+def _match(query_terms: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
+    """Equi join on token, after tokens that no question has are dropped and the rest counted for each chunk.
 
-def _match(query_terms: DataFrame, chunk_terms: DataFrame) -> DataFrame:
-    """Equi join on token; the question side goes to all tasks only if its term count is proven small."""
-    q = F.broadcast(query_terms) if is_small(query_terms, MAX_BROADCAST_TERMS) else query_terms
-    return chunk_terms.join(q, "token")
+    The question side goes to all tasks only if its term count is proven small.
+    """
+    small = is_small(query_terms, MAX_BROADCAST_TERMS)
+    hint = F.broadcast if small else lambda df: df
+    asked = chunk_tokens.join(hint(query_terms.select("token").distinct()), "token", "left_semi")
+    return asked.groupBy("chunk_id", "n_tokens", "token").agg(F.count("*").alias("tf")).join(hint(query_terms), "token")
 
 
 def sparse_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, avgdl: float = 200.0) -> DataFrame:
     """F-11: ``query_id, chunk_id, score`` of every question and chunk that share a token; score / (score + 5)."""
     q = terms(queries, "query_id", "question", SPARSE_TOKEN).select("query_id", "token", F.col("tf").alias("q_tf"))
-    hits = _match(q, terms(chunks, "chunk_id", "content", SPARSE_TOKEN))
+    hits = _match(q, tokens(chunks, "chunk_id", "content", SPARSE_TOKEN))
     idf = F.log(1 + 1 / (1 + F.length("token") * 0.25)) + 1
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / avgdl)) * F.col("q_tf")
     total = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw"))
@@ -54,7 +63,7 @@ def sparse_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: flo
 def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """F-12: sum over distinct question tokens of tf / length * ln 2."""
     q = terms(queries, "query_id", "question", WORD_TOKEN, PLAIN_WORD).select("query_id", "token")
-    hits = _match(q, terms(chunks, "chunk_id", "content", WORD_TOKEN, PLAIN_WORD))
+    hits = _match(q, tokens(chunks, "chunk_id", "content", WORD_TOKEN, PLAIN_WORD))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") / F.col("n_tokens") * F.log(F.lit(2.0))).alias("score"))
 
 
