@@ -162,3 +162,34 @@ def table_rows(tables: DataFrame) -> DataFrame:
     width = F.least(F.size("head"), F.size(cells(F.col("line"))))
     return rows.select("table_id", "row_no", F.map_from_arrays(F.slice("head", F.lit(1), width), F.slice(cells(F.col("line")), F.lit(1), width)).alias("cells"))
 
+
+
+#: Chunk size and overlap by section (fixed values).
+SECTION_PARAMS = {"introduction": (1000, 120), "methods": (800, 150), "results": (650, 100), "discussion": (900, 120), "conclusion": (900, 120), "abstract": (400, 50)}
+
+
+def section_params(section: Column) -> Column:
+    """G-7: ``size, overlap`` for a section; 500 and 100 for others."""
+    pair = lambda a, b: F.struct(F.lit(a).alias("size"), F.lit(b).alias("overlap"))
+    table = F.create_map(*[x for s, (a, b) in SECTION_PARAMS.items() for x in (F.lit(s), pair(a, b))])
+    return F.coalesce(table[F.lower(section)], pair(500, 100))
+
+
+def assign_section(heading: Column, by_page: Column, text: Column) -> Column:
+    """G-5: a chunk's section: its own heading, else the one of its page, else by words of the text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.when(low.rlike("accuracy|outperform|table"), "results").when(low.rlike("we propose|method|algorithm"), "methods").when(low.rlike("in conclusion|we conclude"), "conclusion")
+    return F.coalesce(imrad_header(heading), by_page, words, F.lit("body"))
+
+
+def chunk_by_section(items: DataFrame) -> DataFrame:
+    """G-3: items ``paper_id, pos, text, section`` cut into windows of their section's size and overlap: ``paper_id, section, chunk_no, start, content``.
+
+    Items of a section are joined in order first; offsets are within the section. Sections are parts of one paper, so each is a small group.
+    """
+    joined = items.where("text is not null").groupBy("paper_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "\n").alias("whole"))
+    sized = joined.withColumn("p", section_params(F.col("section"))).where("length(whole) > 0")
+    step = F.col("p.size") - F.col("p.overlap")
+    starts = F.sequence(F.lit(0), F.greatest(F.length("whole") - F.col("p.overlap") - 1, F.lit(0)), step)
+    each = sized.select("paper_id", "section", "whole", "p", F.posexplode(starts).alias("chunk_no", "start"))
+    return each.select("paper_id", "section", "chunk_no", "start", F.trim(F.col("whole").substr(F.col("start") + 1, F.col("p.size"))).alias("content")).where("content <> ''")

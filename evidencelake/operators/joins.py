@@ -182,3 +182,14 @@ def resolve_source(legacy: DataFrame, index: DataFrame) -> DataFrame:
     scored = both.withColumn("match_score", 8 + zero(section) + zero(page) + zero(text))
     w = Window.partitionBy("legacy_id").orderBy(F.desc("match_score"), F.desc(F.length("i_text")), "i_chunk")
     return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("legacy_id", F.col("i_chunk").alias("chunk_id"), "match_score")
+
+
+#: Kinds of hint that help each query family (fixed values).
+HINT_FAMILIES = {"forward": ("fact", "compare", "critique"), "backward": ("fact", "limitation"), "same_method": ("compare", "numeric"), "evolution": ("survey", "evolution")}
+
+
+def hints_for_family(queries: DataFrame, hints: DataFrame) -> DataFrame:
+    """C-17: of all ``hints(query_id, kind, paper_id)`` those whose kind helps the query's family."""
+    table = F.create_map(*[x for k, fs in HINT_FAMILIES.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in fs]))])
+    both = hints.join(queries.select("query_id", "family"), "query_id")
+    return both.where(F.array_contains(table[F.col("kind")], F.col("family")))

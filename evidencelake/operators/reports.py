@@ -150,3 +150,10 @@ def corpus_split(papers: DataFrame, quotas: dict[str, int], by: str, order: list
         col = F.when((n > before) & (n <= before + quota), name).otherwise(col)
     out = papers.withColumn("split", col)
     return out.withColumn("gold", F.when(F.col("split") != "blind", F.col("gold"))) if "gold" in papers.columns else out
+
+
+def validation_summary(runs: DataFrame) -> DataFrame:
+    """D-19: for each step of nested runs ``run_id, state, steps(array<struct<step, status, consumed>>)`` how many passed and were consumed, and in how many runs all steps were."""
+    full = F.forall("steps", lambda s: (s.status == "passed") & s.consumed)
+    each = runs.select("run_id", full.alias("full"), F.explode("steps").alias("s"))
+    return each.groupBy("s.step").agg(F.count("*").alias("runs"), F.count_if(F.col("s.status") == "passed").alias("passed"), F.count_if("s.consumed").alias("consumed"), F.count_if("full").alias("full_chain"))

@@ -138,3 +138,13 @@ def confidence(sources: DataFrame, answers: DataFrame) -> DataFrame:
     out = both.withColumn("confidence", 0.55 * F.col("mean") + 0.25 * F.col("diversity") + 0.2 * (0.6 * F.col("volume") + 0.4 * F.col("length")))
     reasons = F.array_compact(F.array(F.when(F.col("mean") < 0.5, "low_scores"), F.when(F.col("diversity") < 0.5, "few_papers"), F.when(F.col("volume") < 0.6, "few_sources")))
     return out.select("answer_id", "confidence", F.when(F.col("confidence") < 0.5, reasons).otherwise(F.array().cast("array<string>")).alias("reasons"))
+
+
+def citation_support(kind: Column, text: Column, caption: Column, context: Column) -> Column:
+    """H-10: whether evidence can carry a citation: a text of over 10 characters; tables and figures also by a caption over 5 or context over 10."""
+    long = lambda c, n: F.coalesce(F.length(c) > n, F.lit(False))
+    table = long(text, 10) | long(caption, 5) | long(context, 10)
+    figure = long(caption, 5) | long(context, 10)
+    ok = F.when(kind == "table", table).when(kind == "figure", figure).otherwise(long(text, 10))
+    reason = F.when(ok, "ok").when(kind == "table", "missing_caption_or_table_text").when(kind == "figure", "missing_caption").otherwise("missing_content")
+    return F.struct(F.when(ok, "supported").otherwise("unsupported").alias("status"), reason.alias("reason"))

@@ -68,3 +68,27 @@ def test_corpus_split_counts(spark):
     df = spark.createDataFrame([(i, "x", "g") for i in range(10)], "id int, k string, gold string")
     got = {(r.split, r.gold): r.n for r in R.corpus_split(df, {"dev": 3, "blind": 4}, "k", ["id"]).groupBy("split", "gold").agg(F.count("*").alias("n")).collect()}
     assert got == {("dev", "g"): 3, ("blind", None): 4, ("train", "g"): 3}
+
+
+def test_hints_and_graph_candidates(spark):
+    from evidencelake.operators import graph as J, joins as C
+
+    q = spark.createDataFrame([(1, "compare", "x"), (2, "fact", "x")], "query_id int, family string, subject string")
+    h = spark.createDataFrame([(1, "forward", 5), (1, "backward", 6), (2, "backward", 7), (2, "evolution", 8)], "query_id int, kind string, paper_id int")
+    assert sorted(r.paper_id for r in C.hints_for_family(q, h).collect()) == [5, 7]
+    rel = spark.createDataFrame([(9, "x", "improves_metric_on_dataset"), (9, "x", "compares_against_baseline"), (8, "x", "improves_metric_on_dataset"), (7, "y", "improves_metric_on_dataset")], "paper_id int, subject string, predicate string")
+    assert [(r.query_id, r.paper_id, r.rank) for r in J.graph_candidates(q, rel).orderBy("rank").collect()] == [(1, 9, 1), (1, 8, 2)]
+
+
+def test_sections_and_support(spark):
+    from evidencelake.operators import chunking as C, verify as H, reports as R
+
+    items = spark.createDataFrame([(1, 0, "a" * 400, "abstract"), (1, 1, "b" * 100, "abstract"), (1, 2, None, "abstract"), (1, 0, "short", "other")], "paper_id int, pos int, text string, section string")
+    assert sorted((r.section, r.chunk_no, r.start, len(r.content)) for r in C.chunk_by_section(items).collect()) == [("abstract", 0, 0, 400), ("abstract", 1, 350, 151), ("other", 0, 0, 5)]
+    rows = spark.createDataFrame([("table", None, "caption", None), ("figure", "a long enough text", None, None), ("text", "a long enough text", None, None)], "k string, t string, c string, x string")
+    got = [r[0].reason for r in rows.select(H.citation_support(F.col("k"), F.col("t"), F.col("c"), F.col("x"))).collect()]
+    assert got == ["ok", "missing_caption", "ok"]
+    s = spark.createDataFrame([("1. Introduction", None, "x"), ("x", "results", "x"), (None, None, "We propose it"), (None, None, None)], "h string, p string, t string")
+    assert [r[0] for r in s.select(C.assign_section(F.col("h"), F.col("p"), F.col("t"))).collect()] == ["introduction", "results", "methods", "body"]
+    runs = spark.createDataFrame([("r", [("a", "passed", True), ("b", "failed", False)]), ("s", [("a", "passed", True)])], "run_id string, steps array<struct<step:string,status:string,consumed:boolean>>")
+    assert {r.step: (r.runs, r.passed, r.full_chain) for r in R.validation_summary(runs).collect()} == {"a": (2, 2, 1), "b": (1, 0, 0)}
