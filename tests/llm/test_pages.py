@@ -50,7 +50,7 @@ PAGE = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p
 
 
 def test_text_and_links():
-    assert W.page_text(PAGE) == "A & B\nOne two three\nFourlink"
+    assert W.page_text(PAGE) == "A & B\nOne two three\nFourlinkno"
     assert W.page_links(PAGE, "http://h.org/d/e") == [{"path": "A@/href", "url": "http://h.org/up?a=1&b=2"}, {"path": "IMG@/src", "url": "http://h.org/d/i.png"}]
     assert W.page_text("<script>never closed") == "" and W.page_text("") == ""
 
@@ -75,7 +75,7 @@ def test_derivatives_refer_to_their_source(spark):
             assert told["source"] == own and told["http"]["headers"]["content-type"] == "text/html; charset=utf-8"
             assert base64.b32decode(told["payload_digest"]["computed"][5:]).hex() == own["warc-payload-digest"][5:]
             assert told["conversion"] == next(x.record_id for x in out if x.page_id == r.page_id and x.warc_type == "conversion")
-    assert next(bytes(r.record) for r in out if r.page_id == 1 and r.warc_type == "conversion").endswith(b"A & B\nOne two three\nFourlink\r\n\r\n")
+    assert next(bytes(r.record) for r in out if r.page_id == 1 and r.warc_type == "conversion").endswith(b"A & B\nOne two three\nFourlinkno\r\n\r\n")
 
 
 def test_other_records_give_nothing(spark):
