@@ -225,7 +225,7 @@ def _near(similarity: float) -> Callable:
     return run
 
 
-def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+def common_counts(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of 0/1 matrices over slices of the vocabulary."""
     row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     every = np.concatenate(sets)
@@ -236,14 +236,13 @@ def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     shared = np.bincount(column) > 1  # a shingle of one set only is in no intersection
     keep = shared[column]
     row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
-    out = np.diag([float(len(s)) for s in sets])
-    own = np.diagonal(out).copy()
+    out = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2 ** 24 are exact
     for a in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(column, (a, a + width))
         m = np.zeros((len(sets), width), np.float32)
         m[row[lo:hi], column[lo:hi] - a] = 1
         out += m @ m.T
-    np.fill_diagonal(out, own)
+    np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
@@ -256,7 +255,10 @@ def _exact(similarity: float) -> Callable:
             sets = [np.frombuffer(r[5], np.uint64) for r in rows]
             n = np.array([len(s) for s in sets], np.float64)
             both = common_counts(sets)
-            true = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
+            true = np.zeros(both.shape, bool)
+            for i, row in enumerate(both):
+                shared = row.astype(np.float64)
+                true[i] = shared >= similarity * (n[i] + n - shared) - 1e-9
             pairs, root = _linked(rows, across, true)
             links = pairs @ np.array([r[6] for r in rows], np.int64)
             for i in np.flatnonzero(links):
