@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.llm import chosen_path as C, decontamination as D, license_scan as S
+from tests.compare import same
 
 
 def words(n, seed):
@@ -96,6 +99,31 @@ def test_both_ways_of_the_seed_join(spark, monkeypatch):
     assert D.op10_decontamination(spark, sf).orderBy("doc_id", "item_id").collect() == few
 
 
+def test_masks_hit_every_pattern_of_the_share():
+    for n in range(D.SPAN, 2 * D.SPAN):
+        for equal in itertools.combinations(range(n), -(-6 * n // 10)):
+            here = set(equal)
+            assert any(all(at + o in here for o in mask) for at in equal for mask in D.MASKS), (n, equal)
+
+
+def test_leaks_down_to_the_share_equal_brute_force(spark):
+    rnd, docs, items = random.Random(1), [], []
+    for n in (9, 10, 11, 12, 14, 15, 16, 18, 23, 30):
+        item = words(n, n)
+        items.append((n, " ".join(item)))
+        for k in range(40):
+            out = set(rnd.sample(range(n), rnd.choice((n - -(-6 * n // 10), n - -(-6 * n // 10), 1))))
+            changed = [f"other{k}" if i in out else w for i, w in enumerate(item)]
+            cut = rnd.choice((0, 0, 0, 1)) if n - 1 >= D.SPAN else 0
+            docs.append((len(docs), " ".join(changed[cut:] if cut else words(rnd.randrange(3), 99) + changed)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    c = duckdb.connect()
+    for name, rows in (("documents", docs), ("benchmark", items)):
+        c.execute(f"CREATE TABLE {name} ({'doc_id' if name == 'documents' else 'item_id'} BIGINT, text VARCHAR)")
+        c.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    same(D.find_leaks(df, bench), D.ORACLE, c)
+
+
 def test_licenses(spark):
     mit = dict((a + b, c) for a, b, c in S.TEMPLATES)["MITgrant"].split()
     damaged = list(mit)
