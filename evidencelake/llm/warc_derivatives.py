@@ -13,6 +13,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -25,7 +26,10 @@ TAGS = re.compile(r"<[^>]*>")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
+#: Comments, whose tags are no links, and scripts, of which only the opening tag may have one.
+NO_LINKS = re.compile(r"<!--.*?(?:-->|\Z)|(<(script)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.I | re.S)
 LINK = re.compile(r"""<(a|area|link|img|script|iframe|source|video|audio|embed|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 OUT = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("n_links", pa.int64()), ("record", pa.binary())])
 
@@ -35,15 +39,73 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def headers(block: bytes) -> tuple[str, dict[str, str]]:
-    """First line and fields of a header block; names in lower case, continuation lines joined, the last of equal names wins."""
+def header_list(block: bytes) -> tuple[str, list[tuple[str, str]]]:
+    """First line and fields of a header block in order, equal names each; names in lower case, continuation lines joined."""
     lines = re.sub(rb"\r?\n[ \t]+", b" ", block).decode("utf-8", "replace").splitlines()
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if colon:
-            fields[name.strip().lower()] = value.strip()
-    return (lines[0] if lines else ""), fields
+    pairs = [line.partition(":") for line in lines[1:]]
+    return (lines[0] if lines else ""), [(name.strip().lower(), value.strip()) for name, colon, value in pairs if colon]
+
+
+def headers(block: bytes) -> tuple[str, dict[str, str]]:
+    """First line and fields of a header block for look-ups: the last of equal names wins."""
+    first, fields = header_list(block)
+    return first, dict(fields)
+
+
+def all_values(fields: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Each name with its value, or with the list of its values in order where it is repeated."""
+    found: dict[str, list[str]] = {}
+    for name, value in fields:
+        found.setdefault(name, []).append(value)
+    return {name: values if len(values) > 1 else values[0] for name, values in found.items()}
+
+
+def unchunked(payload: bytes) -> bytes:
+    """A chunked payload's content; what is no chunk (a capture that was stored without chunks) stays as it is."""
+    parts, at = [], 0
+    while m := CHUNK.match(payload, at):
+        size = int(m[1], 16)
+        parts.append(payload[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size or at >= len(payload):
+            return b"".join(parts)
+        at += 2 if payload[at : at + 2] == b"\r\n" else payload[at : at + 1] == b"\n"
+    return b"".join(parts) + payload[at:]
+
+
+def inflated(payload: bytes, coding: str) -> bytes:
+    """A gzip or deflate payload's content, of a broken one as much as can be read; other bytes stay as they are."""
+    raw = coding == "deflate" and (len(payload) < 2 or payload[0] & 15 != 8 or int.from_bytes(payload[:2], "big") % 31)
+    if coding != "deflate" and payload[:2] != b"\x1f\x8b":
+        return payload
+    out, rest = [], payload
+    while rest:  # gzip may have several members
+        member = zlib.decompressobj(-15 if raw else 47)
+        try:
+            for a in range(0, len(rest), 65536):
+                out.append(member.decompress(rest[a : a + 65536]))
+                if member.eof:
+                    rest = member.unused_data + rest[a + 65536 :]
+                    break
+            else:
+                out.append(member.flush())
+                break
+        except zlib.error:
+            break
+        if coding == "deflate":
+            break
+    return b"".join(out) if any(out) or not payload else payload
+
+
+def content(payload: bytes, fields: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content codings, the last applied undone first."""
+    codings = lambda name: [c.strip().lower() for n, v in fields if n == name for c in v.split(",")]
+    for coding in [*reversed(codings("transfer-encoding")), *reversed(codings("content-encoding"))]:
+        if coding == "chunked":
+            payload = unchunked(payload)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            payload = inflated(payload, coding)
+    return payload
 
 
 def split_block(data: bytes) -> tuple[bytes, bytes]:
@@ -68,9 +130,9 @@ def page_text(page: str) -> str:
 
 
 def page_links(page: str, base: str) -> list[dict[str, str]]:
-    """Links in order, absolute where they can be joined to ``base``; data, mail and script links are left out."""
+    """Links in order, absolute where they can be joined to ``base``, also those of hidden elements; data, mail and ``javascript:`` links, comments and the code of scripts are left out."""
     found = []
-    for tag, attribute, *values in LINK.findall(HIDDEN.sub(" ", page)):
+    for tag, attribute, *values in LINK.findall(NO_LINKS.sub(lambda m: m[1] or " ", page)):
         link = html.unescape(next((v for v in values if v), "")).strip()
         if link and not link.lower().startswith(("javascript:", "data:", "mailto:", "#")):
             try:
@@ -94,24 +156,25 @@ def record(kind: str, source: dict[str, str], content_type: str, body: bytes) ->
 def derive(data: bytes | None) -> list[tuple]:
     """Rows of OUT for one record; none if it is null or no response."""
     head, rest = split_block(data or b"")
-    _, source = headers(head)
+    _, source_fields = header_list(head)
+    source = dict(source_fields)
     if source.get("warc-type") != "response":
         return []
     size = source.get("content-length", "")
     block = rest[: int(size)] if size.isdigit() else rest
     http_head, payload = split_block(block)
-    status, http = headers(http_head)
+    status, http_fields = header_list(http_head)
     own = digest(payload)
     stated = source.get("warc-payload-digest")
-    page = decode(payload, http.get("content-type", ""))
+    page = decode(content(payload, http_fields), dict(http_fields).get("content-type", ""))
     target = source.get("warc-target-uri", "")
     links = page_links(page, target)
     title = TITLE.search(page)
     text = page_text(page).encode("utf-8", "replace")
     converted = record("conversion", source, "text/plain; charset=utf-8", text)
     about = {
-        "source": source,
-        "http": {"status": status, "headers": http},
+        "source": all_values(source_fields),
+        "http": {"status": status, "headers": all_values(http_fields)},
         "payload_digest": {"stated": stated, "computed": own, "length": len(payload)},
         "conversion": converted[0],
         "html": {"title": " ".join(html.unescape(TAGS.sub("", title[1])).split()) if title else None, "links": links},
@@ -127,7 +190,8 @@ def build_derivatives(responses: DataFrame, record_col: str = "record", id_col:
 
     ``payload_digest`` is the one the source states, else a computed one; the metadata body holds
     both. Null records and other record types give no rows; an empty payload gives empty text;
-    missing headers stay out; repeated records give the same records again. Other columns are not
+    missing headers stay out, and a repeated header's
+    values are a list; chunked, gzip and deflate payloads are decoded (digests are of the stored bytes); repeated records give the same records again. Other columns are not
     read. No shuffle: each record is derived where it is read.
     """
     names = [f.name for f in OUT]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import gzip
 import hashlib
 import json
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -78,6 +80,37 @@ def test_derivatives_refer_to_their_source(spark):
     assert next(bytes(r.record) for r in out if r.page_id == 1 and r.warc_type == "conversion").endswith(b"A & B\nOne two three\nFourlinkno\r\n\r\n")
 
 
+def captured(body, *http):
+    block = "".join(f"{x}\r\n" for x in ("HTTP/1.1 200 OK", *http)).encode() + b"\r\n" + body
+    metadata, conversion = W.derive(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+    told, text = (W.split_block(r[-1])[1][:-4] for r in (metadata, conversion))
+    return json.loads(told), text.decode()
+
+
+def test_repeated_headers_stay():
+    told, _ = captured(b"<p>x", "Set-Cookie: a=1", "Via: one", "Set-Cookie: b=2", "Via: two", "Content-Type: text/html")
+    assert told["http"]["headers"] == {"set-cookie": ["a=1", "b=2"], "via": ["one", "two"], "content-type": "text/html"}
+    assert told["source"]["warc-concurrent-to"] == ["<a>", "<b>"]
+
+
+def test_links_of_hidden_elements():
+    page = '<script src="s.js">var a = "<a href=no>";</script><noscript><img src="n.png"></noscript><template><a href="t">t</a></template><!-- <script> <a href="c"> --><a href="z">z</a><script async src=last.js>'
+    assert [x["url"].removeprefix("http://h.org/") for x in W.page_links(page, "http://h.org/")] == ["s.js", "n.png", "t", "z", "last.js"]
+    assert W.page_text(page) == "z"
+
+
+def test_chunked_and_compressed_payloads():
+    page = "<p>café one two".encode()
+    packed = gzip.compress(page[:6]) + gzip.compress(page[6:])
+    chunked = lambda b: b"".join(b"%x;ext=1\r\n%s\r\n" % (len(b[i : i + 5]), b[i : i + 5]) for i in range(0, len(b), 5)) + b"0\r\nTrailer: x\r\n\r\n"
+    te, gz = "Transfer-Encoding: chunked", "Content-Encoding: gzip"
+    for body, fields in ((chunked(page), [te]), (packed, [gz]), (chunked(packed), [te, gz]), (zlib.compress(page), ["Content-Encoding: deflate"]), (zlib.compress(page)[2:-4], ["Content-Encoding: deflate"]), (page, [te, gz])):
+        told, text = captured(body, *fields)
+        assert text == "café one two", fields
+        assert told["payload_digest"] == {"stated": None, "computed": W.digest(body), "length": len(body)}
+    assert "café" in captured(gzip.compress(page + bytes(range(256)) * 9)[:-20], gz)[1]
+
+
 def test_other_records_give_nothing(spark):
     rows = [(None,), (b"",), (b"WARC/1.0\r\nWARC-Type: request\r\n\r\nGET /",), (b"junk",), (b"WARC/1.0\r\nWARC-Type: response\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nonsense\r\n\r\n<p>caf\xc3\xa9 \xff",)]
     out = W.build_derivatives(spark.createDataFrame(rows, "record binary")).collect()
