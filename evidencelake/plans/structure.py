@@ -85,9 +85,9 @@ def stream_live_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_event_log", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def stream_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events numbered by the stateful stream."""
+    """All events numbered by the stream; one micro-batch, since the SQL numbers all files in order of time."""
     out = new_path(spark, "event-log")
-    K.run_to_end(K.event_log(_stream(spark, sf_dir)), "append", f"{out}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/b={n}"))
+    K.run_to_end(_stream(spark, sf_dir), "append", f"{out}/checkpoint", K.event_log(out))
     return spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "seq")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evidencelake.operators.lexical import chunk_fixed
+from evidencelake.scratch import materialize
 
 #: Steps of an import job that may follow each other (fixed values).
 TRANSITIONS = {"created": ("queued", "cancelled"), "queued": ("running", "cancelled"), "running": ("completed", "failed", "cancelled"), "failed": ("queued",)}
@@ -29,17 +28,47 @@ def live_budget(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return dated.groupBy("user_id", "day", F.window("ts", "1 day").start.alias("w")).agg(F.sum("tokens").alias("tokens"))
 
 
-def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Numbers a session's events in order of time and id, going on from the state."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    start = state.get[0] if state.exists else 0
-    state.update((start + len(rows),))
-    yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "seq": range(start + 1, start + len(rows) + 1)})
+def spread(batch: DataFrame) -> DataFrame:
+    """``user_id, event_id, ts`` of a batch with the ``part`` that each row lies in: parts are ranges of user, time and id, so a user with many rows has several."""
+    order = [F.asc_nulls_last(c) for c in ("user_id", "ts", "event_id")]
+    return materialize(batch.select("user_id", "event_id", "ts").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "event-parts")
 
 
-def event_log(events: DataFrame) -> DataFrame:
-    """K-1: ``user_id, event_id, seq``: a number for each event that grows within its session across micro-batches."""
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(_number, "user_id long, event_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
+def number_events(batch: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """``user_id, event_id, seq`` of a batch in order of time and id, going on from ``last(user_id, last_seq)``.
+
+    Rows are numbered within each part and user; a user's parts add the counts of those before, so
+    no task holds a whole user.
+    """
+    rows = spread(batch)
+    counts = rows.groupBy("user_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    start = counts.select(F.col("user_id").alias("u"), F.col("part").alias("p"), before.alias("start"))
+    if last is not None:
+        seen = last.select(F.col("user_id").alias("v"), "last_seq")
+        start = start.join(seen, F.col("u").eqNullSafe(F.col("v")), "left").select("u", "p", (F.col("start") + F.coalesce("last_seq", F.lit(0))).alias("start"))
+    own = F.row_number().over(Window.partitionBy("user_id", "part").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
+    numbered = rows.withColumn("own", own).join(start, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("part") == F.col("p")))
+    return numbered.select("user_id", "event_id", (F.col("start") + F.col("own")).cast("long").alias("seq"))
+
+
+def event_log(out: str) -> Callable[[DataFrame, int], None]:
+    """K-1: a sink that writes ``user_id, event_id, seq`` below ``out/rows``: a number for each event that grows within its session across micro-batches.
+
+    Each batch also writes its users' last numbers below ``out/last``; a repeated batch reads those of earlier batches only and overwrites its own folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = None
+        if number:
+            stored = spark.read.schema("user_id long, last_seq long, b long").parquet(f"{out}/last").where(F.col("b") < number)
+            last = stored.groupBy("user_id").agg(F.max("last_seq").alias("last_seq"))
+        number_events(batch, last).write.mode("overwrite").parquet(f"{out}/rows/b={number}")
+        rows = spark.read.schema("user_id long, event_id long, seq long").parquet(f"{out}/rows/b={number}")
+        rows.groupBy("user_id").agg(F.max("seq").alias("last_seq")).write.mode("overwrite").parquet(f"{out}/last/b={number}")
+
+    return write
 
 
 def replay(log: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from evidencelake.plans.catalog import QUERIES
 from evidencelake.sources.tables import read_table
+from evidencelake.streaming import events as K
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,24 @@ def ids(df, column):
 def test_every_paper_and_answer(spark, name, column):
     every = ids(read_table(spark, SF, "orders"), "o_orderkey")
     assert max(every) >= 400 and ids(QUERIES[name](spark, SF), column) == every
+
+
+def test_event_numbers_go_on_and_a_hot_user_has_several_parts(spark, tmp_path):
+    rows = [(1 if i % 3 else i % 7, i, (i * 37) % 50 if i % 11 else None) for i in range(3000)] + [(None, 5000, 3), (None, 5001, 1)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = {r["part"]: r["count"] for r in K.spread(df).where("user_id = 1").groupBy("part").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(parts.values()) < sum(parts.values()) * 0.7
+    write, batches = K.event_log(str(tmp_path)), [df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1 and event_id < 5000"), df.where("event_id = 5001")]
+    for n in (0, 1, 1, 2):
+        write(batches[n], n)
+    wanted, last = set(), {}
+    for n, keep in enumerate((lambda i: i % 2 == 0, lambda i: i % 2 and i < 5000, lambda i: i == 5001)):
+        for user, event, _ in sorted((r for r in rows if keep(r[1])), key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+            last[user] = last.get(user, 0) + 1
+            wanted.add((user, event, last[user]))
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/rows").select("user_id", "event_id", "seq").collect()]
+    assert len(got) == len(rows) and set(got) == wanted
