@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,10 +60,13 @@ def fuzzy_title_match(jobs: DataFrame, papers: DataFrame, cutoff: float = 85.0)
 
     Titles need a ratio of ``cutoff``; the score is cut to 0.85 if the authors' ratio is 70 or less or the years are
     more than one apart, to 0.7 if both. Candidates share the user and a key of ``title_blocks`` and lie in the
-    length band that the cutoff allows; a user's titles are a library, not a corpus. ``cutoff``: 85 or more.
+    length band that the cutoff allows; a user's titles are a library, not a corpus. Equal jobs are matched once, and of
+    equal papers the lowest takes part, so repeated (or empty) titles make no square of pairs. ``cutoff``: 85 or more.
     """
-    j = jobs.select("job_id", "user_id", F.lower(F.trim("title")).alias("t1"), F.col("author").alias("a1"), F.col("year").alias("y1"))
-    p = papers.select("paper_id", "user_id", F.lower(F.trim("title")).alias("t2"), F.col("author").alias("a2"), F.col("year").alias("y2"))
+    all_jobs = jobs.select("job_id", "user_id", F.lower(F.trim("title")).alias("t1"), F.col("author").alias("a1"), F.col("year").alias("y1"))
+    same = ["user_id", "t1", "a1", "y1"]
+    j = all_jobs.groupBy(same).agg(F.min("job_id").alias("job_id"))
+    p = papers.select("paper_id", "user_id", F.lower(F.trim("title")).alias("t2"), F.col("author").alias("a2"), F.col("year").alias("y2")).groupBy("user_id", "t2", "a2", "y2").agg(F.min("paper_id").alias("paper_id"))
     keyed = lambda df, t: df.withColumn("key", F.explode(title_blocks(F.col(t))))
     pairs = keyed(j, "t1").join(keyed(p, "t2"), ["user_id", "key"]).where(2 * F.least(F.length("t1"), F.length("t2")) * 100 >= cutoff * (F.length("t1") + F.length("t2")))
     one = pairs.drop("key").distinct().withColumn("title_ratio", ratio_column(F.col("t1"), F.col("t2"))).where(F.col("title_ratio") >= cutoff)
@@ -70,7 +74,9 @@ def fuzzy_title_match(jobs: DataFrame, papers: DataFrame, cutoff: float = 85.0)
     year_ok = F.coalesce(F.abs(F.col("y1") - F.col("y2")) <= 1, F.lit(False))
     factor = F.when(author_ok & year_ok, 1.0).when(author_ok | year_ok, 0.85).otherwise(0.7)
     scored = one.withColumn("match_score", F.col("title_ratio") * factor)
-    return top_k(scored, ["job_id"], "match_score", "paper_id", 1).select("job_id", "paper_id", "title_ratio", "match_score")
+    best = top_k(scored, same, "match_score", "paper_id", 1).select(*[F.col(c).alias(f"__{c}") for c in same], "paper_id", "title_ratio", "match_score")
+    mine = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same])
+    return all_jobs.join(best, mine).select("job_id", "paper_id", "title_ratio", "match_score")
 
 
 def first_tier(matches: DataFrame) -> DataFrame:
