@@ -16,7 +16,7 @@ from evidencelake.scratch import broadcast_if_small, is_small, materialize
 #: words in a row of which the share SHARE is equal, some mask selects only equal ones. The tests run through
 #: all patterns of SPAN to 2 * SPAN - 1 words; longer items consist of such pieces, and one piece has the share.
 MASKS = ((0, 2, 4, 5), (0, 1, 7, 8), (0, 1, 4, 6), (0, 2, 3, 4), (0, 1, 2, 3), (0, 2, 5, 6), (0, 1, 8, 9), (0, 1, 5, 7), (0, 1, 2, 7))
-#: Texts and items of fewer words are not searched.
+#: Items of fewer words are searched for verbatim; in texts of fewer words only those are.
 SPAN = 9
 #: An item has leaked where at least this share of its words stands in place.
 SHARE = 0.6
@@ -38,6 +38,21 @@ def seeds(rows: DataFrame) -> DataFrame:
     return places.withColumn("seed", F.explode(F.array(*made))).where("seed is not null")
 
 
+def short_leaks(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Verbatim copies of items of fewer than SPAN words: ``doc_id, item_id, item_words, equal_words, doc_word``; None if there are no such items."""
+    n = F.size("h")
+    short = items.where((n > 0) & (n < SPAN)).select("item_id", n.cast("long").alias("item_words"), F.xxhash64(n, "h").alias("seed")).distinct()
+    lengths = sorted(r.item_words for r in short.select("item_words").distinct().collect())
+    if not lengths:
+        return None
+    places = texts.withColumn("at", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    made = [F.when(F.col("at") + k <= n, F.xxhash64(F.lit(k), F.slice("h", F.col("at") + 1, k))) for k in lengths]
+    seeded = places.select("doc_id", "at", F.explode(F.array(*made)).alias("seed")).where("seed is not null")
+    hits = seeded.join(broadcast_if_small(short, MAX_BROADCAST_SEEDS), "seed")
+    first = hits.groupBy("doc_id", "item_id", "item_words").agg(F.min("at").cast("long").alias("doc_word"))
+    return first.select("doc_id", "item_id", "item_words", F.col("item_words").alias("equal_words"), "doc_word")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """One row for each leaked item of each document: ``doc_id, item_id, equal_words, item_words, doc_word``.
 
@@ -45,8 +60,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
 
     ``equal_words`` is the best alignment's count of item words in place (at least ``share`` of
     the item), ``doc_word`` the document's word where the item begins (may be negative where the
-    item's beginning lies before the text). Null and empty texts, and texts or items of fewer
-    than SPAN words, give no rows. Repeated document or item rows give one row for each pair of ids; null
+    item's beginning lies before the text). Null and empty texts and items give
+    no rows. Items of fewer than SPAN words count where they stand verbatim, in texts of any length;
+    longer items are not searched in texts of fewer than SPAN words. Repeated document or item rows give one row for each pair of ids; null
     ids are left out; extra columns are not read; an empty table gives no rows. The benchmark's seeds
     are broadcast if they are few by count, else both sides are shuffled by seed.
     """
@@ -66,6 +82,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
     best = hits.select("doc_id", "item_id", F.size("item_h").alias("item_words"), code.alias("code")).groupBy("doc_id", "item_id", "item_words").agg(F.max("code").alias("code"))
     seen = best.select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), F.shiftright("code", 40).alias("equal_words"), (low // 2 - F.col("code").bitwiseAND(F.lit(low - 1))).alias("doc_word"))
     good = seen.where(F.col("equal_words") >= F.ceil(F.col("item_words") * share))
+    short = short_leaks(texts, items)
+    if short is not None:
+        good = good.unionByName(short)
     one = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal_words", "item_words", (-F.col("doc_word")).alias("minus"))).alias("one"))
     return one.select("doc_id", "item_id", "one.equal_words", "one.item_words", (-F.col("one.minus")).alias("doc_word"))
 

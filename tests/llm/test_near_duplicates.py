@@ -124,6 +124,17 @@ def test_leaks_down_to_the_share_equal_brute_force(spark):
     same(D.find_leaks(df, bench), D.ORACLE, c)
 
 
+def test_short_items_are_found_verbatim(spark, monkeypatch):
+    docs = [(1, "before Which one, is it? after " + " ".join(words(20, 1))), (2, "which ONE is it"), (3, "which one was it " + " ".join(words(20, 2))), (4, "is it which one is it which one is it " + " ".join(words(8, 8))), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "which one is it"), (1, "which one is it"), (2, " ".join(words(8, 8))), (3, ""), (4, None), (5, " ".join(words(20, 1)))], "item_id long, text string")
+    wanted = {(1, 1, 4, 4, 1), (1, 5, 20, 20, 6), (2, 1, 4, 4, 0), (4, 1, 4, 4, 2), (4, 2, 8, 8, 10)}
+    for most in (D.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", most)
+        assert {tuple(r) for r in D.find_leaks(df, bench).collect()} == wanted
+    assert [r.doc_id for r in D.drop_leaked(df, bench).orderBy("doc_id").collect()] == [3, 5]
+
+
 def test_licenses(spark):
     mit = dict((a + b, c) for a, b, c in S.TEMPLATES)["MITgrant"].split()
     damaged = list(mit)
