@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidencelake.scratch import materialize
+from evidencelake.scratch import drop_table, join_per_key, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,28 +14,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the neighbours, then jumps to the label of the label, so long chains halve. Edges are
     contracted to the labels after each round: a finished component leaves no edges, and
     the loop ends when none are left. Null endpoints and self loops are dropped; repeated
-    edges count once; an empty table gives an empty result.
+    edges count once; an empty table gives an empty result. A label that many nodes share is joined by
+    broadcast (``join_per_key``); a round's tables are removed when the next round's are written.
     """
     clean = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
     clean = materialize(clean.distinct(), "pairs")
-    nodes = clean.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     live = materialize(clean.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
-    labels = nodes.withColumn("component", F.col("node"))
+    labels = materialize(clean.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    drop_table(clean)
     rounds = 0
     while rounds < max_rounds:
         both = live.select("src", "dst").union(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
-        low = materialize(low, "low")
+        low = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low")), "low")
         up = low.select(F.col("src").alias("low"), F.col("low").alias("lower"))
         jump = materialize(low.join(up, "low", "left").select("src", F.coalesce("lower", "low").alias("to")), "jump")
-        labels = materialize(
-            labels.join(jump.select(F.col("src").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels"
-        )
+        old = (labels, live, low, jump)
+        moved = join_per_key(labels, jump.select(F.col("src").alias("component"), "to"), "component")
+        labels = materialize(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
         a = jump.select(F.col("src"), F.col("to").alias("a"))
         b = jump.select(F.col("src").alias("dst"), F.col("to").alias("b"))
-        live = materialize(
-            live.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges"
-        )
+        live = materialize(live.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
+        for table in old:
+            drop_table(table)
         rounds += 1
         if live.isEmpty():
             return labels
