@@ -1,12 +1,12 @@
 """Operator 3: n-gram Jaccard self join by chosen paths.
 
 Texts are sets of hashed 5-word shingles; equal sets are one class of copies and take part
-once. In each of RUNS runs a set draws shingles with a hash that all sets share, so that
+once. In each of a number of runs a set draws shingles with a hash that all sets share, so that
 each set of n draws 1 / (0.8 n) of its shingles: sets of similarity 0.8 or more draw one in
 common with probability 1 - 1/e or more, and a second one within that choice in the same way; the two
 are a bucket. Buckets of more than LIMIT sets are split again on shingles drawn within the bucket,
-down to MAX_DEPTH levels. RUNS runs leave a pair at exactly 0.8 without a common bucket with
-probability 3e-6 at the second level and 6e-4 at the fourth.
+down to MAX_DEPTH levels. ``runs_for`` repeats the runs until a pair at exactly the similarity shares a bucket
+with the probability RECALL even where all levels were needed.
 
 Small buckets are brute-forced on parity bitmaps, whose differing bits never exceed the sets'
 symmetric difference, so no true pair is lost. What is still larger than LIMIT is
@@ -16,6 +16,7 @@ again in blocks; tasks give a row for each set and block, never a row for each p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -25,14 +26,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencelake.operators.components import connected_components
-from evidencelake.scratch import broadcast_if_small, materialize
+from evidencelake.llm.workers import tidied
+from evidencelake.scratch import broadcast_if_small, join_per_key, materialize
 
 NGRAM, SIMILARITY = 5, 0.8
-RUNS, MAX_DEPTH, LIMIT, BLOCK = 20, 4, 2048, 512
+#: Least chance that a pair at exactly the similarity shares a bucket of the last level; more similar pairs have more.
+RECALL = 0.9994
+MAX_DEPTH, LIMIT, BLOCK = 4, 2048, 512
 BITMAP = 1024
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SETS = "doc_id long, set_key binary, sid long, n long, bitmap binary, nodes array<long>"
-MAX_BROADCAST_IDS, BATCH_ROWS = 1_000_000, 1024
+MAX_BROADCAST_IDS, BATCH_ROWS, DRAWN_AT_ONCE = 1_000_000, 1024, 1 << 18
+
+
+def runs_for(recall: float, depth: int = MAX_DEPTH) -> int:
+    """Runs after which the chance that a pair at the similarity shares a bucket at ``depth`` is ``recall``.
+
+    Such a pair draws at least one common shingle at each level on average (Poisson), so the chance that some chain of
+    common draws reaches a level follows from the level above as for a branching process. The similarity itself sets the rate
+    of the draws, not the runs.
+    """
+    reach = 1.0
+    for _ in range(depth):
+        reach = 1 - math.exp(-reach)
+    return math.ceil(math.log(1 - recall) / math.log(1 - reach))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,9 +78,14 @@ def draw(shingles: np.ndarray, parents: np.ndarray, similarity: float) -> tuple[
     """The child buckets of each parent: index of the parent, and the child's id."""
     most = min(1.0, 1.0 / (similarity * len(shingles)))
     limit = np.uint64(min(int(most * 2**64), 2**64 - 1))
-    drawn = mix(shingles[None, :] ^ parents[:, None])
-    row, column = np.nonzero(drawn <= limit)
-    return row, mix(drawn[row, column] + parents[row] * ODD)
+    step, rows, kept = max(1, DRAWN_AT_ONCE // max(1, len(shingles))), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for a in range(0, len(parents), step):  # a few parents at a time: very long texts have many shingles
+        drawn = mix(shingles[None, :] ^ parents[a : a + step, None])
+        row, column = np.nonzero(drawn <= limit)
+        rows.append(row + a)
+        kept.append(drawn[row, column])
+    row = np.concatenate(rows)
+    return row, mix(np.concatenate(kept) + parents[row] * ODD)
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -114,11 +136,11 @@ def shingles_of(rows: DataFrame, needed: DataFrame, ngram: int) -> DataFrame:
     ids = broadcast_if_small(needed, MAX_BROADCAST_IDS)
     kinds = ", ".join(f"{c} long" for c in names)
     both = rows.withColumnRenamed("doc_id", "rep").join(ids, "rep")
-    return both.select("text", "sid", *[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(_again(ngram), f"shingles binary, sid long, {kinds}")
+    return both.select("text", "sid", *[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(tidied(_again(ngram)), f"shingles binary, sid long, {kinds}")
 
 
-def _sets(ngram: int, similarity: float) -> Callable:
-    roots = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * ODD)
+def _sets(ngram: int, similarity: float, runs: int) -> Callable:
+    roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * ODD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +291,7 @@ def _exact(similarity: float) -> Callable:
     return run
 
 
-def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
+def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM, recall: float = RECALL) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, class_id, copy_id, n_copies, n_links``.
 
     ``class_id`` is the least document id of those connected by pairs of similarity
@@ -282,7 +304,7 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     with small_batches(spark):
-        sets = materialize(rows.mapInArrow(_sets(ngram, similarity), SETS), "sets")
+        sets = materialize(rows.mapInArrow(tidied(_sets(ngram, similarity, runs_for(recall))), SETS), "sets")
     some = sets.where("n > 0")
     copies = materialize(some.groupBy("set_key", "sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
 
@@ -296,24 +318,25 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         sets_inside = shingles_of(rows, big.select("sid", "rep").distinct(), ngram)
         inside = big.join(sets_inside, ["sid", "rep"]).select("node", "sid", "rep", "shingles")
         with small_batches(spark):
-            live = materialize(_counted(inside.mapInArrow(_split(similarity), "node long, sid long, rep long").distinct()), f"buckets-{depth}")
+            live = materialize(_counted(inside.mapInArrow(tidied(_split(similarity)), "node long, sid long, rep long").distinct()), f"buckets-{depth}")
         buckets = buckets.unionByName(live if depth == MAX_DEPTH else live.where(F.col("c") <= LIMIT))
 
     known = buckets.join(some.select("sid", F.col("doc_id").alias("rep"), "n", "bitmap"), ["sid", "rep"])
-    near = _in_blocks(known, LIMIT).select("node", "lo", "hi", "sid", "own", "n", "bitmap").mapInArrow(_near(similarity), "src long, dst long")
+    near = _in_blocks(known, LIMIT).select("node", "lo", "hi", "sid", "own", "n", "bitmap").mapInArrow(tidied(_near(similarity)), "src long, dst long")
     clusters = connected_components(near)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("c"))
-    named = clusters.join(sizes, "component").select(F.col("component").alias("node"), F.col("node").alias("sid"), "c").join(copies.select("sid", "rep", "n_copies"), "sid")
+    large = broadcast_if_small(sizes.where(F.col("c") > BLOCK), MAX_BROADCAST_IDS)  # the others are one block, whatever their size
+    named = clusters.join(large, "component", "left").na.fill({"c": 1}).select(F.col("component").alias("node"), F.col("node").alias("sid"), "c").join(copies.select("sid", "rep", "n_copies"), "sid")
     held = shingles_of(rows, materialize(named.select("sid", "rep", "node", "c", "n_copies"), "clusters"), ngram)
-    exact = _in_blocks(held, BLOCK).select("node", "lo", "hi", "sid", "own", "shingles", "n_copies").mapInArrow(_exact(similarity), "sid long, root long, links long")
+    exact = _in_blocks(held, BLOCK).select("node", "lo", "hi", "sid", "own", "shingles", "n_copies").mapInArrow(tidied(_exact(similarity)), "sid long, root long, links long")
     with small_batches(spark):
         exact = materialize(exact, "links")
 
     classes = connected_components(exact.select(F.col("sid").alias("src"), F.col("root").alias("dst")))
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
-    each = copies.join(classes.withColumnRenamed("node", "sid"), "sid", "left").join(links, "sid", "left")
+    each = materialize(copies.join(classes.withColumnRenamed("node", "sid"), "sid", "left").join(links, "sid", "left"), "classes")
     lowest = each.where("component is not null").groupBy("component").agg(F.min("rep").alias("lowest"))
-    each = each.join(lowest, "component", "left").select("set_key", F.col("rep").alias("copy_id"), F.coalesce("lowest", "rep").alias("class_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    each = join_per_key(each, lowest, "component").select("set_key", F.col("rep").alias("copy_id"), F.coalesce("lowest", "rep").alias("class_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     out = sets.select("doc_id", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(each, "set_key", "left")
     one = F.lit(1).cast("long")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", one - 1).alias("n_links"))

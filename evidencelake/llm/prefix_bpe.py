@@ -10,6 +10,7 @@ No merge loop runs over a word.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -21,16 +22,23 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer
 
+from evidencelake.llm.code_points import newer, unknown_to
 from evidencelake.llm.token_files import byte_alphabet
 from evidencelake.llm.wordcache import TwoGenerations
+from evidencelake.llm.workers import tidy
 
-CACHED_WORDS, CACHED_PAIRS, SLICE = 200_000, 1_000_000, 256
+CACHED_WORDS, CACHED_PAIRS, SLICE = 100_000, 300_000, 256
 #: White space in the sense of the tokenizer's normalizer (fixed values); str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The word pattern of this public vocabulary (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Code points that all versions of Unicode normalize and lower alike; a text with others is normalized by the library.
+USUAL = re.compile("[\0-\u036f\u0391-\u03ff\u0400-\u0482\u048a-\u04ff\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf\u2100-\u2bff\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef]*")
+#: The same for words with letters or numbers of a newer Unicode than the tokenizer's.
+WORDS_BUT = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{0}]]+|[\p{{N}}--[{0}]]|[^\s||[[\p{{L}}\p{{N}}]--[{0}]]]+"
 #: The last symbol of a word is another symbol than the same byte inside it; shifted by this much.
 LAST = 0x10000
 
@@ -61,6 +69,12 @@ class PrefixBpe:
         self.matches.make_automaton()
         self.compatible: dict[int, bool] = {}
         self.cache = TwoGenerations(CACHED_WORDS)
+        self.file, self.words_but = tokenizer_file, None
+
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, loaded at the first text whose normalization or words only it can tell."""
+        return Tokenizer.from_file(self.file)
 
     def _symbols(self, name: str) -> str:
         if name.endswith(self.end) and len(name) > len(self.end):
@@ -131,8 +145,15 @@ class PrefixBpe:
             out.append(token)
         return out[::-1]
 
+    def _words(self, chunk: str) -> list[str]:
+        if chunk.isascii() or newer().isdisjoint(chunk):
+            return WORDS.findall(chunk)
+        if self.words_but is None:
+            self.words_but = regex.compile(WORDS_BUT.format(unknown_to(self.tokenizer) or "\0"))
+        return self.words_but.findall(chunk)
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids = [i for w in WORDS.findall(chunk) for i in self.word(w)]
+        ids = [i for w in self._words(chunk) for i in self.word(w)]
         return np.array(ids, "<u4").tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
@@ -141,6 +162,8 @@ class PrefixBpe:
 
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
+            if not USUAL.fullmatch(text):
+                return self.tokenizer.normalizer.normalize_str(text).split(" ")
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         return [c for c in SPACE.split(text) if c] if SEPARATORS.search(text) else text.split()
@@ -189,15 +212,16 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     @F.pandas_udf(kind)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = prefix_bpe(tokenizer_file)
-        for texts in batches:
-            rows: list[tuple] = []
-            for a in range(0, len(texts), SLICE):
-                for ids, decoded in bpe.encode(texts.iloc[a : a + SLICE].tolist()):
-                    if digests_only:
-                        rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
-                    else:
-                        rows.append((len(ids) // 4, ids, decoded))
-            yield pd.DataFrame(rows, columns=names)
+        with tidy():
+            for texts in batches:
+                rows: list[tuple] = []
+                for a in range(0, len(texts), SLICE):
+                    for ids, decoded in bpe.encode(texts.iloc[a : a + SLICE].tolist()):
+                        if digests_only:
+                            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+                        else:
+                            rows.append((len(ids) // 4, ids, decoded))
+                yield pd.DataFrame(rows, columns=names)
 
     udf = encode.asNondeterministic()
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from evidencelake.llm.workers import tidy
+
 FIELDS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_digits n_stops n_bangs n_pipes n_distinct n_top_word n_non_ascii"
 ).split()
@@ -51,7 +53,8 @@ def stats_column(text: Column) -> Column:
 
     @F.pandas_udf(", ".join(f"{f} long" for f in FIELDS))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([text_stats(t) for t in texts], columns=FIELDS, dtype="int64")
+        with tidy():
+            for texts in batches:
+                yield pd.DataFrame([text_stats(t) for t in texts], columns=FIELDS, dtype="int64")
 
     return run.asNondeterministic()(text)

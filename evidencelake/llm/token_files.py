@@ -27,6 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evidencelake.llm.code_points import newer
 from evidencelake.llm.wordcache import TwoGenerations
 from evidencelake.scratch import new_path
 
@@ -51,7 +52,7 @@ class ByteLevelEncoder:
 
     The library's model sees each distinct piece once while it stays cached. Plain prose is cut
     at spaces, line feeds, commas and full stops, which are piece boundaries there; any other
-    text is cut by the pattern; a text with a special token goes to the library whole.
+    text is cut by the pattern; a text with a special token or a character of a newer Unicode goes to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -68,7 +69,7 @@ class ByteLevelEncoder:
 
     def _cut(self, text: str) -> list[str] | None:
         seen = set(text)
-        if not ODD_SPACE.isdisjoint(seen) or any(t in text for t in self.special):
+        if not ODD_SPACE.isdisjoint(seen) or not text.isascii() and not newer().isdisjoint(seen) or any(t in text for t in self.special):
             return None
         ends = [c for c in seen if not c.isalnum()]
         if text[:1] in " \n" or text[-1:] in " \n" or any(c + d in text for c in ends for d in ",.") or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -49,6 +50,31 @@ def test_prefix_bpe_equals_the_library(word_file):
         assert bpe.word(w) == t.encode(w, add_special_tokens=False).ids
 
 
+def odd_text(rng, marks):
+    """Up to 14 characters from all planes, marks and letters that normalize or lower in odd ways among them."""
+    out = []
+    for _ in range(rng.randint(1, 14)):
+        kind = rng.random()
+        if kind < 0.5:
+            out.append(rng.choice("'sStrevmlLdD .,!?\t\n\r\x1c\x1f\x85\xa0İıßſΣσςKÅẞéÉ12²½Ⅷ日한각") if kind < 0.35 else rng.choice(marks))
+        else:
+            c = rng.choice((rng.randrange(0x80, 0x3000), rng.randrange(0xA000, 0xD800), rng.randrange(0xE000, 0x110000), 0x10000 + rng.randrange(0x4000)))
+            out.append(chr(c))
+    return "".join(out)
+
+
+def test_both_encoders_on_all_planes(byte_file, word_file):
+    rng, marks = random.Random(3), [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    texts = [odd_text(rng, marks) for _ in range(20_000)] + ["\u0558\U00024ffd", "1,\U00013ac6,l", "\U00010d54x"]
+    t, bpe = Tokenizer.from_file(word_file), PrefixBpe(word_file)
+    for text, (ids, decoded) in zip(texts, bpe.encode(texts)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert (np.frombuffer(ids, "<u4").tolist(), decoded) == (want, t.decode(want, skip_special_tokens=False)), text
+    t = Tokenizer.from_file(byte_file)
+    for text, ids in zip(texts, ByteLevelEncoder(byte_file).encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_prefix_bpe_emits_every_token_of_the_vocabulary(word_file):
     bpe = PrefixBpe(word_file)
     for name, i in list(Tokenizer.from_file(word_file).get_vocab().items())[::11]:
