@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.functions.text import cosine, jaccard
 from evidencelake.operators.ranking import top_k
+from evidencelake.scratch import broadcast_if_small
+
+TITLE_BLOCK, MAX_LARGE_BANDS = 256, 1_000_000
 
 
 def unread_papers(papers: DataFrame, progress: DataFrame) -> DataFrame:
@@ -43,38 +48,96 @@ def ratio_column(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def title_blocks(title: Column) -> Column:
-    """Blocking keys: all 3-grams of a title, of one up to 9 characters all 2-grams too, and a very short one itself.
-
-    With S the joined length, a ratio of c percent keeps c S / 200 characters in at most (1 - c / 100) S + 1 runs,
-    so from c = 85 on some run has three characters for S over 16, and two for shorter titles: no pair is lost.
+def _counts(titles: list[str], width: int, bins: int) -> np.ndarray:
+    """How often each hashed character n-gram of ``width`` occurs in each title."""
+    out = np.zeros((len(titles), bins), np.int32)
+    for row, t in zip(out, titles):
+        code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        gram = code[: max(0, len(code) - width + 1)]
+        for i in range(1, width):
+            gram = gram * 131 + code[i : len(code) - width + 1 + i]
+        row[:] = np.bincount(gram % bins, minlength=bins)
+    return out
+
+
+#: n-gram width, hashed bins, and by how much one inserted or deleted character changes the counts at most.
+COUNTED = ((1, 64, 1), (2, 256, 3), (3, 512, 5))
+
+
+def _near_in_block(cutoff: float) -> Callable:
+    """All pairs of a block's two sides with a ratio of ``cutoff`` or more; the ratio is computed where no n-gram count rules it out."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            titles = right["title"].tolist()
+            length = np.array([len(t) for t in titles])
+            theirs = [_counts(titles, w, bins) for w, bins, _ in COUNTED]
+            mine = [_counts(left["title"].tolist(), w, bins) for w, bins, _ in COUNTED]
+            for i, (scope, t) in enumerate(zip(left["scope"], left["title"])):
+                edits = (1 - cutoff / 100) * (len(t) + length) + 1e-9
+                at = np.flatnonzero(np.abs(len(t) - length) <= edits)
+                for a, b, (_, _, change) in zip(mine, theirs, COUNTED):
+                    at = at[np.abs(b[at] - a[i]).sum(axis=1) <= change * edits[at]]
+                for j in at:
+                    ratio = indel_ratio(t, titles[j])
+                    if ratio >= cutoff:
+                        out.append((scope, t, titles[j], ratio))
+        return pd.DataFrame(out, columns=["scope", "title1", "title2", "ratio"])
+
+    return run
+
+
+def near_titles(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """``scope, title1, title2, ratio`` of all pairs of titles of one scope with an indel ratio of ``cutoff`` or more, equal ones too.
+
+    Both sides are ``scope, title``, each title once in a scope. A ratio of c percent bounds the longer title's length to
+    (200 - c) / c times the shorter's, so a title meets only those of its own and the two next bands of length. Bands of more
+    than TITLE_BLOCK titles are dealt into blocks, every block of one side meets every block of the other in a task of
+    its own, and only pairs that match leave the task. Within a scope and band the work is that of all pairs, mostly a
+    comparison of n-gram counts: a scope is one user's library or one search. No pair is lost. Null scopes match nothing.
     """
-    t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    grams = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: t.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    short = F.when(F.length(t) <= 9, F.concat(grams(2), F.array(t))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(grams(3), short))
+    step = math.log((200 - cutoff) / cutoff * (1 + 1e-9))
+    n = F.length("title")
+    band = F.when(n == 0, -9).otherwise(F.floor(F.log(n.cast("double")) / step + 1e-9)).cast("int")
+    a = left.where("scope is not null").select("scope", "title", band.alias("band"))
+    b = right.where("scope is not null").select("scope", "title", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    both = a.groupBy("scope", "band").agg(F.count("*").alias("n1"), F.lit(0).alias("n2")).unionByName(b.groupBy("scope", "band").agg(F.lit(0).alias("n1"), F.count("*").alias("n2")))
+    blocks = lambda c: F.ceil(F.sum(c) / TITLE_BLOCK).cast("int").alias(c)
+    large = broadcast_if_small(both.groupBy("scope", "band").agg(blocks("n1"), blocks("n2")).where("n1 > 1 or n2 > 1"), MAX_LARGE_BANDS)
+
+    parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since small tables with much work would be coalesced
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        sized = df.join(large, ["scope", "band"], "left").na.fill({"n1": 1, "n2": 1})
+        mine, rest = F.pmod(F.xxhash64("title"), F.greatest(F.col(own), F.lit(1))), F.explode(F.sequence(F.lit(0), F.greatest(F.col(other), F.lit(1)) - 1))
+        return sized.select(*[F.col(c).alias(c) for c in ("scope", "title", "band")], mine.cast("int").alias(own), rest.alias(other)).repartition(parts, "scope", "band", "n1", "n2").groupBy("scope", "band", "n1", "n2")
+
+    kind = f"scope {dict(left.dtypes)['scope']}, title1 string, title2 string, ratio double"
+    return dealt(a, "n1", "n2").cogroup(dealt(b, "n2", "n1")).applyInPandas(_near_in_block(cutoff), kind)
 
 
 def fuzzy_title_match(jobs: DataFrame, papers: DataFrame, cutoff: float = 85.0) -> DataFrame:
     """C-7: the best paper of the same user for each job: ``job_id, paper_id, title_ratio, match_score``.
 
     Titles need a ratio of ``cutoff``; the score is cut to 0.85 if the authors' ratio is 70 or less or the years are
-    more than one apart, to 0.7 if both. Candidates share the user and a key of ``title_blocks`` and lie in the
-    length band that the cutoff allows; a user's titles are a library, not a corpus. Equal jobs are matched once, and of
-    equal papers the lowest takes part, so repeated (or empty) titles make no square of pairs. ``cutoff``: 85 or more.
+    more than one apart, to 0.7 if both, and must reach ``cutoff`` itself. An author or a year that is unknown on either side
+    agrees with any. Equal jobs are matched once, and of equal papers the lowest takes part, so repeated (or
+    empty) titles make no square of pairs. Null titles count as empty; rows without a user match nothing.
     """
-    all_jobs = jobs.select("job_id", "user_id", F.lower(F.trim("title")).alias("t1"), F.col("author").alias("a1"), F.col("year").alias("y1"))
-    same = ["user_id", "t1", "a1", "y1"]
+    row = lambda df, i: df.select(F.col("user_id").alias("scope"), F.lower(F.coalesce("title", F.lit(""))).alias(f"title{i}"), F.nullif(F.lower("author"), F.lit("")).alias(f"a{i}"), F.col("year").alias(f"y{i}"), "job_id" if i == 1 else "paper_id")
+    all_jobs = row(jobs, 1)
+    same = ["scope", "title1", "a1", "y1"]
     j = all_jobs.groupBy(same).agg(F.min("job_id").alias("job_id"))
-    p = papers.select("paper_id", "user_id", F.lower(F.trim("title")).alias("t2"), F.col("author").alias("a2"), F.col("year").alias("y2")).groupBy("user_id", "t2", "a2", "y2").agg(F.min("paper_id").alias("paper_id"))
-    keyed = lambda df, t: df.withColumn("key", F.explode(title_blocks(F.col(t))))
-    pairs = keyed(j, "t1").join(keyed(p, "t2"), ["user_id", "key"]).where(2 * F.least(F.length("t1"), F.length("t2")) * 100 >= cutoff * (F.length("t1") + F.length("t2")))
-    one = pairs.drop("key").distinct().withColumn("title_ratio", ratio_column(F.col("t1"), F.col("t2"))).where(F.col("title_ratio") >= cutoff)
-    author_ok = F.coalesce(ratio_column(F.lower("a1"), F.lower("a2")) > 70, F.lit(False))
-    year_ok = F.coalesce(F.abs(F.col("y1") - F.col("y2")) <= 1, F.lit(False))
+    p = row(papers, 2).groupBy("scope", "title2", "a2", "y2").agg(F.min("paper_id").alias("paper_id"))
+    near = near_titles(j.select("scope", F.col("title1").alias("title")).distinct(), p.select("scope", F.col("title2").alias("title")).distinct(), cutoff)
+    pairs = near.join(j.drop("job_id"), ["scope", "title1"]).join(p, ["scope", "title2"])
+    unknown = lambda x, y: F.col(x).isNull() | F.col(y).isNull()
+    author_ok = unknown("a1", "a2") | (ratio_column(F.col("a1"), F.col("a2")) > 70)
+    year_ok = unknown("y1", "y2") | (F.abs(F.col("y1") - F.col("y2")) <= 1)
     factor = F.when(author_ok & year_ok, 1.0).when(author_ok | year_ok, 0.85).otherwise(0.7)
-    scored = one.withColumn("match_score", F.col("title_ratio") * factor)
-    best = top_k(scored, same, "match_score", "paper_id", 1).select(*[F.col(c).alias(f"__{c}") for c in same], "paper_id", "title_ratio", "match_score")
+    scored = pairs.withColumn("match_score", F.col("ratio") * factor).where(F.col("match_score") >= cutoff)
+    best = top_k(scored, same, "match_score", "paper_id", 1).select(*[F.col(c).alias(f"__{c}") for c in same], "paper_id", F.col("ratio").alias("title_ratio"), "match_score")
     mine = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same])
     return all_jobs.join(best, mine).select("job_id", "paper_id", "title_ratio", "match_score")
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evidencelake.functions.text import stable_chunk_id
 from evidencelake.operators.ranking import top_k
 from evidencelake.scratch import is_small
 
-SPARSE_TOKEN = r"([a-z0-9_\-]+|[\x{4e00}-\x{9fff}]+)"
+SPARSE_TOKEN = "([a-z0-9_\\-]+|[\u4e00-\u9fff]+)"
 WORD_TOKEN = r"([\p{L}\p{N}_]+)"
 PLAIN_WORD = r"^[a-z]{3,}$"
 MAX_BROADCAST_TERMS = 1_000_000
+#: Questions whose distinct terms are at most this many go to every task of a one-pass search.
+MAX_ONE_PASS_TERMS, SCORES_AT_ONCE = 500_000, 2_000_000
+#: Saturation, length share and average length of the sparse score (fixed values).
+K1, B, AVGDL = 1.2, 0.75, 200.0
 
 
 def chunk_fixed(docs: DataFrame, size: int = 1400, overlap: int = 200) -> DataFrame:
@@ -50,7 +61,7 @@ def _match(query_terms: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
     return asked.groupBy("chunk_id", "n_tokens", "token").agg(F.count("*").alias("tf")).join(hint(query_terms), "token")
 
 
-def sparse_scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, avgdl: float = 200.0) -> DataFrame:
+def sparse_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, avgdl: float = AVGDL) -> DataFrame:
     """F-11: ``query_id, chunk_id, score`` of every question and chunk that share a token; score / (score + 5)."""
     q = terms(queries, "query_id", "question", SPARSE_TOKEN).select("query_id", "token", F.col("tf").alias("q_tf"))
     hits = _match(q, tokens(chunks, "chunk_id", "content", SPARSE_TOKEN))
@@ -67,9 +78,90 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") / F.col("n_tokens") * F.log(F.lit(2.0))).alias("score"))
 
 
-def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int = 18) -> DataFrame:
-    """F-11: the k best chunks of each question."""
-    return top_k(sparse_scores(queries, chunks), ["query_id"], "score", "chunk_id", k)
+class _Index:
+    """The questions' terms as postings: for each term the questions that have it and its weight there."""
+
+    def __init__(self, terms: pd.DataFrame, weight: Callable[[pd.DataFrame], pd.Series]):
+        terms = terms.assign(weight=weight(terms)).sort_values(["token", "query_id"], kind="stable")
+        self.ids, row = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
+        names, begin = np.unique(terms["token"].to_numpy(str), return_index=True)
+        ends = np.append(begin[1:], len(terms))
+        self.spans = {t: (int(x), int(y)) for t, x, y in zip(names, begin, ends)}
+        self.row, self.weight = row, terms["weight"].to_numpy(np.float64)
+
+    def scores(self, words: list[str], factor: Callable[[int, int], float]) -> np.ndarray:
+        """The sum over the terms of one chunk of its factor times each question's weight."""
+        out = np.zeros(len(self.ids))
+        for t, tf in Counter(words).items():
+            if span := self.spans.get(t):
+                out[self.row[slice(*span)]] += factor(tf, len(words)) * self.weight[slice(*span)]
+        return out
+
+
+def _sparse_factor(tf: int, n: int) -> float:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / AVGDL))
+
+
+def _tfidf_factor(tf: int, n: int) -> float:
+    return tf / n
+
+
+#: Tokens, those kept, weight of a question's term, factor of a chunk's term, and the final score of a sum.
+SCORERS = {
+    "sparse": (SPARSE_TOKEN, None, lambda t: (np.log(1 + 1 / (1 + t["token"].str.len() * 0.25)) + 1) * t["q_tf"], _sparse_factor, lambda raw: raw / (raw + 5)),
+    "tfidf": (WORD_TOKEN, PLAIN_WORD, lambda t: pd.Series(math.log(2.0), t.index), _tfidf_factor, lambda raw: raw),
+}
+
+
+def _one_pass(parts: dict[str, tuple], k: int, digits: int) -> Callable:
+    """Chunks to ``branch, query_id, chunk_id, score``: of each branch and question the rows that were among the best k of the task so far."""
+
+    def keep_best(scores: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (question, chunk) worth keeping; ``floor``, the k best of each question so far, is brought up to date."""
+        floor[:] = -np.partition(-np.concatenate((floor, scores.T), axis=1), k - 1, axis=1)[:, :k]
+        return np.nonzero((scores.T >= floor.min(axis=1, keepdims=True)) & (scores.T > 0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = {name: (regex.compile(token), keep and regex.compile(keep), index, factor, final) for name, (token, keep, index, factor, final) in parts.items()}
+        floors = {name: np.zeros((len(part[2].ids), k)) for name, part in parts.items()}
+        for pdf in batches:
+            for name, (token, keep, index, factor, final) in compiled.items():
+                step = max(1, SCORES_AT_ONCE // max(1, len(index.ids)))
+                for a in range(0, len(pdf), step):
+                    ids, found = pdf["chunk_id"].to_numpy()[a : a + step], []
+                    for text in pdf["content"].iloc[a : a + step]:
+                        words = token.findall((text or "").lower())
+                        found.append(index.scores([w for w in words if keep.match(w)] if keep else words, factor))
+                    scores = np.round(final(np.array(found)), digits)
+                    q, c = keep_best(scores, floors[name])
+                    yield pd.DataFrame({"branch": name, "query_id": index.ids[q], "chunk_id": ids[c], "score": scores[c, q]})
+
+    return run
+
+
+def lexical_branches(queries: DataFrame, chunks: DataFrame, k: int = 18, branches: tuple[str, ...] = ("sparse", "tfidf"), digits: int = 9) -> DataFrame:
+    """F-11, F-12: of each branch of SCORERS the k best chunks of each question: ``branch, query_id, chunk_id, score, rank``.
+
+    Scores are rounded to ``digits`` places before they rank, the lower chunk id first on ties. Questions whose
+    terms are few by count go to every task, and one pass over the chunks where they lie scores them for all branches; a task gives
+    little more than k rows for each question. Otherwise terms meet in a join. Null contents and questions have no terms.
+    """
+    wanted, scored = {name: SCORERS[name] for name in branches}, None
+    asked = {name: terms(queries, "query_id", "question", token, keep).select("query_id", "token", F.col("tf").alias("q_tf")) for name, (token, keep, *_) in wanted.items()}
+    kind = f"branch string, query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    if all(is_small(t, MAX_ONE_PASS_TERMS) for t in asked.values()):
+        parts = {name: (token, keep, _Index(asked[name].toPandas(), weight), factor, final) for name, (token, keep, weight, factor, final) in wanted.items()}
+        scored = chunks.select("chunk_id", "content").mapInPandas(_one_pass(parts, k, digits), kind)
+    else:
+        for name in wanted:
+            one = (sparse_scores if name == "sparse" else tfidf_scores)(queries, chunks).select(F.lit(name).alias("branch"), "query_id", "chunk_id", F.round("score", digits).alias("score"))
+            scored = one if scored is None else scored.unionByName(one)
+    return top_k(scored, ["branch", "query_id"], "score", "chunk_id", k)
+
+
+def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int = 18, branch: str = "sparse", digits: int = 9) -> DataFrame:
+    """One branch of ``lexical_branches``: ``query_id, chunk_id, score, rank``."""
+    return lexical_branches(queries, chunks, k, (branch,), digits).drop("branch")
 
 
 def credited(results: DataFrame, relevant: DataFrame, item: str) -> DataFrame:

@@ -109,5 +109,5 @@ def version_timeline(x):
 
 @q("merge_search_results", None, "documents")
 def merge_search_results(d):
-    first = d.select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_id").alias("result_id"), F.when(F.col("doc_id") % 3 == 0, "semantic-scholar").otherwise("arxiv").alias("source"), F.md5("text").alias("arxiv_id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"))
+    first = d.select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc_id").alias("result_id"), F.when(F.col("doc_id") % 3 == 0, "semantic-scholar").otherwise("arxiv").alias("source"), F.md5("text").alias("arxiv_id"), F.substring_index("text", "\n", 1).alias("title"))
     return M.merge_search_results(first)

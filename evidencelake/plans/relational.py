@@ -331,6 +331,6 @@ def source_union(h):
 
 @query("fuzzy_title_match")
 def fuzzy_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents with odd ids against those with even ids."""
-    first = read_table(spark, sf_dir, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.lit(0).alias("user_id"), F.col("source").alias("author"), F.lit(2020).alias("year"))
+    """Whole first lines of documents with odd ids against those with even ids, as one library."""
+    first = read_table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.lit(0).alias("user_id"), F.col("source").alias("author"), F.lit(2020).alias("year"))
     return C.fuzzy_title_match(first.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "job_id"), first.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "paper_id"))

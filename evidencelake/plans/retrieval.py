@@ -8,8 +8,12 @@ from evidencelake.functions import text as T
 from evidencelake.operators import lexical as L, ranking as R, vectors as V
 from evidencelake.plans.registry import query
 from evidencelake.plans.views import frame, spark_sql, with_views
+from evidencelake.scratch import is_small
 from evidencelake.sources.tables import read_table
 
+#: Up to this many questions are broadcast whole (a few MB) to find the chunks that hold them.
+MAX_PASSAGE_QUESTIONS = 10_000
+
 CHUNKS = r"""
 starts AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 200, 1), 1200)) AS s FROM documents WHERE length(text) > 0),
 cut AS (SELECT doc_id, CAST(s AS INT) AS start, trim(substr(text, s + 1, 1400)) AS content FROM starts),
@@ -45,14 +49,12 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sparse_top_k", f"WITH {CHUNKS}, {SPARSE} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sparse QUALIFY rank <= 18")
 def sparse_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = L.sparse_scores(benchmark_questions(spark, sf_dir), document_chunks(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return R.top_k(scored, ["query_id"], "score", "chunk_id", 18).withColumn("score", F.round("score", 6))
+    return L.lexical_top_k(benchmark_questions(spark, sf_dir), document_chunks(spark, sf_dir), 18).withColumn("score", F.round("score", 6))
 
 
 @query("tfidf_top_k", f"WITH {CHUNKS}, {TFIDF} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM tfidf QUALIFY rank <= 10")
 def tfidf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = L.tfidf_scores(benchmark_questions(spark, sf_dir), document_chunks(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return R.top_k(scored, ["query_id"], "score", "chunk_id", 10).withColumn("score", F.round("score", 6))
+    return L.lexical_top_k(benchmark_questions(spark, sf_dir), document_chunks(spark, sf_dir), 10, "tfidf").withColumn("score", F.round("score", 6))
 
 
 FLAGSHIP = f"""WITH {CHUNKS}, {SPARSE}, {TFIDF},
@@ -72,22 +74,27 @@ SELECT query_id, n_relevant, round(recall_5, 6) AS recall_5, round(recall_10, 6)
 def flagship_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, two lexical branches, RRF, and recall against the chunks that hold the question's passage."""
     questions, chunks = benchmark_questions(spark, sf_dir), document_chunks(spark, sf_dir)
-    branches = None
-    for name, scored in (("sparse", L.sparse_scores(questions, chunks)), ("tfidf", L.tfidf_scores(questions, chunks))):
-        top = R.top_k(scored.withColumn("score", F.round("score", 9)), ["query_id"], "score", "chunk_id", 18).select("query_id", "chunk_id", "score", F.lit(name).alias("branch"))
-        branches = top if branches is None else branches.unionByName(top)
-    fused = R.rrf_fuse(branches).withColumn("rrf_score", F.round("rrf_score", 9)).drop("pre_rerank_rank")
+    fused = R.rrf_fuse(L.lexical_branches(questions, chunks, 18)).withColumn("rrf_score", F.round("rrf_score", 9)).drop("pre_rerank_rank")
     results = R.ranked(fused, ["query_id"], "rrf_score", "chunk_id")
     return L.retrieval_metrics(results, passages(questions, chunks)).select("query_id", "n_relevant", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg")])
 
 
 def passages(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, chunk_id`` where the chunk contains the question's text; candidates share its first long word run."""
-    first = F.regexp_extract("question", r"^(\S+ \S+ \S+)", 1)
+    """``query_id, chunk_id`` where the chunk contains the question's text; candidates share its first run of three words.
+
+    While the questions are few by count, a chunk's runs that begin no question are left out before they become rows.
+    """
+    asked = questions.withColumn("key", F.xxhash64(F.regexp_extract("question", r"^(\S+ \S+ \S+)", 1)))
     words = F.split("content", " ")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    marked = chunks.select("chunk_id", "content", F.explode(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.substring_index(r, "\n", -1))))).alias("key"))
-    return marked.join(F.broadcast(questions.withColumn("key", F.xxhash64(first))), "key").where(F.col("content").contains(F.col("question"))).select("query_id", "chunk_id").distinct()
+    glue = lambda a, b: F.concat_ws(" ", a, b)
+    runs = F.zip_with(F.zip_with(words, F.slice(words, 2, F.size(words)), glue), F.slice(words, 3, F.size(words)), glue)
+    keys = F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.substring_index(r, "\n", -1))))
+    small = is_small(asked, MAX_PASSAGE_QUESTIONS)
+    if small:
+        chunks = chunks.crossJoin(F.broadcast(asked.agg(F.collect_set("key").alias("known"))))  # one row
+        keys = F.array_intersect(keys, "known")
+    marked = chunks.select("chunk_id", "content", F.explode(keys).alias("key"))
+    return marked.join(F.broadcast(asked) if small else asked, "key").where(F.col("content").contains(F.col("question"))).select("query_id", "chunk_id").distinct()
 
 
 KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
