@@ -3,7 +3,8 @@
 A spaced seed hashes the words that a fixed mask selects and ignores the rest, so a changed
 word at an ignored place leaves the seed as it is. Seeds of all places of all texts meet
 the seeds of the benchmark items in a hash join; each hit fixes an alignment, and the
-alignment is verified by counting equal words over the whole item.
+alignment is verified by counting equal words over the whole item. A small benchmark goes to the
+texts; of a large one only seeds, ids and places are shuffled, and the hits find texts and items by id.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from evidencelake.scratch import broadcast_if_small, is_small, materialize
 #: words in a row of which the share SHARE is equal, some mask selects only equal ones. The tests run through
 #: all patterns of SPAN to 2 * SPAN - 1 words; longer items consist of such pieces, and one piece has the share.
 MASKS = ((0, 2, 4, 5), (0, 1, 7, 8), (0, 1, 4, 6), (0, 2, 3, 4), (0, 1, 2, 3), (0, 2, 5, 6), (0, 1, 8, 9), (0, 1, 5, 7), (0, 1, 2, 7))
-#: Items of fewer words are searched for verbatim; in texts of fewer words only those are.
+#: Items of fewer words are searched for verbatim.
 SPAN = 9
 #: An item has leaked where at least this share of its words stands in place.
 SHARE = 0.6
-MAX_BROADCAST_SEEDS = 4_000_000
+MAX_BROADCAST_SEEDS, MAX_BROADCAST_WORDS = 1_000_000, 4_000_000
 MAX_BROADCAST_IDS = 2_000_000
 
 
@@ -31,13 +32,18 @@ def word_hashes(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``h``, word hashes) once for each place and mask: adds ``at`` and ``seed``; none for fewer than SPAN words."""
+    """``rows`` (with ``h``, word hashes) once for each place and mask: adds ``at`` and ``seed``; none for fewer words than a mask spans."""
     shortest = 1 + min(mask[-1] for mask in MASKS)
-    places = rows.withColumn("at", F.explode(F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - shortest))))
+    places = rows.withColumn("at", F.explode(F.when(F.size("h") >= shortest, F.sequence(F.lit(0), F.size("h") - shortest))))
     made = [F.when(F.col("at") + mask[-1] < F.size("h"), F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + o) for o in mask])) for m, mask in enumerate(MASKS)]
     return places.withColumn("seed", F.explode(F.array(*made))).where("seed is not null")
 
 
+def all_small(rows: DataFrame, words: str, most_rows: int) -> bool:
+    """Whether ``rows`` are at most ``most_rows``, and the arrays in ``words`` hold at most MAX_BROADCAST_WORDS values (32 MB) together."""
+    return is_small(rows, most_rows) and (rows.agg(F.sum(F.size(words))).first()[0] or 0) <= MAX_BROADCAST_WORDS
+
+
 def short_leaks(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     """Verbatim copies of items of fewer than SPAN words: ``doc_id, item_id, item_words, equal_words, doc_word``; None if there are no such items."""
     n = F.size("h")
@@ -61,17 +67,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> D
     ``equal_words`` is the best alignment's count of item words in place (at least ``share`` of
     the item), ``doc_word`` the document's word where the item begins (may be negative where the
     item's beginning lies before the text). Null and empty texts and items give
-    no rows. Items of fewer than SPAN words count where they stand verbatim, in texts of any length;
-    longer items are not searched in texts of fewer than SPAN words. Repeated document or item rows give one row for each pair of ids; null
-    ids are left out; extra columns are not read; an empty table gives no rows. The benchmark's seeds
-    are broadcast if they are few by count, else both sides are shuffled by seed.
+    no rows. Items of fewer than SPAN words count where they stand verbatim, in texts of any length.
+    Repeated document or item rows give one row for each pair of ids; null
+    ids are left out; extra columns are not read; an empty table gives no rows. The benchmark's seeds and words
+    are broadcast if they are few by count; else seeds are shuffled with ids and places only.
     """
     items = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("h")).distinct()
-    item_seeds = seeds(items).select("seed", "item_id", F.col("at").alias("item_at"), F.col("h").alias("item_h")).distinct()
-    if is_small(item_seeds, MAX_BROADCAST_SEEDS):
-        item_seeds = F.broadcast(item_seeds)
+    long = items.where(F.size("h") >= SPAN)
+    item_seeds = seeds(long).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
+    item_words = long.select("item_id", F.col("h").alias("item_h"))
     texts = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h"))
-    hits = seeds(texts).join(item_seeds, "seed").withColumn("doc_word", F.col("at") - F.col("item_at"))
+    place = (F.col("at") - F.col("item_at")).alias("doc_word")
+    if is_small(item_seeds, MAX_BROADCAST_SEEDS) and all_small(item_words, "item_h", MAX_BROADCAST_SEEDS):
+        hits = seeds(texts).join(F.broadcast(item_seeds), "seed").select("doc_id", "h", "item_id", place).join(F.broadcast(item_words), "item_id")
+    else:
+        found = seeds(texts).select("seed", "doc_id", "at").join(item_seeds, "seed").select("doc_id", "item_id", place).distinct()
+        hits = found.join(texts, "doc_id").join(item_words, "item_id")
     equal = F.aggregate(
         F.sequence(F.lit(0), F.size("item_h") - 1), F.lit(0), lambda n, j: n + F.coalesce(F.when((F.col("doc_word") + j >= 0) & (F.get("h", F.greatest(F.col("doc_word") + j, F.lit(0))) == F.get("item_h", j)), 1), F.lit(0))
     )
@@ -104,10 +115,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
-dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE len(w) >= {SPAN}),
-iw AS (SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= {SPAN}),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+iw AS (SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i),
 hit AS (SELECT doc_id, item_id, item_words, p - q AS doc_word, count(*) AS equal_words FROM dw JOIN iw USING (word) GROUP BY ALL
-  HAVING count(*) >= ceil(item_words * {SHARE}))
+  HAVING count(*) >= CASE WHEN item_words < {SPAN} THEN item_words ELSE ceil(item_words * {SHARE}) END)
 SELECT doc_id, item_id, equal_words, item_words, doc_word FROM hit
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal_words DESC, doc_word) = 1
 """

@@ -87,8 +87,34 @@ def language_profiles(rows: DataFrame, length: int = PROFILE) -> DataFrame:
 
     counted = rows.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("place", place - 1).where(F.col("place") < length).select("lang", "gram", "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return total.withColumn("rank", rank).where(F.col("rank") <= length).select("lang", "gram", (F.col("rank") - 1).alias("place"))
+
+
+def _by_join(docs: DataFrame, profiles: DataFrame, length: int) -> DataFrame:
+    """``predict`` for profiles too large to hold in every task: documents' own profiles meet them by n-gram.
+
+    A language's distance is ``length`` for each n-gram of the document, less what the n-grams in its profile save.
+    """
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = profile(ngrams(text), length)
+                columns = [pa.array([row] * len(own), pa.int64()), pa.array(own.astype(np.int64)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array([len(own)] * len(own), pa.int32())]
+                yield pa.record_batch(columns, names=["__row", "gram", "at", "own"])
+
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "language-rows")
+    own = materialize(rows.select("__row", "text").mapInArrow(tops, "__row long, gram long, at int, own int"), "own-profiles")
+    saved = own.join(profiles, "gram").groupBy("__row", "lang").agg(F.sum(length - F.abs(F.col("place") - F.col("at"))).alias("saved"))
+    two = saved.groupBy("__row").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("saved")).alias("less"), "lang"))), 1, 2).alias("two"))
+    names = profiles.agg(F.min("lang").alias("first"), F.count_distinct("lang").alias("langs"))
+    sized = own.groupBy("__row").agg((F.first("own").cast("long") * length).alias("all")).join(two, "__row", "left").crossJoin(F.broadcast(names))  # one row
+    far = lambda i: F.col("all") + F.coalesce(F.get("two", F.lit(i))["less"], F.lit(0))
+    best, second = far(0), F.when(F.col("langs") > 1, far(1)).otherwise(1)
+    judged = sized.select("__row", F.coalesce(F.get("two", F.lit(0))["lang"], "first").alias("lang_pred"), F.when(second > 0, second / (best + second)).otherwise(0.5).alias("score"))
+    out = rows.drop("lang_pred", "score").join(judged, "__row", "left").drop("__row")
+    return out.withColumns({"lang_pred": F.coalesce("lang_pred", F.lit("und")), "score": F.coalesce("score", F.lit(0.0))})
 
 
 def predict(docs: DataFrame, profiles: DataFrame, length: int = PROFILE) -> DataFrame:
@@ -96,10 +122,10 @@ def predict(docs: DataFrame, profiles: DataFrame, length: int = PROFILE) -> Data
 
     ``und`` and 0 for a null text, one without a letter, or when no language is known. The score is
     the runner-up's share of the two least distances: 0.5 on a tie, towards 1 the clearer.
-    The profiles are ``length`` rows for each language, so they go to the driver and to every task.
+    Profiles of up to MAX_PROFILE_ROWS rows go to the driver and to every task; more of them are joined by n-gram.
     """
     if not is_small(profiles, MAX_PROFILE_ROWS):
-        raise ValueError(f"more than {MAX_PROFILE_ROWS} profile rows: too many languages to hold in every task")
+        return _by_join(docs, profiles, length)
     known = profiles.toPandas()
     langs = sorted(known["lang"].unique())
     grams = np.unique(known["gram"].to_numpy(np.int64)) if len(known) else np.empty(0, np.int64)

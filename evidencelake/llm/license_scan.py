@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidencelake.llm.decontamination import word_hashes
+from evidencelake.llm.decontamination import all_small, word_hashes
 from evidencelake.scratch import is_small
 
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 16
 PER_WINDOW = WINDOW - SHINGLE + 1
 CONTAINMENT = 0.8
-MAX_BROADCAST_BANDS = 4_000_000
+MAX_BROADCAST_BANDS = 1_000_000
 #: License, form of notice and text (fixed values: wording of public license notices).
 TEMPLATES = [
     ("MIT", "short", "Released under the MIT License."),
@@ -69,18 +69,21 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, containment: float = CO
     retrieved window (a template's length either side), ``first_word`` where the first such window
     begins. Null and empty texts, and texts or templates of fewer than 3 words, give no rows. Repeated
     rows give one row for each document id; null ids are left out; extra columns are not read; an
-    empty table gives no rows. Template bands are broadcast if few by count, else shuffled.
+    empty table gives no rows. Template bands and shingles are broadcast if few by count, else shuffled.
     """
-    forms = templates.select("license", "form", word_hashes(F.col("text")).alias("h")).withColumn("t", _shingle_array("h")).drop("h").distinct()
-    bands = windows(forms.withColumn("s", F.col("t")), 1).select("band", "license", "form", F.array_distinct("t").alias("t")).distinct()
-    if is_small(bands, MAX_BROADCAST_BANDS):
-        bands = F.broadcast(bands)
+    forms = templates.select("license", "form", word_hashes(F.col("text")).alias("h")).withColumn("s", _shingle_array("h")).drop("h").distinct()
+    bands = windows(forms, 1).select("band", "license", "form").distinct()
+    held = forms.select("license", "form", F.array_distinct("s").alias("t"))
     texts = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h")).withColumn("s", _shingle_array("h")).drop("h")
-    hits = windows(texts, STRIDE).join(bands, "band")
+    if is_small(bands, MAX_BROADCAST_BANDS) and all_small(held, "t", MAX_BROADCAST_BANDS):
+        hits = windows(texts, STRIDE).join(F.broadcast(bands), "band").drop("band").join(F.broadcast(held), ["license", "form"])
+    else:  # only bands, ids and places are shuffled; the windows that agree find text and template by id
+        found = windows(texts, STRIDE).select("band", "doc_id", "at").join(bands, "band").select("doc_id", "license", "form", "at").distinct()
+        hits = found.join(texts, "doc_id").join(held, ["license", "form"])
     begin = F.greatest(F.col("at") - F.size("t"), F.lit(0))
     around = F.slice("s", begin + 1, 2 * F.size("t") + PER_WINDOW)
-    held = hits.select("doc_id", "license", "form", "at", (F.size(F.array_intersect("t", around)) / F.size("t")).alias("containment"))
-    good = held.where(F.col("containment") >= containment)
+    shares = hits.select("doc_id", "license", "form", "at", (F.size(F.array_intersect("t", around)) / F.size("t")).alias("containment"))
+    good = shares.where(F.col("containment") >= containment)
     return good.groupBy("doc_id", "license", "form").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from evidencelake.scratch import is_small
 
 MAX_BROADCAST_INTERVALS = 200_000
-SALT = 8
+#: Days in a bucket of time, and tasks that a target's captures of one bucket are spread over.
+BUCKET_DAYS, SALT = 30, 8
 #: Of several entries for one target and time, the strongest action holds.
 STRENGTH = {"remove": 0, "allow": 1, "block": 2}
 
@@ -58,27 +59,36 @@ def targets(url: Column) -> Column:
     return F.when(host_of(url) == "", none).otherwise(F.concat(domains, F.when(F.size(steps) > 0, prefixes).otherwise(none)))
 
 
+def bucket(time: Column) -> Column:
+    """The bucket of time of a date or timestamp."""
+    return F.floor(F.unix_date(time.cast("date")) / BUCKET_DAYS)
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Every capture ``page_id, url, fetched_at`` with the entry that decides: ``page_id, action, target, since``.
+    """Every capture ``page_id, url, fetched_at`` with the entry that decides: adds ``action, target, since``.
 
     ``action`` is ``none`` where no entry is active (then ``target`` and ``since`` are null), so
-    for a null or unparsable URL or a null time. Repeated ids are judged as one page if all else is
-    equal, and the most specific of their entries holds if not. Rows with a null id count as one page.
-    Extra columns are not read. Intervals are broadcast if few by count; else captures are
-    salted by id, so that a host with most captures is spread over SALT tasks.
+    for a null or unparsable URL or a null time. Captures of one page at different times, or of different URLs under one id (null
+    ids too), are judged each; rows equal in all three columns are one capture. Extra columns are not read. A capture meets
+    only intervals that touch its own bucket of time, so a target with a long history does not multiply its
+    captures. Intervals are broadcast if few by count; else captures are salted, so that a host with most captures is
+    spread over SALT tasks for each bucket.
     """
-    spans = intervals(entries)
-    keys = captures.select("page_id", "fetched_at", F.explode(targets(F.col("url"))).alias("t")).select("page_id", "fetched_at", "t.*")
+    key = ["page_id", "url", "fetched_at"]
+    last = F.broadcast(captures.agg(F.max("fetched_at").alias("last")))  # one row
+    spans = intervals(entries).crossJoin(last).where("since <= last")
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.least(F.coalesce("until", "last"), "last"))))).drop("last")
+    keys = captures.select(*key, bucket(F.col("fetched_at")).alias("bucket"), F.explode(targets(F.col("url"))).alias("t")).select(*key, "bucket", "t.*")
     active = (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     if is_small(spans, MAX_BROADCAST_INTERVALS):
-        found = keys.join(F.broadcast(spans), "target").where(active)
+        found = keys.join(F.broadcast(spans), ["target", "bucket"]).where(active)
     else:
         salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        found = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["target", "salt"]).where(active)
+        found = keys.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALT)).cast("int")).join(salted, ["target", "bucket", "salt"]).where(active)
     top = F.struct("specificity", "target", "action", "since")
-    every = captures.select("page_id", F.lit(None).cast(found.select(top.alias("top")).schema["top"].dataType).alias("top"))
-    best = found.select("page_id", top.alias("top")).unionByName(every).groupBy("page_id").agg(F.max("top").alias("top"))
-    return best.select("page_id", F.coalesce("top.action", F.lit("none")).alias("action"), F.col("top.target").alias("target"), F.col("top.since").alias("since"))
+    every = captures.select(*key, F.lit(None).cast(found.select(top.alias("top")).schema["top"].dataType).alias("top"))
+    best = found.select(*key, top.alias("top")).unionByName(every).groupBy(key).agg(F.max("top").alias("top"))
+    return best.select(*key, F.coalesce("top.action", F.lit("none")).alias("action"), F.col("top.target").alias("target"), F.col("top.since").alias("since"))
 
 
 def _day(x: str) -> str:
@@ -114,7 +124,7 @@ def _sql_day(x: str) -> str:
 
 
 ORACLE = rf"""
-WITH c AS (SELECT page_id, DATE '2024-01-01' + CAST({_sql_day("url")} 365 AS INT) AS fetched_at,
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST({_sql_day("url")} 365 AS INT) AS fetched_at,
     rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host AS target FROM c WHERE host <> ''),
@@ -126,9 +136,9 @@ e AS (SELECT target, m % 200 AS day, 'block' AS action FROM m WHERE k = 'h' AND
   UNION ALL SELECT target, m % 200 + 100, 'block' FROM m WHERE k = 'd' AND m % 2 = 0 UNION ALL SELECT target, m % 200 + 30, 'allow' FROM m WHERE k = 'f' AND m % 5 = 0),
 s AS (SELECT target, action, DATE '2024-01-01' + CAST(day AS INT) AS since, lead(DATE '2024-01-01' + CAST(day AS INT)) OVER (PARTITION BY target ORDER BY day) AS until
   FROM (SELECT target, day, max_by(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action FROM e GROUP BY ALL)),
-t AS (SELECT page_id, fetched_at, length(target) AS l, target, action, since, contains(target, '/') AS is_path FROM c JOIN s
+t AS (SELECT page_id, url, fetched_at, length(target) AS l, target, action, since, contains(target, '/') AS is_path FROM c JOIN s
   ON (host = target OR (NOT contains(target, '/') AND ends_with(host, '.' || target)) OR (contains(target, '/') AND (host || path = target OR starts_with(host || path, target || '/'))))
   AND action <> 'remove' AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
-b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY is_path DESC, l DESC) = 1)
-SELECT page_id, coalesce(action, 'none') AS action, target, since FROM (SELECT DISTINCT page_id FROM c) LEFT JOIN b USING (page_id)
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY is_path DESC, l DESC) = 1)
+SELECT page_id, url, fetched_at, coalesce(action, 'none') AS action, target, since FROM (SELECT DISTINCT page_id, url, fetched_at FROM c) LEFT JOIN b USING (page_id, url, fetched_at)
 """

@@ -20,15 +20,15 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BREAKS = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|section|article|nav|header|footer|main|aside|blockquote|pre|form|title|head|body|html)|br|hr)\b[^>]*>", re.I)
-TAGS = re.compile(r"<[^>]*>")
+#: A comment, another declaration, or a tag: quoted attribute values may hold ``>``; a quote that is never closed counts as a plain character.
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+|[^>]*)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Elements without visible text; of the first two, not even tags count inside.
+RAW, HIDDEN = ("script", "style"), ("noscript", "template", "svg")
+BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody section article nav header footer main aside blockquote pre form head body html br hr".split())
+LINKED = frozenset("a area link img script iframe source video audio embed form".split())
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-#: Comments, whose tags are no links, and scripts, of which only the opening tag may have one.
-NO_LINKS = re.compile(r"<!--.*?(?:-->|\Z)|(<(script)\b[^>]*>).*?(?:</\2\s*>|\Z)", re.I | re.S)
-LINK = re.compile(r"""<(a|area|link|img|script|iframe|source|video|audio|embed|form)\b[^>]*?\s(href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 OUT = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("n_links", pa.int64()), ("record", pa.binary())])
@@ -123,24 +123,73 @@ def decode(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _end(page: str, name: str, at: int) -> tuple[int, int]:
+    """Where the first closing tag ``name`` after ``at`` begins and ends; the page's end if there is none."""
+    m = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    return m.span() if m else (len(page), len(page))
+
+
+def read_page(page: str, base: str) -> tuple[str, list[dict[str, str]], str | None]:
+    """Visible text, links and title of a page, tag by tag.
+
+    Text: hidden elements and comments out, a line for each block element, entities resolved. Links in order, absolute where
+    they can be joined to ``base``, also those of hidden elements; data, mail and ``javascript:`` links, comments and the code
+    of scripts are left out.
+    """
+    text, links, title, hidden, at = [], [], None, None, 0
+    while m := TOKEN.search(page, at):
+        if not hidden:
+            text.append(page[at : m.start()])
+        at, name = m.end(), (m[2] or "").lower()
+        if not name:
+            text.append(" " if m[0].startswith("<!--") else "")
+            continue
+        if m[1]:
+            if name == hidden:
+                hidden = None
+                text.append(" ")
+            elif not hidden and name in BREAKS:
+                text.append("\n")
+            continue
+        if name in LINKED:
+            links += [{"path": f"{name.upper()}@/{a.lower()}", "url": v} for a, *values in ATTRIBUTE.findall(m[3]) if a.lower() in ("href", "src", "action") for v in values if v][:1]
+        if name in RAW:
+            at = _end(page, name, at)[1]
+            text.append(" ")
+        elif name == "title" and not hidden:
+            begin, (stop, at) = at, _end(page, name, at)
+            title = page[begin:stop] if title is None else title
+            text += ["\n", page[begin:stop], "\n"]
+        elif name in HIDDEN and not hidden and not m[3].rstrip().endswith("/"):
+            hidden = name
+        elif not hidden and name in BREAKS:
+            text.append("\n")
+    if not hidden:
+        text.append(page[at:])
+    plain = LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(text)))).strip()
+    return plain, [x for x in (_absolute(x, base) for x in links) if x], None if title is None else " ".join(html.unescape(title).split())
+
+
+def _absolute(link: dict[str, str], base: str) -> dict[str, str] | None:
+    """A link joined to ``base``; None for one that leads to no other page."""
+    url = html.unescape(link["url"]).strip()
+    if not url or url.lower().startswith(("javascript:", "data:", "mailto:", "#")):
+        return None
+    try:
+        url = urljoin(base, url)
+    except ValueError:
+        pass
+    return {"path": link["path"], "url": url}
+
+
 def page_text(page: str) -> str:
-    """Visible text: hidden elements and comments out, a line for each block element, entities resolved."""
-    text = TAGS.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
+    """The text of ``read_page``."""
+    return read_page(page, "")[0]
 
 
 def page_links(page: str, base: str) -> list[dict[str, str]]:
-    """Links in order, absolute where they can be joined to ``base``, also those of hidden elements; data, mail and ``javascript:`` links, comments and the code of scripts are left out."""
-    found = []
-    for tag, attribute, *values in LINK.findall(NO_LINKS.sub(lambda m: m[1] or " ", page)):
-        link = html.unescape(next((v for v in values if v), "")).strip()
-        if link and not link.lower().startswith(("javascript:", "data:", "mailto:", "#")):
-            try:
-                link = urljoin(base, link)
-            except ValueError:
-                pass
-            found.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": link})
-    return found
+    """The links of ``read_page``."""
+    return read_page(page, base)[1]
 
 
 def record(kind: str, source: dict[str, str], content_type: str, body: bytes) -> tuple[str, str, bytes]:
@@ -168,16 +217,15 @@ def derive(data: bytes | None) -> list[tuple]:
     stated = source.get("warc-payload-digest")
     page = decode(content(payload, http_fields), dict(http_fields).get("content-type", ""))
     target = source.get("warc-target-uri", "")
-    links = page_links(page, target)
-    title = TITLE.search(page)
-    text = page_text(page).encode("utf-8", "replace")
+    text, links, title = read_page(page, target)
+    text = text.encode("utf-8", "replace")
     converted = record("conversion", source, "text/plain; charset=utf-8", text)
     about = {
         "source": all_values(source_fields),
         "http": {"status": status, "headers": all_values(http_fields)},
         "payload_digest": {"stated": stated, "computed": own, "length": len(payload)},
         "conversion": converted[0],
-        "html": {"title": " ".join(html.unescape(TAGS.sub("", title[1])).split()) if title else None, "links": links},
+        "html": {"title": title, "links": links},
     }
     told = json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
     described = record("metadata", source, "application/json", told)
@@ -198,8 +246,8 @@ def build_derivatives(responses: DataFrame, record_col: str = "record", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
                 made = [(i, row) for i, data in enumerate(part.column(0).to_pylist()) for row in derive(data)]
                 columns = [pa.array([row[k] for _, row in made], f.type) for k, f in enumerate(OUT)]
                 ids = [part.column(1).take(pa.array([i for i, _ in made], pa.int64()))] if id_col else []
@@ -211,6 +259,12 @@ def build_derivatives(responses: DataFrame, record_col: str = "record", id_col:
     return responses.select(*columns).mapInArrow(run, kind + kinds)
 
 
+def base32_sha1(data: Column) -> Column:
+    """The form of ``digest`` in DataFrame functions: every five hexadecimal places are four in base 32."""
+    places = [F.lpad(F.conv(F.substring(F.sha1(data), 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.concat(F.lit("sha1:"), F.translate(F.concat(*places), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+
+
 def response_record(page_id: Column, url: Column, page: Column) -> Column:
     """A page as a WARC response record (binary); identifier and date are derived from id and URL."""
     body = F.coalesce(page.cast("binary"), F.lit(b""))
@@ -221,7 +275,7 @@ def response_record(page_id: Column, url: Column, page: Column) -> Column:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.crc32(name), F.lit(365)).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'")
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: "), urn, F.lit("\r\nWARC-Date: "), day, F.lit("\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.sha1(body), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
+        F.lit("\r\nWARC-Payload-Digest: "), base32_sha1(body), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(body) + F.octet_length(http)).cast("string"), F.lit("\r\n\r\n"), http,
     )
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n"))

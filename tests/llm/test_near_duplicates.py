@@ -114,7 +114,7 @@ def test_leaks_down_to_the_share_equal_brute_force(spark):
         for k in range(40):
             out = set(rnd.sample(range(n), rnd.choice((n - -(-6 * n // 10), n - -(-6 * n // 10), 1))))
             changed = [f"other{k}" if i in out else w for i, w in enumerate(item)]
-            cut = rnd.choice((0, 0, 0, 1)) if n - 1 >= D.SPAN else 0
+            cut = rnd.choice((0, 0, 0, 1))
             docs.append((len(docs), " ".join(changed[cut:] if cut else words(rnd.randrange(3), 99) + changed)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     c = duckdb.connect()
@@ -124,6 +124,30 @@ def test_leaks_down_to_the_share_equal_brute_force(spark):
     same(D.find_leaks(df, bench), D.ORACLE, c)
 
 
+def test_shuffled_seeds_find_the_same_in_a_very_long_text(spark, monkeypatch):
+    item = words(25, 5)
+    text = words(20_000, 8)
+    for at, changed in ((3, ()), (9_000, (0, 7, 12)), (19_990, ())):
+        text[at : at + 25] = [f"x{i}" if i in changed else w for i, w in enumerate(item)]
+    df = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(item[:15])), (2, " ".join(item[8:])), (3, "short")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(words(25, 6)))], "item_id long, text string")
+    few = {tuple(r) for r in D.find_leaks(df, bench).collect()}
+    assert few == {(1, 7, 25, 25, 3), (2, 7, 17, 25, -8)}
+    licensed = spark.createDataFrame([(1, " ".join(text[:10_000]) + " " + S.TEMPLATES[2][2] + " " + " ".join(text[10_000:])), (2, None)], "doc_id long, text string")
+    found = {tuple(r) for r in S.scan_licenses(licensed, S.template_table(spark)).collect()}
+    assert ("MIT", "grant") in {r[1:3] for r in found}
+    for module in (D, S):
+        for limit in ("MAX_BROADCAST_SEEDS", "MAX_BROADCAST_BANDS", "MAX_BROADCAST_WORDS"):
+            if hasattr(module, limit):
+                monkeypatch.setattr(module, limit, 0)
+    assert {tuple(r) for r in D.find_leaks(df, bench).collect()} == few
+    assert {tuple(r) for r in S.scan_licenses(licensed, S.template_table(spark)).collect()} == found
+
+
+def test_runs_follow_from_the_recall():
+    assert C.runs_for(C.RECALL) == 20 and C.runs_for(0.99) < C.runs_for(0.999) < C.runs_for(0.9999) and C.runs_for(0.999, 2) < C.runs_for(0.999, 4)
+
+
 def test_short_items_are_found_verbatim(spark, monkeypatch):
     docs = [(1, "before Which one, is it? after " + " ".join(words(20, 1))), (2, "which ONE is it"), (3, "which one was it " + " ".join(words(20, 2))), (4, "is it which one is it which one is it " + " ".join(words(8, 8))), (5, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")

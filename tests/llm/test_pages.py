@@ -8,6 +8,8 @@ import gzip
 import hashlib
 import json
 import zlib
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def day(n):
 def judged(spark, captures, entries):
     c = spark.createDataFrame([(*x, "extra") for x in captures], "page_id long, url string, fetched_at date, target string")
     e = spark.createDataFrame(entries, "target string, action string, listed_at date")
-    return {r.page_id: (r.action, r.target, r.since) for r in U.judge(c, e).collect()}
+    rows = U.judge(c, e).collect()
+    assert sorted(((r.page_id, r.url, r.fetched_at) for r in rows), key=str) == sorted(set(captures), key=str)
+    return {r.page_id: (r.action, r.target, r.since) for r in rows}
 
 
 ENTRIES = [("example.org", "block", day(5)), ("example.org", "remove", day(10)), ("example.org", "block", day(20)), ("a.example.org", "allow", day(7)), ("a.example.org/x/y", "block", day(8)), ("a.example.org/x/y", "allow", day(8)), (None, "block", day(1)), ("example.com", "odd", day(1)), ("org", "allow", None)]
@@ -48,6 +52,18 @@ def test_both_ways_of_the_list_join(spark, monkeypatch):
     assert judged(spark, [], ENTRIES) == {} and set(judged(spark, CAPTURES, []).values()) == {("none", None, None)}
 
 
+def test_every_capture_of_a_page_is_judged(spark, monkeypatch):
+    url, rows = "https://example.org/a", [(1, "https://example.org/a", day(n)) for n in (4, 5, 25)] + [(1, "https://a.example.org/", day(25)), (None, "https://example.org/", day(6)), (None, "https://other.org/", day(6))]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_at date")
+    e = spark.createDataFrame(ENTRIES + [("example.org", "block", dt.date(2020, 1, 1) + dt.timedelta(9 * i)) for i in range(120)], "target string, action string, listed_at date")
+    for most in (U.MAX_BROADCAST_INTERVALS, 0):
+        monkeypatch.setattr(U, "MAX_BROADCAST_INTERVALS", most)
+        got = {(r.page_id, r.url, r.fetched_at): (r.action, r.target, r.since) for r in U.judge(c, e).collect()}
+        assert set(got) == set(rows)
+        assert got[1, url, day(4)] == ("block", "example.org", dt.date(2022, 12, 7)) and got[1, url, day(5)][2] == day(5) and got[1, url, day(25)][2] == day(20)
+        assert got[1, "https://a.example.org/", day(25)][0] == "allow" and got[None, "https://other.org/", day(6)][0] == "none"
+
+
 PAGE = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><p>One <b>two</b>&nbsp;three<p>Four<a class=x href="/up?a=1&amp;b=2">link</a><img src=\'i.png\'><a href="javascript:x()">no</a></body></html>'
 
 
@@ -57,6 +73,63 @@ def test_text_and_links():
     assert W.page_text("<script>never closed") == "" and W.page_text("") == ""
 
 
+class Plain(HTMLParser):
+    """Text, links and title by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.inside, self.skip = [], [], "", [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "svg"):
+            self.skip += 1
+        self.inside.append(tag)
+        wanted = [v for k, v in attrs if k in ("href", "src", "action") and v]
+        if tag in W.LINKED and wanted:
+            self.links.append(wanted[0])
+        self.text.append("\n" if tag in W.BREAKS or tag == "title" else "")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "template", "svg"):
+            self.skip -= 1
+            self.text.append(" ")
+        if tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+        self.text.append("\n" if tag in W.BREAKS or tag == "title" else "")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+        if "title" in self.inside:
+            self.title += data
+
+
+def test_whole_table_equals_a_parser(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    records = W.build_derivatives(pages.select("page_id", W.response_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), id_col="page_id").collect()
+    digests = {(r.page_id, r.warc_type): (r.block_digest, r.content_length, r.n_links) for r in W.op4_warc_derivatives(spark, sf).collect()}
+    bodies = {(r.page_id, r.warc_type): W.split_block(bytes(r.record))[1][: r.content_length] for r in records}
+    assert len(digests) == len(bodies) == 2 * pages.count() > 50
+    for row in pages.collect():
+        plain = Plain()
+        plain.feed(row.html)
+        words = lambda s: [x for x in (" ".join(line.split()) for line in s.split("\n")) if x]
+        text = bodies[row.page_id, "conversion"]
+        assert words(text.decode()) == words("".join(plain.text)), row.page_id
+        told = json.loads(bodies[row.page_id, "metadata"])
+        assert told["html"]["title"] == " ".join(plain.title.split()) or not plain.title
+        assert [x["url"] for x in told["html"]["links"]] == [urljoin(row.url, x) for x in plain.links if not x.startswith(("#", "javascript:", "data:", "mailto:"))]
+        assert digests[row.page_id, "conversion"] == (W.digest(text), len(text), 0) and digests[row.page_id, "metadata"][2] == len(told["html"]["links"])
+
+
+def test_tags_with_quotes_and_long_pages():
+    assert W.read_page('<p title="a>b">x</p><p title=it\'s>y</p><a href="u>v" class=c>z</a> 1 < 2 <TITLE>T &lt;</title >', "http://h/") == ("x\ny\nz 1 < 2\nT <", [{"path": "A@/href", "url": "http://h/u>v"}], "T <")
+    text, links, _ = W.read_page('<p>word <a href="/x">y</a>' * 100_000 + '<a href="open>t' * 1000, "http://h/")
+    assert len(links) >= 100_000 and text.count("word y") == 100_000
+
+
 def test_derivatives_refer_to_their_source(spark):
     df = spark.createDataFrame([(1, "http://h.org/d/e", PAGE), (2, None, None), (3, "http://h.org/", "")], "page_id long, url string, html string")
     source = df.select("page_id", W.response_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), F.lit("x").alias("warc_type"))
@@ -75,7 +148,7 @@ def test_derivatives_refer_to_their_source(spark):
         if r.warc_type == "metadata":
             told = json.loads(body)
             assert told["source"] == own and told["http"]["headers"]["content-type"] == "text/html; charset=utf-8"
-            assert base64.b32decode(told["payload_digest"]["computed"][5:]).hex() == own["warc-payload-digest"][5:]
+            assert told["payload_digest"]["computed"] == told["payload_digest"]["stated"] == own["warc-payload-digest"]
             assert told["conversion"] == next(x.record_id for x in out if x.page_id == r.page_id and x.warc_type == "conversion")
     assert next(bytes(r.record) for r in out if r.page_id == 1 and r.warc_type == "conversion").endswith(b"A & B\nOne two three\nFourlinkno\r\n\r\n")
 

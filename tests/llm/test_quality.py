@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,18 @@ def test_classifier_on_odd_rows(spark):
     one = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
     assert R.score_quality(docs, one).count() == 4 and R.keep_good(docs, one).columns == docs.columns
     assert R.score_quality(docs.limit(0), none).count() == 0
+
+
+def test_scores_of_the_whole_table_equal_the_rules_read_one_by_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = R.fit_from(R.document_features(docs), labels)
+    assert model.rules
+    got = {r.doc_id: r for r in R.op5_rule_ensemble(spark, sf).collect()}
+    for row in docs.collect():
+        names = {"greatest": max, "ln": math.log, **dict(zip(FIELDS, text_stats(row.text)))}
+        f = {n: float(eval(e, names)) for n, e in R.FEATURES.items()}
+        fired = sum(w for rule, w in model.rules if all(f[n] <= v if op == "<=" else f[n] > v for n, op, v in rule))
+        score = 1 / (1 + math.exp(-model.intercept - fired))
+        assert abs(got[row.doc_id].score - score) < 1e-9 and got[row.doc_id].predicted == (got[row.doc_id].score >= 0.5)
+        assert got[row.doc_id].held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
