@@ -12,13 +12,21 @@ from evidencelake.llm.rule_ensemble import keep_good as keep_by_score
 from evidencelake.scratch import new_path
 
 
+def whole_texts(spark: SparkSession) -> None:
+    """Arrow batches of at most 1024 rows from here on, since rows hold whole texts: Python workers and the buffers that feed them stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(1024, int(spark.conf.get(key)))))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs."""
+    whole_texts(spark)
     return keep_by_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on what is left, predicts good."""
+    whole_texts(spark)
     return keep_by_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -36,7 +44,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and decoded text of every document left."""
     import public_tokenizers
 
-    out = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True)
+    whole_texts(spark)
+    out = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True, keep=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

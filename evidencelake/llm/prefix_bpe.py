@@ -198,10 +198,11 @@ def prefix_bpe(tokenizer_file: str) -> PrefixBpe:
     return _encoders[tokenizer_file]
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", digests_only: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", digests_only: bool = False, keep: bool = True) -> DataFrame:
     """``docs`` with ``token_ids`` (binary, little-endian unsigned 32-bit), ``decoded``, or their digests, added.
 
-    ``digests_only`` gives ``n_tokens, ids_sha256, decoded_sha256`` instead of ids and text. One row
+    ``digests_only`` gives ``n_tokens, ids_sha256, decoded_sha256`` instead of ids and text. ``keep``: workers keep the
+    encoder and its cache for their next task, else they free both after each, for jobs whose other stages need the memory. One row
     in, one row out, no shuffle; a null text counts as empty (no ids, empty decoded text); columns of
     ``docs`` with the same names are replaced; repeated rows stay.
     """
@@ -222,6 +223,9 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
                         else:
                             rows.append((len(ids) // 4, ids, decoded))
                 yield pd.DataFrame(rows, columns=names)
+            del bpe
+            if not keep:
+                _encoders.clear()
 
     udf = encode.asNondeterministic()
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
