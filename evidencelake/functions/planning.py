@@ -153,3 +153,75 @@ def contextual_text(title: Column, section: Column, page: Column, content: Colum
     """F-18: a chunk with its title, section and page in brackets in front, cut to ``most`` characters; missing parts are left out."""
     part = lambda n, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"[{n}: "), c.cast("string"), F.lit("]")))
     return F.substring(F.concat_ws(" ", part("Title", title), part("Section", section), part("Page", page), content), 1, most)
+
+
+#: Index tiers of each query family in order of priority: tier, content types, section hint, factor of k (fixed values).
+ROUTES = {
+    "fact": [("local_evidence", [], None, 1.0), ("structural", [], None, 1.0)],
+    "compare": [("structural", [], None, 1.5), ("local_evidence", [], None, 1.0)],
+    "numeric": [("local_evidence", ["table", "text"], "Results", 1.0), ("structural", [], None, 1.0)],
+    "table": [("local_evidence", ["table"], None, 1.0), ("local_evidence", ["text"], None, 1.0)],
+    "figure": [("local_evidence", ["image"], None, 1.0), ("local_evidence", ["text"], None, 1.0)],
+    "survey": [("summary", [], None, 2.0), ("local_evidence", [], None, 1.0)],
+    "evolution": [("summary", [], None, 2.0), ("structural", [], None, 1.0), ("local_evidence", [], None, 1.0)],
+    "limitation": [("local_evidence", [], "Discussion", 1.0), ("structural", [], None, 1.0)],
+    "critique": [("local_evidence", [], None, 1.0), ("structural", [], None, 1.0)],
+}
+#: Families whose answers also take citation hints (fixed values).
+HINTED = ("fact", "compare", "survey", "evolution", "limitation")
+
+
+def route_index(queries: DataFrame, force: str | None = None) -> DataFrame:
+    """F-8: ``query_id, family, index_type, priority, content_types, section_hint, k_factor, citation_hints``: one row for each index to ask.
+
+    Unknown and null families ask the local evidence only; ``force`` names the one index to ask instead, without hints.
+    """
+
+    def row(i: int, tier: str, types: list[str], section: str | None, factor: float) -> Column:
+        kinds = F.array(*[F.lit(t) for t in types]).cast("array<string>")
+        return F.struct(F.lit(tier).alias("index_type"), F.lit(i).alias("priority"), kinds.alias("content_types"), F.lit(section).cast("string").alias("section_hint"), F.lit(factor).alias("k_factor"))
+
+    table = lambda routes: F.array(*[row(i + 1, *r) for i, r in enumerate(routes)])
+    default = table([(force or "local_evidence", [], None, 1.0)])
+    known = default if force else F.coalesce(F.create_map(*[x for f, r in ROUTES.items() for x in (F.lit(f), table(r))])[F.col("family")], default)
+    hints = F.lit(False) if force else F.coalesce(F.col("family").isin(*HINTED), F.lit(False))
+    return queries.select("query_id", "family", F.explode(known).alias("r"), hints.alias("citation_hints")).select("query_id", "family", "r.*", "citation_hints")
+
+
+#: Task family, execution mode, depth, model policy, kernel and review of each query family (fixed values).
+TASKS = {
+    "fact": ("single_paper_fact", "local_evidence", "shallow", "flash", "local_kernel", "citation_first"),
+    "numeric": ("single_paper_fact", "local_evidence", "shallow", "flash", "local_kernel", "citation_first"),
+    "method": ("single_paper_method", "local_evidence", "medium", "flash", "local_kernel", "citation_first"),
+    "table": ("single_paper_table_figure", "local_evidence", "medium", "flash", "local_kernel", "citation_first"),
+    "figure": ("single_paper_table_figure", "local_evidence", "medium", "flash", "local_kernel", "citation_first"),
+    "compare": ("compare", "local_compare", "medium", "pro", "dual_kernel", "matrix_first"),
+    "cross_paper": ("cross_paper", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+    "survey": ("survey", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+    "related_work": ("related_work", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+    "method_evolution": ("cross_paper", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+    "conflicting_evidence": ("conflicting_evidence", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+    "hard": ("hard", "global_review", "deep", "pro", "global_kernel", "storm_lite"),
+}
+#: Families whose answers are checked for truth whatever their execution mode (fixed values).
+CHECKED = ("fact", "method", "numeric", "conflicting_evidence", "hard")
+VERIFIER = "rarr_cove_scifact_lite"
+
+
+def route_task(queries: DataFrame) -> DataFrame:
+    """F-38: how the questions ``query_id, family[, claim_repair]`` are to be worked on: task family, mode, depth, policies and checks.
+
+    Families that the table lacks, and null ones, go as facts. A claim repair keeps the task family and fixes all else.
+    """
+    names = ("task_family", "execution_mode", "depth", "model_policy", "kernel_scope", "review_strategy")
+    row = lambda values: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values)])
+    family = F.when(F.col("family").isin(*TASKS), F.col("family")).otherwise("fact")
+    repair = F.coalesce(F.col("claim_repair"), F.lit(False)) if "claim_repair" in queries.columns else F.lit(False)
+    r = queries.select("query_id", family.alias("family"), F.create_map(*[x for f, v in TASKS.items() for x in (F.lit(f), row(v))])[family].alias("t"), repair.alias("repair"))
+    fixed = {"execution_mode": "truthfulness_repair", "depth": "focused", "model_policy": "flash", "kernel_scope": "truthfulness_kernel", "review_strategy": "repair_loop"}
+    columns = [F.when(F.col("repair"), fixed[n]).otherwise(F.col(f"t.{n}")).alias(n) if n in fixed else F.col(f"t.{n}").alias(n) for n in names]
+    out = r.select("query_id", "family", *columns, "repair")
+    wide = F.col("execution_mode") == "global_review"
+    policy = F.when(F.col("repair"), "focused_claim_repair").when(F.col("depth").isin("medium", "deep"), "adaptive_depth").otherwise("fixed_depth")
+    checked = F.col("repair") | wide | (F.col("execution_mode") == "local_compare") | F.col("family").isin(*CHECKED)
+    return out.withColumns({"routing_policy": policy, "truthfulness_required": checked, "global_synthesis": wide, "verifier": F.lit(VERIFIER)}).drop("repair")

@@ -9,19 +9,21 @@ from pyspark.sql import Column, functions as F
 CITATION = r"\[[^\[\],]+,\s*[^\[\]]+\]"
 NUMBER = r"\d+(?:\.\d+)?%?"
 
-#: Families of the router in order: pattern on the lower-case question, family (fixed values).
+#: Families of the router in order: patterns on the lower-case question that must all be found, family (fixed values).
+TABLE_FIGURE = r"\b(table|tab\.|rows?|columns?|figure|fig\.|caption)\b"
+SURVEY = r"\b(survey|literature review|related work)\b"
 FAMILY_RULES = [
-    (r"\b(conflict|contradict|inconsistent|disagree)\b|争议|矛盾|冲突", "conflicting_evidence"),
-    (r"related work", "related_work"),
-    (r"\b(survey|literature review)\b|综述|研究现状", "survey"),
-    (r"\b(evolution|timeline|history)\b|发展脉络|演进", "method_evolution"),
-    (r"\b(hard|open problem|why is .* difficult)\b|挑战|难点", "hard"),
-    (r"\bfigure|\bfig\.", "figure"),
-    (r"\btable|\btab\.", "table"),
-    (r"\b(compare|versus|vs\.?|difference|better than|worse than)\b", "compare"),
-    (r"\b(across papers|cross paper|cross-paper)\b", "cross_paper"),
-    (r"\b(accuracy|f1|bleu|rouge|recall@|precision@|latency|p-value|percent|%)\b", "numeric"),
-    (r"\b(method|approach|architecture|algorithm|pipeline)\b", "method"),
+    ([r"\b(conflict|contradict|inconsistent|disagree)\b|争议|矛盾|冲突"], "conflicting_evidence"),
+    ([SURVEY + "|综述|研究现状", r"related work"], "related_work"),
+    ([SURVEY + "|综述|研究现状"], "survey"),
+    ([r"\b(evolution|timeline|history)\b|发展脉络|演进"], "method_evolution"),
+    ([r"\b(hard|open problem|why is .* difficult)\b|挑战|难点"], "hard"),
+    ([TABLE_FIGURE, r"figure|fig\."], "figure"),
+    ([TABLE_FIGURE, r"table|tab\."], "table"),
+    ([r"\b(compare|versus|vs\.?|difference|better than|worse than)\b"], "compare"),
+    ([r"\b(across papers|cross paper|cross-paper)\b"], "cross_paper"),
+    ([r"\b(accuracy|f1|bleu|rouge|recall@|precision@|latency|p-value|percent|%)\b"], "numeric"),
+    ([r"\b(method|approach|architecture|algorithm|pipeline)\b"], "method"),
 ]
 #: Families of the planner in order: substrings, family (fixed values).
 PLANNER_RULES = [
@@ -75,7 +77,7 @@ def has_any(col: Column, words: list[str]) -> Column:
 def infer_query_family(q: Column) -> Column:
     """F-1: family of a question."""
     low = F.lower(F.coalesce(q, F.lit("")))
-    return first_rule([(low.rlike(p), f) for p, f in FAMILY_RULES], "fact")
+    return first_rule([(reduce(lambda a, b: a & b, [low.rlike(p) for p in ps]), f) for ps, f in FAMILY_RULES], "fact")
 
 
 def planner_family(q: Column) -> Column:
@@ -168,13 +170,22 @@ def unsupported_rate(text: Column) -> Column:
     return F.when(F.size(s) > 0, F.size(F.filter(s, lambda x: ~x.rlike(CITATION))) / F.size(s)).otherwise(0.0)
 
 
+#: What names metrics, datasets (acronyms) and methods in a text, and refers to figures and tables (fixed values).
+METRIC_NAME = r"(?i)\b(?:accuracy|f1|precision|recall|bleu|rouge|auc|ndcg|mrr|map|perplexity|score|ap@\d+|hit@\d+|recall@\d+)\b"
+DATASET_NAME = r"\b[A-Z]{2,}(?:-[0-9A-Z]+)?(?:\d{2,4})?\b"
+METHOD_NAME = r"\b[A-Z][A-Za-z0-9\-]{2,}(?:\s[A-Z][A-Za-z0-9\-]{2,})?\b"
+FIGURE_NUMBER, TABLE_NUMBER = r"(?i)\b(?:figure|fig\.?)\s*(\d+)\b", r"(?i)\btable\s*(\d+)\b"
+
+
 def hints(text: Column) -> Column:
-    """F-17: up to three metric and dataset names and two figure and table references."""
+    """F-17: the first three metrics, datasets and methods that a text names, and its first two figure and table references."""
     t = F.coalesce(text, F.lit(""))
-    get = lambda p, n: F.slice(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(f"({p})"), 1), lambda x: F.lower(x))), 1, n)
+    found = lambda p: F.regexp_extract_all(t, F.lit(f"({p})"), 1)
+    first = lambda names, least: F.slice(F.array_distinct(F.filter(names, lambda x: F.length(x) >= least)), 1, 3)
+    numbers = lambda p, label: F.transform(F.slice(F.regexp_extract_all(t, F.lit(p), 1), 1, 2), lambda x: F.concat(F.lit(label), x))
     return F.struct(
-        get(r"(?i)\b(?:accuracy|f1|bleu|rouge|auc|recall|precision|map|ndcg)\b", 3).alias("metrics"), get(r"(?i)\bfig(?:ure)?\.?\s*\d+", 2).alias("figures"), get(r"(?i)\btable\s*\d+", 2).alias("tables"),
-        get(r"\b[A-Z][A-Za-z]+#\d+\b", 3).alias("datasets"),
+        first(F.transform(found(METRIC_NAME), lambda x: F.lower(x)), 1).alias("metrics"), first(found(DATASET_NAME), 3).alias("datasets"), first(found(METHOD_NAME), 4).alias("methods"),
+        numbers(FIGURE_NUMBER, "Fig.").alias("figures"), numbers(TABLE_NUMBER, "Table ").alias("tables"),
     )
 
 

@@ -193,3 +193,36 @@ def chunk_by_section(items: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.length("whole") - F.col("p.overlap") - 1, F.lit(0)), step)
     each = sized.select("paper_id", "section", "whole", "p", F.posexplode(starts).alias("chunk_no", "start"))
     return each.select("paper_id", "section", "chunk_no", "start", F.trim(F.col("whole").substr(F.col("start") + 1, F.col("p.size"))).alias("content")).where("content <> ''")
+
+
+def section_index(chunks: DataFrame) -> DataFrame:
+    """A-7: a row for each section of a paper: ``section_id, paper_id, section, title, summary, key_terms, chunk_ids, table_ids, figure_ids``.
+
+    The summary joins the heads (200 characters) of the first five anchors, or of the first three texts where no chunk has an
+    anchor, and is cut at 1200; the lists are those of an index card: 20 terms, 50 chunks, 10 tables, 10 figures. ``chunks``: ``paper_id,
+    chunk_id, section, pos, content_type, anchor, content``; a null section is ``unknown``.
+    """
+    section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("unknown"))
+    when = lambda c, v: F.when(c, v)
+    in_order = lambda v: F.transform(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("pos", "chunk_id", v.alias("v"))))), lambda x: x.v)
+    anchor, text = when(F.col("anchor") != "", F.substring("anchor", 1, 200)), F.substring(F.coalesce("content", F.lit("")), 1, 200)
+    cid = F.col("chunk_id")
+    one = chunks.withColumn("section", section).groupBy("paper_id", "section").agg(
+        in_order(anchor).alias("anchors"), in_order(text).alias("texts"), in_order(cid).alias("ids"),
+        in_order(when(F.col("content_type") == "table", cid)).alias("tables"), in_order(when(F.col("content_type").isin("figure", "caption"), cid)).alias("figures"),
+    )
+    summary = F.when(F.size("anchors") > 0, F.array_join(F.slice("anchors", 1, 5), " ")).otherwise(F.array_join(F.slice("texts", 1, 3), " "))
+    words = F.translate("section", "_/", "  ")
+    terms = F.slice(F.filter(F.split(words, r"\s+"), lambda w: F.length(w) > 2), 1, 20)
+    return one.select(
+        F.concat(F.col("paper_id").cast("string"), F.lit("::"), "section").alias("section_id"), "paper_id", "section", F.initcap(F.translate("section", "_", " ")).alias("title"), F.substring(summary, 1, 1200).alias("summary"),
+        terms.alias("key_terms"), F.slice("ids", 1, 50).alias("chunk_ids"), F.slice("tables", 1, 10).alias("table_ids"), F.slice("figures", 1, 10).alias("figure_ids"),
+    )
+
+
+def write_summary_index(papers: DataFrame, chunks: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """A-7: the paper summaries ``papers`` and the section index of ``chunks`` as Parquet below ``path``, read back: what a summary search loads."""
+    papers.write.mode("overwrite").parquet(f"{path}/papers")
+    section_index(chunks).write.mode("overwrite").parquet(f"{path}/sections")
+    spark = chunks.sparkSession
+    return spark.read.parquet(f"{path}/papers"), spark.read.parquet(f"{path}/sections")

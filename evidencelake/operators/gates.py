@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidencelake.operators.usage import long_metrics
+from evidencelake.operators.usage import long_metrics, percentile_nearest
 
 #: Release limits: metric, at least or at most, value (fixed values).
 THRESHOLDS = [("recall_at_5", "min", 0.75), ("citation_coverage", "min", 0.85), ("unsupported_rate", "max", 0.1), ("consistency", "min", 0.65), ("latency_p95", "max", 8.0)]
@@ -33,9 +33,31 @@ def comparative_verdict(delta_coverage: Column, delta_unsupported: Column, delta
     return F.when(mismatched > 0, "fail").when((delta_coverage < -0.02) | (delta_unsupported > 0.02), "fail").when(delta_latency > 1000, "experiment_only").when((delta_coverage < 0) | (delta_unsupported > 0), "warn").otherwise("pass")
 
 
-def failure_bucket(paper_hit: Column, section_hit: Column, exact_hit: Column) -> Column:
-    """H-19: where retrieval failed first."""
-    return F.when(~paper_hit, "paper_miss").when(~section_hit, "section_miss").when(~exact_hit, "chunk_miss").otherwise("hit")
+def failure_bucket(paper_hit: Column, section_hit: Column, oracle_hit: Column, exact_hit: Column) -> Column:
+    """H-19: where a recall run failed first."""
+    return F.when(~paper_hit, "paper_miss").when(~section_hit, "section_miss").when(~oracle_hit, "candidate_pool_miss").when(~exact_hit, "exact_miss").otherwise("pass")
+
+
+def retrieval_failure(n_results: Column, expects: Column, paper_hit: Column, section_hit: Column, chunk_hit: Column) -> Column:
+    """H-19: where retrieval failed first; empty where it did not. Hits are true where nothing of the kind was expected; ``expects``: anything was."""
+    return F.when(n_results == 0, "retrieval_miss").when(~expects, "evaluation_mapping_error").when(~paper_hit, "retrieval_miss").when(~section_hit, "paper_hit_but_section_miss").when(~chunk_hit, "section_hit_but_chunk_miss").otherwise("")
+
+
+#: Measures of an answered query in the order they are looked at: name, fails at most (le), below (lt) or above (gt), limit, bucket (fixed values).
+RECORD_LIMITS = [
+    ("paper_hit_rate", "le", 0.0, "paper_miss"), ("section_hit_rate", "le", 0.0, "section_miss"), ("oracle_recall_100", "lt", 0.6, "candidate_pool_miss"), ("rerank_loss", "gt", 0.05, "reranker_miss"),
+    ("consistency", "lt", 0.55, "answer_verification_miss"), ("content_type_match", "lt", 0.5, "content_type_miss"), ("numeric_hit_20", "lt", 0.6, "numeric_miss"), ("cross_paper_coverage", "lt", 0.7, "graph_miss"), ("citation_coverage", "lt", 0.75, "citation_miss"),
+]
+
+
+def record_failure(columns: list[str]) -> Column:
+    """H-19: the first limit that a record breaks; measures that it lacks or that are null count as 0."""
+    out = None
+    for name, kind, limit, bucket in RECORD_LIMITS:
+        v = F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in columns else F.lit(0.0)
+        broken = {"le": v <= limit, "lt": v < limit, "gt": v > limit}[kind]
+        out = F.when(broken, bucket) if out is None else out.when(broken, bucket)
+    return out.otherwise("candidate_pool_miss")
 
 
 def hit_eval(results: DataFrame, gold: DataFrame, k: int = 10, deep: int = 100) -> DataFrame:
@@ -114,5 +136,20 @@ def missing_hooks(runs: DataFrame, hooks: tuple[str, ...] = HOOKS) -> DataFrame:
     return runs.select("case_id", F.array_compact(F.array(*[F.when(F.col(h).isNull(), h) for h in hooks])).alias("missing"))
 
 
-#: Limits of the older benchmark (fixed values).
-BENCHMARK_LIMITS = [("citation_coverage", "min", 0.85), ("unsupported_rate", "max", 0.1), ("consistency", "min", 0.65), ("jump_rate", "min", 0.9), ("latency_p95", "max", 60.0)]
+def benchmark_summary(results: DataFrame) -> DataFrame:
+    """H-28: one row for each run of ``run_id, status, synthetic, citation_coverage, unsupported_claim, consistency, jump_valid, latency_s, hard_error``, and its gate.
+
+    Means to four places and the nearest-rank 95th percentile. PIPELINE_ERROR for jumps below 0.9, latency of 60 s or more or a hard
+    error; QUALITY_BLOCKED for coverage below 0.85, an unsupported rate above 0.1 or consistency below 0.65; synthetic runs are smoke only.
+    """
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
+    one = results.groupBy("run_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), mean("citation_coverage").alias("citation_coverage"), mean("unsupported_claim").alias("unsupported_claim_rate"), mean("consistency").alias("consistency"),
+        mean("jump_valid").alias("jump_validity"), F.sum(F.coalesce("hard_error", F.lit(0))).alias("hard_errors"), F.coalesce(F.bool_or("synthetic"), F.lit(False)).alias("synthetic"),
+    )
+    both = one.join(percentile_nearest(results, ["run_id"], "latency_s").withColumnRenamed("p_value", "p95_latency_s"), "run_id", "left").withColumn("p95_latency_s", F.round(F.coalesce("p95_latency_s", F.lit(0.0)), 4))
+    flows = (F.col("jump_validity") >= 0.9) & (F.col("p95_latency_s") < 60) & (F.col("hard_errors") == 0)
+    good = (F.col("citation_coverage") >= 0.85) & (F.col("unsupported_claim_rate") <= 0.1) & (F.col("consistency") >= 0.65)
+    state = F.when(F.col("synthetic"), "SMOKE").when(~flows, "PIPELINE_ERROR").when(~good, "QUALITY_BLOCKED").otherwise("QUALITY_PASS")
+    gate_state = F.when(F.col("synthetic"), "SMOKE_ONLY").when(flows & good, "PASS").otherwise("BLOCKED")
+    return both.withColumns({"eval_status": state, "gate_status": gate_state})

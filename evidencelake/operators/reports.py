@@ -117,19 +117,35 @@ def paper_summary(chunks: DataFrame, n: int = 2, most: int = 300) -> DataFrame:
     return captions.join(wide, "paper_id", "left")
 
 
-#: Kinds of entity and their patterns (fixed values).
-ONTOLOGY = {"method": r"\b(?:small|red|blue|large|green|hot|cold) \w+\b", "metric": r"(?i)\b(?:accuracy|recall|precision|f1|bleu|rouge)\b", "baseline": r"\b[A-Z]{4,}(?= baseline)", "dataset": r"\b[A-Z][a-z]+#\d+\b"}
+#: Kinds of entity and what names them (fixed values).
+ONTOLOGY = {
+    "method": r"\b(method\s+[A-Za-z0-9\-]+|[A-Z][A-Za-z0-9\-]{1,20})\b",
+    "dataset": r"(?i)\b(CIFAR-10|ImageNet|SQuAD|COCO|MNIST|WikiText)\b",
+    "metric": r"(?i)\b(accuracy|f1|bleu|rouge|auc|precision|recall)\b",
+    "baseline": r"(?i)\b(baseline\s+[A-Za-z0-9\-]+|bert|resnet|svm)\b",
+    "task": r"(?i)\b(classification|detection|qa|question answering|summarization|translation)\b",
+}
+LIMITATION_MARK, LIMITATION = "limitation|failure", "reported limitation"
 
 
 def ontology_slice(texts: DataFrame, patterns: dict[str, str] = ONTOLOGY) -> tuple[DataFrame, DataFrame]:
-    """G-10: entities ``id, kind, name`` (distinct by lower case), and relations of each text's first three methods with its first two others."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(f"({p})"), 1), lambda x: F.lower(x))).alias("names")) for k, p in patterns.items()])
-    each = texts.select("chunk_id", F.explode(found).alias("f")).select("chunk_id", "f.kind", F.posexplode("f.names").alias("n", "name"))
-    entities = each.select("chunk_id", "kind", "name")
-    m = each.where("kind = 'method' and n < 3").select("chunk_id", F.col("name").alias("subject"))
-    o = each.where("kind <> 'method' and n < 2").select("chunk_id", "kind", F.col("name").alias("object"))
-    predicate = F.when(F.col("kind") == "metric", "measured_by").when(F.col("kind") == "dataset", "evaluated_on").otherwise("compared_with")
-    return entities, m.join(o, "chunk_id").select("chunk_id", "subject", predicate.alias("predicate"), "object")
+    """G-10: entities ``chunk_id, kind, name`` and relations ``chunk_id, subject, predicate, object`` of each text.
+
+    Of each kind the first eight mentions count; names are in lower case, each once. The first three methods' relations:
+    to a reported limitation, the first two tasks, datasets and baselines; and the first method improves a metric on
+    the first dataset where all three are named. Null texts have none.
+    """
+    text = F.coalesce("content", F.lit(""))
+    found = {k: F.slice(F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda x: F.trim(F.lower(x))), 1, 8) for k, p in patterns.items()}
+    limits = F.when(F.lower(text).rlike(LIMITATION_MARK), F.array(F.lit(LIMITATION))).otherwise(F.array().cast("array<string>"))
+    rows = texts.select("chunk_id", *[c.alias(k) for k, c in found.items()], limits.alias("limitation"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(k).alias("names")) for k in (*patterns, "limitation")])
+    entities = rows.select("chunk_id", F.explode(kinds).alias("e")).select("chunk_id", "e.kind", F.explode("e.names").alias("name"))
+    first = lambda k, n: F.array_distinct(F.slice(k, 1, n))
+    named = [("has_limitation", first("method", 3), F.col("limitation")), *[(r, first("method", 3), first(k, 2)) for r, k in (("applies_to_task", "task"), ("evaluated_on_dataset", "dataset"), ("compares_against_baseline", "baseline"))]]
+    named.append(("improves_metric_on_dataset", F.when(F.size("metric") > 0, F.slice("method", 1, 1)), F.slice("dataset", 1, 1)))
+    each = rows.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(r).alias("predicate"), a.alias("a"), b.alias("b")) for r, a, b in named])).alias("r"))
+    return entities, each.select("chunk_id", F.explode("r.a").alias("subject"), "r.predicate", "r.b").select("chunk_id", "subject", "predicate", F.explode("b").alias("object"))
 
 
 def golden_generator(papers: DataFrame, seed: int = 11) -> DataFrame:

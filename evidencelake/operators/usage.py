@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.operators.ranking import top_k
+from evidencelake.scratch import broadcast_if_small, materialize
+
+#: Accuracy of approximate percentiles, groups that are broadcast, and rows up to which a group is ranked whole.
+ACCURACY, MAX_GROUPS, SMALL_GROUP = 10_000, 1_000_000, 50_000
 
 
 def user_stats(papers: DataFrame, usage: DataFrame) -> DataFrame:
@@ -61,18 +65,31 @@ def count_levels(df: DataFrame, level: Column, levels: list[str]) -> DataFrame:
 
 
 def percentile_nearest(df: DataFrame, by: list[str], value: str, p: float = 0.95) -> DataFrame:
-    """D-16: the value at index max(int(p n) - 1, 0) of the sorted values, by rank: no group is collected."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"__r": F.row_number().over(w.orderBy(value)), "__n": F.count("*").over(w)})
-    at = F.greatest(F.floor(F.col("__n") * p), F.lit(1))
-    return ranked.where(F.col("__r") == at).select(*by, F.col(value).alias("p_value"))
-
-
-def suite_report(cases: DataFrame) -> DataFrame:
-    """D-17, D-18: cases, success rate and interpolated latency percentiles of each family."""
+    """D-16: the value at index max(int(p n) - 1, 0) of the sorted values of each group, exactly, without sorting a group.
+
+    In a group of SMALL_GROUP rows or more an approximate percentile bounds the place from both sides with room for its error; values below
+    are counted, and only the few between, pre-aggregated to distinct values, are ranked. Rows with a null value or group do not count.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    near = [max(0.0, p - 3 / ACCURACY), min(1.0, p + 3 / ACCURACY)]
+    bounds = known.groupBy(*by).agg(F.percentile_approx("__v", near, ACCURACY).alias("__b"), F.count("*").alias("__n"))
+    end = lambda i: F.when(F.col("__n") >= SMALL_GROUP, F.get("__b", F.lit(i)))
+    bounds = bounds.select(*by, end(0).alias("__lo"), end(1).alias("__hi"), F.greatest(F.floor(F.col("__n") * p), F.lit(1)).alias("__at"))
+    at = materialize(bounds, "percentile-bounds")
+    met = known.join(broadcast_if_small(at, MAX_GROUPS), by) if by else known.crossJoin(F.broadcast(at))  # one row
+    inside = met.where("(__lo is null or __v >= __lo) and (__hi is null or __v <= __hi)").groupBy(*by, "__v").agg(F.count("*").alias("__c"), F.first("__at").alias("__at"))
+    below = met.where("__v < __lo").groupBy(*by).agg(F.count("*").alias("__below"))
+    both = inside.join(below, by, "left") if by else inside.crossJoin(F.broadcast(below))
+    up_to = F.coalesce("__below", F.lit(0)) + F.sum("__c").over(Window.partitionBy(*by).orderBy("__v"))
+    return both.withColumn("__r", up_to).where("__r >= __at and __r - __c < __at").select(*by, F.col("__v").alias("p_value"))
+
+
+def suite_report(cases: DataFrame, exact: bool = True) -> DataFrame:
+    """D-17, D-18: cases, success rate and interpolated latency percentiles of each family; without ``exact`` approximate ones, in bounded memory."""
+    percentile = F.percentile if exact else lambda c, q: F.percentile_approx(c, q, ACCURACY)
     return cases.groupBy("family").agg(
         F.count("*").alias("n"), F.count_if("passed").alias("passed"), (F.count_if("passed") / F.count("*")).alias("success_rate"),
-        F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95"), F.avg("latency_ms").alias("mean_latency"),
+        percentile("latency_ms", 0.5).alias("p50"), percentile("latency_ms", 0.95).alias("p95"), F.avg("latency_ms").alias("mean_latency"),
     )
 
 
@@ -120,3 +137,9 @@ def evidence_blocks(hits: DataFrame, blocks: int = 5) -> DataFrame:
 def all_of(parts: list[Column]) -> Column:
     """AND of conditions."""
     return reduce(lambda a, b: a & b, parts)
+
+
+def family_breakdown(metrics: DataFrame, families: DataFrame) -> DataFrame:
+    """D-15: for each query family the queries and the means of recall at 10, NDCG at 10, paper and chunk hits; a query without family counts as ``fact``."""
+    both = metrics.join(families.select("query_id", "family"), "query_id", "left").withColumn("family", F.coalesce("family", F.lit("fact")))
+    return both.groupBy("family").agg(F.count("*").alias("queries"), *[F.avg(F.col(c).cast("double")).alias(c) for c in ("recall_10", "ndcg", "paper_hit", "chunk_hit")])

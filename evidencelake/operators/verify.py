@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.functions import text as T
@@ -148,3 +150,47 @@ def citation_support(kind: Column, text: Column, caption: Column, context: Colum
     ok = F.when(kind == "table", table).when(kind == "figure", figure).otherwise(long(text, 10))
     reason = F.when(ok, "ok").when(kind == "table", "missing_caption_or_table_text").when(kind == "figure", "missing_caption").otherwise("missing_content")
     return F.struct(F.when(ok, "supported").otherwise("unsupported").alias("status"), reason.alias("reason"))
+
+
+#: Phrases of an answer that gives up (fixed values).
+ABSTAIN_MARKERS = ("insufficient evidence", "证据不足", "无法基于所提供的证据", "无法根据提供的证据", "cannot answer confidently")
+
+
+def answer_mode(claims: Column, supported: Column, unsupported: Column) -> Column:
+    """H-8, H-31: abstain without claims, with an unsupported or without a supported one; full if all are supported; else partial."""
+    return F.when((claims == 0) | (unsupported > 0) | (supported == 0), "abstain").when(supported == claims, "full").otherwise("partial")
+
+
+def claim_row_summary(verified: DataFrame) -> DataFrame:
+    """H-31: the claims of each answer by level, and the answer's mode."""
+    return claim_report(verified).withColumn("answer_mode", answer_mode(F.col("claims"), F.col("supported"), F.col("unsupported")))
+
+
+def truthfulness_report(answers: DataFrame, verified: DataFrame, sources: DataFrame) -> DataFrame:
+    """H-8: for each of ``answers(answer_id, answer)`` its claims by level, unsupported rate, mode and what decided: ``backend``.
+
+    An answer without claims counts as one weakly supported claim and is partial, but abstains if it is blank, if none of
+    its ``sources(answer_id, text)`` has text (rate 1), or if it says that it gives up (one unsupported claim).
+    """
+    text = F.lower(F.trim(F.coalesce("answer", F.lit(""))))
+    backed = sources.where(F.trim("text") != "").select("answer_id").distinct().withColumn("backed", F.lit(True))
+    both = answers.select("answer_id", text.alias("t")).join(claim_report(verified), "answer_id", "left").join(backed, "answer_id", "left")
+    gives_up = functools.reduce(lambda a, b: a | b, (F.col("t").contains(m) for m in ABSTAIN_MARKERS))
+    kind = F.when(F.col("claims") > 0, "lexical_overlap").when(F.col("t") == "", "lexical_overlap").when(F.col("backed").isNull(), "no_claims_without_evidence").when(gives_up, "lexical_abstain_guard").otherwise("fallback_unstructured_answer")
+    guard, loose = F.col("backend") == "lexical_abstain_guard", F.col("backend") == "fallback_unstructured_answer"
+    count = lambda c, when: F.coalesce(F.col(c), when.cast("long")).alias(c)
+    rate = F.coalesce("unsupported_rate", F.when(guard | (F.col("backend") == "no_claims_without_evidence"), 1.0).otherwise(0.0))
+    no = F.lit(False)
+    out = both.withColumn("backend", kind).select(
+        "answer_id", count("claims", guard | loose), count("supported", no), count("weakly_supported", loose), count("partially_supported", no), count("unsupported", guard), rate.alias("unsupported_rate"), "backend"
+    )
+    mode = F.when(loose, "partial").otherwise(answer_mode(F.col("claims"), F.col("supported"), F.col("unsupported")))
+    return out.withColumn("answer_mode", mode)
+
+
+def repair_hints(verified: DataFrame) -> DataFrame:
+    """H-8: what to do about each claim that is not supported: ``answer_id, claim_no, repairable, repair_hint`` (null where nothing)."""
+    relink = F.concat(F.lit("Relink claim to stronger evidence "), F.array_join(F.slice(F.col("evidence_ids").cast("array<string>"), 1, 2), ", "), F.lit(" and rewrite for "), "support_level", F.lit(" support."))
+    hint = F.when(F.size("evidence_ids") > 0, relink).otherwise("Retrieve stronger evidence or narrow the claim before rewriting.")
+    repairable = F.col("support_level") != "supported"
+    return verified.select("answer_id", "claim_no", repairable.alias("repairable"), F.when(repairable, hint).alias("repair_hint"))

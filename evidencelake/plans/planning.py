@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import planning as P, text as T
 from evidencelake.operators import compare as M
+from evidencelake.plans.registry import ORACLES, QUERIES, query
 from evidencelake.plans.relational import q
 from evidencelake.plans.understanding import CASE, FAMILY
 
@@ -70,11 +71,20 @@ def confidence_level(e):
     return e.select("event_id", P.confidence_level(mode, F.col("value") > 50, F.col("user_id") % 4, F.col("event_id") % 7 == 0, F.col("event_id") % 2 == 0).alias("level"))
 
 
-DIM = "d(dimension, score, chunk_id, paper_id) AS (SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{d}', max(" + " + ".join([f"CASE WHEN contains(lower(s), '{w}') THEN 1.6 ELSE 0 END" for w in p] + [f"CASE WHEN contains(lower(s), '{w}') THEN -1.1 ELSE 0 END" for w in n] + [f"CASE WHEN contains(lower(section), '{d}') THEN 0.6 ELSE 0 END"]) + ")::DOUBLE AS score, chunk_id, paper_id FROM s GROUP BY chunk_id, paper_id"
-    for d, (p, n) in M.DIMENSIONS.items()
-) + "))"
-SENT = r"s AS (SELECT paper_id, chunk_id, section, unnest(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM chunks_v)"
+def _dimension_sql(d: str) -> str:
+    """``dimension_score`` of one dimension over sentences ``s`` in DuckDB."""
+    has = lambda c, p, v=1.0: f"CASE WHEN regexp_matches({c}, '{p}') THEN {v} ELSE 0 END"
+    good, bad = M.DIMENSIONS[d]
+    hits = " + ".join([has("s", f"(?i){p}") for p in good] + [has("s", p) for n, p in M.FOR_NAMES.items() if n == d])
+    if d == M.LOOSE:
+        hits = f"CASE WHEN {hits} > 0 THEN {hits} ELSE {' + '.join(has('lower(s)', h) for h in M.SECTION_HINTS[d])} END"
+    rest = " + ".join([has("s", f"(?i){p}", -1.1) for p in bad] + [has("s", f"(?i){p}", v) for n, p, v in M.BONUSES if n == d] + [has("lower(section)", "|".join(M.SECTION_HINTS[d]), 0.6)])
+    fit = f"length(s) >= {M.SHORTEST}" + "".join(f" AND NOT regexp_matches(s, '{p}')" for p in M.NO_EVIDENCE) + ("" if d == M.LOOSE else f" AND {hits} > 0")
+    return f"SELECT '{d}' AS dimension, max(CASE WHEN {fit} THEN 1.6 * ({hits}) + {rest} END)::DOUBLE AS score, chunk_id, paper_id FROM s GROUP BY chunk_id, paper_id HAVING score > 0"
+
+
+DIM = "d AS (" + " UNION ALL ".join(_dimension_sql(d) for d in M.DIMENSIONS) + ")"
+SENT = r"s AS (SELECT paper_id, chunk_id, section, trim(unnest(string_split(regexp_replace(content, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)))) AS s FROM chunks_v)"
 
 
 @q("dimension_scores", f"WITH {SENT}, {DIM} SELECT paper_id, chunk_id, dimension, round(score, 6) AS score FROM d", "chunks_v")
@@ -92,9 +102,46 @@ def cross_paper_insights(c):
     return M.cross_paper_insights(M.dimension_scores(c).withColumn("score", F.round("score", 9)))
 
 
-@q("compare_queries", "SELECT DISTINCT paper_id, title AS question, dimension, title || ' ' || dimension AS query FROM papers_v, (SELECT unnest(['method', 'dataset', 'result', 'limitation']) AS dimension) WHERE paper_id < 200", "papers_v")
+TOPICS = "(SELECT unnest(['" + "', '".join(M.TOPICS) + "']) AS dimension, unnest(['" + "', '".join(M.TOPICS.values()) + "']) AS topic)"
+
+
+@q("compare_queries", f"""WITH p AS (SELECT paper_id, CASE WHEN starred THEN '' ELSE 'How do they rank?' END AS question, title FROM papers_v)
+SELECT DISTINCT paper_id, dimension, CASE WHEN question <> '' THEN question || '. Focus on ' || topic || ' for these papers: ' || title || '.' ELSE 'Compare the papers ' || title || '. Retrieve evidence about ' || topic || '.' END AS query FROM p, {TOPICS}
+UNION ALL SELECT paper_id, NULL, question FROM p WHERE question <> ''""", "papers_v")
 def compare_queries(p):
-    return M.compare_queries(p.where("paper_id < 200"), F.col("title"))
+    return M.compare_queries(p, F.when(F.col("starred"), "").otherwise("How do they rank?"))
+
+
+query("compare_queries_all", ORACLES["compare_queries"])(QUERIES["compare_queries"])
+
+
+@q("route_index", f"""WITH f AS (SELECT query_id, CASE p_size % 10 WHEN 0 THEN 'limitation' WHEN 1 THEN 'evolution' WHEN 2 THEN 'other' ELSE {FAMILY} END AS family FROM questions_v),
+r(fam, index_type, priority, content_types, section_hint, k_factor) AS (VALUES ('fact', 'local_evidence', 1, '', NULL, 1.0), ('fact', 'structural', 2, '', NULL, 1.0), ('compare', 'structural', 1, '', NULL, 1.5), ('compare', 'local_evidence', 2, '', NULL, 1.0), ('numeric', 'local_evidence', 1, 'table,text', 'Results', 1.0), ('numeric', 'structural', 2, '', NULL, 1.0),
+('table', 'local_evidence', 1, 'table', NULL, 1.0), ('table', 'local_evidence', 2, 'text', NULL, 1.0), ('figure', 'local_evidence', 1, 'image', NULL, 1.0), ('figure', 'local_evidence', 2, 'text', NULL, 1.0), ('survey', 'summary', 1, '', NULL, 2.0), ('survey', 'local_evidence', 2, '', NULL, 1.0),
+('evolution', 'summary', 1, '', NULL, 2.0), ('evolution', 'structural', 2, '', NULL, 1.0), ('evolution', 'local_evidence', 3, '', NULL, 1.0), ('limitation', 'local_evidence', 1, '', 'Discussion', 1.0), ('limitation', 'structural', 2, '', NULL, 1.0), ('none', 'local_evidence', 1, '', NULL, 1.0))
+SELECT query_id, family, index_type, priority, content_types, section_hint, CAST(k_factor AS DOUBLE) AS k_factor, family IN ('fact', 'compare', 'survey', 'evolution', 'limitation') AS citation_hints FROM f JOIN r ON fam = CASE WHEN family IN (SELECT fam FROM r) THEN family ELSE 'none' END""", "questions_v")
+def route_index(x):
+    family = F.when(F.col("p_size") % 10 == 0, "limitation").when(F.col("p_size") % 10 == 1, "evolution").when(F.col("p_size") % 10 == 2, "other").otherwise(T.infer_query_family(F.col("question")))
+    return P.route_index(x.select("query_id", family.alias("family"))).withColumn("content_types", F.array_join("content_types", ","))
+
+
+@q("route_task", f"""WITH f AS (SELECT query_id, {FAMILY} AS family, p_size % 6 = 0 AS r FROM questions_v), k AS (SELECT *, family IN ('cross_paper', 'survey', 'related_work', 'method_evolution', 'conflicting_evidence', 'hard') AS g FROM f)
+SELECT query_id, family, CASE WHEN family IN ('fact', 'numeric') THEN 'single_paper_fact' WHEN family = 'method' THEN 'single_paper_method' WHEN family IN ('table', 'figure') THEN 'single_paper_table_figure' WHEN family = 'method_evolution' THEN 'cross_paper' ELSE family END AS task_family,
+CASE WHEN r THEN 'truthfulness_repair' WHEN g THEN 'global_review' WHEN family = 'compare' THEN 'local_compare' ELSE 'local_evidence' END AS execution_mode, CASE WHEN r THEN 'focused' WHEN g THEN 'deep' WHEN family IN ('fact', 'numeric') THEN 'shallow' ELSE 'medium' END AS depth,
+CASE WHEN NOT r AND (g OR family = 'compare') THEN 'pro' ELSE 'flash' END AS model_policy, CASE WHEN r THEN 'truthfulness_kernel' WHEN g THEN 'global_kernel' WHEN family = 'compare' THEN 'dual_kernel' ELSE 'local_kernel' END AS kernel_scope, CASE WHEN r THEN 'repair_loop' WHEN g THEN 'storm_lite' WHEN family = 'compare' THEN 'matrix_first' ELSE 'citation_first' END AS review_strategy,
+CASE WHEN r THEN 'focused_claim_repair' WHEN family IN ('fact', 'numeric') THEN 'fixed_depth' ELSE 'adaptive_depth' END AS routing_policy, r OR family NOT IN ('table', 'figure') AS truthfulness_required, g AND NOT r AS global_synthesis, 'rarr_cove_scifact_lite' AS verifier FROM k""", "questions_v")
+def route_task(x):
+    return P.route_task(x.select("query_id", T.infer_query_family(F.col("question")).alias("family"), (F.col("p_size") % 6 == 0).alias("claim_repair")))
+
+
+@q("family_breakdown", f"""WITH f AS (SELECT query_id, {FAMILY} AS family FROM questions_v), m AS (SELECT query_id, round(avg(score), 6) AS r, round(avg(vector_score), 6) AS n, bool_or(page_num = 1) AS p, bool_or(branch = 'dense') AS c FROM hits_v GROUP BY 1)
+SELECT coalesce(family, 'fact') AS family, count(*) AS queries, round(avg(r), 5) AS recall_10, round(avg(n), 5) AS ndcg, round(avg(p::INT), 5) AS paper_hit, round(avg(c::INT), 5) AS chunk_hit FROM m LEFT JOIN f USING (query_id) GROUP BY 1""", "hits_v", "questions_v")
+def family_breakdown(h, x):
+    from evidencelake.operators.usage import family_breakdown as breakdown
+
+    m = h.groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("recall_10"), F.round(F.avg("vector_score"), 6).alias("ndcg"), F.bool_or(F.col("page_num") == 1).cast("int").alias("paper_hit"), F.bool_or(F.col("branch") == "dense").cast("int").alias("chunk_hit"))
+    out = breakdown(m, x.select("query_id", T.infer_query_family(F.col("question")).alias("family")))
+    return out.select("family", "queries", *[F.round(c, 5).alias(c) for c in ("recall_10", "ndcg", "paper_hit", "chunk_hit")])
 
 
 @q("citation_order", "SELECT src, dst, CAST(a.pub_year AS INT) AS src_year, CAST(b.pub_year AS INT) AS dst_year FROM edges_v JOIN papers_v a ON a.paper_id = src JOIN papers_v b ON b.paper_id = dst WHERE a.pub_year < b.pub_year", "edges_v", "papers_v")

@@ -106,10 +106,18 @@ def paper_summary(c):
     return R.paper_summary(c)
 
 
-@q("ontology_relations", r"""WITH f AS (SELECT chunk_id, list_distinct(regexp_extract_all(content, '\b(?:small|red|blue|large|green|hot|cold) \w+\b'))[1] AS m, lower(regexp_extract(content, '\b([A-Z]{4,}) baseline', 1)) AS b, regexp_matches(content, 'accuracy') AS acc, lower(regexp_extract(content, '[A-Z][a-z]+#\d+')) AS ds FROM chunks_v),
-r AS (SELECT chunk_id, lower(m) AS subject, 'compared_with' AS predicate, b AS object FROM f WHERE b <> '' UNION ALL SELECT chunk_id, lower(m), 'evaluated_on', ds FROM f WHERE ds <> '' UNION ALL SELECT chunk_id, lower(m), 'measured_by', 'recall' FROM f UNION ALL SELECT chunk_id, lower(m), 'measured_by', 'accuracy' FROM f WHERE acc) SELECT * FROM r WHERE subject IS NOT NULL""", "chunks_v")
+#: Chunks with sentences that name tasks, datasets, baselines and limitations.
+NAMED = "SELECT chunk_id, content || CASE chunk_id % 4 WHEN 0 THEN ' RankNet and method B-2 help translation and QA on SQuAD, COCO and MNIST over BERT.' WHEN 1 THEN ' Accuracy and recall of the svm on imagenet; one failure.' WHEN 2 THEN ' The limitation: baseline ResNet-50 wins at detection.' ELSE '' END AS content FROM chunks_v"
+MENTIONS = ", ".join(f"list_transform(regexp_extract_all(content, '{p}', 1), lambda x: lower(trim(x)))[1:8] AS {k}" for k, p in R.ONTOLOGY.items())
+
+
+@q("ontology_relations", f"""WITH f AS (SELECT chunk_id, regexp_matches(lower(content), '{R.LIMITATION_MARK}') AS lim, {MENTIONS} FROM ({NAMED}) x), m AS (SELECT *, unnest(list_distinct(method[1:3])) AS subject FROM f)
+SELECT chunk_id, subject, 'has_limitation' AS predicate, 'reported limitation' AS object FROM m WHERE lim UNION ALL SELECT chunk_id, subject, 'applies_to_task', unnest(list_distinct(task[1:2])) FROM m UNION ALL SELECT chunk_id, subject, 'evaluated_on_dataset', unnest(list_distinct(dataset[1:2])) FROM m
+UNION ALL SELECT chunk_id, subject, 'compares_against_baseline', unnest(list_distinct(baseline[1:2])) FROM m UNION ALL SELECT chunk_id, method[1], 'improves_metric_on_dataset', dataset[1] FROM f WHERE len(method) > 0 AND len(metric) > 0 AND len(dataset) > 0""", "chunks_v")
 def ontology_relations(c):
-    return R.ontology_slice(c)[1]
+    k = F.col("chunk_id") % 4
+    said = F.when(k == 0, " RankNet and method B-2 help translation and QA on SQuAD, COCO and MNIST over BERT.").when(k == 1, " Accuracy and recall of the svm on imagenet; one failure.").when(k == 2, " The limitation: baseline ResNet-50 wins at detection.").otherwise("")
+    return R.ontology_slice(c.select("chunk_id", F.concat("content", said).alias("content")))[1]
 
 
 @q("golden_generator", None, "papers_v")

@@ -99,3 +99,11 @@ def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
     last = F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))) - F.when(F.col("user_id") % 2 == 0, 0).otherwise(1000000)
     return K.replay(log, e.groupBy("user_id").agg(last.alias("last_event_id")))
+
+
+@q("section_index", """WITH c AS (SELECT *, CASE WHEN pos % 2 = 0 THEN substr(content, 1, 30) ELSE '' END AS anchor FROM chunks_v),
+g AS (SELECT paper_id, section, list(substr(anchor, 1, 200) ORDER BY pos) FILTER (anchor <> '') AS a, list(substr(content, 1, 200) ORDER BY pos) AS t, list(chunk_id ORDER BY pos) AS i, list(chunk_id ORDER BY pos) FILTER (content_type = 'table') AS ta, list(chunk_id ORDER BY pos) FILTER (content_type = 'figure') AS fi FROM c GROUP BY ALL)
+SELECT paper_id || '::' || section AS section_id, substr(array_to_string(coalesce(a[1:5], t[1:3]), ' '), 1, 1200) AS summary, array_to_string(list_filter(string_split(section, ' '), lambda w: length(w) > 2), ',') AS key_terms, array_to_string(i[1:50], ',') AS chunk_ids, coalesce(array_to_string(ta[1:10], ','), '') AS table_ids, coalesce(array_to_string(fi[1:10], ','), '') AS figure_ids FROM g""", "chunks_v")
+def section_index(c):
+    out = G.section_index(c.withColumn("anchor", F.when(F.col("pos") % 2 == 0, F.substring("content", 1, 30)).otherwise("")))
+    return out.select("section_id", "summary", *[F.array_join(F.col(n).cast("array<string>"), ",").alias(n) for n in ("key_terms", "chunk_ids", "table_ids", "figure_ids")])

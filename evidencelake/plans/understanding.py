@@ -9,7 +9,7 @@ from evidencelake.operators import gates as G, verify as H
 from evidencelake.plans.relational import q
 
 CASE = lambda col, rules, other: "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains({col}, '{w}')''' for w in words)} THEN '{name}'" for words, name in rules) + f" ELSE '{other}' END"
-FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{f}'" for p, f in T.FAMILY_RULES) + " ELSE 'fact' END"
+FAMILY = "CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches(lower(question), '{p}')" for p in ps) + f" THEN '{f}'" for ps, f in T.FAMILY_RULES) + " ELSE 'fact' END"
 
 
 @q("query_families", f"SELECT query_id, {FAMILY} AS family, {CASE('lower(question)', T.PLANNER_RULES, 'fact')} AS planner, {CASE('lower(question)', T.DECOMPOSER_RULES, 'fact')} AS decomposer FROM questions_v", "questions_v")
@@ -164,10 +164,10 @@ def metric_diff(e):
 @q("hit_eval", f"""WITH {PACK}, g AS (SELECT query_id, paper_id, section, chunk_id FROM hits_v WHERE branch = 'graph' AND page_num = 3),
 j AS (SELECT g.query_id, p.rank, p.paper_id = g.paper_id AS pp, p.section = g.section AS ss, p.chunk_id = g.chunk_id AS cc FROM g LEFT JOIN p USING (query_id)),
 h AS (SELECT query_id, bool_or(rank <= 10 AND pp) AS paper_hit, bool_or(rank <= 10 AND pp AND ss) AS section_hit, bool_or(rank <= 10 AND cc) AS exact_hit, bool_or(rank <= 100 AND cc) AS oracle_hit FROM j GROUP BY 1)
-SELECT *, CASE WHEN NOT paper_hit THEN 'paper_miss' WHEN NOT section_hit THEN 'section_miss' WHEN NOT exact_hit THEN 'chunk_miss' ELSE 'hit' END AS bucket FROM h""", "hits_v")
+SELECT *, CASE WHEN NOT paper_hit THEN 'paper_miss' WHEN NOT section_hit THEN 'section_miss' WHEN NOT oracle_hit THEN 'candidate_pool_miss' WHEN NOT exact_hit THEN 'exact_miss' ELSE 'pass' END AS bucket FROM h""", "hits_v")
 def hit_eval(h):
     out = G.hit_eval(pack(h), h.where("branch = 'graph' and page_num = 3").select("query_id", "paper_id", "section", "chunk_id"))
-    return out.withColumn("bucket", G.failure_bucket(F.col("paper_hit"), F.col("section_hit"), F.col("exact_hit")))
+    return out.withColumn("bucket", G.failure_bucket(F.col("paper_hit"), F.col("section_hit"), F.col("oracle_hit"), F.col("exact_hit")))
 
 
 @q("chunk_qa", """WITH c AS (SELECT paper_id, chunk_id, content_type, CASE WHEN pos = 6 THEN '' ELSE section END AS section FROM chunks_v), o AS (SELECT paper_id, chunk_id, count(*) AS n, count(*) FILTER (section = '') AS m, count(*) FILTER (content_type NOT IN ('text', 'table')) AS b FROM c GROUP BY ALL)
@@ -193,10 +193,53 @@ def source_type(p):
     return p.groupBy(T.source_type(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@q("evidence_hints", r"""SELECT chunk_id, CASE WHEN regexp_matches(content, '\baccuracy\b') THEN 'accuracy,recall' ELSE 'recall' END AS metrics, lower(regexp_extract(content, 'Table \d+')) AS tables, lower(regexp_extract(content, 'Brand#\d+')) AS datasets FROM chunks_v""", "chunks_v")
+ONCE = lambda x: f"list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+
+
+@q("evidence_hints", rf"""WITH f AS (SELECT chunk_id, list_transform(regexp_extract_all(content, '{T.METRIC_NAME}'), lambda x: lower(x)) AS m, list_filter(regexp_extract_all(content, '{T.DATASET_NAME}'), lambda x: length(x) >= 3) AS d, list_filter(regexp_extract_all(content, '{T.METHOD_NAME}'), lambda x: length(x) >= 4) AS me,
+regexp_extract_all(content, '{T.TABLE_NUMBER}', 1) AS t FROM chunks_v) SELECT chunk_id, array_to_string({ONCE("m")}[1:3], ',') AS metrics, array_to_string({ONCE("d")}[1:3], ',') AS datasets, array_to_string({ONCE("me")}[1:3], ',') AS methods, array_to_string(list_transform(t[1:2], lambda x: 'Table ' || x), ',') AS tables FROM f""", "chunks_v")
 def evidence_hints(c):
     h = T.hints(F.col("content"))
-    return c.select("chunk_id", F.array_join(h["metrics"], ",").alias("metrics"), F.array_join(h["tables"], ",").alias("tables"), F.array_join(h["datasets"], ",").alias("datasets"))
+    return c.select("chunk_id", *[F.array_join(h[n], ",").alias(n) for n in ("metrics", "datasets", "methods", "tables")])
+
+
+@q("claim_row_summary", f"""{VERIFY}, l AS (SELECT answer_id, {LEVEL} AS l FROM b), n AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (l = 'supported') AS supported, count(*) FILTER (l = 'unsupported') AS unsupported FROM l GROUP BY 1)
+SELECT answer_id, claims, supported, unsupported, CASE WHEN unsupported > 0 OR supported = 0 THEN 'abstain' WHEN supported = claims THEN 'full' ELSE 'partial' END AS answer_mode FROM n""", "answers_v", "chunks_v")
+def claim_row_summary(a, c):
+    return H.claim_row_summary(H.verify_claims(H.extract_claims(a), sources(c))).select("answer_id", "claims", "supported", "unsupported", "answer_mode")
+
+
+#: Answers of which some have no claim: the first sentence alone where it is short.
+LOOSE_ANSWERS = "SELECT answer_id, CASE answer_id % 5 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'Insufficient evidence' WHEN 2 THEN ' ' ELSE answer END AS answer FROM answers_v"
+
+
+@q("truthfulness_report", f"""{VERIFY.replace("FROM answers_v", f"FROM ({LOOSE_ANSWERS}) answers_v")}, l AS (SELECT answer_id, {LEVEL} AS l FROM b), n AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (l = 'supported') AS s, count(*) FILTER (l = 'weakly_supported') AS w, count(*) FILTER (l = 'partially_supported') AS p, count(*) FILTER (l = 'unsupported') AS u FROM l GROUP BY 1),
+a AS (SELECT answer_id, lower(trim(answer)) AS t, answer_id IN (SELECT paper_id FROM chunks_v WHERE paper_id % 2 = 0) AS backed FROM ({LOOSE_ANSWERS}) x), j AS (SELECT a.*, n.* EXCLUDE (answer_id), CASE WHEN claims > 0 OR t = '' THEN 'lexical_overlap' WHEN NOT backed THEN 'no_claims_without_evidence' WHEN contains(t, 'insufficient evidence') THEN 'lexical_abstain_guard' ELSE 'fallback_unstructured_answer' END AS backend FROM a LEFT JOIN n USING (answer_id))
+SELECT answer_id, coalesce(claims, CASE WHEN backend IN ('lexical_abstain_guard', 'fallback_unstructured_answer') THEN 1 ELSE 0 END) AS claims, coalesce(s, 0) AS supported, coalesce(w, CASE WHEN backend = 'fallback_unstructured_answer' THEN 1 ELSE 0 END) AS weakly_supported, coalesce(p, 0) AS partially_supported, coalesce(u, CASE WHEN backend = 'lexical_abstain_guard' THEN 1 ELSE 0 END) AS unsupported,
+round(coalesce(u / claims, CASE WHEN backend IN ('lexical_abstain_guard', 'no_claims_without_evidence') THEN 1 ELSE 0 END), 6) AS unsupported_rate, backend, CASE WHEN backend = 'fallback_unstructured_answer' THEN 'partial' WHEN claims > 0 AND u = 0 AND s > 0 THEN CASE WHEN s = claims THEN 'full' ELSE 'partial' END ELSE 'abstain' END AS answer_mode FROM j""", "answers_v", "chunks_v")
+def truthfulness_report(a, c):
+    k = F.col("answer_id") % 5
+    loose = a.withColumn("answer", F.when(k == 0, "Yes.").when(k == 1, "Insufficient evidence").when(k == 2, " ").otherwise(F.col("answer")))
+    out = H.truthfulness_report(loose, H.verify_claims(H.extract_claims(loose), sources(c)), sources(c.where("paper_id % 2 = 0")))
+    return out.withColumn("unsupported_rate", F.round("unsupported_rate", 6))
+
+
+@q("repair_hints", f"""{VERIFY}, l AS (SELECT answer_id, claim_no, {LEVEL} AS l, coalesce(array_to_string((string_split(evidence, ','))[1:2], ', '), '') AS e FROM b)
+SELECT answer_id, claim_no, l <> 'supported' AS repairable, CASE WHEN l <> 'supported' THEN CASE WHEN e <> '' THEN 'Relink claim to stronger evidence ' || e || ' and rewrite for ' || l || ' support.' ELSE 'Retrieve stronger evidence or narrow the claim before rewriting.' END END AS repair_hint FROM l""", "answers_v", "chunks_v")
+def repair_hints(a, c):
+    return H.repair_hints(H.verify_claims(H.extract_claims(a), sources(c)))
+
+
+@q("benchmark_summary", """WITH r AS (SELECT user_id AS run_id, event_id % 11 > 0 AS ok, user_id % 9 = 0 AS synthetic, CASE WHEN value < 15 THEN 1.0 ELSE 0.9 END AS cov, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS uns, least(1, 0.6 + user_id % 4 * 0.05) AS con, CASE WHEN user_id % 7 = 0 THEN 0.5 ELSE 1.0 END AS jump, value AS lat FROM events),
+s AS (SELECT run_id, count(*) AS total, count(*) FILTER (ok) AS ok, round(avg(cov), 4) AS citation_coverage, round(avg(uns), 4) AS unsupported_claim_rate, round(avg(con), 4) AS consistency, round(avg(jump), 4) AS jump_validity, bool_or(synthetic) AS synthetic, round(list_sort(list(lat))[greatest(CAST(floor(count(*) * 0.95) AS INT), 1)], 4) AS p95_latency_s FROM r GROUP BY 1),
+f AS (SELECT *, jump_validity >= 0.9 AND p95_latency_s < 60 AS flows, citation_coverage >= 0.85 AND unsupported_claim_rate <= 0.1 AND consistency >= 0.65 AS good FROM s)
+SELECT run_id, total, ok, citation_coverage, unsupported_claim_rate, consistency, jump_validity, p95_latency_s, CASE WHEN synthetic THEN 'SMOKE' WHEN NOT flows THEN 'PIPELINE_ERROR' WHEN NOT good THEN 'QUALITY_BLOCKED' ELSE 'QUALITY_PASS' END AS eval_status, CASE WHEN synthetic THEN 'SMOKE_ONLY' WHEN flows AND good THEN 'PASS' ELSE 'BLOCKED' END AS gate_status FROM f""", "events")
+def benchmark_summary(e):
+    r = e.select(
+        F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 11 > 0, "ok").otherwise("failed").alias("status"), (F.col("user_id") % 9 == 0).alias("synthetic"), F.when(F.col("value") < 15, 1.0).otherwise(0.9).alias("citation_coverage"),
+        F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("unsupported_claim"), F.least(F.lit(1.0), 0.6 + F.col("user_id") % 4 * 0.05).alias("consistency"), F.when(F.col("user_id") % 7 == 0, 0.5).otherwise(1.0).alias("jump_valid"), F.col("value").alias("latency_s"), F.lit(0).alias("hard_error"),
+    )
+    return G.benchmark_summary(r).drop("synthetic", "hard_errors")
 
 
 @q("stratified_sample", None, "events")

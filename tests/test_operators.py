@@ -211,9 +211,9 @@ def test_table_rows(spark):
 def test_compare(spark):
     chunks = spark.createDataFrame([(1, 10, "Methods", "Our approach is new. It improves recall."), (2, 20, "Data", "The corpus is big.")], "paper_id int, chunk_id int, section string, content string")
     rows = {r.paper_id: r.asDict() for r in M.compare_matrix(chunks, chunks).collect()}
-    assert rows[1] == {"paper_id": 1, "method": "full", "dataset": "none", "result": "full", "limitation": "none"}
+    assert rows[1] == {"paper_id": 1, "problem": "none", "method": "full", "dataset": "none", "metrics": "full", "results": "full", "limitations": "none", "innovation": "none"}
     assert rows[2]["dataset"] == "full" and rows[2]["method"] == "none"
-    assert M.cross_paper_insights(M.dimension_scores(chunks)).count() == 0
+    assert {r.dimension for r in M.cross_paper_insights(M.dimension_scores(chunks)).collect()} == set()
 
 
 def test_timeline(spark):
