@@ -65,6 +65,29 @@ def fold_chunks(items: DataFrame, size: int = 500) -> DataFrame:
     return items.groupBy("paper_id").applyInPandas(fold, "paper_id long, chunk_no int, text string, first_pos long, last_pos long")
 
 
+def fold_documents(docs: DataFrame, size: int = 500) -> DataFrame:
+    """G-2 for documents ``doc_id, text`` that are one row each: the chunks of ``fold_chunks`` over their lines, folded in the row, without a shuffle.
+
+    ``paper_id`` is the document's id. Null and blank texts give no chunk; repeated rows give their chunks each.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.cast("long").alias("p"))), lambda x: x.t != "")
+    chunk = "text string, first_pos bigint, last_pos bigint"
+    start = F.from_json(F.lit('{"done": []}'), f"done array<struct<{chunk.replace(' ', ':').replace(',:', ', ')}>>, parts array<string>, first bigint, last bigint, length int")
+    closed = lambda a: F.array_append(a.done, F.struct(F.array_join(a.parts, "\n").alias("text"), a["first"].alias("first_pos"), a["last"].alias("last_pos")))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.length(x.t) + 1
+        full = a.parts.isNotNull() & (a.length + n > size)
+        fresh = a.parts.isNull() | full
+        return F.struct(
+            F.when(full, closed(a)).otherwise(a.done).alias("done"), F.when(fresh, F.array(x.t)).otherwise(F.array_append(a.parts, x.t)).alias("parts"), F.when(fresh, x.p).otherwise(a["first"]).alias("first"),
+            x.p.alias("last"), F.when(fresh, n).otherwise(a.length + n).alias("length"),
+        )
+
+    folded = F.aggregate(lines, start, step, lambda a: F.when(a.parts.isNull(), a.done).otherwise(closed(a)))
+    return docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(folded).alias("chunk_no", "c")).select("paper_id", "chunk_no", "c.*")
+
+
 def chunk_quality(chunks: DataFrame, target: int = 120) -> DataFrame:
     """G-4: mean size, its variance, share of chunks that end a sentence, and 0.4 size match + 0.3 evenness + 0.3 boundary."""
     n = F.length("content")

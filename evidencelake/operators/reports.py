@@ -47,8 +47,9 @@ def answer_audit(answers: DataFrame) -> DataFrame:
 
 def overview(runs: DataFrame, n: int = 5) -> DataFrame:
     """D-29: the n latest runs of each mode, with the mode's run count."""
-    total = F.count("*").over(Window.partitionBy("mode"))
-    return top_k(runs.withColumn("runs", total), ["mode"], "started_at", "run_id", n)
+    latest = top_k(runs, ["mode"], "started_at", "run_id", n)
+    total = runs.groupBy("mode").agg(F.count("*").alias("runs"))
+    return latest.join(total.withColumnRenamed("mode", "__mode"), F.col("mode").eqNullSafe(F.col("__mode"))).drop("__mode")
 
 
 def case_summary(cases: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from evidencelake.operators.ranking import top_k
 from evidencelake.scratch import is_small
 
 QUERY_BLOCK = 4096
+#: Most cells of an inverted file, and about the most vectors that its centres are fitted on and its probes are measured on.
+MAX_CELLS, MAX_FIT, MAX_MEASURED = 4096, 200_000, 20_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -80,15 +82,37 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, drop_same: bool = F
     return top_k(met.mapInPandas(pairs, kind), ["query_id"], "score", "vec_id", k)
 
 
-def ann_join(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 16, nprobe: int = 12, seed: int = 3) -> DataFrame:
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+    """The fewest cells in which the sample's own k nearest neighbours lie with the share ``recall``, measured for up to 256 of its vectors."""
+    if len(sample) < 2:
+        return 1
+    asked = sample[:256]
+    score = asked @ sample.T
+    score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    near = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, (sample @ centres.T).argmax(axis=1)[near], axis=1)
+    return int(np.quantile(needed, recall, method="higher")) + 1
+
+
+def ann_join(queries: DataFrame, vectors: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None, recall: float = 0.95, seed: int = 3) -> DataFrame:
     """C-6: inverted-file search: k-means cells, each question looks into its ``nprobe`` nearest cells, exact scores there.
 
-    The join is on the cell, so only probed cells meet; centres number ``nlist``, whatever the input.
+    ``nlist`` defaults to the square root of the count, MAX_CELLS at most; ``nprobe`` to what the share ``recall`` of true neighbours
+    needs, measured by brute force within a sample of about MAX_MEASURED vectors at most: few cells where vectors cluster, many
+    where they do not. The cells are fitted on about MAX_FIT vectors at most; both samples go by a hash of the id; every vector is indexed. The join is on the cell, so only probed
+    cells meet; large cells are split by AQE's skew join. Vectors of zeros are in no cell.
     """
     norm = lambda c: F.transform(c, lambda v: v / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
-    units = vectors.select("vec_id", norm(F.col("embedding")).alias("unit"))
-    model = KMeans(k=nlist, seed=seed, maxIter=15, featuresCol="features").fit(units.select(array_to_vector("unit").alias("features")))
+    units = vectors.where(F.exists("embedding", lambda v: v != 0)).select("vec_id", norm(F.col("embedding")).alias("unit"))
+    n = units.count()
+    nlist = nlist or min(MAX_CELLS, max(1, round(n**0.5)))
+    sampled = lambda most: units.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < round(1_000_000 * min(1.0, most / max(n, 1))))
+    model = KMeans(k=nlist, seed=seed, maxIter=15, featuresCol="features").fit(sampled(MAX_FIT).select(array_to_vector("unit").alias("features")))
     centres = _unit(np.array(model.clusterCenters()))
+    if nprobe is None:
+        rows = sampled(MAX_MEASURED).orderBy(F.xxhash64("vec_id", F.lit(seed))).toPandas()
+        nprobe = _probes(np.array(rows["unit"].tolist(), np.float64), centres, k, recall)
 
     @F.pandas_udf("array<int>")
     def cells(v: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencelake.operators import chunking as G
 from evidencelake.plans.relational import q
-from evidencelake.plans.registry import query
+from evidencelake.plans.registry import ORACLES, query
 from evidencelake.plans.views import with_views
 from evidencelake.scratch import new_path
 from evidencelake.sources.tables import read_table
@@ -40,8 +40,7 @@ def imrad(c):
 
 @q("fold_chunks", None, "documents")
 def fold_chunks(d):
-    items = d.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return G.fold_chunks(items.withColumn("pos", F.col("pos").cast("long")))
+    return G.fold_documents(d)
 
 
 @q("page_clusters", None, "embeddings")
@@ -69,6 +68,24 @@ def check_transitions(e):
     return K.check_transitions(e.select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(STATUS).alias("status")))
 
 
+@query("stream_transitions", ORACLES["check_transitions"])
+def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-5 as a stream with a state for each job, run to its end."""
+    out = new_path(spark, "transitions")
+    jobs = _stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(STATUS).alias("status"))
+    K.run_to_end(K.live_transitions(jobs), "append", f"{out}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/b={n}"))
+    return spark.read.parquet(f"{out}/rows").select("job_id", "event_id", "before", "status", "legal")
+
+
+@query("stream_buffer", "WITH f AS (SELECT user_id, event_id, row_number() OVER w AS n, ts >= max(ts) OVER (PARTITION BY user_id) - INTERVAL 864000 SECOND AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) SELECT user_id, event_id FROM f WHERE n <= 20 AND fresh")
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-4 as a stream with a buffer for each session, run to its end: the buffers after each session's last micro-batch."""
+    out = new_path(spark, "buffers")
+    K.run_to_end(K.live_buffer(_stream(spark, sf_dir), 20, 864000), "update", f"{out}/checkpoint", lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/b={n}"))
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.join(rows.groupBy("user_id").agg(F.max("n").alias("n")), ["user_id", "n"]).select("user_id", "event_id")
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = read_table(spark, sf_dir, "events")
     return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from evidencelake.operators.lexical import chunk_fixed
 from evidencelake.scratch import materialize
@@ -92,13 +94,62 @@ def check_transitions(events: DataFrame) -> DataFrame:
     return events.select("job_id", "event_id", before.alias("before"), "status", F.array_contains(allowed, F.concat_ws(">", before, "status")).alias("legal"))
 
 
+def live_transitions(events: DataFrame) -> DataFrame:
+    """K-5: each status change ``job_id, event_id, ts, status`` of a stream with the status before it and whether the step is allowed.
+
+    The state of a job is its last status. A micro-batch's events of a job are taken in order of time and id; those that come in a
+    later micro-batch follow, whatever their time.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one job's events: a handful
+        before = [state.get[0] if state.exists else "created", *now["status"].tolist()[:-1]]
+        state.update((now["status"].iloc[-1],))
+        legal = [s in TRANSITIONS.get(b, ()) for b, s in zip(before, now["status"])]
+        yield pd.DataFrame({"job_id": key[0], "event_id": now["event_id"], "before": before, "status": now["status"], "legal": legal})
+
+    kind = f"job_id {dict(events.dtypes)['job_id']}, event_id long, before string, status string, legal boolean"
+    return events.select("job_id", "event_id", "ts", "status").groupBy("job_id").applyInPandasWithState(step, kind, "last string", "append", "NoTimeout")
+
+
+def live_buffer(events: DataFrame, capacity: int = 100, ttl: int = 3600) -> DataFrame:
+    """K-4: of a stream ``user_id, event_id, ts`` each session's buffer after a micro-batch: the newest ``capacity`` events not more than ``ttl`` seconds older than its newest.
+
+    The state of a session is its buffer, so a session with most of the events holds ``capacity`` of them and no more.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for pdf in batches:  # a hot session comes in several parts
+            seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
+            held = sorted([*held, *zip(seconds, pdf["event_id"])], reverse=True)[:capacity]
+        held = [x for x in held if x[0] >= held[0][0] - ttl]
+        state.update(([float(x[0]) for x in held], [int(x[1]) for x in held]))
+        yield pd.DataFrame({"user_id": key[0], "event_id": [int(x[1]) for x in held]})
+
+    kind = f"user_id {dict(events.dtypes)['user_id']}, event_id long"
+    known = events.where("ts is not null").select("user_id", "event_id", "ts")
+    return known.groupBy("user_id").applyInPandasWithState(keep, kind, "seconds array<double>, ids array<long>", "update", "NoTimeout")
+
+
 def enrich_new_documents(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """K-7: chunks of new documents written once each: repeats within the watermark are dropped, and a repeated batch overwrites its own folder."""
+    """K-7: chunks of new documents written once each below ``out``, whatever the time between repeats.
 
-    def write(batch: DataFrame, number: int) -> None:
-        chunk_fixed(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    The ids already done lie in files beside ``out``, so the stream itself keeps no state that grows; a micro-batch leaves out those of
+    earlier ones, and a repeated batch overwrites its own folders.
+    """
 
-    return stream.dropDuplicates(["doc_id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates(["doc_id"])
+        if number:
+            done = spark.read.schema("doc_id long, batch long").parquet(f"{out}-ids").where(F.col("batch") < number)
+            new = new.join(done.select("doc_id"), "doc_id", "left_anti")
+        ids = f"{out}-ids/batch={number}"
+        new.select(F.col("doc_id").cast("long").alias("doc_id")).write.mode("overwrite").parquet(ids)
+        fresh = batch.dropDuplicates(["doc_id"]).join(spark.read.schema("doc_id long").parquet(ids), "doc_id", "left_semi")
+        chunk_fixed(fresh).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_end(df: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import planning as P, text as T
 from evidencelake.operators import chunking as G, compare as M, gates as GA, joins as C, lexical as L, reports as R, usage as U, verify as H
 from evidencelake.scratch import join_per_key
+from evidencelake.streaming import events as K
 
 FAMILIES = {
     "Compare figures 1 and 2": "compare", "Show figure 3": "figure", "see fig.2": "figure", "see fig. 2": "fact", "Which rows matter?": "fact", "the caption of the figures": "figure", "columns of both tables": "table", "What does table 2 say?": "table",
@@ -168,3 +170,38 @@ def test_join_per_key(spark):
     got = {r.id: (r.k, r.v) for r in join_per_key(rows, keys, "k", hot=5).collect()}
     names = {1: "a", 3: "c"}
     assert got == {i: (k, names.get(k)) for i, k in ((i, 1 if i < 50 else i % 7 if i < 60 else None) for i in range(64))}
+
+
+def test_fold_in_the_row_equals_the_fold_of_items(spark):
+    rng = random.Random(4)
+    docs = [(i, "\n".join("x" * rng.choice((0, 1, 20, 90, 300, 700)) + rng.choice(("", " ", "y")) for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(99, None), (98, ""), (97, " \n ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = df.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    rows = lambda d: sorted(tuple(r) for r in d.select("paper_id", "chunk_no", "text", "first_pos", "last_pos").collect())
+    assert rows(G.fold_documents(df)) == rows(G.fold_chunks(items.withColumn("pos", F.col("pos").cast("long")))) != []
+
+
+def run_batches(spark, tmp_path, parts, schema, make, mode):
+    """Rows ``(batch, row)`` that a stream gives for each of some files, one a micro-batch."""
+    out = []
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = []
+        K.run_to_end(make(K.read_stream(spark, str(tmp_path / "in"), schema, 1000)), mode, str(tmp_path / "cp"), lambda df, i: got.extend(tuple(r) for r in df.collect()))
+        out.append(got)
+    return out
+
+
+def test_transitions_go_on_over_micro_batches(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    parts = [[(1, 2, at(2), "running"), (1, 1, at(1), "queued"), (2, 3, at(1), "completed")], [(1, 4, at(5), "completed"), (1, 5, at(6), "queued"), (2, 6, at(9), "queued")]]
+    got = run_batches(spark, tmp_path, parts, "job_id long, event_id long, ts timestamp, status string", K.live_transitions, "append")
+    assert sorted(got[0]) == [(1, 1, "created", "queued", True), (1, 2, "queued", "running", True), (2, 3, "created", "completed", False)]
+    assert sorted(got[1]) == [(1, 4, "running", "completed", True), (1, 5, "completed", "queued", False), (2, 6, "completed", "queued", False)]
+
+
+def test_buffers_evict_by_number_and_age(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    parts = [[(1, i, at(i)) for i in range(6)] + [(2, 50, at(0)), (3, 60, None)], [(1, 6, at(6)), (2, 51, at(100))]]
+    got = run_batches(spark, tmp_path, parts, "user_id long, event_id long, ts timestamp", lambda s: K.live_buffer(s, 4, 10), "update")
+    assert sorted(got[0]) == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 50)] and sorted(got[1]) == [(1, 3), (1, 4), (1, 5), (1, 6), (2, 51)]
