@@ -1,4 +1,9 @@
-"""A corpus pipeline of the llm operators: STAGES in order, each written as Parquet and read again."""
+"""A corpus pipeline of the llm operators: STAGES in order, each written as Parquet and read again.
+
+Every stage keeps the columns of its input (the last one gives digests instead) and takes any table with ``doc_id`` and ``text``:
+an empty table stays empty, rows that repeat are judged each, extra columns stay. What becomes of null and empty texts and null ids
+is stated with each stage.
+"""
 
 from __future__ import annotations
 
@@ -19,29 +24,29 @@ def whole_texts(spark: SparkSession) -> None:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    """Documents that pass the base rules and the risk-controlled cutoffs. Null and empty texts have no words and go."""
     whole_texts(spark)
     return keep_by_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on what is left, predicts good."""
+    """Documents that the rule ensemble, fitted on what is left, predicts good; null texts are scored as empty ones. Without labels of both kinds every row has one score."""
     whole_texts(spark)
     return keep_by_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The lowest id of each group of near copies."""
+    """The lowest id of each group of near copies. Texts without words are copies of none and stay, and so do rows with a null id."""
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Null and empty texts leak none; rows with a null id stay."""
     return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and decoded text of every document left."""
+    """Digests of the ids and decoded text of every document left; a null text counts as empty."""
     import public_tokenizers
 
     whole_texts(spark)

@@ -171,6 +171,31 @@ def test_licenses(spark):
     assert S.scan_licenses(df.limit(0), S.template_table(spark)).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").where("n_chars between 400 and 3000").orderBy("doc_id").limit(5).collect()
+    wide = "doc_id long, text string, lang string, source string, n_chars long, score double, class_id string"
+    odd = [(None, good[0].text), (900_001, None), (900_002, ""), (900_003, good[1].text), (900_003, good[1].text), (900_004, " \n")]
+    rows = [(*r, 0.5, "x") for r in good] + [(i, t, None, None, None, None, None) for i, t in odd]
+    for name, stage in P.STAGES:
+        empty = stage(spark, spark.createDataFrame([], wide), sf)
+        assert empty.count() == 0, name
+        df = spark.createDataFrame(rows, wide)
+        out = stage(spark, df, sf)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "tokens":
+            assert len(ids) == len(rows) and out.where("n_tokens = 0").count() == 3
+        else:
+            assert out.columns == df.columns and set(out.collect()) <= set(df.collect()), name
+        if name in ("near_duplicates", "decontamination"):
+            assert {900_001, 900_002, 900_004, None} <= set(ids), name
+        if name == "quality_rules":
+            assert not {900_001, 900_002, 900_004} & set(ids) and ids.count(900_003) in (0, 2)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     import public_tokenizers
