@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidencelake.functions.text import first_rule, has_any
+from evidencelake.functions.text import first_rule, has_any, year_range
 from evidencelake.operators.filters import either
 
 #: Words that ask for images and for tables, and the weights they set (fixed values).
@@ -19,7 +19,7 @@ INTENTS = [
     (["method", "methodology", "approach", "technique", "方法", "方法论", "技术", "实现方法", "算法"], "method"),
     (["results", "findings", "outcomes", "data", "结果", "发现", "数据", "实验结果", "性能"], "results"),
     (["code", "implementation", "algorithm", "script", "代码", "实现", "算法", "源码", "开源"], "code"),
-    (["references", "citations", "bibliography", "related", "参考文献", "引用", "相关工作"], "references"),
+    (["references", "citations", "bibliography", "related", "参考文献", "引用", "相关工作", "文献"], "references"),
 ]
 #: Patterns of complex and of simple questions; complex ones first (fixed values).
 COMPLEX = ["比较.*差异", "比较.*分析", "对比.*不同", ".*的区别", ".*和.*的差异", ".*与.*对比", ".*和.*的比较", ".*论文.*比较", "演进.*历程", ".*发展历程", "版本演进", "从.*到.*的演进", ".*发展脉络", "这几篇.*论文", "多个论文.*", "多篇.*", "所有论文.*", "优缺点", "研究现状", "综述", "局限性", "改进建议", "未来.*方向"]
@@ -45,9 +45,36 @@ def _low(q: Column) -> Column:
     return F.lower(F.coalesce(q, F.lit("")))
 
 
+#: Phrases that ask for an intent where none of its words does; matched without case (fixed values).
+INTENT_PATTERNS = {
+    "compare": [r"(.+)和(.+)的(区别|差异|对比)", r"比较(.+)与(.+)", r"(.+)\s+vs\s+(.+)", r"(.+)和(.+)哪个(更好|更优)"],
+    "evolution": [r"从(.+)到(.+)的(发展|演进|演变)", r"(.+)的(演进过程|发展历程)", r"(.+)的发展历史"],
+    "summary": [r"总结(一下)?(.+)", r"(.+)的(主要贡献|核心思想)", r"(概述|简介)(.+)"],
+    "method": [r"(how does|explain the) (method|methodology|approach)", r"what (method|approach|technique)", r"(.+)的(方法|方法论)", r"(method|methodology|approach) (of|for|section)"],
+    "results": [r"(what are|show) (the )?(results|findings|outcomes)", r"(.+)的(结果|发现)", r"(results|findings) (of|from)"],
+    "code": [r"(show|give me) (the )?code", r"(implementation|code) (details|for)", r"(.+)的(代码|实现)"],
+    "references": [r"(list|show) (references|citations)", r"(.+)的参考文献", r"(references|citations|bibliography) (of|for)", r"related work"],
+}
+
+
 def detect_intent(q: Column) -> Column:
-    """F-4: intent by the first list with a word in the question; ``question`` if none."""
-    return first_rule([(has_any(_low(q), w), n) for w, n in INTENTS], "question")
+    """F-4: the first intent of which a word is in the question or else a pattern fits it; ``question`` if none."""
+    raw = F.coalesce(q, F.lit(""))
+    return first_rule([(either([has_any(_low(q), w), *(raw.rlike(f"(?i){p}") for p in INTENT_PATTERNS.get(n, []))]), n) for w, n in INTENTS], "question")
+
+
+def metadata_filters(q: Column, this_year: int) -> Column:
+    """F-15: ``year_from, year_to, author, keywords`` that a question asks for; each null if it does not.
+
+    Years: "2023年", "2020-2023", "最近3年" (up to ``this_year``), else those of ``year_range``. The author: after "author:", or a name before 的.
+    """
+    t = F.coalesce(q, F.lit(""))
+    get = lambda p, i=1: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    one, two, last = r"(\d{4})年", r"(\d{4})-(\d{4})", r"最近(\d+)年"
+    other = year_range(q)
+    years = lambda i: F.coalesce(get(one).cast("int"), get(two, i).cast("int"), F.when(t.rlike(last), this_year - (get(last).cast("int") if i == 1 else 0)), other["year_from" if i == 1 else "year_to"])
+    author = F.coalesce(get(r"author[:\s]+([A-Za-z\x{4e00}-\x{9fa5}]+)"), get(r"(?:^|年|\s)([\x{4e00}-\x{9fa5}]{2,3})的"), get(r"([A-Z][a-z]+(?:[A-Z][a-z]+)?)的"))
+    return F.struct(years(1).alias("year_from"), years(2).alias("year_to"), author.alias("author"), F.coalesce(F.nullif(F.trim(get("关于(.+)的")), F.lit("")), F.nullif(F.trim(get("(.+)相关")), F.lit(""))).alias("keywords"))
 
 
 def detect_modality(q: Column) -> Column:
@@ -73,7 +100,7 @@ def query_plan(questions: DataFrame, family: str = "family", depth: str = "depth
     table = F.create_map(*[x for d, v in DEPTHS.items() for x in (F.lit(d), F.array(*[F.lit(n) for n in v]))])
     chosen = F.coalesce(table[F.lower(F.col(depth))], F.array(*[F.lit(n) for n in DEFAULT_BUDGET]))
     wide = F.col(family).isin("compare", "cross_paper", "survey", "related_work", "method_evolution", "conflicting_evidence")
-    extra = {"graph_top_k": F.when(wide, 80).otherwise(50), "caption_top_k": F.when(F.col(family).isin("table", "figure"), 80).otherwise(50), "numeric_top_k": F.when(F.col(family) == "numeric", 80).otherwise(50)}
+    extra = {"graph_top_k": F.when(wide, 80).otherwise(50), "caption_top_k": F.when(F.col(family).isin("table", "figure"), 80).otherwise(50), "numeric_top_k": F.when(F.col(family) == "numeric", 80).otherwise(50), "lexical_top_k": F.lit(120)}
     return questions.withColumn("__b", chosen).withColumns({**{n: F.get("__b", F.lit(i)) for i, n in enumerate(names)}, **extra}).drop("__b")
 
 

@@ -80,10 +80,16 @@ def infer_query_family(q: Column) -> Column:
     return first_rule([(reduce(lambda a, b: a & b, [low.rlike(p) for p in ps]), f) for ps, f in FAMILY_RULES], "fact")
 
 
-def planner_family(q: Column) -> Column:
-    """F-2: the planner's family."""
+#: Families of the planner that an intent stands for (fixed values).
+INTENT_FAMILIES = {"compare": "compare", "evolution": "evolution", "summary": "survey"}
+
+
+def planner_family(q: Column, intent: Column | None = None) -> Column:
+    """F-2: the planner's family; an ``intent`` counts as a word of its family."""
     low = F.lower(F.coalesce(q, F.lit("")))
-    return first_rule([(has_any(low, w), f) for w, f in PLANNER_RULES], "fact")
+    meant = F.lower(F.coalesce(intent, F.lit(""))) if intent is not None else F.lit("")
+    named = {f: i for i, f in INTENT_FAMILIES.items()}
+    return first_rule([(has_any(low, w) | (meant == named[f] if f in named else F.lit(False)), f) for w, f in PLANNER_RULES], "fact")
 
 
 def decomposer_family(q: Column) -> Column:

@@ -29,6 +29,18 @@ def valid_vectors(df: DataFrame, dim: int, col: str = "embedding") -> Column:
     return F.coalesce((F.size(col) == dim) & F.exists(col, lambda v: v != 0), F.lit(False))
 
 
+def write_vectors(df: DataFrame, path: str, dim: int, col: str = "embedding") -> DataFrame:
+    """A-5: the rows with a valid vector as Parquet below ``path``, and how many were left out and why: ``reason, n``.
+
+    ``reason``: ``kept``, ``no_embedding`` (null, empty or all zero) or ``wrong_dimension``. Tasks write to names of their own that the commit makes
+    visible at once, so retried tasks leave no vector twice.
+    """
+    some = F.coalesce(F.exists(col, lambda v: v != 0), F.lit(False))
+    reason = F.when(~some, "no_embedding").when(F.size(col) != dim, "wrong_dimension").otherwise("kept")
+    df.where(valid_vectors(df, dim, col)).write.mode("overwrite").parquet(path)
+    return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def _block_top(ids: np.ndarray, queries: np.ndarray, k: int, drop_same: bool) -> Callable:
     """Each batch's k best vectors of every query of a block: no more rows leave a task than k for each query and batch."""
 

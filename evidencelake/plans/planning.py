@@ -13,7 +13,10 @@ from evidencelake.plans.understanding import CASE, FAMILY
 MATCH = lambda col, patterns: "(" + " OR ".join(f"regexp_matches({col}, '{p}')" for p in patterns) + ")"
 
 
-@q("question_plans", f"""SELECT query_id, {CASE('lower(question)', P.INTENTS, 'question')} AS intent, {CASE('lower(question)', [(P.IMAGE_WORDS, 'image_weighted'), (P.TABLE_WORDS, 'table_weighted')], 'default')} AS modality,
+INTENT = "CASE " + " ".join("WHEN " + " OR ".join([f"contains(lower(question), '{w}')" for w in ws] + [f"regexp_matches(question, '(?i){p}')" for p in P.INTENT_PATTERNS.get(n, [])]) + f" THEN '{n}'" for ws, n in P.INTENTS) + " ELSE 'question' END"
+
+
+@q("question_plans", f"""SELECT query_id, {INTENT} AS intent, {CASE('lower(question)', [(P.IMAGE_WORDS, 'image_weighted'), (P.TABLE_WORDS, 'table_weighted')], 'default')} AS modality,
 CASE WHEN {MATCH('question', P.COMPLEX)} THEN 'complex' WHEN {MATCH('question', P.SIMPLE)} THEN 'simple' ELSE 'default' END AS complexity FROM questions_v""", "questions_v")
 def question_plans(x):
     c = F.col("question")
@@ -22,10 +25,10 @@ def question_plans(x):
 
 @q("query_budgets", f"""WITH f AS (SELECT query_id, {FAMILY} AS family, CASE p_size % 4 WHEN 0 THEN 'shallow' WHEN 1 THEN 'medium' WHEN 2 THEN 'deep' ELSE 'auto' END AS depth FROM questions_v)
 SELECT query_id, CASE depth WHEN 'shallow' THEN 6 WHEN 'medium' THEN 10 WHEN 'deep' THEN 16 ELSE 12 END AS paper_top_k, CASE depth WHEN 'shallow' THEN 24 WHEN 'medium' THEN 40 WHEN 'deep' THEN 72 ELSE 180 END AS pool_max,
-CASE WHEN family IN ('compare', 'cross_paper', 'survey', 'related_work', 'method_evolution', 'conflicting_evidence') THEN 80 ELSE 50 END AS graph_top_k, CASE WHEN family IN ('table', 'figure') THEN 80 ELSE 50 END AS caption_top_k FROM f""", "questions_v")
+CASE WHEN family IN ('compare', 'cross_paper', 'survey', 'related_work', 'method_evolution', 'conflicting_evidence') THEN 80 ELSE 50 END AS graph_top_k, CASE WHEN family IN ('table', 'figure') THEN 80 ELSE 50 END AS caption_top_k, 120 AS lexical_top_k FROM f""", "questions_v")
 def query_budgets(x):
     depth = F.when(F.col("p_size") % 4 == 0, "shallow").when(F.col("p_size") % 4 == 1, "medium").when(F.col("p_size") % 4 == 2, "deep").otherwise("auto")
-    return P.query_plan(x.withColumns({"family": T.infer_query_family(F.col("question")), "depth": depth})).select("query_id", "paper_top_k", "pool_max", "graph_top_k", "caption_top_k")
+    return P.query_plan(x.withColumns({"family": T.infer_query_family(F.col("question")), "depth": depth})).select("query_id", "paper_top_k", "pool_max", "graph_top_k", "caption_top_k", "lexical_top_k")
 
 
 PLANNER = CASE("lower(question)", T.PLANNER_RULES, "fact")

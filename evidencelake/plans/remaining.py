@@ -173,3 +173,18 @@ def graph_candidates(c, li):
     queries = c.select(F.col("c_custkey").alias("query_id"), F.when(r == 0, "compare").when(r == 1, "numeric").otherwise("fact").alias("family"), (F.col("c_custkey") % 50).alias("subject"))
     relations = li.select(F.col("l_orderkey").alias("paper_id"), (F.col("l_suppkey") % 50).alias("subject"), F.when(F.col("l_linenumber") % 2 == 0, "improves_metric_on_dataset").otherwise("compares_against_baseline").alias("predicate"))
     return J.graph_candidates(queries, relations).withColumn("predicates", F.array_join("predicates", ","))
+
+
+@q("metadata_filters", """SELECT query_id, CASE k WHEN 0 THEN 2023 WHEN 1 THEN 2019 WHEN 2 THEN 2021 END AS year_from, CASE k WHEN 0 THEN 2023 WHEN 1 THEN 2022 WHEN 2 THEN 2024 END AS year_to, CASE k WHEN 0 THEN '张三' WHEN 1 THEN 'LeCun' WHEN 2 THEN 'Hinton' END AS author, CASE k WHEN 0 THEN '注意力机制' WHEN 2 THEN '最近3年 author: Hinton 图' END AS keywords FROM (SELECT query_id, query_id % 4 AS k FROM questions_v)""", "questions_v")
+def metadata_filters(x):
+    k = F.col("query_id") % 4
+    asked = F.when(k == 0, "2023年张三的关于注意力机制的论文").when(k == 1, "LeCun的论文 2019-2022").when(k == 2, "最近3年 author: Hinton 图相关").otherwise("what is attention")
+    return x.select("query_id", P.metadata_filters(asked, 2024).alias("m")).select("query_id", "m.*")
+
+
+@q("planner_families", """SELECT query_id, CASE WHEN query_id % 3 = 0 OR regexp_matches(lower(question), 'compare|vs|versus|difference|对比|比较') THEN 'compare' WHEN regexp_matches(lower(question), 'evolution|timeline|trend|演化|发展|迭代') THEN 'evolution' WHEN query_id % 3 = 1 OR regexp_matches(lower(question), 'survey|overview|综述|总结|review of') THEN 'survey' ELSE 'rest' END AS family FROM questions_v""", "questions_v")
+def planner_families(x):
+    from evidencelake.functions.text import planner_family
+
+    f = planner_family(F.col("question"), F.when(F.col("query_id") % 3 == 0, "Compare").when(F.col("query_id") % 3 == 1, "summary"))
+    return x.select("query_id", F.when(f.isin("compare", "evolution", "survey"), f).otherwise("rest").alias("family"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import planning as P, text as T
-from evidencelake.operators import chunking as G, compare as M, gates as GA, joins as C, lexical as L, reports as R, usage as U, verify as H
+from evidencelake.operators import chunking as G, compare as M, gates as GA, joins as C, lexical as L, reports as R, usage as U, vectors as V, verify as H
 from evidencelake.scratch import join_per_key
 from evidencelake.streaming import events as K
 
@@ -205,3 +205,21 @@ def test_buffers_evict_by_number_and_age(spark, tmp_path):
     parts = [[(1, i, at(i)) for i in range(6)] + [(2, 50, at(0)), (3, 60, None)], [(1, 6, at(6)), (2, 51, at(100))]]
     got = run_batches(spark, tmp_path, parts, "user_id long, event_id long, ts timestamp", lambda s: K.live_buffer(s, 4, 10), "update")
     assert sorted(got[0]) == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 50)] and sorted(got[1]) == [(1, 3), (1, 4), (1, 5), (1, 6), (2, 51)]
+
+
+def test_intents_by_word_or_pattern(spark):
+    want = {"YOLOv3和YOLOv4的区别": "compare", "从YOLOv1到YOLOv4的演进": "evolution", "总结一下这篇论文": "summary", "论文使用的方法是什么": "method", "实验结果怎么样": "results", "有代码实现吗": "code", "列出参考文献": "references", "什么是注意力机制": "question", "BERT和GPT哪个更好": "compare", "模型简介如下": "summary"}
+    df = spark.createDataFrame([(q,) for q in want], "q string")
+    assert {r.q: r.i for r in df.select("q", P.detect_intent(F.col("q")).alias("i")).collect()} == want
+
+
+def test_metadata_filters(spark):
+    want = {"2023年张三的关于注意力机制的论文": (2023, 2023, "张三", "注意力机制"), "深度学习相关": (None, None, None, "深度学习"), "author: Hinton 最近3年": (2021, 2024, "Hinton", None), "since 2018": (2018, None, None, None), None: (None,) * 4}
+    df = spark.createDataFrame([(q,) for q in want], "q string")
+    assert {r.q: tuple(r.m) for r in df.select("q", P.metadata_filters(F.col("q"), 2024).alias("m")).collect()} == want
+
+
+def test_vectors_left_out(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0])], "vec_id int, embedding array<float>")
+    report = {r.reason: r.n for r in V.write_vectors(df, str(tmp_path / "v"), 2).collect()}
+    assert report == {"kept": 1, "no_embedding": 3, "wrong_dimension": 1} and [r.vec_id for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [1]
