@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.operators.usage import long_metrics, percentile_nearest
+from evidencelake.scratch import broadcast_if_small
+
+MAX_FAMILIES = 1_000_000
 
 #: Release limits: metric, at least or at most, value (fixed values).
 THRESHOLDS = [("recall_at_5", "min", 0.75), ("citation_coverage", "min", 0.85), ("unsupported_rate", "max", 0.1), ("consistency", "min", 0.65), ("latency_p95", "max", 8.0)]
@@ -87,10 +90,12 @@ def required_missing(have: DataFrame, want: DataFrame, on: list[str]) -> DataFra
 
 
 def stratified_sample(df: DataFrame, family: str, key: str, n: int, seed: int = 7) -> DataFrame:
-    """G-14: one row of each family, then others, in the order of a seeded hash, n in all."""
-    h = F.xxhash64(F.lit(seed), key)
-    first = df.withColumn("__f", F.row_number().over(Window.partitionBy(family).orderBy(h, key)) > 1)
-    return first.orderBy("__f", h, key).limit(n).drop("__f")
+    """G-14: one row of each family, then others, in the order of a seeded hash, n in all. A family sends its least rows only."""
+    h = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    rows = df.withColumn("__h", h)
+    first = rows.groupBy(family).agg(F.min(F.struct("__h", key)).alias("__m")).select(F.col(f"__m.{key}").alias("__k"))
+    marked = rows.join(broadcast_if_small(first, MAX_FAMILIES), F.col(key) == F.col("__k"), "left").withColumn("__f", F.col("__k").isNull())
+    return marked.orderBy("__f", "__h", key).limit(n).drop("__f", "__h", "__k")
 
 
 def corpus_check(papers: DataFrame, queries: DataFrame, min_papers: int, min_queries: int, families: list[str], disciplines: list[str]) -> DataFrame:

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.operators.filters import clamp
+from evidencelake.scratch import broadcast_if_small
+
+MAX_DIMENSIONS = 10_000
 
 BALANCED = ("compare", "cross_paper", "survey", "related_work", "method_evolution", "conflicting_evidence")
 
@@ -155,9 +158,9 @@ def next_chunk_edges(chunks: DataFrame) -> DataFrame:
 
 
 def best_cell(scored: DataFrame, papers: DataFrame, dimensions: DataFrame) -> DataFrame:
-    """E-22: for each paper and dimension the best candidate of positive score, else ``not_enough_evidence``."""
+    """E-22: for each paper and dimension the best candidate of positive score, else ``not_enough_evidence``; the dimensions go to all tasks if few by count."""
     best = top_k(scored.where("score > 0"), ["paper_id", "dimension"], "score", "chunk_id", 1).drop("rank")
-    grid = papers.select("paper_id").distinct().crossJoin(F.broadcast(dimensions.select("dimension").distinct()))
+    grid = papers.select("paper_id").distinct().crossJoin(broadcast_if_small(dimensions.select("dimension").distinct(), MAX_DIMENSIONS))
     out = grid.join(best, ["paper_id", "dimension"], "left")
     return out.withColumn("status", F.when(F.col("chunk_id").isNull(), "not_enough_evidence").otherwise("supported"))
 

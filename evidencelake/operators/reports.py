@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evidencelake.functions.text import CITATION, cosine
 from evidencelake.operators.ranking import top_k
 from evidencelake.operators.vectors import knn_join
+from evidencelake.scratch import broadcast_if_small
+
+VENUE_PART, MAX_VENUES = 10_000, 1_000_000
 
 
 def run_summary(cases: DataFrame) -> DataFrame:
@@ -150,22 +153,33 @@ def ontology_slice(texts: DataFrame, patterns: dict[str, str] = ONTOLOGY) -> tup
 
 
 def golden_generator(papers: DataFrame, seed: int = 11) -> DataFrame:
-    """G-13: a topic question for each paper, and comparison questions of neighbours in a seeded order within each venue."""
+    """G-13: a topic question for each paper, and comparison questions of neighbours in a seeded order within each venue.
+
+    A venue of more than VENUE_PART papers is dealt by the same hash into parts of about that size, and neighbours lie in one part.
+    """
     topic = papers.select(F.concat(F.lit("t"), F.col("paper_id").cast("string")).alias("golden_id"), F.concat(F.lit("What is the topic of "), "title", F.lit("?")).alias("query"), F.array("paper_id").alias("paper_ids"))
-    w = Window.partitionBy("venue").orderBy(F.xxhash64(F.lit(seed), "paper_id"), "paper_id")
-    pairs = papers.select("paper_id", "title", F.lead("paper_id").over(w).alias("other"), F.lead("title").over(w).alias("other_title")).where("other is not null")
+    sizes = papers.groupBy(F.col("venue").alias("__v")).agg(F.ceil(F.count("*") / VENUE_PART).alias("__parts"))
+    keyed = papers.select("paper_id", "title", "venue", F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("paper_id").cast("string"))).alias("__h"))
+    dealt = keyed.join(broadcast_if_small(sizes, MAX_VENUES), F.col("venue").eqNullSafe(F.col("__v"))).withColumn("__part", F.conv(F.substring("__h", 1, 7), 16, 10).cast("long") % F.col("__parts"))
+    w = Window.partitionBy("venue", "__part").orderBy("__h", "paper_id")
+    pairs = dealt.select("paper_id", "title", F.lead("paper_id").over(w).alias("other"), F.lead("title").over(w).alias("other_title")).where("other is not null")
     compare = pairs.select(F.concat(F.lit("c"), F.col("paper_id").cast("string")).alias("golden_id"), F.concat(F.lit("Compare "), "title", F.lit(" and "), "other_title").alias("query"), F.array("paper_id", "other").alias("paper_ids"))
     return topic.unionByName(compare)
 
 
 def corpus_split(papers: DataFrame, quotas: dict[str, int], by: str, order: list[Column | str]) -> DataFrame:
-    """G-15: ``split`` of each row: up to its quota in each group in an order, the rest ``train``; the ``blind`` part keeps no gold field."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    col, before = F.lit("train"), sum(quotas.values())
+    """G-15: ``split`` of each row: up to its quota in each group in an order, the rest ``train``; the ``blind`` part keeps no gold field.
+
+    Only the rows within the quotas are ranked: Spark cuts each group to them before the shuffle. The order ends in the name of the column that tells rows apart.
+    """
+    key = order[-1]
+    n, total = F.row_number().over(Window.partitionBy(by).orderBy(*order)), sum(quotas.values())
+    col, before = F.lit("train"), total
     for name, quota in reversed(quotas.items()):
         before -= quota
-        col = F.when((n > before) & (n <= before + quota), name).otherwise(col)
-    out = papers.withColumn("split", col)
+        col = F.when((F.col("__n") > before) & (F.col("__n") <= before + quota), name).otherwise(col)
+    top = papers.withColumn("__n", n).where(F.col("__n") <= total).select(F.col(key).alias("__k"), col.alias("split"))
+    out = papers.join(top, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumn("split", F.coalesce("split", F.lit("train")))
     return out.withColumn("gold", F.when(F.col("split") != "blind", F.col("gold"))) if "gold" in papers.columns else out
 
 

@@ -120,7 +120,9 @@ def ontology_relations(c):
     return R.ontology_slice(c.select("chunk_id", F.concat("content", said).alias("content")))[1]
 
 
-@q("golden_generator", None, "papers_v")
+@q("golden_generator", """WITH p AS (SELECT paper_id, title, venue, md5('11|' || paper_id) AS h, CAST(ceil(count(*) OVER (PARTITION BY venue) / 10000) AS BIGINT) AS parts FROM papers_v), d AS (SELECT *, CAST('0x' || substr(h, 1, 7) AS BIGINT) % parts AS part FROM p),
+n AS (SELECT paper_id, title, lead(paper_id) OVER w AS other, lead(title) OVER w AS other_title FROM d WINDOW w AS (PARTITION BY venue, part ORDER BY h, paper_id))
+SELECT 't' || paper_id AS golden_id, 'What is the topic of ' || title || '?' AS query, CAST(paper_id AS STRING) AS paper_ids FROM p UNION ALL SELECT 'c' || paper_id, 'Compare ' || title || ' and ' || other_title, paper_id || ',' || other FROM n WHERE other IS NOT NULL""", "papers_v")
 def golden_generator(p):
     return R.golden_generator(p).withColumn("paper_ids", F.array_join(F.col("paper_ids").cast("array<string>"), ","))
 

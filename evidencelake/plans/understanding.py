@@ -242,6 +242,6 @@ def benchmark_summary(e):
     return G.benchmark_summary(r).drop("synthetic", "hard_errors")
 
 
-@q("stratified_sample", None, "events")
+@q("stratified_sample", "WITH h AS (SELECT event_id, event_type, md5('7|' || event_id) AS h FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) > 1 AS f FROM h) SELECT event_id, event_type FROM f ORDER BY f, h, event_id LIMIT 50", "events")
 def stratified_sample(e):
     return G.stratified_sample(e, "event_type", "event_id", 50).select("event_id", "event_type")

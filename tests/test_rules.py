@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import planning as P, text as T
 from evidencelake.operators import chunking as G, compare as M, gates as GA, joins as C, lexical as L, reports as R, usage as U, vectors as V, verify as H
+from evidencelake.plans.catalog import QUERIES
 from evidencelake.scratch import join_per_key
 from evidencelake.streaming import events as K
 
@@ -223,3 +226,70 @@ def test_vectors_left_out(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0])], "vec_id int, embedding array<float>")
     report = {r.reason: r.n for r in V.write_vectors(df, str(tmp_path / "v"), 2).collect()}
     assert report == {"kept": 1, "no_embedding": 3, "wrong_dimension": 1} and [r.vec_id for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def first_lines(spark):
+    return [(r.doc_id, r.text.split("\n")[0], r.source, r.lang, hashlib.md5(r.text.encode()).hexdigest()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_title_matches_of_the_whole_table_equal_brute_force(spark):
+    docs, want = first_lines(spark), {}
+    for i, a, s, *_ in docs:
+        if i % 2:
+            scored = [(-C.indel_ratio(a.lower(), b.lower()) * (1 if C.indel_ratio(s, t) > 70 else 0.85), j) for j, b, t, *_ in docs if j % 2 == 0 and C.indel_ratio(a.lower(), b.lower()) >= 85]
+            best = min((x for x in scored if -x[0] >= 85), default=None)
+            if best:
+                want[i] = (best[1], round(-best[0], 9))
+    got = {r.job_id: (r.paper_id, round(r.match_score, 9)) for r in QUERIES["fuzzy_title_match"](spark, SF).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_merged_results_of_the_whole_table_equal_a_plain_loop(spark):
+    scopes, want = {}, set()
+    for i, title, source, lang, digest in first_lines(spark):
+        scopes.setdefault((source, lang), []).append((i % 3 != 0, i, digest, title.lower()))
+    for rows in scopes.values():
+        ids, titles = set(), []
+        for _, i, digest, title in sorted(rows):
+            if digest in ids:
+                continue
+            ids.add(digest)
+            if not any(C.indel_ratio(title, t) > 90 for t in titles):
+                titles.append(title)
+                want.add(i)
+    assert {r.result_id for r in QUERIES["merge_search_results"](spark, SF).collect()} == want and len(want) > 100
+
+
+def plain_linkage(unit, cutoff):
+    """Average linkage by computing every mean distance anew."""
+    clusters, d = [[i] for i in range(len(unit))], 1 - unit @ unit.T
+    while len(clusters) > 1:
+        mean, a, b = min((d[np.ix_(x, y)].mean(), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j)
+        if mean > cutoff:
+            break
+        clusters[a] += clusters.pop(b)
+    return {frozenset(c) for c in clusters}
+
+
+def test_clusters_and_trees_of_the_table_equal_plain_linkage(spark):
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = {}
+    for r in QUERIES["page_clusters"](spark, SF).collect():
+        got.setdefault(r.group_id, {}).setdefault(r.cluster, []).append(r.vec_id)
+    for group, clusters in got.items():
+        ids = sorted(i for c in clusters.values() for i in c)
+        unit = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+        assert {frozenset(c) for c in clusters.values()} == {frozenset(ids[i] for i in c) for c in plain_linkage(unit, 0.8)}
+    tree = QUERIES["raptor_tree"](spark, SF).collect()
+    for paper in {r.paper_id for r in tree}:
+        leaves = {int(r.node[1:]): r.parent for r in tree if r.paper_id == paper and r.level == 0}
+        ids = sorted(leaves)
+        unit = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+        parts = {}
+        for i, parent in leaves.items():
+            parts.setdefault(parent, set()).add(i)
+        want = {frozenset(ids[i] for i in c) for c in plain_linkage(unit, 0.9)}
+        assert (set(map(frozenset, parts.values())) == want) if None not in parts else len(want) == len(ids)
