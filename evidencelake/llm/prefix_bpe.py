@@ -29,7 +29,7 @@ from evidencelake.llm.token_files import byte_alphabet
 from evidencelake.llm.wordcache import TwoGenerations
 from evidencelake.llm.workers import tidy
 
-CACHED_WORDS, CACHED_PAIRS, SLICE = 100_000, 300_000, 256
+CACHED_WORDS, CACHED_PAIRS, SLICE = 200_000, 300_000, 256
 #: White space in the sense of the tokenizer's normalizer (fixed values); str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
