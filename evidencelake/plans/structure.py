@@ -13,10 +13,19 @@ from evidencelake.sources.tables import read_table
 from evidencelake.streaming import events as K
 
 
-@q("chunk_quality", """WITH s AS (SELECT paper_id, avg(length(content)) AS m, var_pop(length(content)) AS v, avg(CASE WHEN regexp_matches(content, '[.!?]\\s*$') THEN 1 ELSE 0 END) AS b FROM chunks_v GROUP BY 1)
-SELECT paper_id, round(0.4 * greatest(0, 1 - abs(m - 120) / 120) + 0.3 * greatest(0, 1 - sqrt(v) / 120) + 0.3 * b, 6) AS quality FROM s""", "chunks_v")
+@q("chunk_quality", r"""WITH w AS (SELECT paper_id, CASE WHEN pos % 2 = 0 THEN 'introduction' ELSE 'other' END AS section, len(list_filter(regexp_split_to_array(CASE WHEN pos % 3 = 0 THEN 'Theorem 1. ' ELSE '' END || content, '\s+'), lambda x: x <> '')) AS w, pos % 3 = 0 AS special FROM chunks_v),
+p AS (SELECT paper_id, section, count(*) AS n, avg(w) AS m, CASE section WHEN 'introduction' THEN 19 ELSE 15 END AS own FROM w GROUP BY ALL), k AS (SELECT paper_id, count(*) FILTER (n > 1 AND abs(m - own) / own < 0.2) AS near FROM p GROUP BY 1),
+s AS (SELECT paper_id, avg(w) AS mean, var_pop(w) AS variance, greatest(0, 1 - 0.1 * count(*) FILTER (special AND w > 16 * 1.2)) AS boundary FROM w GROUP BY 1)
+SELECT paper_id, round(boundary, 6) AS boundary, round(least(1, 0.8 + 0.05 * near), 6) AS coherence, round(0.3 * greatest(0, 1 - abs(mean - 15) / 15) + 0.2 * CASE WHEN variance < 100 THEN 1 WHEN variance < 300 THEN 0.7 WHEN variance < 500 THEN 0.4 ELSE 0.1 END + 0.25 * boundary + 0.25 * least(1, 0.8 + 0.05 * near), 6) AS quality FROM s JOIN k USING (paper_id)""", "chunks_v")
 def chunk_quality(c):
-    return G.chunk_quality(c).select("paper_id", F.round("quality", 6).alias("quality"))
+    text = F.concat(F.when(F.col("pos") % 3 == 0, "Theorem 1. ").otherwise(""), "content")
+    out = G.chunk_quality(c.select("paper_id", F.when(F.col("pos") % 2 == 0, "introduction").otherwise("other").alias("section"), text.alias("content")), 15, 16)
+    return out.select("paper_id", *[F.round(n, 6).alias(n) for n in ("boundary", "coherence", "quality")])
+
+
+@q("chunk_semantic", None, "chunks_v")
+def chunk_semantic(c):
+    return G.chunk_semantic(c.select("paper_id", "pos", "page_num", F.lower("section").alias("section"), F.col("content").alias("text")), 40, 6)
 
 
 @q("section_summaries", """WITH o AS (SELECT paper_id, section, substr(content, 1, 60) AS h, min(pos) AS pos, min(chunk_id) AS chunk_id FROM chunks_v GROUP BY ALL) SELECT paper_id, section, array_to_string(list(h ORDER BY pos, h)[1:3], ' ') AS summary, array_to_string(list(chunk_id ORDER BY pos, h), ',') AS chunk_ids FROM o GROUP BY ALL""", "chunks_v")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import planning as P, text as T
 from evidencelake.operators import chunking as G, compare as M, gates as GA, joins as C, lexical as L, reports as R, usage as U, vectors as V, verify as H
 from evidencelake.plans.catalog import QUERIES
+from evidencelake.plans.views import frame
 from evidencelake.scratch import join_per_key
 from evidencelake.streaming import events as K
 
@@ -293,3 +294,34 @@ def test_clusters_and_trees_of_the_table_equal_plain_linkage(spark):
             parts.setdefault(parent, set()).add(i)
         want = {frozenset(ids[i] for i in c) for c in plain_linkage(unit, 0.9)}
         assert (set(map(frozenset, parts.values())) == want) if None not in parts else len(want) == len(ids)
+
+
+def test_semantic_chunks_of_the_table_equal_a_plain_loop(spark):
+    rows, got = {}, {}
+    for r in frame(spark, SF, "chunks_v").collect():
+        rows.setdefault(r.paper_id, []).append((r.pos, r.page_num, r.section.lower(), r.content))
+    for r in QUERIES["chunk_semantic"](spark, SF).collect():
+        got.setdefault(r.paper_id, []).append((r.chunk_no, r.section, r.page_start, r.page_end, r.words, r.text))
+    assert got.keys() == rows.keys()
+    for paper, items in rows.items():
+        chunks = []
+        for _, page, section, text in sorted(items):
+            n = len(text.split())
+            if chunks and len(chunks[-1][0].split()) < 40 and n < 50 and len(chunks[-1][0].split()) + n <= 600:
+                chunks[-1] = (chunks[-1][0] + "\n\n" + text, section, chunks[-1][2], page)
+            else:
+                chunks.append((text, section, page, page))
+        texts = []
+        for text, *_ in chunks:
+            texts.append(" ".join(texts[-1].split()[-6:]) + "\n\n" + text if texts else text)
+        assert sorted(got[paper]) == [(i, s, a, b, len(t.split()), t) for i, ((_, s, a, b), t) in enumerate(zip(chunks, texts))]
+
+
+def test_semantic_chunks_by_hand(spark):
+    rows = [(1, 0, 1, "introduction", "w " * 30), (1, 1, 1, "methods", "Theorem 2 holds"), (1, 2, 2, "", "short figure"), (1, 3, 2, None, "x " * 60), (1, 4, 2, "results", " "), (1, 5, 3, "results", "y = 3"), (2, 0, 1, None, None)]
+    df = spark.createDataFrame(rows, "paper_id int, pos int, page_num int, section string, text string")
+    got = [(r.chunk_no, r.section, r.page_start, r.page_end, r.start, r.end, r.words, r.equations, r.figures, r.special) for r in G.chunk_semantic(df, overlap=2).orderBy("chunk_no").collect()]
+    assert got == [
+        (0, "introduction", 1, 1, 0, 60, 30, False, False, False), (1, "methods", 1, 1, 61, 76, 5, False, False, True), (2, "", 2, 2, 0, 12, 4, False, True, False),
+        (3, "results", 2, 3, 13, 133, 65, False, False, False),
+    ]
