@@ -230,13 +230,13 @@ def repair_hints(a, c):
     return H.repair_hints(H.verify_claims(H.extract_claims(a), sources(c)))
 
 
-@q("benchmark_summary", """WITH r AS (SELECT user_id AS run_id, event_id % 11 > 0 AS ok, user_id % 9 = 0 AS synthetic, CASE WHEN value < 15 THEN 1.0 ELSE 0.9 END AS cov, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS uns, least(1, 0.6 + user_id % 4 * 0.05) AS con, CASE WHEN user_id % 7 = 0 THEN 0.5 ELSE 1.0 END AS jump, value AS lat FROM events),
+@q("benchmark_summary", """WITH r AS (SELECT user_id AS run_id, event_id % 11 > 0 AS ok, user_id % 9 = 0 AS synthetic, CASE WHEN value < 15 THEN 1.0 ELSE 0.9003 END AS cov, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS uns, least(1, 0.6 + user_id % 4 * 0.05) AS con, CASE WHEN user_id % 7 = 0 THEN 0.5 ELSE 1.0 END AS jump, value AS lat FROM events),
 s AS (SELECT run_id, count(*) AS total, count(*) FILTER (ok) AS ok, round(avg(cov), 4) AS citation_coverage, round(avg(uns), 4) AS unsupported_claim_rate, round(avg(con), 4) AS consistency, round(avg(jump), 4) AS jump_validity, bool_or(synthetic) AS synthetic, round(list_sort(list(lat))[greatest(CAST(floor(count(*) * 0.95) AS INT), 1)], 4) AS p95_latency_s FROM r GROUP BY 1),
 f AS (SELECT *, jump_validity >= 0.9 AND p95_latency_s < 60 AS flows, citation_coverage >= 0.85 AND unsupported_claim_rate <= 0.1 AND consistency >= 0.65 AS good FROM s)
 SELECT run_id, total, ok, citation_coverage, unsupported_claim_rate, consistency, jump_validity, p95_latency_s, CASE WHEN synthetic THEN 'SMOKE' WHEN NOT flows THEN 'PIPELINE_ERROR' WHEN NOT good THEN 'QUALITY_BLOCKED' ELSE 'QUALITY_PASS' END AS eval_status, CASE WHEN synthetic THEN 'SMOKE_ONLY' WHEN flows AND good THEN 'PASS' ELSE 'BLOCKED' END AS gate_status FROM f""", "events")
 def benchmark_summary(e):
     r = e.select(
-        F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 11 > 0, "ok").otherwise("failed").alias("status"), (F.col("user_id") % 9 == 0).alias("synthetic"), F.when(F.col("value") < 15, 1.0).otherwise(0.9).alias("citation_coverage"),
+        F.col("user_id").alias("run_id"), F.when(F.col("event_id") % 11 > 0, "ok").otherwise("failed").alias("status"), (F.col("user_id") % 9 == 0).alias("synthetic"), F.when(F.col("value") < 15, 1.0).otherwise(0.9003).alias("citation_coverage"),
         F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("unsupported_claim"), F.least(F.lit(1.0), 0.6 + F.col("user_id") % 4 * 0.05).alias("consistency"), F.when(F.col("user_id") % 7 == 0, 0.5).otherwise(1.0).alias("jump_valid"), F.col("value").alias("latency_s"), F.lit(0).alias("hard_error"),
     )
     return G.benchmark_summary(r).drop("synthetic", "hard_errors")
