@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules, url_filters
+from evidencelake.llm.alignment import op11_alignment
 from evidencelake.llm.chosen_path import op3_chosen_path_join
 from evidencelake.llm.decontamination import op10_decontamination
 from evidencelake.llm.language_id import op6_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_token_files": op8_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
