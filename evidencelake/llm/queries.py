@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules, url_filters
 from evidencelake.llm.alignment import op11_alignment
+from evidencelake.llm.bloom_lm import op12_bloom_lm
 from evidencelake.llm.chosen_path import op3_chosen_path_join
 from evidencelake.llm.decontamination import op10_decontamination
 from evidencelake.llm.language_id import op6_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_alignment": op11_alignment,
+    "op12_bloom_lm": op12_bloom_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
