@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evidencelake.llm import chosen_path, decontamination, license_scan, quality_rules, url_filters
+from evidencelake.llm import chosen_path, decontamination, fp_search, license_scan, quality_rules, url_filters
 from evidencelake.llm.alignment import op11_alignment
 from evidencelake.llm.bloom_lm import op12_bloom_lm
 from evidencelake.llm.chosen_path import op3_chosen_path_join
 from evidencelake.llm.decontamination import op10_decontamination
+from evidencelake.llm.fp_search import op13_fp_search
 from evidencelake.llm.language_id import op6_language_id
 from evidencelake.llm.license_scan import op1_license_scan
 from evidencelake.llm.prefix_bpe import op9_prefix_bpe
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_alignment": op11_alignment,
     "op12_bloom_lm": op12_bloom_lm,
+    "op13_fp_search": op13_fp_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chosen_path_join": chosen_path.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op13_fp_search": fp_search.ORACLE,
 }
