@@ -35,8 +35,8 @@ BITS_EACH = HASHES / math.log(2)
 SMALL_SHARD, SHARDS, LARGE_SHARD = 4 << 20, 1024, 256 << 20
 #: The filter is broadcast up to this size, and so are exact counts of this many words (16 bytes each).
 MAX_FILTER_BYTES, MAX_HEAD_WORDS = 256 << 20, 4_000_000
-#: Tokens counted before a task hands out what it has, and tokens scored at once.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 4_000_000, 500_000
+#: Tokens counted before a task hands out what it has, and tokens cut at once.
+COUNT_AT_ONCE, CUT_AT_ONCE = 3_000_000, 250_000
 SALT, BATCH = 16, 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Least count of each level from 2 on, for all counts of 63 bits.
@@ -163,7 +163,7 @@ def _count(shards: int) -> Callable:
                 yield pa.record_batch([pa.array(shard_of(g, shards).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(n[a : a + BATCH])], names=["shard", "gram", "n"])
 
         for batch in batches:
-            for texts in _slices(batch.column(0).to_pylist(), COUNT_AT_ONCE):
+            for texts in _slices(batch.column(0).to_pylist(), CUT_AT_ONCE):
                 flat, n = tokens_of(texts)
                 held += [single(flat), pair(before(flat, n), flat)]
                 size += len(flat)
@@ -254,28 +254,42 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     return Model(uri, parts, shards, total, sum(r.n for r in ones), sum(r.grams for r in ones), means)
 
 
+def _read(uri: str, kind: str, columns: list[str], shard: int | None = None) -> Iterator[tuple[int, pa.Table]]:
+    """The files of one kind of part, or of one shard's, from the shared folder: shard and table, one after another."""
+    files, root = fs.FileSystem.from_uri(uri)
+    folder = f"{root}/kind={kind}" + (f"/shard={shard}" if shard is not None else "")
+    for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)):
+        if f.base_name.endswith(".parquet"):
+            with files.open_input_file(f.path) as source:
+                yield int(f.path.rpartition("/shard=")[2].partition("/")[0]), pq.read_table(source, columns=columns)
+
+
 def _whole_filter(model: Model) -> Filter:
-    """All shards, on the driver; the caller has checked their size."""
-    found = {r.shard: r.bits for r in model.parts.where("kind = 'bits'").select("shard", "bits").collect()}
-    parts = [found.get(s, b"") for s in range(model.shards)]
-    return Filter(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
+    """All shards, read one by one into one array; the caller has checked their size."""
+    sizes = dict(model.parts.where("kind = 'bits'").select("shard", F.octet_length("bits")).collect())  # one row a shard
+    offsets = np.concatenate(([0], np.cumsum([sizes.get(s, 0) for s in range(model.shards)])))
+    bits = np.empty(offsets[-1], np.uint8)
+    for shard, table in _read(model.uri, "bits", ["bits"]):
+        bits[offsets[shard] : offsets[shard + 1]] = np.frombuffer(table.column("bits")[0].as_buffer(), np.uint8)
+    return Filter(bits, offsets)
 
 
 def _head(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
-    """Exact counts of the words that occur most, sorted by gram, and the least count among all words of that count or more."""
-    sizes = model.words.groupBy(F.floor(F.log2("n")).cast("int").alias("at")).count().collect()  # up to 64 rows
-    least, room = 63, MAX_HEAD_WORDS
-    for r in sorted(sizes, key=lambda r: -r["at"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["at"]
-    if room >= 0:
-        least = 0
-    found = model.words.where(F.floor(F.log2("n")) >= least).toArrow()
-    grams, n = (found.column(c).to_numpy() for c in ("gram", "n"))
+    """Exact counts of the words that occur most, sorted by gram, and L: these are all words of 2 ** L times or more (all words if it is 0)."""
+    sizes = {r["at"]: r["count"] for r in model.words.groupBy((F.length(F.bin("n")) - 1).alias("at")).count().collect()}  # up to 63 rows
+    least, held = 63, 0
+    while least and held + sizes.get(least - 1, 0) <= MAX_HEAD_WORDS:
+        least -= 1
+        held += sizes.get(least, 0)
+    grams, counts = np.empty(held, np.int64), np.empty(held, np.int64)
+    at = 0
+    for _, table in _read(model.uri, "word", ["gram", "n"]) if held else ():
+        n = table.column("n").to_numpy()
+        often = n >= 1 << least
+        grams[at : at + often.sum()], counts[at : at + often.sum()] = table.column("gram").to_numpy()[often], n[often]
+        at += int(often.sum())
     order = np.argsort(grams)
-    return grams[order], n[order], least
+    return grams[order], counts[order], least
 
 
 FIELDS = {
@@ -351,19 +365,16 @@ def _probe(model: Model, rows: DataFrame, gram: str, level: str) -> DataFrame:
     placed = placed.repartition("__shard", F.pmod(F.xxhash64(gram), F.lit(SALT))).sortWithinPartitions("__shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(uri)
-        at, bits = -1, b""
+        at, one = -1, None
         for batch in batches:
             names = batch.schema.names
             grams, shard = batch.column(names.index(gram)).to_numpy().view(np.uint64), batch.column(names.index("__shard")).to_numpy()
             found = np.zeros(len(grams), np.int64)
             for s in np.unique(shard).tolist():
                 if s != at:
-                    folder = fs.FileSelector(f"{root}/kind=bits/shard={s}", allow_not_found=True)
-                    read = [pq.read_table(files.open_input_file(f.path), columns=["bits"]).column("bits")[0].as_py() for f in files.get_file_info(folder) if f.base_name.endswith(".parquet")]
-                    at, bits = s, b"".join(read)
+                    bits = b"".join(table.column("bits")[0].as_py() for _, table in _read(uri, "bits", ["bits"], s))
+                    at, one = s, Filter(np.frombuffer(bits, np.uint8), np.array([0, len(bits)]))
                 mine = shard == s
-                one = Filter(np.frombuffer(bits, np.uint8), np.array([0, len(bits)]))
                 found[mine] = one.levels(grams[mine])
             yield pa.record_batch([*batch.columns[:-1], pa.array(found.astype(np.int32))], names=[*names[:-1], level])
 
@@ -392,7 +403,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         scorer = sent.value
         with tidy():
             for batch in batches:
-                parts = [scorer(texts) for texts in _slices(batch.to_pylist(), SCORE_AT_ONCE)]
+                parts = [scorer(texts) for texts in _slices(batch.to_pylist(), CUT_AT_ONCE)]
                 yield pa.concat_arrays(parts) if parts else scorer([])
 
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -403,7 +414,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     if least or by_shard:
         made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "bloom-scores")
     if least:
-        words = model.words.where(F.floor(F.log2("n")) < least)
+        words = model.words.where(F.col("n") < (1 << least))
         each = join_per_key(made.select("__row", F.explode("__rare").alias("r")).select("__row", "r.gram", "r.times"), words, "gram")
         n = F.coalesce(F.col("n"), F.lit(0))
         sums = each.groupBy("__row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((n + 0.5) / everything)).alias("base"))
