@@ -1,8 +1,11 @@
 """Operator 4: metadata and plain-text conversion records from WARC responses.
 
-Every response gives two records that refer to it: ``conversion`` with the page's text, and
-``metadata`` with the source's WARC and HTTP headers, title and links. Their identifiers are
+Every response gives a ``metadata`` record that refers to it, with the source's WARC and HTTP headers, title and links, and
+every response that is text also a ``conversion`` record with its plain text. Their identifiers are
 derived from the source's, so a repeated task makes the same records.
+
+A page is read in time that grows with its length, whatever it holds: quoted attribute values are minded within TAG_WINDOW characters of
+a tag's beginning, and a tag that is not closed there ends at the next ``>``.
 """
 
 from __future__ import annotations
@@ -18,11 +21,21 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A comment, another declaration, or a tag: quoted attribute values may hold ``>``; a quote that is never closed counts as a plain character.
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+|[^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: What may open a comment, another declaration or a tag.
+OPEN = re.compile(r"<(?:(!--)|[!?]|/?[a-zA-Z])")
+COMMENT_END = re.compile(r"--!?>")
+#: A tag: quoted attribute values may hold ``>``; a quote that is never closed counts as a plain character.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+TAG_WINDOW = 1024
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+#: The candidates of a ``srcset``.
+CANDIDATE = re.compile(r"(?:^|,)\s*+([^\s,]\S*)")
+#: Content of this many bytes and more is not unpacked.
+MAX_CONTENT = 256 << 20
 #: Elements without visible text; of the first two, not even tags count inside.
 RAW, HIDDEN = ("script", "style"), ("noscript", "template", "svg")
 BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody section article nav header footer main aside blockquote pre form head body html br hr".split())
@@ -73,17 +86,25 @@ def unchunked(payload: bytes) -> bytes:
     return b"".join(parts) + payload[at:]
 
 
+class TooLong(ValueError):
+    """Unpacked content of more than MAX_CONTENT bytes."""
+
+
 def inflated(payload: bytes, coding: str) -> bytes:
-    """A gzip or deflate payload's content, of a broken one as much as can be read; other bytes stay as they are."""
+    """A gzip, deflate or zstd payload's content, of a broken one as much as can be read; other bytes stay as they are."""
+    if coding == "zstd":
+        return _zstd(payload)
     raw = coding == "deflate" and (len(payload) < 2 or payload[0] & 15 != 8 or int.from_bytes(payload[:2], "big") % 31)
     if coding != "deflate" and payload[:2] != b"\x1f\x8b":
         return payload
-    out, rest = [], payload
+    out, rest, size = [], payload, 0
     while rest:  # gzip may have several members
         member = zlib.decompressobj(-15 if raw else 47)
         try:
             for a in range(0, len(rest), 65536):
                 out.append(member.decompress(rest[a : a + 65536]))
+                if (size := size + len(out[-1])) > MAX_CONTENT:
+                    raise TooLong
                 if member.eof:
                     rest = member.unused_data + rest[a + 65536 :]
                     break
@@ -97,15 +118,32 @@ def inflated(payload: bytes, coding: str) -> bytes:
     return b"".join(out) if any(out) or not payload else payload
 
 
-def content(payload: bytes, fields: list[tuple[str, str]]) -> bytes:
-    """The payload without its transfer and content codings, the last applied undone first."""
+def _zstd(payload: bytes) -> bytes:
+    if payload[:4] != b"\x28\xb5\x2f\xfd":
+        return payload
+    out = bytearray()
+    try:
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(payload, read_across_frames=True) as source:
+            while part := source.read(1 << 20):
+                out += part
+                if len(out) > MAX_CONTENT:
+                    raise TooLong
+    except zstandard.ZstdError:
+        pass
+    return bytes(out) or payload
+
+
+def content(payload: bytes, fields: list[tuple[str, str]]) -> tuple[bytes, str | None]:
+    """The payload without its transfer and content codings, the last applied undone first, and the coding that could not be undone, if any."""
     codings = lambda name: [c.strip().lower() for n, v in fields if n == name for c in v.split(",")]
     for coding in [*reversed(codings("transfer-encoding")), *reversed(codings("content-encoding"))]:
         if coding == "chunked":
             payload = unchunked(payload)
-        elif coding in ("gzip", "x-gzip", "deflate"):
+        elif coding in ("gzip", "x-gzip", "deflate", "zstd"):
             payload = inflated(payload, coding)
-    return payload
+        elif coding not in ("", "identity", "none", "utf-8"):
+            return payload, coding
+    return payload, None
 
 
 def split_block(data: bytes) -> tuple[bytes, bytes]:
@@ -133,17 +171,28 @@ def read_page(page: str, base: str) -> tuple[str, list[dict[str, str]], str | No
     """Visible text, links and title of a page, tag by tag.
 
     Text: hidden elements and comments out, a line for each block element, entities resolved. Links in order, absolute where
-    they can be joined to ``base``, also those of hidden elements; data, mail and ``javascript:`` links, comments and the code
+    they can be joined to the page's first ``<base href>`` or else to ``base``, also those of hidden elements; data, mail and ``javascript:`` links, comments and the code
     of scripts are left out.
     """
-    text, links, title, hidden, at = [], [], None, None, 0
-    while m := TOKEN.search(page, at):
+    text, links, title, hidden, at, own_base = [], [], None, None, 0, None
+    last = page.rfind(">")
+    while opened := OPEN.search(page, at):
+        if opened[1]:
+            if not hidden:
+                text += [page[at : opened.start()], " "]
+            ended = COMMENT_END.search(page, opened.end())
+            at = ended.end() if ended else len(page)
+            continue
+        begin = opened.start()
+        if begin > last:
+            break  # no tag from here on is closed
         if not hidden:
-            text.append(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            text.append(" " if m[0].startswith("<!--") else "")
+            text.append(page[at:begin])
+        m = TAG.match(page, begin, min(len(page), begin + TAG_WINDOW)) or PLAIN_TAG.match(page, begin)
+        if not m:  # a declaration
+            at = page.index(">", begin) + 1
             continue
+        at, name = m.end(), m[2].lower()
         if m[1]:
             if name == hidden:
                 hidden = None
@@ -152,7 +201,11 @@ def read_page(page: str, base: str) -> tuple[str, list[dict[str, str]], str | No
                 text.append("\n")
             continue
         if name in LINKED:
-            links += [{"path": f"{name.upper()}@/{a.lower()}", "url": v} for a, *values in ATTRIBUTE.findall(m[3]) if a.lower() in ("href", "src", "action") for v in values if v][:1]
+            found = [(a.lower(), next(filter(None, values), "")) for a, *values in ATTRIBUTE.findall(m[3])]
+            links += [{"path": f"{name.upper()}@/{a}", "url": v} for a, v in found if a in ("href", "src", "action") and v][:1]
+            links += [{"path": f"{name.upper()}@/srcset", "url": u} for a, v in found if a == "srcset" for u in CANDIDATE.findall(v)]
+        elif name == "base" and own_base is None:
+            own_base = next((v for a, *values in ATTRIBUTE.findall(m[3]) if a.lower() == "href" for v in values if v), None)
         if name in RAW:
             at = _end(page, name, at)[1]
             text.append(" ")
@@ -167,19 +220,23 @@ def read_page(page: str, base: str) -> tuple[str, list[dict[str, str]], str | No
     if not hidden:
         text.append(page[at:])
     plain = LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(text)))).strip()
+    base = _joined(base, html.unescape(own_base).strip()) if own_base else base
     return plain, [x for x in (_absolute(x, base) for x in links) if x], None if title is None else " ".join(html.unescape(title).split())
 
 
+def _joined(base: str, url: str) -> str:
+    try:
+        return urljoin(base, url)
+    except ValueError:
+        return url
+
+
 def _absolute(link: dict[str, str], base: str) -> dict[str, str] | None:
     """A link joined to ``base``; None for one that leads to no other page."""
     url = html.unescape(link["url"]).strip()
     if not url or url.lower().startswith(("javascript:", "data:", "mailto:", "#")):
         return None
-    try:
-        url = urljoin(base, url)
-    except ValueError:
-        pass
-    return {"path": link["path"], "url": url}
+    return {"path": link["path"], "url": _joined(base, url)}
 
 
 def page_text(page: str) -> str:
@@ -202,6 +259,40 @@ def record(kind: str, source: dict[str, str], content_type: str, body: bytes) ->
     return name, block, head.encode("utf-8", "replace") + b"\r\n" + body + b"\r\n\r\n"
 
 
+def kind_of(status: str, content_type: str, payload: bytes) -> tuple[str | None, str | None]:
+    """``html`` or ``plain`` for a response that is text, else None and the reason.
+
+    By the stated media type; without one, a payload that begins with ``<`` is HTML.
+    """
+    code = status.split(" ")[1:2]
+    if code and code[0].isdigit() and not code[0].startswith("2"):
+        return None, f"status {code[0]}"
+    media = content_type.partition(";")[0].strip().lower()
+    if media in ("text/html", "application/xhtml+xml"):
+        return "html", None
+    if media.startswith("text/"):
+        return "plain", None
+    if not media and (payload[:256].lstrip()[:1] == b"<" or not payload):
+        return "html", None
+    return None, f"media type {media or 'unknown'}"
+
+
+def converted(status: str, http_fields: list[tuple[str, str]], payload: bytes, target: str) -> tuple[str | None, list[dict[str, str]], str | None, str | None]:
+    """Text, links and title of a payload; no text, and the reason, where it is not text or cannot be unpacked."""
+    content_type = dict(http_fields).get("content-type", "")
+    try:
+        body, left = content(payload, http_fields)
+    except TooLong:
+        return None, [], None, f"content over {MAX_CONTENT} bytes"
+    if left is not None:
+        return None, [], None, f"coding {left}"
+    kind, reason = kind_of(status, content_type, body)
+    if kind is None:
+        return None, [], None, reason
+    page = decode(body, content_type)
+    return (*read_page(page, target), None) if kind == "html" else (page.strip(), [], None, None)
+
+
 def derive(data: bytes | None) -> list[tuple]:
     """Rows of OUT for one record; none if it is null or no response."""
     head, rest = split_block(data or b"")
@@ -215,31 +306,36 @@ def derive(data: bytes | None) -> list[tuple]:
     status, http_fields = header_list(http_head)
     own = digest(payload)
     stated = source.get("warc-payload-digest")
-    page = decode(content(payload, http_fields), dict(http_fields).get("content-type", ""))
     target = source.get("warc-target-uri", "")
-    text, links, title = read_page(page, target)
-    text = text.encode("utf-8", "replace")
-    converted = record("conversion", source, "text/plain; charset=utf-8", text)
+    text, links, title, reason = converted(status, http_fields, payload, target)
     about = {
         "source": all_values(source_fields),
         "http": {"status": status, "headers": all_values(http_fields)},
         "payload_digest": {"stated": stated, "computed": own, "length": len(payload)},
-        "conversion": converted[0],
         "html": {"title": title, "links": links},
     }
+    common = (source.get("warc-record-id"), target or None, source.get("warc-date"), stated or own)
+    rows = []
+    if text is not None:
+        plain = text.encode("utf-8", "replace")
+        made = record("conversion", source, "text/plain; charset=utf-8", plain)
+        rows.append(("conversion", made[0], *common, made[1], len(plain), 0, made[2]))
+        about["conversion"] = made[0]
+    else:
+        about |= {"conversion": None, "not_converted": reason}
     told = json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
     described = record("metadata", source, "application/json", told)
-    common = (source.get("warc-record-id"), target or None, source.get("warc-date"), stated or own)
-    return [("metadata", described[0], *common, described[1], len(told), len(links), described[2]), ("conversion", converted[0], *common, converted[1], len(text), 0, converted[2])]
+    return [("metadata", described[0], *common, described[1], len(told), len(links), described[2]), *rows]
 
 
 def build_derivatives(responses: DataFrame, record_col: str = "record", id_col: str | None = None) -> DataFrame:
-    """Two rows for each response record in ``record_col``: ``[id_col,] warc_type, record_id, refers_to, target_uri, warc_date, payload_digest, block_digest, content_length, n_links, record``.
+    """A metadata row for each response record in ``record_col``, and a conversion row for each that is text: ``[id_col,] warc_type, record_id, refers_to, target_uri, warc_date, payload_digest, block_digest, content_length, n_links, record``.
 
     ``payload_digest`` is the one the source states, else a computed one; the metadata body holds
-    both. Null records and other record types give no rows; an empty payload gives empty text;
-    missing headers stay out, and a repeated header's
-    values are a list; chunked, gzip and deflate payloads are decoded (digests are of the stored bytes); repeated records give the same records again. Other columns are not
+    both. Null records and other record types give no rows; an empty payload gives empty text. HTML (also XHTML) of a 2xx response is read as a page and
+    other text/* taken as it is; of other media types and statuses, codings that cannot be undone (br) and content over MAX_CONTENT bytes
+    there is no conversion, and the metadata says why. Missing headers stay out, and a repeated header's
+    values are a list; chunked, gzip, deflate and zstd payloads are decoded (digests are of the stored bytes); repeated records give the same records again. Other columns are not
     read. No shuffle: each record is derived where it is read.
     """
     names = [f.name for f in OUT]

@@ -7,10 +7,13 @@ import datetime as dt
 import gzip
 import hashlib
 import json
+import time
 import zlib
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from evidencelake.llm import url_filters as U, warc_derivatives as W
@@ -130,6 +133,66 @@ def test_tags_with_quotes_and_long_pages():
     assert len(links) >= 100_000 and text.count("word y") == 100_000
 
 
+def response(headers, payload, status="HTTP/1.1 200 OK"):
+    http = (status + "".join(f"\r\n{k}: {v}" for k, v in headers) + "\r\n\r\n").encode() + payload
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Target-URI: http://a.org/d/e\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+
+def outcome(headers, payload, status="HTTP/1.1 200 OK"):
+    """The conversion's text, and why there is none."""
+    rows = {r[0]: r for r in W.derive(response(headers, payload, status))}
+    told = json.loads(W.split_block(rows["metadata"][-1])[1].rstrip())
+    assert (told["conversion"] is None) == ("conversion" not in rows) == ("not_converted" in told)
+    if "conversion" in rows:
+        assert told["conversion"] == rows["conversion"][1]
+        return W.split_block(rows["conversion"][-1])[1][: rows["conversion"][7]].decode(), None
+    return None, told["not_converted"]
+
+
+def test_only_text_is_converted():
+    page, html_type = b"<p>hello <b>you</b>", [("Content-Type", "text/html")]
+    assert outcome(html_type, page) == ("hello you", None)
+    assert outcome([("Content-Type", "Application/XHTML+XML; charset=utf-8")], page) == ("hello you", None)
+    assert outcome([("Content-Type", "text/plain")], b" a <b> &amp; c\n") == ("a <b> &amp; c", None)
+    assert outcome([], page) == ("hello you", None) and outcome([], b"") == ("", None)
+    assert outcome([], b"\x89PNG\x00") == (None, "media type unknown")
+    assert outcome([("Content-Type", "image/png")], b"\x89PNG\x00<p>") == (None, "media type image/png")
+    assert outcome([("Content-Type", "application/pdf")], b"%PDF-1.4") == (None, "media type application/pdf")
+    assert outcome([*html_type, ("Content-Encoding", "br")], b"\x8b\x0f\x80") == (None, "coding br")
+    assert outcome([*html_type, ("Content-Encoding", "identity")], page) == ("hello you", None)
+    assert outcome(html_type, page, "HTTP/1.1 404 Not Found") == (None, "status 404")
+    assert outcome(html_type, page, "HTTP/1.1") == ("hello you", None)
+    for coding, packed in (("gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("zstd", zstandard.compress(page)), ("gzip, zstd", zstandard.compress(gzip.compress(page)))):
+        assert outcome([*html_type, ("Content-Encoding", coding)], packed) == ("hello you", None)
+        assert outcome([("Content-Type", "image/png"), ("Content-Encoding", coding)], packed)[1] == "media type image/png"
+
+
+def test_content_that_unpacks_without_end(monkeypatch):
+    monkeypatch.setattr(W, "MAX_CONTENT", 1 << 20)
+    for coding, packed in (("gzip", gzip.compress(bytes(1 << 22))), ("zstd", zstandard.compress(bytes(1 << 22)))):
+        assert outcome([("Content-Type", "text/html"), ("Content-Encoding", coding)], packed) == (None, f"content over {1 << 20} bytes")
+
+
+def test_base_and_srcset():
+    page = '<a href="before"><base target=x><base href="http://b.org/x/"><base href="http://c.org/"><a href="y"><img src=i.png srcset="a.png 1x, /b.png 2x,c.png">'
+    assert [x["url"] for x in W.page_links(page, "http://a.org/d/")] == [f"http://b.org/{u}" for u in ("x/before", "x/y", "x/i.png", "x/a.png", "b.png", "x/c.png")]
+    assert [x["url"] for x in W.page_links('<base href="../z/"><a href=y>', "http://a.org/d/e")] == ["http://a.org/z/y"]
+    assert W.page_links('<base href="http://[bad"><a href=y>', "http://a.org/") == [{"path": "A@/href", "url": "y"}]
+
+
+@pytest.mark.parametrize("piece", ["<a b=", "<a ", "<", "<!--", "<!", "</", '<a b="', "<a b='x\">", '<a ="x>y"', "<title>", "<script>", "&amp", "<a href=x" + " " * 50, "<!-- -->", "</script", "<svg>", "<a b = "])
+def test_hostile_pages_take_no_time(piece):
+    began = time.monotonic()
+    for tail in ("", ">", '="z>', "'>"):
+        W.read_page(piece * (1_000_000 // len(piece)) + tail, "http://h.org/")
+    assert time.monotonic() - began < 20, "four pages of a megabyte"
+
+
+def test_long_tags_end_where_they_should():
+    assert W.read_page(f'<img src="data:{"A" * 100_000}">x<p title="{"y" * 100}>z">w', "")[0] == "x\nw"
+    assert W.read_page("a <b", "")[0] == "a <b" and W.read_page("x <!-- > never closed <p>y", "")[0] == "x"
+
+
 def test_derivatives_refer_to_their_source(spark):
     df = spark.createDataFrame([(1, "http://h.org/d/e", PAGE), (2, None, None), (3, "http://h.org/", "")], "page_id long, url string, html string")
     source = df.select("page_id", W.response_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), F.lit("x").alias("warc_type"))
