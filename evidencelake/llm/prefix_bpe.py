@@ -29,7 +29,8 @@ from evidencelake.llm.token_files import byte_alphabet
 from evidencelake.llm.wordcache import TwoGenerations
 from evidencelake.llm.workers import tidy
 
-CACHED_WORDS, CACHED_PAIRS, SLICE = 200_000, 300_000, 256
+#: Bytes of each generation of cached words, pairs of tokens kept, and texts encoded at once.
+CACHED_BYTES, CACHED_PAIRS, SLICE = 64 << 20, 300_000, 256
 #: White space in the sense of the tokenizer's normalizer (fixed values); str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -68,7 +69,7 @@ class PrefixBpe:
             self.matches.add_word(symbols, (i, len(symbols)))
         self.matches.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.cache = TwoGenerations(CACHED_WORDS)
+        self.cache = TwoGenerations(CACHED_BYTES)
         self.file, self.words_but = tokenizer_file, None
 
     @functools.cached_property
@@ -175,7 +176,7 @@ class PrefixBpe:
             parts = [x for x in self.specials.split(t or "") if x] if self.specials and any(x in (t or "") for x in self.special) else [t or ""]
             cut.append([x if x in self.special else self._chunks(x) for x in parts])
         for c in self.cache.missing(c for doc in cut for part in doc if isinstance(part, list) for c in part):
-            self.cache.young[c] = self._chunk(c)
+            self.cache.put(c, self._chunk(c))
         get, out = self.cache.young, []
         for doc in cut:
             found: list[tuple[bytes, str]] = []

@@ -33,7 +33,8 @@ from evidencelake.scratch import new_path
 
 SEQUENCE_LENGTH = 2048
 ROWS = 64
-CACHED_WORDS = 500_000
+#: Bytes of each generation of cached pieces.
+CACHED_BYTES = 96 << 20
 #: The piece pattern of this public vocabulary (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space but for space and line feed, on which regular expression engines may differ, and the mark of the fast split.
@@ -65,7 +66,7 @@ class ByteLevelEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.alphabet = byte_alphabet()
-        self.cache = TwoGenerations(CACHED_WORDS)
+        self.cache = TwoGenerations(CACHED_BYTES)
 
     def _cut(self, text: str) -> list[str] | None:
         seen = set(text)
@@ -85,7 +86,7 @@ class ByteLevelEncoder:
         """Little-endian ids of each text; a null text counts as empty."""
         cut = [self._cut(t) if t else [] for t in texts]
         for w in self.cache.missing(itertools.chain.from_iterable(c for c in cut if c)):
-            self.cache.young[w] = self._piece(w)
+            self.cache.put(w, self._piece(w))
         get = self.cache.young
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if c is None else b"".join([get[w] for w in c])

@@ -12,8 +12,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evidencelake.llm.prefix_bpe import PrefixBpe, bpe_round_trip
-from evidencelake.llm.token_files import ByteLevelEncoder, open_sequences, read_token_files, sequence, write_token_files
+from evidencelake.llm.prefix_bpe import PrefixBpe, bpe_round_trip, op9_prefix_bpe
+from evidencelake.llm.token_files import ByteLevelEncoder, op8_token_files, open_sequences, read_token_files, sequence, write_token_files
 from evidencelake.llm.wordcache import TwoGenerations
 
 ODD = [
@@ -128,9 +128,26 @@ def test_token_files_of_nothing(spark, byte_file, tmp_path):
 
 
 def test_cache_is_bounded():
-    cache = TwoGenerations(3)
-    for i in range(50):
-        for w in cache.missing([f"w{i}", "steady"]):
-            cache.young[w] = w
-        assert len(cache.young) + len(cache.old) <= 8
-        assert cache.young["steady"] == "steady"
+    cache = TwoGenerations(2000)
+    for i in range(500):
+        for w in cache.missing([f"w{i}", "steady", f"{i} " * 20, f"{i} " * 20]):
+            cache.put(w, (w.encode(), w))
+        assert len(cache.young) + len(cache.old) <= 24 and cache.held < 2600
+        assert cache.young["steady"][1] == "steady" and f"{i} " * 20 in cache.young
+        assert sum(len(w) > cache.LONGEST for g in (cache.young, cache.old) for w in g) <= 2
+
+
+def test_whole_table_equals_the_library(spark, byte_file, word_file):
+    sf, start = "/root/testdata/sf0.001", 0
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    files = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op8_token_files(spark, sf).collect()}
+    bpe = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op9_prefix_bpe(spark, sf).collect()}
+    assert len(files) == len(bpe) == len(texts)
+    byte, word = Tokenizer.from_file(byte_file), Tokenizer.from_file(word_file)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    for i, text in texts:
+        ids = [*byte.encode(text or "", add_special_tokens=False).ids, 2]
+        assert files[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+        ids = word.encode(text or "", add_special_tokens=False).ids
+        assert bpe[i] == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(word.decode(ids, skip_special_tokens=False).encode()))
