@@ -14,13 +14,14 @@ from evidencelake.llm.decontamination import drop_leaked
 from evidencelake.llm.prefix_bpe import bpe_round_trip
 from evidencelake.llm.quality_rules import keep_good as keep_by_rules
 from evidencelake.llm.rule_ensemble import keep_good as keep_by_score
-from evidencelake.scratch import new_path
+from evidencelake.scratch import drop_table, new_path
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def whole_texts(spark: SparkSession) -> None:
-    """Arrow batches of at most 1024 rows from here on, since rows hold whole texts: Python workers and the buffers that feed them stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(1024, int(spark.conf.get(key)))))
+    """Arrow batches of at most 1024 rows from here on, since rows hold whole texts: Python workers and the buffers that feed them stay small. ``run`` puts the setting back."""
+    spark.conf.set(ARROW_ROWS, str(min(1024, int(spark.conf.get(ARROW_ROWS)))))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over ``documents``; a stage's table is removed when the next one's is written."""
+    docs, before, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(ARROW_ROWS), None
+    try:
+        for name, stage in STAGES:
+            path = new_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if held is not None:
+                drop_table(held)
+            docs = held = spark.read.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs
