@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidencelake.llm.workers import tidied, tidy
 from evidencelake.scratch import join_per_key, materialize, new_path
 
-BASE, HASHES, KAPPA = 1.2, 8, 1000.0
-#: Bits of the filter for each entry: half of them end up set, so a gram that is not there passes with probability 2 ** -HASHES.
-BITS_EACH = HASHES / math.log(2)
+BASE, KAPPA = 1.2, 1000.0
+#: An entry sets up to HASHES bits of one 64-bit word, and there are BITS_EACH bits for each entry: one look decides, and a gram that is not there passes about 6 times in 1000.
+HASHES, BITS_EACH = 6, 14
 #: Bytes of text for a shard: SMALL_SHARD up to SHARDS shards, then as many shards as LARGE_SHARD asks for.
 SMALL_SHARD, SHARDS, LARGE_SHARD = 4 << 20, 1024, 256 << 20
 #: The filter is broadcast up to this size, and so are exact counts of this many words (16 bytes each).
@@ -94,50 +94,49 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return (grams >> np.uint64(20)) % np.uint64(shards)
 
 
-class Filter:
-    """Bits of one or more shards, one after another, for probes; ``offsets`` are their first bytes and the end of the last."""
+def entries(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits that each gram sets at a level, and 32 bits that choose the word."""
+    h = mix(grams ^ np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    mask = np.uint64(1) << (h & np.uint64(63))
+    for i in range(1, HASHES):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+    return mask, mix(h) >> np.uint64(32)
+
 
-    def __init__(self, bits: np.ndarray, offsets: np.ndarray):
-        self.bits, self.start, self.size = bits, offsets[:-1].astype(np.uint64) * np.uint64(8), np.diff(offsets).astype(np.uint64) * np.uint64(8)
+class Filter:
+    """Words of one or more shards, one after another, for probes; ``offsets`` are their first words and the end of the last."""
 
-    @staticmethod
-    def hashes(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First hash of an entry and the step to each further one; they are taken modulo a shard's bits."""
-        first = mix(grams ^ np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        return first, mix(first) | np.uint64(1)
+    def __init__(self, words: np.ndarray, offsets: np.ndarray):
+        self.words, self.start, self.size = words, offsets[:-1].astype(np.uint64), np.diff(offsets).astype(np.uint64)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each gram, 0 where the filter does not hold it."""
         found = np.zeros(len(grams), np.int64)
-        if not len(self.size):
+        if not len(self.words):
             return found
         shard = shard_of(grams, len(self.size)).astype(np.int64)
-        live = np.flatnonzero(self.size[shard])
+        start, size = self.start[shard], self.size[shard]
+        live = np.flatnonzero(size)
         for level in range(1, LEVELS + 1):
+            mask, word = entries(grams[live], level)
+            there = self.words[start[live] + (word * size[live] >> np.uint64(32))] & mask == mask
+            live = live[there]
             if not len(live):
                 break
-            first, step = self.hashes(grams[live], level)
-            for i in range(HASHES):
-                own = shard[live]
-                at = self.start[own] + (first + step * np.uint64(i)) % self.size[own]
-                there = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
-                live, first, step = live[there], first[there], step[there]
             found[live] = level
         return found
 
 
 def fill(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The bytes of a shard that holds grams with their counts."""
+    """The words of a shard that holds grams with their counts."""
     level = level_of(n)
-    size = max(1, math.ceil(int(level.sum()) * BITS_EACH / 64)) * 64
-    bits = np.zeros(size, bool)
+    words = np.zeros(max(1, math.ceil(int(level.sum()) * BITS_EACH / 64)), np.uint64)
     live = np.arange(len(grams))
     for at in range(1, int(level.max(initial=0)) + 1):
         live = live[level[live] >= at]
-        first, step = Filter.hashes(grams[live], at)
-        for i in range(HASHES):
-            bits[(first + step * np.uint64(i)) % np.uint64(size)] = True
-    return np.packbits(bits, bitorder="little")
+        mask, word = entries(grams[live], at)
+        np.bitwise_or.at(words, word * np.uint64(len(words)) >> np.uint64(32), mask)
+    return words
 
 
 def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +266,11 @@ def _read(uri: str, kind: str, columns: list[str], shard: int | None = None) ->
 def _whole_filter(model: Model) -> Filter:
     """All shards, read one by one into one array; the caller has checked their size."""
     sizes = dict(model.parts.where("kind = 'bits'").select("shard", F.octet_length("bits")).collect())  # one row a shard
-    offsets = np.concatenate(([0], np.cumsum([sizes.get(s, 0) for s in range(model.shards)])))
-    bits = np.empty(offsets[-1], np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([sizes.get(s, 0) // 8 for s in range(model.shards)])))
+    words = np.empty(offsets[-1], np.uint64)
     for shard, table in _read(model.uri, "bits", ["bits"]):
-        bits[offsets[shard] : offsets[shard + 1]] = np.frombuffer(table.column("bits")[0].as_buffer(), np.uint8)
-    return Filter(bits, offsets)
+        words[offsets[shard] : offsets[shard + 1]] = np.frombuffer(table.column("bits")[0].as_buffer(), np.uint64)
+    return Filter(words, offsets)
 
 
 def _head(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
@@ -307,38 +306,32 @@ class _Scorer:
 
     def __call__(self, texts: list[str | None]) -> pa.StructArray:
         flat, n = tokens_of(texts)
-        ends = np.cumsum(n)
-        starts, doc = ends - n, np.repeat(np.arange(len(n)), n)
-        kinds, of = np.unique(flat, return_inverse=True)
-        grams = single(kinds)
-        at = np.searchsorted(self.head[0], grams.view(np.int64))
+        starts, doc = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        grams, of = np.unique(single(flat).view(np.int64), return_inverse=True)
+        at = np.searchsorted(self.head[0], grams)
         at[at == len(self.head[0])] = 0
-        counts = np.where(self.head[0][at] == grams.view(np.int64), self.head[1][at], 0) if len(self.head[0]) else np.zeros(len(kinds), np.int64)
+        counts = np.where(self.head[0][at] == grams, self.head[1][at], 0) if len(self.head[0]) else np.zeros(len(grams), np.int64)
         known = counts > 0
         part = np.where(known | self.exact, np.log10((counts + 0.5) / self.all), 0.0)
-        rare = _lists([grams.view(np.int64)[of]], ~known[of] & (not self.exact), doc, len(n), ["gram"])
+        rare = _lists([grams[of]], ~known[of] & (not self.exact), doc, len(n), ["gram"])
         prior = before(flat, n)
-        if self.known is not None:
-            score, pairs = np.add.reduceat(self._pairs(flat, prior, kinds, of), starts) if len(n) else np.empty(0), _lists([flat.view(np.int64)] * 3, np.zeros(len(flat), bool), doc, len(n), ["w", "h", "p"])
-        else:
-            score = np.zeros(len(n))
-            pairs = _lists([x.view(np.int64) for x in (single(flat), single(prior), pair(prior, flat))], np.ones(len(flat), bool), doc, len(n), ["w", "h", "p"])
+        score, pairs = np.zeros(len(n)), [x.view(np.int64) for x in (single(flat), single(prior), pair(prior, flat))]
+        if self.known is not None and len(n):
+            score = np.add.reduceat(self._pairs(pairs[2].view(np.uint64), grams.view(np.uint64), of, starts), starts)
+        pairs = _lists(pairs, np.full(len(flat), self.known is None), doc, len(n), ["w", "h", "p"])
         sums = [np.add.reduceat(x, starts) if len(n) else np.empty(0) for x in (known[of].astype(np.int64), part[of])]
         columns = [pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(score), rare, pairs]
         return pa.StructArray.from_arrays(columns, list(FIELDS))
 
-    def _pairs(self, flat: np.ndarray, prior: np.ndarray, kinds: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it, by probes."""
-        one = self.means[0][self.known.levels(single(kinds))]
-        followers = np.searchsorted(kinds, prior)  # the end, too, is among the kinds
-        grams, back = np.unique(pair(prior, flat), return_inverse=True)
-        first = np.empty(len(grams), np.int64)
-        first[back] = np.arange(len(flat))
-        most = np.minimum(one[of[first]], one[followers[first]])
-        both = np.zeros(len(grams))
-        ask = most > 0
-        both[ask] = np.minimum(self.means[1][self.known.levels(grams[ask])], most[ask])
-        return log_p(both[back], one[of], one[followers], self.all, np.log10)
+    def _pairs(self, pairs: np.ndarray, grams: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the one before it, by probes; ``grams[of]`` are the single tokens."""
+        one = self.means[0][self.known.levels(grams)]
+        word, prior = one[of], np.roll(one[of], 1)
+        prior[starts] = word[-1]  # the end, with which every text closes
+        most = np.minimum(word, prior)
+        both, ask = np.zeros(len(pairs)), np.flatnonzero(most)
+        both[ask] = np.minimum(self.means[1][self.known.levels(pairs[ask])], most[ask])
+        return log_p(both, word, prior, self.all, np.log10)
 
 
 def log_p(both, word, prior, everything, log10):
@@ -373,7 +366,7 @@ def _probe(model: Model, rows: DataFrame, gram: str, level: str) -> DataFrame:
             for s in np.unique(shard).tolist():
                 if s != at:
                     bits = b"".join(table.column("bits")[0].as_py() for _, table in _read(uri, "bits", ["bits"], s))
-                    at, one = s, Filter(np.frombuffer(bits, np.uint8), np.array([0, len(bits)]))
+                    at, one = s, Filter(np.frombuffer(bits, np.uint64), np.array([0, len(bits) // 8]))
                 mine = shard == s
                 found[mine] = one.levels(grams[mine])
             yield pa.record_batch([*batch.columns[:-1], pa.array(found.astype(np.int32))], names=[*names[:-1], level])
