@@ -39,13 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a ``materialize`` that nothing will read again."""
-    jvm, session = df.sparkSession.sparkContext._jvm, df.sparkSession._jsparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/evidencelake/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+            remove(df.sparkSession, folder)
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
