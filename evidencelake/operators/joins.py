@@ -37,6 +37,74 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+#: Pairs compared in step, words of 64 characters up to which that is faster than one pair after another, and bytes of their tables.
+PAIRS_IN_STEP, MOST_WORDS, MOST_TABLE = 16_384, 16, 64 << 20
+
+
+def common_lengths(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each pair ``a[i], b[j]`` the length of the longest common subsequence, or -1 as soon as it cannot reach ``need``.
+
+    The bit rows of ``indel_ratio`` for many pairs at once: a step takes the next character of every right string, and pairs
+    that have lost too much drop out.
+    """
+    out = np.full(len(i), -1, np.int64)
+    words = max(1, -(-max((len(x) for x in a), default=0) // 64))
+    code = {c: k for k, c in enumerate(set().union(*a) & set().union(*b), 1)}  # 0: a character of one side only
+    table = words * len(a) * (len(code) + 1)
+    if words > MOST_WORDS or table * 8 > MOST_TABLE:
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            out[k] = _common_length(a[x], b[y], int(need[k]))
+        return np.where(out >= need, out, -1)
+    masks = np.zeros((words, len(a), len(code) + 1), np.uint64)
+    for x, text in enumerate(a):
+        for at, c in enumerate(text):
+            if k := code.get(c):
+                masks[at >> 6, x, k] |= np.uint64(1 << (at & 63))
+    masks = masks.reshape(words, -1)
+    longest = max((len(y) for y in b), default=0)
+    read, lengths = np.zeros((longest, len(b)), np.int32), np.array([len(y) for y in b])
+    for y, text in enumerate(b):
+        read[: len(text), y] = [code.get(c, 0) for c in text]
+    for lo in range(0, len(i), PAIRS_IN_STEP):
+        live = np.arange(lo, min(len(i), lo + PAIRS_IN_STEP))
+        base, column, rest = i[live] * (len(code) + 1), j[live], lengths[j[live]]
+        rows = np.full((words, len(live)), ~np.uint64(0))
+        for step in range(int(rest.max(initial=0))):
+            at, carry = base + read[step, column], None
+            for w in range(words):
+                row = rows[w]
+                both = row & masks[w, at]
+                total = row + both
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over
+                rows[w] = total | (row ^ both)
+            if step % 24 == 23:
+                there = 64 * words - np.bitwise_count(rows).sum(axis=0, dtype=np.int64)
+                keep = there + np.maximum(rest - step - 1, 0) >= need[live]
+                if not keep.all():
+                    live, base, column, rest, rows = live[keep], base[keep], column[keep], rest[keep], rows[:, keep]
+                    if not len(live):
+                        break
+        out[live] = 64 * words - np.bitwise_count(rows).sum(axis=0, dtype=np.int64)
+    return np.where(out >= need, out, -1)
+
+
+def _common_length(a: str, b: str, need: int) -> int:
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for at, ch in enumerate(b):
+        u = row & where.get(ch, 0)
+        row = ((row + u) | (row - u)) & full
+        if at % 64 == 63 and len(a) - row.bit_count() + len(b) - at - 1 < need:
+            return -1
+    return len(a) - row.bit_count()
+
+
 def ratio_column(a: Column, b: Column) -> Column:
     """``indel_ratio`` of two columns in Arrow batches."""
 
@@ -65,25 +133,30 @@ COUNTED = ((1, 64, 1), (2, 256, 3), (3, 512, 5))
 
 
 def _near_in_block(cutoff: float) -> Callable:
-    """All pairs of a block's two sides with a ratio of ``cutoff`` or more; the ratio is computed where no n-gram count rules it out."""
+    """All pairs of a block's two sides with a ratio of ``cutoff`` or more; common lengths are computed where no n-gram count rules it out."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            titles = right["title"].tolist()
-            length = np.array([len(t) for t in titles])
-            theirs = [_counts(titles, w, bins) for w, bins, _ in COUNTED]
-            mine = [_counts(left["title"].tolist(), w, bins) for w, bins, _ in COUNTED]
-            for i, (scope, t) in enumerate(zip(left["scope"], left["title"])):
-                edits = (1 - cutoff / 100) * (len(t) + length) + 1e-9
-                at = np.flatnonzero(np.abs(len(t) - length) <= edits)
-                for a, b, (_, _, change) in zip(mine, theirs, COUNTED):
-                    at = at[np.abs(b[at] - a[i]).sum(axis=1) <= change * edits[at]]
-                for j in at:
-                    ratio = indel_ratio(t, titles[j])
-                    if ratio >= cutoff:
-                        out.append((scope, t, titles[j], ratio))
-        return pd.DataFrame(out, columns=["scope", "title1", "title2", "ratio"])
+        columns = ["scope", "title1", "title2", "ratio"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=columns)
+        a, b = left["title"].tolist(), right["title"].tolist()
+        length = np.array([len(t) for t in b])
+        theirs = [_counts(b, w, bins) for w, bins, _ in COUNTED]
+        mine = [_counts(a, w, bins) for w, bins, _ in COUNTED]
+        some: list[np.ndarray] = []
+        for i, t in enumerate(a):
+            edits = (1 - cutoff / 100) * (len(t) + length) + 1e-9
+            at = np.flatnonzero(np.abs(len(t) - length) <= edits)
+            for x, y, (_, _, change) in zip(mine, theirs, COUNTED):
+                at = at[np.abs(y[at] - x[i]).sum(axis=1) <= change * edits[at]]
+            some.append(at)
+        i, j = np.repeat(np.arange(len(a)), [len(x) for x in some]), np.concatenate(some)
+        both = np.array([len(t) for t in a])[i] + length[j]
+        common = common_lengths(a, b, i, j, np.ceil(cutoff * both / 200 - 1e-6).astype(np.int64))
+        ratio = np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+        good = np.flatnonzero((common >= 0) & (ratio >= cutoff))
+        scope = left["scope"].iloc[0]
+        return pd.DataFrame([(scope, a[i[k]], b[j[k]], float(ratio[k])) for k in good.tolist()], columns=columns)
 
     return run
 

@@ -20,7 +20,11 @@ WORD_TOKEN = r"([\p{L}\p{N}_]+)"
 PLAIN_WORD = r"^[a-z]{3,}$"
 MAX_BROADCAST_TERMS = 1_000_000
 #: Questions whose distinct terms are at most this many go to every task of a one-pass search.
-MAX_ONE_PASS_TERMS, SCORES_AT_ONCE = 500_000, 2_000_000
+MAX_ONE_PASS_TERMS = 500_000
+#: Chunks of a task after which the questions' postings are put in order for the floors reached, for the first time and between two times at most.
+FIRST_ORDER, MOST_ORDER = 64, 8192
+#: A floor below every score, and how many postings may be added up in the time that reading one in part takes.
+TINY, WORTH = 1e-300, 8
 #: Saturation, length share and average length of the sparse score (fixed values).
 K1, B, AVGDL = 1.2, 0.75, 200.0
 
@@ -79,23 +83,73 @@ def tfidf_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class _Index:
-    """The questions' terms as postings: for each term the questions that have it and its weight there."""
+    """The questions' terms as postings, and the raw score that a chunk needs to count for each question.
+
+    A chunk adds up its terms' postings, or reads only the part of them that can matter (MaxScore), whichever last proved to be less work. ``reach`` of a
+    posting: the summed weights of its question's terms up to this one, lightest first, over the question's floor. A chunk whose
+    largest factor is F reaches a floor only if one of its terms has a reach of 1 / F or more: if the heaviest term that it shares has less, all that it shares
+    sums up to less. Postings of a term lie in falling order of reach, so the part that matters is the beginning of each list.
+    """
 
     def __init__(self, terms: pd.DataFrame, weight: Callable[[pd.DataFrame], pd.Series]):
-        terms = terms.assign(weight=weight(terms)).sort_values(["token", "query_id"], kind="stable")
+        terms = terms.assign(weight=weight(terms)).sort_values(["query_id", "weight", "token"], kind="stable")
         self.ids, row = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
-        names, begin = np.unique(terms["token"].to_numpy(str), return_index=True)
-        ends = np.append(begin[1:], len(terms))
-        self.spans = {t: (int(x), int(y)) for t, x, y in zip(names, begin, ends)}
+        names, self.term = np.unique(terms["token"].to_numpy(str), return_inverse=True)
+        self.number = {t: i for i, t in enumerate(names.tolist())}
         self.row, self.weight = row, terms["weight"].to_numpy(np.float64)
-
-    def scores(self, words: list[str], factor: Callable[[int, int], float]) -> np.ndarray:
-        """The sum over the terms of one chunk of its factor times each question's weight."""
-        out = np.zeros(len(self.ids))
-        for t, tf in Counter(words).items():
-            if span := self.spans.get(t):
-                out[self.row[slice(*span)]] += factor(tf, len(words)) * self.weight[slice(*span)]
-        return out
+        self.at = np.searchsorted(row, np.arange(len(self.ids) + 1))
+        total = np.cumsum(self.weight)
+        self.summed = total - np.where(self.at[row] > 0, total[self.at[row] - 1], 0.0)
+        self.values, self.sums, self.floor = np.zeros(len(names)), np.zeros(len(self.ids)), np.full(len(self.ids), TINY)
+        self.order()
+
+    def order(self) -> None:
+        """Sorts the postings for the floors as they are; floors that rise later only leave too much in."""
+        reach = self.summed / self.floor[self.row]
+        order = np.lexsort((-reach, self.term))
+        self.reach, self.asks, self.weighs = -reach[order], self.row[order], self.weight[order]
+        self.spans = np.searchsorted(self.term[order], np.arange(len(self.values) + 1)).tolist()
+        self.some = None  # to be decided by the next chunk
+
+    def scores(self, words: list[str], factor: Callable[[int, int], float]) -> tuple[np.ndarray, np.ndarray]:
+        """The questions whose floor a chunk reaches, and its raw score for each."""
+        own = [(self.number[t], factor(tf, len(words))) for t, tf in Counter(words).items() if t in self.number]
+        if not own:
+            return np.empty(0, np.int64), np.empty(0)
+        rows, scores = self._some(own) if self.some is not False else self._all(own)
+        good = scores >= self.floor[rows]
+        return rows[good], scores[good]
+
+    def _all(self, own: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        for t, f in own:
+            here = slice(self.spans[t], self.spans[t + 1])
+            self.sums[self.asks[here]] += f * self.weighs[here]
+        rows = np.flatnonzero(self.sums >= self.floor)
+        scores = self.sums[rows]
+        self.sums[:] = 0
+        return rows, scores
+
+    def _some(self, own: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        least, read, every = (1e-9 - 1) / max(f for _, f in own), [], 0
+        for t, _ in own:
+            a, b = self.spans[t], self.spans[t + 1]
+            read.append(self.asks[a : a + int(np.searchsorted(self.reach[a:b], least, "right"))])
+            every += b - a
+        if self.some is None:
+            self.some = sum(map(len, read)) * WORTH < every
+            if not self.some:
+                return self._all(own)
+        rows = np.unique(np.concatenate(read))
+        if not len(rows):
+            return rows, np.empty(0)
+        terms, factors = zip(*own)
+        self.values[list(terms)] = factors
+        n = self.at[rows + 1] - self.at[rows]
+        begins = np.cumsum(n) - n
+        places = np.repeat(self.at[rows] - begins, n) + np.arange(int(n.sum()))
+        out = np.add.reduceat(self.weight[places] * self.values[self.term[places]], begins)
+        self.values[list(terms)] = 0
+        return rows, out
 
 
 def _sparse_factor(tf: int, n: int) -> float:
@@ -106,35 +160,58 @@ def _tfidf_factor(tf: int, n: int) -> float:
     return tf / n
 
 
-#: Tokens, those kept, weight of a question's term, factor of a chunk's term, and the final score of a sum.
+#: Tokens, those kept, weight of a question's term, factor of a chunk's term, the final score of a sum, and the sum of a final score.
 SCORERS = {
-    "sparse": (SPARSE_TOKEN, None, lambda t: (np.log(1 + 1 / (1 + t["token"].str.len() * 0.25)) + 1) * t["q_tf"], _sparse_factor, lambda raw: raw / (raw + 5)),
-    "tfidf": (WORD_TOKEN, PLAIN_WORD, lambda t: pd.Series(math.log(2.0), t.index), _tfidf_factor, lambda raw: raw),
+    "sparse": (SPARSE_TOKEN, None, lambda t: (np.log(1 + 1 / (1 + t["token"].str.len() * 0.25)) + 1) * t["q_tf"], _sparse_factor, lambda raw: raw / (raw + 5), lambda s: 5 * s / (1 - s)),
+    "tfidf": (WORD_TOKEN, PLAIN_WORD, lambda t: pd.Series(math.log(2.0), t.index), _tfidf_factor, lambda raw: raw, lambda s: s),
 }
 
 
+class _Best:
+    """The k best scores of each question so far in a task."""
+
+    def __init__(self, questions: int, k: int):
+        self.held, self.floor = np.zeros((questions, k)), np.zeros(questions)
+
+    def put(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Which of the scores are among the best, ties included; they are held from now on."""
+        good = (scores > 0) & (scores >= self.floor[rows])
+        rows, scores = rows[good], scores[good]
+        self.held[rows, self.held[rows].argmin(axis=1)] = scores
+        self.floor[rows] = self.held[rows].min(axis=1)
+        return np.flatnonzero(good)
+
+
 def _one_pass(parts: dict[str, tuple], k: int, digits: int) -> Callable:
-    """Chunks to ``branch, query_id, chunk_id, score``: of each branch and question the rows that were among the best k of the task so far."""
+    """Chunks to ``branch, query_id, chunk_id, score``: of each branch and question the rows that were among the best k of the task so far.
 
-    def keep_best(scores: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (question, chunk) worth keeping; ``floor``, the k best of each question so far, is brought up to date."""
-        floor[:] = -np.partition(-np.concatenate((floor, scores.T), axis=1), k - 1, axis=1)[:, :k]
-        return np.nonzero((scores.T >= floor.min(axis=1, keepdims=True)) & (scores.T > 0))
+    Postings are put in order anew as the questions' floors rise.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {name: (regex.compile(token), keep and regex.compile(keep), index, factor, final) for name, (token, keep, index, factor, final) in parts.items()}
-        floors = {name: np.zeros((len(part[2].ids), k)) for name, part in parts.items()}
+        compiled = {name: (regex.compile(token), keep and regex.compile(keep), index, factor, final, raw, _Best(len(index.ids), k)) for name, (token, keep, index, factor, final, raw) in parts.items()}
+        seen, again = 0, FIRST_ORDER
         for pdf in batches:
-            for name, (token, keep, index, factor, final) in compiled.items():
-                step = max(1, SCORES_AT_ONCE // max(1, len(index.ids)))
-                for a in range(0, len(pdf), step):
-                    ids, found = pdf["chunk_id"].to_numpy()[a : a + step], []
-                    for text in pdf["content"].iloc[a : a + step]:
-                        words = token.findall((text or "").lower())
-                        found.append(index.scores([w for w in words if keep.match(w)] if keep else words, factor))
-                    scores = np.round(final(np.array(found)), digits)
-                    q, c = keep_best(scores, floors[name])
-                    yield pd.DataFrame({"branch": name, "query_id": index.ids[q], "chunk_id": ids[c], "score": scores[c, q]})
+            found: dict[str, list[tuple]] = {name: [] for name in compiled}
+            for chunk, text in zip(pdf["chunk_id"], pdf["content"]):
+                if seen == again:
+                    again += min(seen, MOST_ORDER)
+                    for _, _, index, *_ in compiled.values():
+                        index.order()
+                seen += 1
+                for name, (token, keep, index, factor, final, raw, best) in compiled.items():
+                    words = token.findall((text or "").lower())
+                    rows, scores = index.scores([w for w in words if keep.match(w)] if keep else words, factor)
+                    if len(rows):
+                        scores = np.round(final(scores), digits)
+                        kept = best.put(rows, scores)
+                        if len(kept):
+                            found[name].append((rows[kept], [chunk] * len(kept), scores[kept]))
+                            index.floor[rows[kept]] = np.maximum(raw(best.floor[rows[kept]] - 10.0**-digits), TINY)
+            for name, rows in found.items():
+                if rows:
+                    q, chunks, scores = zip(*rows)
+                    yield pd.DataFrame({"branch": name, "query_id": compiled[name][2].ids[np.concatenate(q)], "chunk_id": [c for x in chunks for c in x], "score": np.concatenate(scores)})
 
     return run
 
@@ -143,14 +220,14 @@ def lexical_branches(queries: DataFrame, chunks: DataFrame, k: int = 18, branche
     """F-11, F-12: of each branch of SCORERS the k best chunks of each question: ``branch, query_id, chunk_id, score, rank``.
 
     Scores are rounded to ``digits`` places before they rank, the lower chunk id first on ties. Questions whose
-    terms are few by count go to every task, and one pass over the chunks where they lie scores them for all branches; a task gives
-    little more than k rows for each question. Otherwise terms meet in a join. Null contents and questions have no terms.
+    terms are few by count go to every task, and one pass over the chunks where they lie scores them for all branches: each chunk only the questions that its terms can bring
+    to their k best so far. A task gives little more than k rows for each question. Otherwise terms meet in a join. Null contents and questions have no terms.
     """
     wanted, scored = {name: SCORERS[name] for name in branches}, None
     asked = {name: terms(queries, "query_id", "question", token, keep).select("query_id", "token", F.col("tf").alias("q_tf")) for name, (token, keep, *_) in wanted.items()}
     kind = f"branch string, query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
     if all(is_small(t, MAX_ONE_PASS_TERMS) for t in asked.values()):
-        parts = {name: (token, keep, _Index(asked[name].toPandas(), weight), factor, final) for name, (token, keep, weight, factor, final) in wanted.items()}
+        parts = {name: (token, keep, _Index(asked[name].toPandas(), weight), factor, final, raw) for name, (token, keep, weight, factor, final, raw) in wanted.items()}
         scored = chunks.select("chunk_id", "content").mapInPandas(_one_pass(parts, k, digits), kind)
     else:
         for name in wanted:
