@@ -36,7 +36,7 @@ SMALL_SHARD, SHARDS, LARGE_SHARD = 4 << 20, 1024, 256 << 20
 #: The filter is broadcast up to this size, and so are exact counts of this many words (16 bytes each).
 MAX_FILTER_BYTES, MAX_HEAD_WORDS = 256 << 20, 4_000_000
 #: Tokens counted before a task hands out what it has, and tokens cut at once.
-COUNT_AT_ONCE, CUT_AT_ONCE = 3_000_000, 250_000
+COUNT_AT_ONCE, CUT_AT_ONCE = 1_500_000, 250_000
 SALT, BATCH = 16, 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Least count of each level from 2 on, for all counts of 63 bits.

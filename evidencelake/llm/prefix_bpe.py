@@ -47,7 +47,7 @@ LAST = 0x10000
 class PrefixBpe:
     """Encoder and decoder for a byte-level vocabulary with word ends, from a tokenizer file's vocabulary and merges."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, cache_bytes: int = CACHED_BYTES):
         spec = json.loads(open(tokenizer_file, encoding="utf-8").read())
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
@@ -69,7 +69,7 @@ class PrefixBpe:
             self.matches.add_word(symbols, (i, len(symbols)))
         self.matches.make_automaton()
         self.compatible: dict[int, bool] = {}
-        self.cache = TwoGenerations(CACHED_BYTES)
+        self.cache = TwoGenerations(cache_bytes)
         self.file, self.words_but = tokenizer_file, None
 
     @functools.cached_property
@@ -192,18 +192,23 @@ class PrefixBpe:
 _encoders: dict[str, PrefixBpe] = {}
 
 
-def prefix_bpe(tokenizer_file: str) -> PrefixBpe:
+def prefix_bpe(tokenizer_file: str, cache_bytes: int) -> PrefixBpe:
     """One encoder and cache for each worker process."""
     if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = PrefixBpe(tokenizer_file)
+        _encoders[tokenizer_file] = PrefixBpe(tokenizer_file, cache_bytes)
     return _encoders[tokenizer_file]
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", digests_only: bool = False, keep: bool = True) -> DataFrame:
+def forget() -> None:
+    """Frees this worker's encoders. A function of the module, since a function sent to workers has copies of the globals that it names."""
+    _encoders.clear()
+
+
+def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", digests_only: bool = False, keep: bool = True, cache_bytes: int = CACHED_BYTES) -> DataFrame:
     """``docs`` with ``token_ids`` (binary, little-endian unsigned 32-bit), ``decoded``, or their digests, added.
 
     ``digests_only`` gives ``n_tokens, ids_sha256, decoded_sha256`` instead of ids and text. ``keep``: workers keep the
-    encoder and its cache for their next task, else they free both after each, for jobs whose other stages need the memory. One row
+    encoder and its cache (two generations of ``cache_bytes``) for their next task, else they free both after each, for jobs whose other stages need the memory. One row
     in, one row out, no shuffle; a null text counts as empty (no ids, empty decoded text); columns of
     ``docs`` with the same names are replaced; repeated rows stay.
     """
@@ -213,7 +218,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
 
     @F.pandas_udf(kind)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = prefix_bpe(tokenizer_file)
+        bpe = prefix_bpe(tokenizer_file, cache_bytes)
         with tidy():
             for texts in batches:
                 rows: list[tuple] = []
@@ -226,7 +231,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
                 yield pd.DataFrame(rows, columns=names)
             del bpe
             if not keep:
-                _encoders.clear()
+                forget()
 
     udf = encode.asNondeterministic()
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
