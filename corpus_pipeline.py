@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     whole_texts(spark)
-    out = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True, keep=False)
+    out = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True, keep=False, cache_bytes=24 << 20)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
