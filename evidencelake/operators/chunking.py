@@ -42,48 +42,65 @@ def imrad(items: DataFrame) -> DataFrame:
 
 
 def fold_chunks(items: DataFrame, size: int = 500) -> DataFrame:
-    """G-2: paragraphs of a paper packed in order into chunks of up to ``size`` characters: ``paper_id, chunk_no, text, first_pos, last_pos``.
+    """G-2: items of a paper packed in order into chunks: ``paper_id, chunk_no, text, first_pos, last_pos, section, page_start, page_end, media``.
 
-    A fold over one paper's items, which are few; papers run in parallel.
+    ``items``: ``paper_id, pos, text`` and, where the paper has them, ``type`` (text, table or picture; text without the column), ``page``, ``bbox`` and ``section`` (a
+    chunk's is that of its first paragraph). A paragraph joins the chunk before it with an empty line between, unless that is longer than
+    ``size`` characters already. Tables and pictures belong to the chunk at whose end they stand, as ``media(type, page, bbox, text)``; those after which no paragraph begins
+    a first chunk are left out. Empty paragraphs add nothing. A fold over one paper's items, which are few; papers run in parallel.
     """
+    have = set(items.columns)
+    column = lambda c, kind, other=None: (F.col(c) if c in have else F.lit(other)).cast(kind).alias(c)
+    rows = items.select("paper_id", "pos", "text", column("type", "string", "text"), column("page", "int"), column("bbox", "string"), column("section", "string"))
+    names = ["chunk_no", "text", "first_pos", "last_pos", "section", "page_start", "page_end", "media"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, parts, first, last, length = [], [], None, None, 0
-        for pos, text in pdf.sort_values("pos")[["pos", "text"]].itertuples(index=False):
-            text = (text or "").strip()
-            if not text:
+        made: list[dict] = []
+        waiting: list[dict] = []
+        for _, pos, text, kind, page, bbox, section in pdf.sort_values("pos").itertuples(index=False):
+            text, page = text or "", None if pd.isna(page) else int(page)
+            if kind in ("table", "picture"):
+                (made[-1]["media"] if made else waiting).append({"type": kind, "page": page, "bbox": bbox, "text": text if kind == "table" else None})
+                continue
+            text = text.strip()
+            if kind != "text" or not text:
                 continue
-            if parts and length + len(text) + 1 > size:
-                out.append((len(out), "\n".join(parts), first, last))
-                parts, length, first = [], 0, None
-            parts.append(text)
-            first, last, length = pos if first is None else first, pos, length + len(text) + 1
-        if parts:
-            out.append((len(out), "\n".join(parts), first, last))
-        made = pd.DataFrame(out, columns=["chunk_no", "text", "first_pos", "last_pos"])
-        made.insert(0, "paper_id", pdf["paper_id"].iloc[0])
-        return made
+            if made and len(made[-1]["text"]) <= size:
+                last = made[-1]
+                last["text"] += "\n\n" + text
+                last["last_pos"] = pos
+                if page:
+                    last.update(page_start=last["page_start"] or page, page_end=page)
+            else:
+                made.append({"chunk_no": len(made), "text": text, "first_pos": pos, "last_pos": pos, "section": section, "page_start": page, "page_end": page, "media": waiting})
+                waiting = []
+        out = pd.DataFrame([[x[n] for n in names] for x in made], columns=names)
+        for n in ("page_start", "page_end"):
+            out[n] = out[n].astype("Int32")
+        out.insert(0, "paper_id", pdf["paper_id"].iloc[0])
+        return out
 
-    return items.groupBy("paper_id").applyInPandas(fold, "paper_id long, chunk_no int, text string, first_pos long, last_pos long")
+    kinds = "chunk_no int, text string, first_pos long, last_pos long, section string, page_start int, page_end int, media array<struct<type: string, page: int, bbox: string, text: string>>"
+    return rows.groupBy("paper_id").applyInPandas(fold, f"paper_id {dict(items.dtypes)['paper_id']}, {kinds}")
 
 
 def fold_documents(docs: DataFrame, size: int = 500) -> DataFrame:
-    """G-2 for documents ``doc_id, text`` that are one row each: the chunks of ``fold_chunks`` over their lines, folded in the row, without a shuffle.
+    """G-2 for documents ``doc_id, text`` that are one row each: text and places of the chunks of ``fold_chunks`` over their lines, folded in the row, without a shuffle.
 
     ``paper_id`` is the document's id. Null and blank texts give no chunk; repeated rows give their chunks each.
     """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(F.trim(x).alias("t"), i.cast("long").alias("p"))), lambda x: x.t != "")
     chunk = "text string, first_pos bigint, last_pos bigint"
     start = F.from_json(F.lit('{"done": []}'), f"done array<struct<{chunk.replace(' ', ':').replace(',:', ', ')}>>, parts array<string>, first bigint, last bigint, length int")
-    closed = lambda a: F.array_append(a.done, F.struct(F.array_join(a.parts, "\n").alias("text"), a["first"].alias("first_pos"), a["last"].alias("last_pos")))
+    closed = lambda a: F.array_append(a.done, F.struct(F.array_join(a.parts, "\n\n").alias("text"), a["first"].alias("first_pos"), a["last"].alias("last_pos")))
 
     def step(a: Column, x: Column) -> Column:
-        n = F.length(x.t) + 1
-        full = a.parts.isNotNull() & (a.length + n > size)
+        n = F.length(x.t)
+        full = a.parts.isNotNull() & (a.length > size)
         fresh = a.parts.isNull() | full
         return F.struct(
             F.when(full, closed(a)).otherwise(a.done).alias("done"), F.when(fresh, F.array(x.t)).otherwise(F.array_append(a.parts, x.t)).alias("parts"), F.when(fresh, x.p).otherwise(a["first"]).alias("first"),
-            x.p.alias("last"), F.when(fresh, n).otherwise(a.length + n).alias("length"),
+            x.p.alias("last"), F.when(fresh, n).otherwise(a.length + 2 + n).alias("length"),
         )
 
     folded = F.aggregate(lines, start, step, lambda a: F.when(a.parts.isNull(), a.done).otherwise(closed(a)))
@@ -167,66 +184,110 @@ def section_summaries(chunks: DataFrame, n: int = 3, most: int = 200) -> DataFra
 
 
 def average_linkage(unit: np.ndarray, cutoff: float) -> np.ndarray:
-    """Labels of average-linkage clusters on cosine distance, merging while the nearest pair is within ``cutoff``; ties: the lower pair."""
+    """Labels of average-linkage clusters on cosine distance of unit vectors, all merges within ``cutoff``; numbered by their lowest rows.
+
+    The mean distance between two clusters is 1 less the product of their mean vectors, so the sums of the clusters are all that is held. A chain
+    of nearest neighbours merges whenever two are each other's nearest (the earlier in the chain, then the lower row on ties): that makes
+    the same tree as always merging the nearest pair, in quadratic time and with memory for the vectors alone.
+    """
     n = len(unit)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while True:
-        k = int(np.argmin(d))
-        a, b = divmod(k, n)
-        if not d[a, b] <= cutoff:
-            return np.unique(label, return_inverse=True)[1]
-        a, b = min(a, b), max(a, b)
-        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a], d[b], d[:, b], d[a, a] = row, row, np.inf, np.inf, np.inf
-        size[a] += size[b]
-        label[label == b] = a
-
-
-def page_clusters(vectors: DataFrame, by: str, cutoff: float = 0.8, most: int = 2000) -> DataFrame:
+    sums, size, root = unit.astype(np.float64), np.ones(n), np.arange(n)
+    alive, chain = np.ones(n, bool), []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            at = chain[-1]
+            far = 1 - (sums @ sums[at]) / (size * size[at])
+            far[~alive] = np.inf
+            far[at] = np.inf
+            near = int(np.argmin(far))
+            if len(chain) > 1 and far[chain[-2]] <= far[near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        chain = chain[:-2]
+        lo, hi = min(at, near), max(at, near)
+        if far[near] <= cutoff:
+            root[hi] = lo
+        sums[lo] += sums[hi]
+        size[lo] += size[hi]
+        alive[hi] = False
+    for i in range(n):  # a row's root lies below it
+        root[i] = root[root[i]]
+    return np.unique(root, return_inverse=True)[1]
+
+
+def silhouette(unit: np.ndarray, labels: np.ndarray) -> float:
+    """The mean silhouette by cosine distance; a row alone in its cluster counts 0, and so does a single cluster."""
+    k = int(labels.max()) + 1
+    if k < 2:
+        return 0.0
+    sums, size = np.zeros((k, unit.shape[1])), np.bincount(labels)
+    np.add.at(sums, labels, unit)
+    total = size - unit @ sums.T  # the distances of each row to all of each cluster, its own self as 1 - |row| squared
+    own = np.arange(len(unit)), labels
+    inside = (total[own] - (1 - (unit * unit).sum(axis=1))) / np.maximum(size[labels] - 1, 1)
+    mean = total / size
+    mean[own] = np.inf
+    outside = mean.min(axis=1)
+    score = np.divide(outside - inside, np.maximum(inside, outside), out=np.zeros(len(unit)), where=np.maximum(inside, outside) > 0)
+    return float(np.where(size[labels] > 1, score, 0.0).mean())
+
+
+def _units(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A group's vectors, and the same of length 1; zeros stay zeros."""
+    m = np.array(pdf["embedding"].tolist(), np.float64)
+    return m, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def page_clusters(vectors: DataFrame, by: str, cutoff: float = 0.8) -> DataFrame:
     """G-12: average-linkage clusters within each group: ``by, vec_id, cluster``; fewer than three are one cluster.
 
-    Groups are a query's pages or a paper's chunks; one of more than ``most`` rows is an error, not a cut.
+    Groups are a query's pages or a paper's chunks: the work of one is quadratic, its memory that of its vectors.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} vectors: cluster at most {most} at once")
         pdf = pdf.sort_values("vec_id")
-        m = np.array(pdf["embedding"].tolist(), np.float64)
-        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        labels = average_linkage(unit, cutoff) if len(pdf) >= 3 else np.zeros(len(pdf), int)
+        labels = average_linkage(_units(pdf)[1], cutoff) if len(pdf) >= 3 else np.zeros(len(pdf), int)
         return pd.DataFrame({by: pdf[by], "vec_id": pdf["vec_id"], "cluster": labels.astype("int32")})
 
     return vectors.select(by, "vec_id", "embedding").groupBy(by).applyInPandas(run, f"{by} long, vec_id long, cluster int")
 
 
-def raptor_tree(vectors: DataFrame, cutoff: float = 0.5, depth: int = 3, most: int = 2000) -> DataFrame:
-    """G-11: a tree of centroids for each paper: ``paper_id, level, node, parent, embedding``; level 0 are the chunks.
+#: A cluster of chunks is cut further if it has more than FEW of them and the cut's silhouette is at least CLEAR (fixed values).
+FEW, CLEAR = 5, 0.3
+
 
-    Each level clusters the one below by average linkage and stops when nothing merges.
+def raptor_tree(vectors: DataFrame, cutoff: float = 0.5, depth: int = 3, tighter: float = 1.0, few: int = FEW, clear: float = CLEAR) -> DataFrame:
+    """G-11: a tree of centroids for each paper: ``paper_id, level, node, parent, embedding``; level 0 are the chunks, whose parent is the lowest node over them.
+
+    Chunks are clustered by average linkage, and each cluster is a node of level 1; clusters of a cluster are of level 2, and so on while the level is below
+    ``depth``, each at ``tighter`` times the cutoff above it (at 1, the average linkage of a cluster is one cluster again). Nothing is cut that has ``few`` chunks or fewer, or that
+    falls into one cluster or into single chunks only, or whose cut has a silhouette below ``clear``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a paper of {len(pdf)} chunks: at most {most}")
         pdf = pdf.sort_values("vec_id")
         paper = pdf["paper_id"].iloc[0]
-        m = np.array(pdf["embedding"].tolist(), np.float64)
-        names = [f"c{i}" for i in pdf["vec_id"]]
-        out = []
-        for level in range(depth + 1):
-            unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            labels = average_linkage(unit, cutoff) if level < depth and len(m) > 1 else np.arange(len(m))
-            grown = labels.max() + 1 < len(m)
-            above = [f"n{level + 1}_{k}" if grown else None for k in labels]
-            out += [(paper, level, a, b, v.tolist()) for a, b, v in zip(names, above, m)]
-            if not grown:
-                break
-            m = np.array([m[labels == k].mean(axis=0) for k in range(labels.max() + 1)])
-            names = [f"n{level + 1}_{k}" for k in range(len(m))]
-        return pd.DataFrame(out, columns=["paper_id", "level", "node", "parent", "embedding"])
+        m, unit = _units(pdf)
+        parents: list[str | None] = [None] * len(m)
+        nodes, todo = [], [(1, np.arange(len(m)), None, cutoff)]
+        while todo:
+            level, rows, above, within = todo.pop(0)
+            if level >= depth or len(rows) <= max(few, 2):
+                continue
+            labels = average_linkage(unit[rows], within)
+            if not 1 < labels.max() + 1 < len(rows) or silhouette(unit[rows], labels) < clear:
+                continue
+            for k in range(labels.max() + 1):
+                name, inside = f"n{level}_{sum(x[1] == level for x in nodes)}", rows[labels == k]
+                nodes.append((paper, level, name, above, m[inside].mean(axis=0).tolist()))
+                for i in inside.tolist():
+                    parents[i] = name
+                todo.append((level + 1, inside, name, within * tighter))
+        leaves = [(paper, 0, f"c{i}", up, v.tolist()) for i, up, v in zip(pdf["vec_id"], parents, m)]
+        return pd.DataFrame([*leaves, *nodes], columns=["paper_id", "level", "node", "parent", "embedding"])
 
     return vectors.select("paper_id", "vec_id", "embedding").groupBy("paper_id").applyInPandas(run, "paper_id long, level int, node string, parent string, embedding array<double>")
 
@@ -259,11 +320,68 @@ def section_params(section: Column) -> Column:
     return F.coalesce(table[F.lower(section)], pair(500, 100))
 
 
-def assign_section(heading: Column, by_page: Column, text: Column) -> Column:
-    """G-5: a chunk's section: its own heading, else the one of its page, else by words of the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.when(low.rlike("accuracy|outperform|table"), "results").when(low.rlike("we propose|method|algorithm"), "methods").when(low.rlike("in conclusion|we conclude"), "conclusion")
-    return F.coalesce(imrad_header(heading), by_page, words, F.lit("body"))
+#: Patterns of the sections a chunk can be assigned to, in order (fixed values).
+SECTION_PATTERNS = {
+    "introduction": [
+        r"^\s*introduction$", r"^\s*background$", r"^\s*引言$", r"^\s*简介$", r"^\s*背景$", r"^\s*前言$", r"^\s*绪论$", r"^\s*1\.?\s*introduction", r"^\s*i\.?\s*introduction", r"^\s*1[\.\s]引言", r"^\s*一[\.、\s]",
+        r"introduction and background", r"^\s*研究背景", r"^\s*overview", r"^\s*motivation", r"^\s*related work", r"^\s*literature review",
+    ],
+    "methods": [
+        r"^\s*methods?$", r"^\s*methodology$", r"^\s*方法$", r"^\s*研究方法$", r"^\s*实验方法$", r"^\s*方法论$", r"^\s*2\.?\s*methods?", r"^\s*ii\.?\s*methods?", r"^\s*2[\.\s]方法", r"^\s*二[\.、\s]",
+        r"^\s*materials?\s*(and|&)\s*methods?", r"^\s*experimental\s*(setup|methods?)", r"^\s*材料与方法", r"^\s*实验设计", r"^\s*approach", r"^\s*experimental design",
+    ],
+    "results": [
+        r"^\s*results?$", r"^\s*findings?$", r"^\s*结果$", r"^\s*实验结果$", r"^\s*研究发现$", r"^\s*研究结果$", r"^\s*3\.?\s*results?", r"^\s*iii\.?\s*results?", r"^\s*3[\.\s]结果", r"^\s*三[\.、\s]",
+        r"results?\s*(and|&)\s*discussion", r"^\s*结果与分析", r"^\s*evaluation", r"^\s*experiments?", r"^\s*performance analysis", r"^\s*analysis",
+    ],
+    "conclusion": [
+        r"^\s*conclusions?$", r"^\s*discussion$", r"^\s*总结$", r"^\s*讨论$", r"^\s*结论$", r"^\s*4\.?\s*(?:conclusions?|discussion)", r"^\s*iv\.?\s*(?:conclusions?|discussion)", r"^\s*4[\.\s]结论", r"^\s*四[\.、\s]",
+        r"^\s*summary", r"^\s*concluding\s*remarks", r"^\s*结论与讨论", r"^\s*总结与展望", r"^\s*结论与展望", r"^\s*future work", r"^\s*limitations",
+    ],
+}
+#: A section's page range counts from this confidence on; a heading has at most so many characters, and a chunk is searched for patterns in its first ones (fixed values).
+SURE, HEADING, SEARCHED = 0.7, 50, 100
+
+
+def section_by_pattern(text: Column, at_start: bool) -> Column:
+    """The first of SECTION_PATTERNS that lower-case ``text`` matches, at its start or anywhere; null if none."""
+    c = F.when(text.isNull(), None)
+    for section, patterns in SECTION_PATTERNS.items():
+        any_of = "|".join(f"(?:{p})" for p in patterns)
+        c = c.when(text.rlike(f"^(?:{any_of})" if at_start else any_of), section)
+    return c
+
+
+def heading_section(text: Column) -> Column:
+    """The section that a short text heads: by the word after its number, else by its beginning."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    word = F.nullif(F.regexp_extract(t, r"^[0-9]+[.\s]*([a-z]+)", 1), F.lit(""))
+    return F.when(F.length(t) <= HEADING, F.coalesce(section_by_pattern(word, False), section_by_pattern(t, True)))
+
+
+def assign_sections(chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """G-5: ``chunks(paper_id, chunk_id, page_num, text)`` with ``section`` and ``by``, the step that found it.
+
+    In this order: the heading that the chunk is, the first span of its paper with its page in range (from 0, to 999 where unknown) and a confidence of SURE or more, the
+    first span of which an anchor occurs in the text, case aside, and a pattern in the text's beginning; else an empty section by ``none``. ``spans``: ``paper_id, ord,
+    section, page_start, page_end, confidence, anchors``; a paper's spans travel to its chunks once, as one array. A null or zero page is in no range, an empty
+    anchor is in every text, and a null one in none.
+    """
+    span = F.struct("ord", "section", F.coalesce("page_start", F.lit(0)).alias("a"), F.coalesce("page_end", F.lit(999)).alias("b"), F.coalesce("confidence", F.lit(0.5)).alias("sure"), F.transform("anchors", F.lower).alias("anchors"))
+    per_paper = spans.groupBy("paper_id").agg(F.sort_array(F.collect_list(span)).alias("__spans"))
+    low, page = F.lower(F.coalesce("text", F.lit(""))), F.col("page_num")
+    first = lambda test: F.get(F.filter("__spans", test), F.lit(0))["section"]
+    steps = {
+        "heading": heading_section(F.col("text")),
+        "page": F.when(page != 0, first(lambda s: page.between(s["a"], s["b"]) & (s["sure"] >= SURE))),
+        "anchor": first(lambda s: F.exists(s["anchors"], lambda a: F.coalesce(F.contains(low, a), F.lit(False)))),
+        "pattern": section_by_pattern(F.substring(low, 1, SEARCHED), False),
+    }
+    joined = chunks.join(per_paper, "paper_id", "left")
+    found = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(c.alias("section"), F.lit(n).alias("by"))) for n, c in steps.items()]))
+    one = F.coalesce(F.get(found, F.lit(0)), F.struct(F.lit("").alias("section"), F.lit("none").alias("by")))
+    keep = [c for c in chunks.columns if c not in ("section", "by")]
+    return joined.withColumn("__one", one).select(*keep, F.col("__one.section").alias("section"), F.col("__one.by").alias("by"))
 
 
 def chunk_by_section(items: DataFrame) -> DataFrame:

@@ -52,6 +52,34 @@ def fold_chunks(d):
     return G.fold_documents(d)
 
 
+_PATTERN = lambda text, at_start: " ".join(f"WHEN regexp_matches({text}, '{'^(?:' if at_start else ''}{'|'.join(f'(?:{p})' for p in ps)}{')' if at_start else ''}') THEN '{s}'" for s, ps in G.SECTION_PATTERNS.items())
+#: Texts of chunks as headings, with anchors, or with a pattern at their beginning, by position.
+SECTION_TEXT = "CASE pos % 4 WHEN 0 THEN section WHEN 1 THEN section || ' ' || content ELSE content END"
+
+
+@q("assign_sections", rf"""WITH c AS (SELECT paper_id, chunk_id, page_num, {SECTION_TEXT} AS text, lower({SECTION_TEXT}) AS low FROM chunks_v),
+sp AS (SELECT DISTINCT paper_id, page_num AS ord, 'part' || page_num AS section, page_num AS a, page_num AS b, CASE WHEN page_num % 2 = 0 THEN 0.9 ELSE 0.5 END AS sure, 'line' || paper_id % 5 AS a1, 'recall on brand#' || paper_id % 6 AS a2 FROM chunks_v WHERE page_num < 4),
+h AS (SELECT *, lower(trim(text)) AS t, regexp_extract(lower(trim(text)), '^[0-9]+[.\s]*([a-z]+)', 1) AS word FROM c),
+x AS (SELECT h.*, CASE WHEN length(t) <= 50 THEN coalesce(CASE WHEN word = '' THEN NULL {_PATTERN("word", False)} END, CASE {_PATTERN("t", True)} END) END AS heading,
+  (SELECT min_by(section, ord) FROM sp WHERE sp.paper_id = h.paper_id AND page_num BETWEEN a AND b AND sure >= 0.7 AND page_num <> 0) AS page, (SELECT min_by(section, ord) FROM sp WHERE sp.paper_id = h.paper_id AND (contains(low, a1) OR contains(low, a2))) AS anchor, CASE {_PATTERN("substr(low, 1, 100)", False)} END AS pattern FROM h)
+SELECT paper_id, chunk_id, coalesce(heading, page, anchor, pattern, '') AS section, CASE WHEN heading IS NOT NULL THEN 'heading' WHEN page IS NOT NULL THEN 'page' WHEN anchor IS NOT NULL THEN 'anchor' WHEN pattern IS NOT NULL THEN 'pattern' ELSE 'none' END AS by FROM x""", "chunks_v")
+def assign_sections(c):
+    anchors = F.array(F.concat(F.lit("Line"), (F.col("paper_id") % 5).cast("string")), F.concat(F.lit("recall on Brand#"), (F.col("paper_id") % 6).cast("string")))
+    spans = c.where("page_num < 4").select("paper_id", F.col("page_num").alias("ord"), F.concat(F.lit("part"), F.col("page_num").cast("string")).alias("section"), F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"), F.when(F.col("page_num") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"), anchors.alias("anchors")).distinct()
+    return G.assign_sections(c.select("paper_id", "chunk_id", "page_num", F.expr(SECTION_TEXT).alias("text")), spans).select("paper_id", "chunk_id", "section", "by")
+
+
+@q("chunk_paragraphs", """WITH RECURSIVE i AS (SELECT paper_id, pos, page_num, trim(content) AS t, content_type = 'text' AS is_text, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS n FROM chunks_v),
+r AS (SELECT paper_id, n, pos, page_num, t, is_text, CASE WHEN is_text THEN 0 ELSE -1 END AS chunk_no, CASE WHEN is_text THEN length(t) ELSE 0 END AS len FROM i WHERE n = 1
+  UNION ALL SELECT i.paper_id, i.n, i.pos, i.page_num, i.t, i.is_text, CASE WHEN i.is_text AND (r.chunk_no < 0 OR r.len > 150) THEN r.chunk_no + 1 ELSE r.chunk_no END, CASE WHEN NOT i.is_text THEN r.len WHEN r.chunk_no < 0 OR r.len > 150 THEN length(i.t) ELSE r.len + 2 + length(i.t) END FROM r JOIN i ON i.paper_id = r.paper_id AND i.n = r.n + 1)
+SELECT paper_id, greatest(chunk_no, 0)::INT AS chunk_no, array_to_string(list(t ORDER BY pos) FILTER (is_text), chr(10) || chr(10)) AS text, min(pos) FILTER (is_text) AS first_pos, max(pos) FILTER (is_text) AS last_pos, min(page_num) FILTER (is_text) AS page_start, max(page_num) FILTER (is_text) AS page_end, coalesce(array_to_string(list(t ORDER BY pos) FILTER (NOT is_text), '#'), '') AS media
+FROM r GROUP BY paper_id, greatest(chunk_no, 0) HAVING bool_or(is_text)""", "chunks_v")
+def chunk_paragraphs(c):
+    kind = F.when(F.col("content_type") == "text", "text").otherwise("table")
+    out = G.fold_chunks(c.select("paper_id", F.col("pos").cast("long").alias("pos"), F.col("content").alias("text"), kind.alias("type"), F.col("page_num").alias("page"), "section"), 150)
+    return out.select("paper_id", "chunk_no", "text", "first_pos", "last_pos", "page_start", "page_end", F.array_join(F.transform("media", lambda m: m["text"]), "#").alias("media"))
+
+
 @q("page_clusters", None, "embeddings")
 def page_clusters(e):
     return G.page_clusters(e.withColumn("group_id", F.floor(F.col("vec_id") / 40)), "group_id", 0.8)
@@ -59,7 +87,7 @@ def page_clusters(e):
 
 @q("raptor_tree", None, "embeddings")
 def raptor_tree(e):
-    tree = G.raptor_tree(e.select(F.floor(F.col("vec_id") / 40).alias("paper_id"), "vec_id", "embedding"), 0.9)
+    tree = G.raptor_tree(e.select(F.floor(F.col("vec_id") / 40).alias("paper_id"), "vec_id", "embedding"), 0.9, clear=0.0)  # the given vectors hardly cluster
     return tree.select("paper_id", "level", "node", "parent")
 
 

@@ -88,7 +88,11 @@ def test_sections_and_support(spark):
     rows = spark.createDataFrame([("table", None, "caption", None), ("figure", "a long enough text", None, None), ("text", "a long enough text", None, None)], "k string, t string, c string, x string")
     got = [r[0].reason for r in rows.select(H.citation_support(F.col("k"), F.col("t"), F.col("c"), F.col("x"))).collect()]
     assert got == ["ok", "missing_caption", "ok"]
-    s = spark.createDataFrame([("1. Introduction", None, "x"), ("x", "results", "x"), (None, None, "We propose it"), (None, None, None)], "h string, p string, t string")
-    assert [r[0] for r in s.select(C.assign_section(F.col("h"), F.col("p"), F.col("t"))).collect()] == ["introduction", "results", "methods", "body"]
+    chunks = [(1, 1, 3, "2. Methodology"), (1, 2, 3, "Overview of it all"), (1, 3, 3, "long text " * 9), (1, 4, 9, "as the Ablation Study shows, " * 3), (1, 5, 9, "Results and Discussion of what we have seen in the two experiments above"), (1, 6, None, None), (1, 7, 0, "x " * 40), (2, 8, 3, "7 Zebra"), (2, 9, 3, "y " * 40)]
+    spans = [(1, 2, "conclusion", 3, 3, 0.9, None), (1, 1, "results", 2, 4, 0.8, ["ablation study"]), (1, 0, "methods", 1, 9, 0.6, [None, "nowhere"])]
+    out = C.assign_sections(spark.createDataFrame(chunks, "paper_id int, chunk_id int, page_num int, text string"), spark.createDataFrame(spans, "paper_id int, ord int, section string, page_start int, page_end int, confidence double, anchors array<string>"))
+    assert {r.chunk_id: (r.section, r.by) for r in out.collect()} == {
+        1: ("methods", "heading"), 2: ("introduction", "heading"), 3: ("results", "page"), 4: ("results", "anchor"), 5: ("results", "pattern"), 6: ("", "none"), 7: ("", "none"), 8: ("", "none"), 9: ("", "none"),
+    }
     runs = spark.createDataFrame([("r", [("a", "passed", True), ("b", "failed", False)]), ("s", [("a", "passed", True)])], "run_id string, steps array<struct<step:string,status:string,consumed:boolean>>")
     assert {r.step: (r.runs, r.passed, r.full_chain) for r in R.validation_summary(runs).collect()} == {"a": (2, 2, 1), "b": (1, 0, 0)}

@@ -192,8 +192,17 @@ def test_imrad_without_headings(spark):
 
 def test_fold_chunks(spark):
     df = spark.createDataFrame([(1, 0, "a" * 30), (1, 1, "b" * 30), (1, 2, None), (1, 3, "c" * 80)], "paper_id long, pos long, text string")
-    got = [(r.chunk_no, len(r.text), r.first_pos, r.last_pos) for r in G.fold_chunks(df, 70).orderBy("chunk_no").collect()]
-    assert got == [(0, 61, 0, 1), (1, 80, 3, 3)]
+    got = [(r.chunk_no, len(r.text), r.first_pos, r.last_pos) for r in G.fold_chunks(df, 61).orderBy("chunk_no").collect()]
+    assert got == [(0, 62, 0, 1), (1, 80, 3, 3)]
+    three = spark.createDataFrame([(1, i, "x" * 300) for i in range(3)], "paper_id long, pos long, text string")
+    assert [len(r.text) for r in G.fold_chunks(three).orderBy("chunk_no").collect()] == [602, 300]
+
+
+def test_fold_chunks_with_pages_and_media(spark):
+    rows = [(1, 0, "table", "|a|", 1, "b0", None), (1, 1, "text", "w" * 40, None, None, "intro"), (1, 2, "text", "x" * 30, 2, None, "later"), (1, 3, "picture", "alt", 3, "b3", None), (1, 4, "text", "y", 4, None, "results"), (1, 5, "footnote", "z", 5, None, None), (1, 6, "text", "v", 6, None, None), (2, 0, "picture", None, 1, None, None)]
+    df = spark.createDataFrame(rows, "paper_id long, pos long, type string, text string, page int, bbox string, section string")
+    got = [(r.text, r.section, r.page_start, r.page_end, [tuple(m) for m in r.media]) for r in G.fold_chunks(df, 60).orderBy("chunk_no").collect()]
+    assert got == [("w" * 40 + "\n\n" + "x" * 30, "intro", 2, 2, [("table", 1, "b0", "|a|"), ("picture", 3, "b3", None)]), ("y\n\nv", "results", 4, 6, [])]
 
 
 def test_average_linkage():
@@ -203,6 +212,59 @@ def test_average_linkage():
     assert G.average_linkage(unit, 2.0).tolist() == [0, 0, 0, 0] and len(set(G.average_linkage(unit, 0.0))) == 4
 
 
+def greedy(unit, cutoff):
+    """Average linkage by always merging the nearest pair."""
+    groups = [[i] for i in range(len(unit))]
+    far = 1 - unit @ unit.T
+    while len(groups) > 1:
+        d, a, b = min((np.mean(far[np.ix_(x, y)]), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        if d > cutoff:
+            break
+        groups[a] += groups.pop(b)
+    return sorted(sorted(g) for g in groups)
+
+
+def test_average_linkage_equals_merging_the_nearest_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 17, 60):
+        unit = rng.normal(size=(n, 5))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for cutoff in (0.05, 0.3, 0.6, 0.9):
+            labels = G.average_linkage(unit, cutoff)
+            assert sorted(np.flatnonzero(labels == k).tolist() for k in range(labels.max() + 1)) == greedy(unit, cutoff)
+    big = rng.normal(size=(2500, 8))
+    big /= np.linalg.norm(big, axis=1, keepdims=True)
+    assert len(np.unique(G.average_linkage(big, 0.4))) > 10
+
+
+def test_silhouette():
+    unit = np.array([[1, 0], [1, 0], [0, 1], [0, 1], [0.6, 0.8]])
+    labels = np.array([0, 0, 1, 1, 2])
+    assert G.silhouette(unit, labels) == pytest.approx(4 / 5)  # each pair lies on one point; the fifth row is alone
+    pairs = np.array([0, 0, 0, 1, 1])
+    want = []
+    far = 1 - unit @ unit.T
+    for i in range(5):
+        own = [far[i, j] for j in range(5) if pairs[j] == pairs[i] and j != i]
+        other = [far[i, j] for j in range(5) if pairs[j] != pairs[i]]
+        a, b = np.mean(own), np.mean(other)
+        want.append((b - a) / max(a, b))
+    assert G.silhouette(unit, pairs) == pytest.approx(np.mean(want)) and G.silhouette(unit, np.zeros(5, int)) == 0
+
+
+def test_trees_stop_where_they_should(spark):
+    near = lambda a, n: [[np.cos(a + 0.01 * i), np.sin(a + 0.01 * i)] for i in range(n)]
+    papers = {1: near(0, 3) + near(1.5, 3), 2: near(0, 2), 3: near(0, 8), 4: [*np.eye(6), np.eye(6)[0]], 5: near(0, 2) + near(1.5, 3), 6: near(0, 4) + near(0.5, 4) + near(2.5, 7)}
+    df = spark.createDataFrame([(p, i, [float(x) for x in v]) for p, vs in papers.items() for i, v in enumerate(vs)], "paper_id long, vec_id long, embedding array<double>")
+    tree = {}
+    for r in G.raptor_tree(df, 0.3, tighter=0.3).collect():
+        tree.setdefault(r.paper_id, {})[r.node] = r.parent
+    assert tree[1] == {**{f"c{i}": "n1_0" for i in range(3)}, **{f"c{i}": "n1_1" for i in range(3, 6)}, "n1_0": None, "n1_1": None}
+    for p in (2, 3, 4, 5):  # two chunks; one cluster; no clear clusters; few chunks
+        assert set(tree[p].values()) == {None} and all(n.startswith("c") for n in tree[p]), p
+    assert tree[6]["c0"] == "n2_0" and tree[6]["c5"] == "n2_1" and tree[6]["n2_0"] == tree[6]["n2_1"] == "n1_0" and tree[6]["c9"] == "n1_1"
+
+
 def test_table_rows(spark):
     df = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |\nnot a row")], "table_id int, markdown string")
     assert [r.cells for r in G.table_rows(df).orderBy("row_no").collect()] == [{"a": "1", "b": "2"}, {"a": "3"}]
