@@ -64,6 +64,15 @@ def bucket(time: Column) -> Column:
     return F.floor(F.unix_date(time.cast("date")) / BUCKET_DAYS)
 
 
+def spans_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """``intervals`` once for each bucket of time that they touch between the first capture and the last."""
+    fetched = F.broadcast(captures.agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last")))  # one row
+    spans = intervals(entries).crossJoin(fetched).where("since <= last and (until is null or until > first)")
+    begin, end = F.greatest("since", "first"), F.least(F.coalesce("until", "last"), "last")  # no bucket before or after all captures
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(begin), bucket(end)))).drop("first", "last")
+    return spans
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture ``page_id, url, fetched_at`` with the entry that decides: adds ``action, target, since``.
 
@@ -71,13 +80,11 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     for a null or unparsable URL or a null time. Captures of one page at different times, or of different URLs under one id (null
     ids too), are judged each; rows equal in all three columns are one capture. Extra columns are not read. A capture meets
     only intervals that touch its own bucket of time, so a target with a long history does not multiply its
-    captures. Intervals are broadcast if few by count; else captures are salted, so that a host with most captures is
+    captures, and an interval lies in the buckets from the first capture to the last only. Intervals are broadcast if few by count; else captures are salted, so that a host with most captures is
     spread over SALT tasks for each bucket.
     """
     key = ["page_id", "url", "fetched_at"]
-    last = F.broadcast(captures.agg(F.max("fetched_at").alias("last")))  # one row
-    spans = intervals(entries).crossJoin(last).where("since <= last")
-    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.least(F.coalesce("until", "last"), "last"))))).drop("last")
+    spans = spans_of(captures, entries)
     keys = captures.select(*key, bucket(F.col("fetched_at")).alias("bucket"), F.explode(targets(F.col("url"))).alias("t")).select(*key, "bucket", "t.*")
     active = (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     if is_small(spans, MAX_BROADCAST_INTERVALS):

@@ -67,6 +67,15 @@ def test_every_capture_of_a_page_is_judged(spark, monkeypatch):
         assert got[1, "https://a.example.org/", day(25)][0] == "allow" and got[None, "https://other.org/", day(6)][0] == "none"
 
 
+def test_old_entries_are_rows_of_the_captures_time_only(spark):
+    old = [(f"h{i}.org", "block", dt.date(2000, 1, 1) + dt.timedelta(i)) for i in range(300)] + [("gone.org", "block", dt.date(2001, 1, 1)), ("gone.org", "remove", dt.date(2002, 1, 1))]
+    c = spark.createDataFrame([(i, f"http://h{i}.org/", day(9)) for i in range(300)] + [(999, "http://gone.org/", day(9))], "page_id long, url string, fetched_at date")
+    e = spark.createDataFrame(old, "target string, action string, listed_at date")
+    assert U.spans_of(c, e).count() == 300  # and none of gone.org, removed long before
+    got = {r.page_id: r.action for r in U.judge(c, e).collect()}
+    assert got == {**{i: "block" for i in range(300)}, 999: "none"}
+
+
 PAGE = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><p>One <b>two</b>&nbsp;three<p>Four<a class=x href="/up?a=1&amp;b=2">link</a><img src=\'i.png\'><a href="javascript:x()">no</a></body></html>'
 
 
