@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from evidencelake.operators.ranking import top_k
 from evidencelake.scratch import is_small
@@ -33,12 +33,14 @@ def write_vectors(df: DataFrame, path: str, dim: int, col: str = "embedding") ->
     """A-5: the rows with a valid vector as Parquet below ``path``, and how many were left out and why: ``reason, n``.
 
     ``reason``: ``kept``, ``no_embedding`` (null, empty or all zero) or ``wrong_dimension``. Tasks write to names of their own that the commit makes
-    visible at once, so retried tasks leave no vector twice.
+    visible at once, so retried tasks leave no vector twice. One pass: the counts are observed while the rows are written.
     """
     some = F.coalesce(F.exists(col, lambda v: v != 0), F.lit(False))
     reason = F.when(~some, "no_embedding").when(F.size(col) != dim, "wrong_dimension").otherwise("kept")
-    df.where(valid_vectors(df, dim, col)).write.mode("overwrite").parquet(path)
-    return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    seen, reasons = Observation(), ("kept", "no_embedding", "wrong_dimension")
+    counted = df.observe(seen, *[F.count_if(reason == r).alias(r) for r in reasons])
+    counted.where(valid_vectors(df, dim, col)).write.mode("overwrite").parquet(path)
+    return df.sparkSession.createDataFrame([(r, seen.get[r]) for r in reasons if seen.get[r]], "reason string, n long")
 
 
 def _block_top(ids: np.ndarray, queries: np.ndarray, k: int, drop_same: bool) -> Callable:
