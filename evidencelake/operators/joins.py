@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidencelake.functions.text import cosine, jaccard
 from evidencelake.operators.ranking import top_k
-from evidencelake.scratch import broadcast_if_small
+from evidencelake.scratch import broadcast_if_small, materialize
 
 TITLE_BLOCK, MAX_LARGE_BANDS = 256, 1_000_000
 
@@ -249,14 +249,39 @@ def assign_section_by_page(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     return near.groupBy("paper_id", "chunk_id", "page_num").agg(F.min_by("span_section", F.when(F.col("inside"), F.col("ord"))).alias("section"))
 
 
-def evolution_band(hits: DataFrame, papers: DataFrame, years: int = 3) -> DataFrame:
-    """C-11: papers within ``years`` of the query's hit years, not hits themselves, that share a keyword or are near the latest year."""
-    mine = hits.join(papers.select("paper_id", "pub_year", "keywords"), "paper_id")
-    span = mine.groupBy("query_id").agg(F.min("pub_year").alias("lo"), F.max("pub_year").alias("hi"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("words"))
-    by_year = span.withColumn("pub_year", F.explode(F.sequence(F.col("lo") - years, F.col("hi") + years)))
-    near = by_year.join(papers.select("paper_id", "pub_year", "keywords"), "pub_year")
-    good = near.where((jaccard(F.col("words"), F.col("keywords")) >= 0.05) | (F.abs(F.col("pub_year") - F.col("hi")) <= 1))
-    return good.select("query_id", "paper_id", "pub_year").join(hits.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_anti")
+#: A Jaccard similarity of keywords from which papers belong together (a fixed value).
+ALIKE = 0.05
+
+
+def evolution_band(hits: DataFrame, papers: DataFrame, years: int = 3, k: int = 5) -> DataFrame:
+    """C-11: for each query the ``k`` most cited papers within ``years`` of its hits' years, not hits themselves, that are alike in keywords or near the latest year: ``query_id, paper_id, pub_year, rank``.
+
+    ``papers``: ``paper_id, pub_year, keywords, citations``; ties go to the lower id. A query never meets all papers of its years: papers are ranked within each year, and within each
+    keyword and year, and of a list only as many can matter as the query has hits and ``k`` more. Queries with so many keywords that one in common is not enough to be alike
+    meet all papers of their keywords instead.
+    """
+    known = papers.select("paper_id", "pub_year", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("citations", F.lit(0)).alias("citations"))
+    own = hits.select("query_id", "paper_id").distinct()
+    span = own.join(known, "paper_id").groupBy("query_id").agg(F.min("pub_year").alias("lo"), F.max("pub_year").alias("hi"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("words"))
+    span = materialize(span.join(own.groupBy("query_id").agg((F.count("*") + k).alias("room")), "query_id"), "spans")
+    best = [F.desc("citations"), "paper_id"]
+    ranked = lambda df, *by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*best)))
+    most, longest = span.agg(F.max("room")).first()[0] or 0, known.agg(F.max(F.size("keywords"))).first()[0] or 0
+    columns = ["query_id", "paper_id", "pub_year", "citations"]
+
+    by_year = ranked(known, "pub_year").where(F.col("__n") <= most)
+    near = span.withColumn("pub_year", F.explode(F.sequence(F.col("hi") - 1, F.col("hi") + 1))).join(by_year, "pub_year").where("__n <= room").select(columns)
+
+    narrow = F.size("words") + longest - 1 <= round(1 / ALIKE)
+    terms = known.select("paper_id", "pub_year", "citations", F.size("keywords").alias("m"), F.explode(F.array_distinct("keywords")).alias("word"))
+    asked = span.select("query_id", "lo", "hi", "room", F.size("words").alias("n"), narrow.alias("narrow"), F.explode("words").alias("word"))
+    listed = ranked(terms, "word", "pub_year").where(F.col("__n") <= most)
+    alike = asked.where("narrow").withColumn("pub_year", F.explode(F.sequence(F.col("lo") - years, F.col("hi") + years))).join(listed, ["word", "pub_year"]).where("__n <= room").select(columns)
+    shared = asked.where("not narrow").join(terms, "word").where(F.col("pub_year").between(F.col("lo") - years, F.col("hi") + years)).groupBy("query_id", "paper_id", "pub_year", "citations", "n", "m").agg(F.count("*").alias("both"))
+    wide = shared.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= ALIKE).select(columns)
+
+    every = near.unionByName(alike).unionByName(wide).distinct().join(own, ["query_id", "paper_id"], "left_anti")
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "paper_id", "pub_year", "rank")
 
 
 def run_diff(base: DataFrame, cand: DataFrame, key: str, metrics: list[str]) -> DataFrame:

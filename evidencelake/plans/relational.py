@@ -99,11 +99,11 @@ def semi_join_uploads(d, labels):
     return d.select("doc_id").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@q("evolution_band", """WITH h AS (SELECT DISTINCT query_id, paper_id FROM hits_v WHERE query_id % 25 = 0), p AS (SELECT paper_id, pub_year, keyword FROM papers_v WHERE paper_id % 7 = 0 OR paper_id < 40),
+@q("evolution_band", """WITH h AS (SELECT DISTINCT query_id, paper_id FROM hits_v WHERE query_id % 25 = 0), p AS (SELECT paper_id, pub_year, keyword, citations FROM papers_v WHERE paper_id % 7 = 0 OR paper_id < 40),
 m AS (SELECT query_id, min(pub_year) AS lo, max(pub_year) AS hi, list(DISTINCT keyword) AS words FROM h JOIN p USING (paper_id) GROUP BY query_id)
-SELECT query_id, paper_id, pub_year FROM m, p WHERE pub_year BETWEEN lo - 3 AND hi + 3 AND (len(list_intersect(words, [keyword])) / len(list_distinct(list_append(words, keyword))) >= 0.05 OR abs(pub_year - hi) <= 1) AND (query_id, paper_id) NOT IN (SELECT (query_id, paper_id) FROM h)""", "hits_v", "papers_v")
+SELECT query_id, paper_id, pub_year, row_number() OVER (PARTITION BY query_id ORDER BY citations DESC, paper_id)::INT AS rank FROM m, p WHERE pub_year BETWEEN lo - 3 AND hi + 3 AND (len(list_intersect(words, [keyword])) / len(list_distinct(list_append(words, keyword))) >= 0.05 OR abs(pub_year - hi) <= 1) AND (query_id, paper_id) NOT IN (SELECT (query_id, paper_id) FROM h) QUALIFY rank <= 5""", "hits_v", "papers_v")
 def evolution_band(h, p):
-    papers = p.where("paper_id % 7 = 0 or paper_id < 40").select("paper_id", "pub_year", F.array("keyword").alias("keywords"))
+    papers = p.where("paper_id % 7 = 0 or paper_id < 40").select("paper_id", "pub_year", F.array("keyword").alias("keywords"), "citations")
     return C.evolution_band(h.where("query_id % 25 = 0").select("query_id", "paper_id").distinct(), papers)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidencelake.functions import academic as A, planning as P
-from evidencelake.operators import chunking as G, filters as B, gates as GA, graph as J, joins as C, reports as R, verify as H
+from evidencelake.operators import chunking as G, filters as B, gates as GA, graph as J, joins as C, models as M, ranking as K, reports as R, verify as H
 from evidencelake.plans.relational import q
 
 
@@ -111,13 +111,13 @@ def best_title(d):
     return A.best_title(lines).select("paper_id", F.md5("title").alias("title"))
 
 
-@q("chunk_by_section", """WITH p(section, size, overlap) AS (VALUES ('abstract', 400, 50), ('introduction', 1000, 120), ('methods', 800, 150), ('results', 650, 100), ('other', 500, 100)), i AS (SELECT paper_id % 50 AS paper_id, CASE pos % 5 WHEN 0 THEN 'abstract' WHEN 1 THEN 'introduction' WHEN 2 THEN 'methods' WHEN 3 THEN 'results' ELSE 'other' END AS section, paper_id * 10 + pos AS pos, content FROM chunks_v),
+@q("chunk_by_section", """WITH p(section, size, overlap) AS (VALUES ('abstract', 400, 50), ('introduction', 1000, 120), ('methods', 800, 150), ('results', 650, 100), ('other', 500, 100)), i AS (SELECT paper_id, CASE pos % 5 WHEN 0 THEN 'abstract' WHEN 1 THEN 'introduction' WHEN 2 THEN 'methods' WHEN 3 THEN 'results' ELSE 'other' END AS section, paper_id * 10 + pos AS pos, content FROM chunks_v),
 w AS (SELECT paper_id, section, string_agg(content, chr(10) ORDER BY pos) AS whole FROM i GROUP BY ALL), c AS (SELECT paper_id, section, whole, size, unnest(range(0, greatest(length(whole) - overlap, 1), size - overlap)) AS start, generate_subscripts(range(0, greatest(length(whole) - overlap, 1), size - overlap), 1) - 1 AS chunk_no FROM w JOIN p USING (section))
 SELECT paper_id, section, chunk_no, start, md5(trim(substr(whole, CAST(start + 1 AS BIGINT), size), ' ')) AS content FROM c WHERE trim(substr(whole, CAST(start + 1 AS BIGINT), size), ' ') <> ''""", "chunks_v")
 def chunk_by_section(c):
     k = F.col("pos") % 5
     section = F.when(k == 0, "abstract").when(k == 1, "introduction").when(k == 2, "methods").when(k == 3, "results").otherwise("other")
-    items = c.select((F.col("paper_id") % 50).alias("paper_id"), section.alias("section"), (F.col("paper_id") * 10 + F.col("pos")).alias("pos"), F.col("content").alias("text"))
+    items = c.select("paper_id", section.alias("section"), (F.col("paper_id") * 10 + F.col("pos")).alias("pos"), F.col("content").alias("text"))
     return G.chunk_by_section(items).withColumn("content", F.md5("content"))
 
 
@@ -188,3 +188,30 @@ def planner_families(x):
 
     f = planner_family(F.col("question"), F.when(F.col("query_id") % 3 == 0, "Compare").when(F.col("query_id") % 3 == 1, "summary"))
     return x.select("query_id", F.when(f.isin("compare", "evolution", "survey"), f).otherwise("rest").alias("family"))
+
+
+_TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]{{3,}}'))"
+
+
+@q("rerank_by_model", f"""WITH h AS (SELECT query_id, chunk_id, min(rank) AS r FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hits_v) GROUP BY ALL),
+p AS (SELECT h.query_id, h.chunk_id, 1.0 / (60 + r) AS rrf_score, list_intersect({_TOKENS("question")}, {_TOKENS("content")}) AS i, {_TOKENS("question")} AS t, content FROM h LEFT JOIN questions_v USING (query_id) LEFT JOIN chunks_v USING (chunk_id)),
+s AS (SELECT *, CASE WHEN content IS NOT NULL AND t IS NOT NULL THEN coalesce(len(i) / nullif(len(t), 0), 0) END AS m, 1 - (row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) - 1) / count(*) OVER (PARTITION BY query_id) AS d FROM p)
+SELECT query_id, chunk_id, round(coalesce(m, d), 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY m IS NOT NULL DESC, m DESC, d DESC, chunk_id)::INT AS rerank_rank FROM s""", "hits_v", "questions_v", "chunks_v")
+def rerank_by_model(h, x, c):
+    """E-12 with the offline scorer behind the model protocol."""
+    fused = K.ranked(h.select("query_id", "chunk_id", "score"), ["query_id"], "score", "chunk_id", "r").withColumn("rrf_score", 1.0 / (60 + F.col("r")))
+    texts = fused.join(x.select("query_id", "question"), "query_id").join(c.select("chunk_id", "content"), "chunk_id")
+    scores = texts.select("query_id", "chunk_id", M.model_score(F.col("question"), F.col("content")).alias("model_score"))
+    return K.rerank(fused, scores).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
+
+
+@q("unified_by_model", f"""WITH p AS (SELECT answer_id, chunk_id, lower(answer) AS a, lower(content) AS s, {_TOKENS("answer")} AS t, {_TOKENS("content")} AS u, list_distinct(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?')) AS n, list_distinct(regexp_extract_all(content, '[0-9]+(?:\.[0-9]+)?')) AS m FROM answers_v JOIN chunks_v ON paper_id = answer_id),
+x AS (SELECT *, coalesce(len(list_intersect(t, u)) / nullif(len(t), 0), 0) AS e, coalesce(len(list_intersect(n, m)) / nullif(len(n), 0), 0) AS num, '\b(?:not|no|never|without|fails?)\b' AS neg FROM p)
+SELECT answer_id, chunk_id, round(e, 6) AS entail, round(greatest(0, least(1, 0.4 * 0.5 + 0.3 * e + 0.2 * 0.5 + 0.1 * num - 0.3 * CASE WHEN e >= 0.3 AND regexp_matches(a, neg) <> regexp_matches(s, neg) THEN 1 ELSE 0 END)), 6) AS unified FROM x""", "answers_v", "chunks_v")
+def unified_by_model(a, c):
+    """H-7 with the offline entailment behind the model protocol, each answer against the chunks of its paper."""
+    pairs = a.select("answer_id", "answer").join(c.select(F.col("paper_id").alias("answer_id"), "chunk_id", "content"), "answer_id")
+    judged = pairs.withColumn("e", M.entailment(F.col("answer"), F.col("content")))
+    half = F.lit(0.5)
+    unified = H.unified_score(half, half, F.col("e.entail"), M.numeric_share(F.col("answer"), F.col("content")), F.col("e.contradiction"))
+    return judged.select("answer_id", "chunk_id", F.round("e.entail", 6).alias("entail"), F.round(unified, 6).alias("unified"))

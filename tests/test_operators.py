@@ -176,6 +176,84 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_evolution_band_equals_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    words = [f"k{i}" for i in range(60)]
+    pick = lambda most: sorted({words[int(60 * x**2)] for x in rng.random(int(rng.integers(0, most)))})
+    papers = [(i, int(rng.integers(2000, 2012)), pick(8), int(rng.integers(0, 9))) for i in range(300)] + [(900, 2005, None, None)]
+    hits = [(q, int(p)) for q in range(25) for p in rng.integers(0, 300, rng.integers(1, 4 if q % 3 else 25))]
+    got = {}
+    for r in C.evolution_band(spark.createDataFrame(hits, "query_id int, paper_id int"), spark.createDataFrame(papers, "paper_id int, pub_year int, keywords array<string>, citations int"), 2, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.paper_id))
+    by_id, want, wide = {p[0]: p for p in papers}, {}, 0
+    for q in range(25):
+        own = {p for x, p in hits if x == q}
+        years, mine = [by_id[p][1] for p in own], {w for p in own for w in by_id[p][2]}
+        wide += len(mine) > 14
+        every = []
+        for p, y, ws, c in papers:
+            ws = set(ws or ())
+            alike = bool(mine | ws) and len(mine & ws) / len(mine | ws) >= 0.05
+            if p not in own and min(years) - 2 <= y <= max(years) + 2 and (alike or abs(y - max(years)) <= 1):
+                every.append((-(c or 0), p))
+        if every:
+            want[q] = [(n, p) for n, (_, p) in enumerate(sorted(every)[:4], 1)]
+    assert wide and wide < 25 and {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_louvain(spark):
+    clique = lambda g, n: [(a, b, 1) for a in range(g, g + n) for b in range(a + 1, g + n)]
+    ring = [e for g in range(0, 60, 10) for e in clique(g, 5)] + [(g, (g + 10) % 60, 1) for g in range(0, 60, 10)] + [(None, 3, 1), (0, 0, 2)]
+    e = spark.createDataFrame(ring, "src long, dst long, weight long").repartition(3)
+    labels, levels = J.louvain(e)
+    got = {r.node: r.label for r in labels.collect()}
+    assert len(got) == 30 and len(set(got.values())) == 6 and all(got[g + i] == got[g] for g in range(0, 60, 10) for i in range(5))
+    assert levels == sorted(levels) and levels[-1] > 0.7
+    assert J.louvain(e.limit(0))[0].count() == 0
+
+
+def test_louvain_is_no_worse_than_votes(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    e = J.coauthor_edges(li, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("shared").alias("weight"))
+    labels, levels = J.louvain(e)
+    assert J.modularity(e, labels).first()[0] == pytest.approx(levels[-1]) and levels == sorted(levels)
+    assert levels[-1] >= J.modularity(e, J.communities(e)).first()[0] - 1e-9
+
+
+def plain_neighbours(edges, starts, hops):
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out = set()
+    for s in starts:
+        seen, front = {s}, {s}
+        for d in range(1, hops + 1):
+            front = {x for f in front for x in near.get(f, ())} - seen
+            seen |= front
+            out |= {(s, x, d) for x in front}
+    return out
+
+
+def test_neighbours_past_hubs(spark):
+    rng = np.random.default_rng(6)
+    edges = [(0, int(i)) for i in range(1, 200)] + [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2))] + [(None, 4), (5, 5)]
+    e = spark.createDataFrame([(a, b, "x" if (a or 0) % 2 else "y") for a, b in edges], "src long, dst long, relation string")
+    starts = list(range(0, 260))
+    s = spark.createDataFrame([(i,) for i in [*starts, 3, None]], "node long")
+    assert {tuple(r) for r in J.neighbours(e, s, 3).collect()} == plain_neighbours(edges, starts, 3)
+    some = [(a, b) for a, b in edges if (a or 0) % 2]
+    score = spark.createDataFrame([(i, float(i % 7)) for i in range(0, 300, 2)], "node long, score double")
+    got = {}
+    for r in J.neighbours(e, s, 2, ["x"], 3, score).collect():
+        got.setdefault(r.start, []).append((r.rank, r.node, r.distance))
+    want = {}
+    for a, b, d in plain_neighbours(some, starts, 2):
+        want.setdefault(a, []).append((d, -(b % 7) if b % 2 == 0 and b < 300 else 0, b))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(n, b, d) for n, (d, _, b) in enumerate(sorted(v)[:3], 1)] for k, v in want.items()}
+
+
 def test_communities(spark):
     e = spark.createDataFrame([(a, b, 1) for g in (0, 10) for a in range(g, g + 4) for b in range(a + 1, g + 4)] + [(0, 10, 1)], "src long, dst long, weight long")
     labels = J.communities(e)
