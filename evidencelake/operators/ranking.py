@@ -110,6 +110,27 @@ def per_paper_budget(hits: DataFrame, scope: DataFrame, budget: int = 8, k: int
     return final, scope.join(final.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_anti")
 
 
+def hybrid_retrieval(dense: DataFrame, sparse: DataFrame, scope: DataFrame, budget: int = 8, k: int = 10, scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """E-14: the final candidates ``query_id, chunk_id, paper_id, rrf_score, pre_rerank_rank, rerank_rank, rerank_score, rerank_gain`` and a report of each query.
+
+    Each paper of a query's ``scope(query_id, paper_id, ord)`` gives its best ``budget`` dense hits (``query_id, paper_id, chunk_id, score``), one paper after another by ``ord``; that list and the sparse one
+    are fused by rank, cut to 3 k, reranked (by ``scores(query_id, chunk_id, model_score)`` if there are any) and cut to ``k``. The report: ``dense_candidates, fused_before_rerank, paper_coverage,
+    missing_papers`` (ids of the scope that no final candidate has).
+    """
+    kept = top_k(dense.join(scope, ["query_id", "paper_id"]), ["query_id", "paper_id"], "score", "chunk_id", budget, "__n")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "paper_id", "__n"))
+    lists = kept.select("query_id", "chunk_id", "paper_id", F.lit("dense").alias("branch"), (-place).alias("score")).unionByName(sparse.select("query_id", "chunk_id", "paper_id", F.lit("sparse").alias("branch"), "score"))
+    papers = lists.groupBy("query_id", "chunk_id").agg(F.min("paper_id").alias("paper_id"))
+    pre = rrf_fuse(lists).where(F.col("pre_rerank_rank") <= 3 * k)
+    reranked = rerank(pre, scores) if scores is not None else deterministic_rerank(pre)
+    final = rerank_gain(reranked).where(F.col("rerank_rank") <= k).join(papers, ["query_id", "chunk_id"])
+    final = final.select("query_id", "chunk_id", "paper_id", "rrf_score", "pre_rerank_rank", "rerank_rank", "rerank_score", "rerank_gain")
+    missing = scope.join(final.select("query_id", "paper_id").distinct().withColumn("__in", F.lit(1)), ["query_id", "paper_id"], "left")
+    per = missing.groupBy("query_id").agg(F.count("__in").alias("paper_coverage"), F.sort_array(F.collect_set(F.when(F.col("__in").isNull(), F.col("paper_id")))).alias("missing_papers"))
+    counts = kept.groupBy("query_id").agg(F.count("*").alias("dense_candidates")).join(pre.groupBy("query_id").agg(F.count("*").alias("fused_before_rerank")), "query_id", "full")
+    return final, per.join(counts, "query_id", "left").na.fill(0, ["dense_candidates", "fused_before_rerank"])
+
+
 def forced_coverage(final: DataFrame, hits: DataFrame, scope: DataFrame, k: int) -> DataFrame:
     """E-15: scoped papers absent from ``final`` give their best chunk at score 0.5; trimmed to k with these kept first in line by score."""
     missing = scope.join(final.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_anti")

@@ -121,6 +121,48 @@ def paper_summary(chunks: DataFrame, n: int = 2, most: int = 300) -> DataFrame:
     return captions.join(wide, "paper_id", "left")
 
 
+#: What a section's name contains for each part of a summary, the first that fits (fixed values); characters of a chunk, chunks and characters of the part.
+SUMMARY_PARTS = {
+    "abstract": ("abstract", 500, 2, 1000), "introduction": ("introduction", 300, 2, 1500), "method": ("method|approach|model|architecture|system", 300, 3, 1000), "experiment": ("experiment|evaluation|result|benchmark", 300, 3, 1000),
+    "result": ("ablation", 300, 2, 800), "limitation": ("limitation|future", 300, 2, 800),
+}
+
+
+def paper_summary_index(chunks: DataFrame) -> DataFrame:
+    """G-8: the summary of each paper: ``paper_id, title, abstract, paper_summary, method_summary, experiment_summary, result_summary, limitation_summary, datasets, metrics, methods, table_captions, figure_captions, representative_ids``.
+
+    ``chunks``: ``paper_id, pos, chunk_id, section, page_num, content_type, anchor, content`` and, where known, arrays ``datasets, metrics, methods``. A chunk stands for its section by its anchor, or else by its
+    beginning. The title is the first line of 11 to 199 characters among the first five of a chunk without section, of the abstract, the introduction or page 1, that is no arXiv mark. The
+    paper's summary is that of three abstract chunks, or of two introductory ones. Entities are sorted, 20 of each; captions are anchors, 10 of each; representative are the first five abstract chunks.
+    """
+    section, kind = F.lower(F.coalesce("section", F.lit(""))), F.lower(F.coalesce("content_type", F.lit("text")))
+    anchor, content = F.coalesce("anchor", F.lit("")), F.coalesce("content", F.lit(""))
+    part, text = None, None
+    for name, (pattern, most, *_) in SUMMARY_PARTS.items():
+        when = section.rlike(pattern)
+        part = F.when(when, name) if part is None else part.when(when, name)
+        cut = F.when(anchor != "", anchor).otherwise(F.substring(content, 1, most))
+        text = F.when(when, cut) if text is None else text.when(when, cut)
+    lines = F.filter(F.transform(F.slice(F.split(content, "\n"), 1, 5), lambda x: F.trim(x)), lambda x: (F.length(x) > 10) & (F.length(x) < 200) & ~x.startswith("arXiv"))
+    heads = section.isin("", "abstract", "introduction") | (F.col("page_num") == 1)
+    row = F.struct("pos", "chunk_id", part.alias("part"), text.alias("text"), F.when(heads, F.get(lines, F.lit(0))).alias("line"), F.when(anchor != "", kind).alias("captioned"), F.substring(anchor, 1, 200).alias("caption"))
+    entities = [c for c in ("datasets", "metrics", "methods") if c in chunks.columns]
+    one = chunks.groupBy("paper_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), *[F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), 1, 20).alias(c) for c in entities])
+    for c in {"datasets", "metrics", "methods"}.difference(entities):
+        one = one.withColumn(c, F.array().cast("array<string>"))
+    of = lambda name: F.transform(F.filter("rows", lambda r: r["part"] == name), lambda r: r["text"])
+    joined = lambda name, n: F.array_join(F.slice(of(name), 1, n), " ")
+    captions = lambda *kinds: F.slice(F.transform(F.filter("rows", lambda r: r["captioned"].isin(*kinds)), lambda r: r["caption"]), 1, 10)
+    summary = F.when(joined("abstract", 3) != "", joined("abstract", 3)).otherwise(joined("introduction", 2))
+    return one.select(
+        "paper_id", F.substring(F.coalesce(F.get(F.filter(F.transform("rows", lambda r: r["line"]), lambda x: x.isNotNull()), F.lit(0)), F.lit("")), 1, 300).alias("title"),
+        F.substring(joined("abstract", 2), 1, 1000).alias("abstract"), F.substring(summary, 1, 1500).alias("paper_summary"),
+        *[F.substring(joined(name, SUMMARY_PARTS[name][2]), 1, SUMMARY_PARTS[name][3]).alias(f"{name}_summary") for name in ("method", "experiment", "result", "limitation")],
+        "datasets", "metrics", "methods", captions("table").alias("table_captions"), captions("figure", "caption").alias("figure_captions"),
+        F.slice(F.transform(F.filter("rows", lambda r: r["part"] == "abstract"), lambda r: r["chunk_id"]), 1, 5).alias("representative_ids"),
+    )
+
+
 #: Kinds of entity and what names them (fixed values).
 ONTOLOGY = {
     "method": r"\b(method\s+[A-Za-z0-9\-]+|[A-Z][A-Za-z0-9\-]{1,20})\b",

@@ -231,6 +231,28 @@ def per_paper_budget(h: DataFrame) -> DataFrame:
     return R.per_paper_budget(h, h.select("query_id", "paper_id").distinct(), 2, 5)[1]
 
 
+HYBRID = """s AS (SELECT DISTINCT query_id, paper_id, -paper_id AS ord FROM hits_v WHERE paper_id % 3 < 2), d AS (SELECT query_id, paper_id, chunk_id, ord, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, chunk_id) AS n FROM hits_v JOIN s USING (query_id, paper_id) WHERE branch <> 'sparse' QUALIFY n <= 3),
+l AS (SELECT query_id, chunk_id, paper_id, 'dense' AS branch, row_number() OVER (PARTITION BY query_id ORDER BY ord, paper_id, n) AS r FROM d UNION ALL SELECT query_id, chunk_id, paper_id, 'sparse', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM hits_v WHERE page_num < 5),
+u AS (SELECT query_id, chunk_id, min(paper_id) AS paper_id, round(sum(1.0 / (60 + r)), 12) AS rrf FROM l GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS pre FROM u QUALIFY pre <= 12), f AS (SELECT * FROM p WHERE pre <= 4)"""
+
+
+def _hybrid(h: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scope = h.where("paper_id % 3 < 2").select("query_id", "paper_id", (-F.col("paper_id")).alias("ord")).distinct()
+    return R.hybrid_retrieval(h.where("branch <> 'sparse'").select("query_id", "paper_id", "chunk_id", "score"), h.where("page_num < 5"), scope, 3, 4)
+
+
+@rank_query("hybrid_retrieval", f"WITH {HYBRID} SELECT query_id, chunk_id, paper_id, pre AS rank FROM f")
+def hybrid_retrieval(h: DataFrame) -> DataFrame:
+    return _hybrid(h)[0].select("query_id", "chunk_id", "paper_id", F.col("rerank_rank").alias("rank"))
+
+
+@rank_query("hybrid_report", f"""WITH {HYBRID}, c AS (SELECT query_id, count(f.paper_id) AS paper_coverage, array_to_string(list_sort(list(s.paper_id) FILTER (f.paper_id IS NULL)), ',') AS missing FROM s LEFT JOIN (SELECT DISTINCT query_id, paper_id FROM f) f USING (query_id, paper_id) GROUP BY 1)
+SELECT query_id, paper_coverage, coalesce(missing, '') AS missing, coalesce(dc, 0) AS dense_candidates, coalesce(fc, 0) AS fused_before_rerank FROM c LEFT JOIN (SELECT query_id, count(*) AS dc FROM d GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS fc FROM p GROUP BY 1) USING (query_id)""")
+def hybrid_report(h: DataFrame) -> DataFrame:
+    out = _hybrid(h)[1]
+    return out.select("query_id", "paper_coverage", F.array_join(F.col("missing_papers").cast("array<string>"), ",").alias("missing"), "dense_candidates", "fused_before_rerank")
+
+
 @rank_query("forced_coverage", """WITH f AS (SELECT query_id, paper_id, chunk_id, score FROM hits_v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5),
 m AS (SELECT query_id, paper_id, chunk_id, 0.5 AS score FROM hits_v ANTI JOIN f USING (query_id, paper_id) QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY hits_v.score DESC, chunk_id) = 1)
 SELECT query_id, paper_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM m) QUALIFY rank <= 8""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidencelake.operators import chunking as G
+from evidencelake.operators import chunking as G, reports as R
 from evidencelake.plans.relational import q
 from evidencelake.plans.registry import ORACLES, query
 from evidencelake.plans.views import with_views
@@ -52,6 +52,21 @@ def fold_chunks(d):
     return G.fold_documents(d)
 
 
+_PART = lambda name, n, most: f"substr(coalesce(array_to_string((list(t ORDER BY pos) FILTER (part = '{name}'))[1:{n}], ' '), ''), 1, {most})"
+
+
+@q("paper_summary_index", f"""WITH c AS (SELECT paper_id, pos, chunk_id, page_num, content_type, content, lower(CASE WHEN pos = 5 THEN 'Ablation' ELSE section END) AS sec, CASE WHEN pos % 2 = 0 THEN substr(content, 1, 30) ELSE '' END AS anchor FROM chunks_v),
+p AS (SELECT *, CASE WHEN contains(sec, 'abstract') THEN 'abstract' WHEN contains(sec, 'introduction') THEN 'introduction' WHEN regexp_matches(sec, 'method|approach|model|architecture|system') THEN 'method' WHEN regexp_matches(sec, 'experiment|evaluation|result|benchmark') THEN 'experiment' WHEN contains(sec, 'ablation') THEN 'result' WHEN regexp_matches(sec, 'limitation|future') THEN 'limitation' END AS part, CASE WHEN anchor <> '' THEN anchor ELSE substr(content, 1, 300) END AS t,
+  CASE WHEN (page_num = 1 OR sec IN ('', 'abstract', 'introduction')) AND length(trim(content)) BETWEEN 11 AND 199 THEN trim(content) END AS line FROM c)
+SELECT paper_id, coalesce(arg_min(line, pos) FILTER (line IS NOT NULL), '') AS title, {_PART("abstract", 2, 1000)} AS abstract, CASE WHEN {_PART("abstract", 3, 1500)} <> '' THEN {_PART("abstract", 3, 1500)} ELSE {_PART("introduction", 2, 1500)} END AS paper_summary, {_PART("method", 3, 1000)} AS method_summary, {_PART("experiment", 3, 1000)} AS experiment_summary, {_PART("result", 2, 800)} AS result_summary, {_PART("limitation", 2, 800)} AS limitation_summary,
+array_to_string(list_sort(list(DISTINCT content_type))[1:20], ',') AS datasets, coalesce(array_to_string((list(anchor ORDER BY pos) FILTER (content_type = 'table' AND anchor <> ''))[1:10], '#'), '') AS table_captions, coalesce(array_to_string((list(anchor ORDER BY pos) FILTER (content_type = 'figure' AND anchor <> ''))[1:10], '#'), '') AS figure_captions, coalesce(array_to_string((list(chunk_id ORDER BY pos) FILTER (part = 'abstract'))[1:5], ','), '') AS representative_ids FROM p GROUP BY paper_id""", "chunks_v")
+def paper_summary_index(c):
+    marked = c.withColumns({"section": F.when(F.col("pos") == 5, "Ablation").otherwise(F.col("section")), "anchor": F.when(F.col("pos") % 2 == 0, F.substring("content", 1, 30)).otherwise(""), "datasets": F.array("content_type")})
+    out = R.paper_summary_index(marked).drop("metrics", "methods")
+    lists = {"datasets": ",", "table_captions": "#", "figure_captions": "#", "representative_ids": ","}
+    return out.withColumns({n: F.array_join(F.col(n).cast("array<string>"), mark) for n, mark in lists.items()})
+
+
 _PATTERN = lambda text, at_start: " ".join(f"WHEN regexp_matches({text}, '{'^(?:' if at_start else ''}{'|'.join(f'(?:{p})' for p in ps)}{')' if at_start else ''}') THEN '{s}'" for s, ps in G.SECTION_PATTERNS.items())
 #: Texts of chunks as headings, with anchors, or with a pattern at their beginning, by position.
 SECTION_TEXT = "CASE pos % 4 WHEN 0 THEN section WHEN 1 THEN section || ' ' || content ELSE content END"

@@ -96,3 +96,33 @@ def test_sections_and_support(spark):
     }
     runs = spark.createDataFrame([("r", [("a", "passed", True), ("b", "failed", False)]), ("s", [("a", "passed", True)])], "run_id string, steps array<struct<step:string,status:string,consumed:boolean>>")
     assert {r.step: (r.runs, r.passed, r.full_chain) for r in R.validation_summary(runs).collect()} == {"a": (2, 2, 1), "b": (1, 0, 0)}
+
+
+def test_paper_summary_by_hand(spark):
+    from evidencelake.operators import reports as R
+
+    rows = [
+        (1, 2, "c2", "Abstract", 1, "text", "", "second " + "a" * 600, ["SQuAD"]), (1, 1, "c1", "ABSTRACT", 1, "text", "anchor one", "arXiv:1234.5678 mark\nshort\nThe real title of it\nmore", None), (1, 3, "c3", "introduction to approach", 2, "Table", "T" * 250, "x", ["COCO", "SQuAD"]),
+        (1, 4, "c4", "our model", 3, "caption", "fig", "y", []), (1, 5, "c5", "Ablation of the system", 3, "figure", None, "z", None), (1, 6, "c6", "ablation", 4, "text", None, "w", None), (1, 7, "c7", "future", 5, "text", None, None, None), (2, 1, "d1", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "paper_id int, pos int, chunk_id string, section string, page_num int, content_type string, anchor string, content string, datasets array<string>")
+    one, two = R.paper_summary_index(df).orderBy("paper_id").collect()
+    second = "second " + "a" * 493
+    assert (one.title, one.abstract, one.paper_summary) == ("The real title of it", f"anchor one {second}", f"anchor one {second}")
+    assert (one.method_summary, one.result_summary, one.limitation_summary, one.experiment_summary) == ("fig z", "w", "", "")
+    assert (one.datasets, one.metrics, one.table_captions, one.figure_captions, one.representative_ids) == (["COCO", "SQuAD"], [], ["T" * 200], ["fig"], ["c1", "c2"])
+    assert (two.title, two.paper_summary, two.representative_ids, two.datasets) == ("", "", [], [])
+
+
+def test_hybrid_retrieval_by_hand(spark):
+    from evidencelake.operators import ranking as R
+
+    dense = spark.createDataFrame([(1, 10, "a", 0.9), (1, 10, "b", 0.8), (1, 10, "c", 0.7), (1, 20, "d", 0.95), (1, 30, "x", 0.99)], "query_id int, paper_id int, chunk_id string, score double")
+    sparse = spark.createDataFrame([(1, 20, "d", 5.0), (1, 40, "e", 4.0)], "query_id int, paper_id int, chunk_id string, score double")
+    scope = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (1, 50, 2)], "query_id int, paper_id int, ord int")
+    final, report = R.hybrid_retrieval(dense, sparse, scope, 2, 2)
+    assert [(r.chunk_id, r.pre_rerank_rank) for r in final.orderBy("rerank_rank").collect()] == [("d", 1), ("a", 2)]  # d: third of the dense list and first of the sparse one
+    r = report.first()
+    assert (r.dense_candidates, r.fused_before_rerank, r.paper_coverage, r.missing_papers) == (3, 4, 2, [50])
+    scores = spark.createDataFrame([(1, "b", 0.9), (1, "e", 0.5)], "query_id int, chunk_id string, model_score double")
+    assert [(r.chunk_id, r.rerank_gain) for r in R.hybrid_retrieval(dense, sparse, scope, 2, 2, scores)[0].orderBy("rerank_rank").collect()] == [("b", 2), ("e", 2)]
