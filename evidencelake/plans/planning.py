@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evidencelake.functions import planning as P, text as T
 from evidencelake.operators import compare as M
@@ -100,6 +100,29 @@ def compare_matrix(c):
     return M.compare_matrix(c, c)
 
 
+CELLS = f"""{DIM}, b AS (SELECT paper_id, dimension, arg_max(chunk_id, (round(score, 9), -chunk_id)) AS chunk_id FROM d WHERE score > 0 GROUP BY ALL), c AS (SELECT user_id AS query_id, p.paper_id, b.dimension, b.chunk_id FROM papers_v p LEFT JOIN b USING (paper_id)),
+k AS (SELECT query_id, chunk_id, min(paper_id) AS paper_id, list_sort(list(DISTINCT dimension)) AS dimensions FROM c WHERE chunk_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT k.*, CASE WHEN quality >= 0.7 THEN 'supported' WHEN quality >= 0.4 THEN 'partially_supported' ELSE 'unsupported' END AS support_status FROM k LEFT JOIN chunks_v USING (chunk_id))"""
+
+
+def _contract(p: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scored = M.dimension_scores(c).where("score > 0").withColumn("score", F.round("score", 9))
+    best = scored.groupBy("paper_id", "dimension").agg(F.max_by("chunk_id", F.struct("score", (-F.col("chunk_id")).alias("low"))).alias("chunk_id"))
+    cells = p.select(F.col("user_id").alias("query_id"), "paper_id").join(best, "paper_id", "left")
+    scores = p.select(F.col("user_id").alias("query_id"), "paper_id").join(c.select("paper_id", "chunk_id", F.col("quality").cast("double").alias("rerank_score")), "paper_id")
+    return M.compare_contract(cells, scores)
+
+
+@q("compare_blocks", f"WITH {SENT}, {CELLS} SELECT query_id, paper_id, chunk_id, array_to_string(dimensions, ',') AS dimensions, support_status FROM l", "papers_v", "chunks_v")
+def compare_blocks(p, c):
+    return _contract(p, c)[0].withColumn("dimensions", F.array_join("dimensions", ","))
+
+
+@q("compare_answer_mode", f"WITH {SENT}, {CELLS}, n AS (SELECT query_id, count(*) AS blocks, count(*) FILTER (support_status = 'supported') AS supported FROM l GROUP BY 1) SELECT query_id, coalesce(blocks, 0) AS blocks, coalesce(supported, 0) AS supported, CASE WHEN blocks IS NULL THEN 'abstain' WHEN supported / blocks >= 0.8 THEN 'full' ELSE 'partial' END AS answer_mode FROM (SELECT DISTINCT user_id AS query_id FROM papers_v) LEFT JOIN n USING (query_id)", "papers_v", "chunks_v")
+def compare_answer_mode(p, c):
+    return _contract(p, c)[1]
+
+
 @q("cross_paper_insights", f"WITH {SENT}, {DIM}, g AS (SELECT * FROM d WHERE score > 0), w AS (SELECT dimension, count(DISTINCT paper_id) AS papers FROM g GROUP BY 1 HAVING count(DISTINCT paper_id) >= 2) SELECT dimension, papers, row_number() OVER (PARTITION BY dimension ORDER BY round(score, 9) DESC, chunk_id) AS place, chunk_id FROM g JOIN w USING (dimension) QUALIFY place <= 3", "chunks_v")
 def cross_paper_insights(c):
     return M.cross_paper_insights(M.dimension_scores(c).withColumn("score", F.round("score", 9)))
