@@ -205,7 +205,7 @@ def rerank_by_model(h, x, c):
     return K.rerank(fused, scores).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
 
 
-@q("unified_by_model", f"""WITH p AS (SELECT answer_id, chunk_id, lower(answer) AS a, lower(content) AS s, {_TOKENS("answer")} AS t, {_TOKENS("content")} AS u, list_distinct(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?')) AS n, list_distinct(regexp_extract_all(content, '[0-9]+(?:\.[0-9]+)?')) AS m FROM answers_v JOIN chunks_v ON paper_id = answer_id),
+@q("unified_by_model", rf"""WITH p AS (SELECT answer_id, chunk_id, lower(answer) AS a, lower(content) AS s, {_TOKENS("answer")} AS t, {_TOKENS("content")} AS u, list_distinct(regexp_extract_all(answer, '[0-9]+(?:\.[0-9]+)?')) AS n, list_distinct(regexp_extract_all(content, '[0-9]+(?:\.[0-9]+)?')) AS m FROM answers_v JOIN chunks_v ON paper_id = answer_id),
 x AS (SELECT *, coalesce(len(list_intersect(t, u)) / nullif(len(t), 0), 0) AS e, coalesce(len(list_intersect(n, m)) / nullif(len(n), 0), 0) AS num, '\b(?:not|no|never|without|fails?)\b' AS neg FROM p)
 SELECT answer_id, chunk_id, round(e, 6) AS entail, round(greatest(0, least(1, 0.4 * 0.5 + 0.3 * e + 0.2 * 0.5 + 0.1 * num - 0.3 * CASE WHEN e >= 0.3 AND regexp_matches(a, neg) <> regexp_matches(s, neg) THEN 1 ELSE 0 END)), 6) AS unified FROM x""", "answers_v", "chunks_v")
 def unified_by_model(a, c):
