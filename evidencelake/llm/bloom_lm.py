@@ -14,6 +14,7 @@ a broadcast of proven size they go to the workers; beyond that the grams of the
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ SMALL_SHARD, SHARDS, LARGE_SHARD = 4 << 20, 1024, 256 << 20
 #: The filter is broadcast up to this size, and so are exact counts of this many words (16 bytes each).
 MAX_FILTER_BYTES, MAX_HEAD_WORDS = 256 << 20, 4_000_000
 #: Tokens counted before a task hands out what it has, and tokens cut at once.
-COUNT_AT_ONCE, CUT_AT_ONCE = 1_500_000, 250_000
+COUNT_AT_ONCE, CUT_AT_ONCE = 3_000_000, 250_000
 SALT, BATCH = 16, 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Least count of each level from 2 on, for all counts of 63 bits.
@@ -66,15 +67,15 @@ def pair(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens of all texts, one after another, and how many each text has: its words, A to Z lowered, and the end."""
     cut = [t.encode("utf-8").translate(LOWER).split() if t else [] for t in texts]
-    codes: dict[bytes, int] = dict.fromkeys(w for words in cut for w in words)
-    for w in codes:
-        codes[w] = xxhash.xxh64_intdigest(w)
+    every = list(itertools.chain.from_iterable(cut))
+    kinds = set(every)
+    codes = dict(zip(kinds, map(xxhash.xxh64_intdigest, kinds)))
     n = np.array([len(c) + 1 for c in cut], np.int64)
     ends = np.cumsum(n) - 1
     flat = np.full(int(n.sum()), END, np.uint64)
     words = np.ones(len(flat), bool)
     words[ends] = False
-    flat[words] = np.fromiter((codes[w] for words in cut for w in words), np.uint64, len(flat) - len(cut))
+    flat[words] = np.fromiter(map(codes.__getitem__, every), np.uint64, len(every))
     return flat, n
 
 
