@@ -26,7 +26,7 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidencelake.llm.workers import tidied, tidy
+from evidencelake.llm.workers import small_texts, tidied, tidy
 from evidencelake.scratch import join_per_key, materialize, new_path
 
 BASE, KAPPA = 1.2, 1000.0
@@ -243,7 +243,8 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     shards = max(1, math.ceil(max(min(SHARDS, size / SMALL_SHARD), size / LARGE_SHARD)))
     counted = texts.mapInArrow(tidied(_count(shards)), "shard int, gram long, n long")
     uri = new_path(spark, "bloom-lm")
-    counted.repartitionById(shards, "shard").mapInArrow(tidied(_build), KINDS).write.partitionBy("kind", "shard").parquet(uri)
+    with small_texts(spark):
+        counted.repartitionById(shards, "shard").mapInArrow(tidied(_build), KINDS).write.partitionBy("kind", "shard").parquet(uri)
     parts = spark.read.schema(KINDS).parquet(uri)
     levels = parts.where("kind = 'level'").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams")).collect()  # one row a level
     means = (np.zeros(LEVELS + 1), np.zeros(LEVELS + 1))
@@ -380,17 +381,18 @@ def _decoded(level: str, means: np.ndarray) -> Column:
     return F.get(F.array(*[F.lit(float(m)) for m in means]), F.col(level))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens, n_known`` (tokens that were trained on)``, train_tokens, base_score`` and ``score`` added.
 
     ``base_score`` has exact counts and no context; ``score`` is the model's log10 probability. A null or empty text has one token, its end. One
-    row out for each row in, repeated rows and null ids as well; columns of these names are replaced; untrained, every token is unknown. Exact counts of the most
-    frequent words are broadcast, up to MAX_HEAD_WORDS; rarer words are joined. Words are told apart by 64-bit hashes.
+    row out for each row in, written once to the shared folder, repeated rows and null ids as well; columns of these names are replaced; untrained, every token is unknown. Exact counts of the most
+    frequent words are broadcast, up to MAX_HEAD_WORDS; rarer words are joined. The rows are written once to the shared folder, without the text if ``keep_text`` is false. Words are told apart by 64-bit hashes.
     """
     grams, counts, least = _head(model)
     by_shard = model.filter_bytes > MAX_FILTER_BYTES
     known = None if by_shard else _whole_filter(model)
-    sent = docs.sparkSession.sparkContext.broadcast(_Scorer((grams, counts), least == 0, known, model.tokens, model.kinds, model.means))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(_Scorer((grams, counts), least == 0, known, model.tokens, model.kinds, model.means))
 
     @F.arrow_udf(", ".join(f"{n} {kind}" for n, kind in FIELDS.items()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -401,12 +403,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.concat_arrays(parts) if parts else scorer([])
 
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in new and (keep_text or c != text_col)]
     made = docs.select(*rest, run.asNondeterministic()(F.col(text_col)).alias("__s")).select(*rest, *[F.col(f"__s.{n}").alias(f"__{n}") for n in FIELDS])
     everything = model.tokens + 0.5 * (model.kinds + 1)
     rare, pairs = F.struct(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")), F.lit(0.0)
-    if least or by_shard:
+    with small_texts(spark):
         made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "bloom-scores")
+    sent.destroy()  # the scores are written, so executors need not keep the filter
     if least:
         words = model.words.where(F.col("n") < (1 << least))
         each = join_per_key(made.select("__row", F.explode("__rare").alias("r")).select("__row", "r.gram", "r.times"), words, "gram")
@@ -437,4 +440,4 @@ def op12_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by the model of those that may be trained on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs.where(~held_out()))
-    return score(docs.select("doc_id", "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep_text=False).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

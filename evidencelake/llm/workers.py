@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 @contextmanager
@@ -32,3 +33,15 @@ def tidied(run: Callable) -> Callable:
             yield from run(batches)
 
     return each
+
+
+@contextmanager
+def small_texts(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes for the jobs that run inside: whole texts make large ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
