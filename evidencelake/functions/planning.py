@@ -29,6 +29,7 @@ DEPTHS = {"shallow": (6, 3, 24, 24, 8), "medium": (10, 4, 40, 40, 12), "deep": (
 DEFAULT_BUDGET = (12, 5, 120, 180, 10)
 #: Section names of a page, in order (fixed values).
 PAGE_SECTIONS = [("abstract", "Abstract"), ("introduction", "Introduction"), ("related work", "Related Work"), ("method|methods|methodology", "Methods"), ("experiments?|evaluation", "Experiments"), ("results?", "Results"), ("discussion", "Discussion"), ("conclusion", "Conclusion")]
+#: What makes a chunk worth keeping (a fixed pattern).
 HIGH_VALUE = r"(?i)\b(table|figure|fig\.?|ablation|benchmark|accuracy|recall|precision|f1|ndcg|mrr|\d+\.\d+|\d+%)\b"
 #: Risk of tools; others are MEDIUM (fixed values).
 TOOL_RISK = {"delete_paper": "CRITICAL", "execute_command": "CRITICAL", "upload_paper": "HIGH", "create_note": "MEDIUM", "update_note": "MEDIUM", "merge_documents": "MEDIUM", "external_search": "LOW", "rag_search": "LOW", "list_papers": "LOW", "read_paper": "LOW", "list_notes": "LOW", "read_note": "LOW", "extract_references": "LOW", "ask_user_confirmation": "LOW", "show_message": "LOW"}

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+#: Patterns of a citation and a number (fixed values).
 CITATION = r"\[[^\[\],]+,\s*[^\[\]]+\]"
 NUMBER = r"\d+(?:\.\d+)?%?"
 

@@ -12,6 +12,7 @@ from evidencelake.scratch import broadcast_if_small
 
 MAX_DIMENSIONS = 10_000
 
+#: Families whose candidates are balanced over papers (fixed values).
 BALANCED = ("compare", "cross_paper", "survey", "related_work", "method_evolution", "conflicting_evidence")
 
 

@@ -74,6 +74,9 @@ def confidence_level(e):
     return e.select("event_id", P.confidence_level(mode, F.col("value") > 50, F.col("user_id") % 4, F.col("event_id") % 7 == 0, F.col("event_id") % 2 == 0).alias("level"))
 
 
+_NAME = M.NAME_WORD.replace("'", "''")
+
+
 def _dimension_sql(d: str) -> str:
     """``dimension_score`` of one dimension over sentences ``s`` in DuckDB."""
     has = lambda c, p, v=1.0: f"CASE WHEN regexp_matches({c}, '{p}') THEN {v} ELSE 0 END"
@@ -82,12 +85,15 @@ def _dimension_sql(d: str) -> str:
     if d == M.LOOSE:
         hits = f"CASE WHEN {hits} > 0 THEN {hits} ELSE {' + '.join(has('lower(s)', h) for h in M.SECTION_HINTS[d])} END"
     rest = " + ".join([has("s", f"(?i){p}", -1.1) for p in bad] + [has("s", f"(?i){p}", v) for n, p, v in M.BONUSES if n == d] + [has("lower(section)", "|".join(M.SECTION_HINTS[d]), 0.6)])
-    fit = f"length(s) >= {M.SHORTEST}" + "".join(f" AND NOT regexp_matches(s, '{p}')" for p in M.NO_EVIDENCE) + ("" if d == M.LOOSE else f" AND {hits} > 0")
+    named = f"len(list_filter(regexp_extract_all(s, '{_NAME}'), lambda w: regexp_matches(w, '^[A-Z]') OR lower(w) IN {M.SMALL_WORDS}))"
+    names = f"(NOT regexp_matches(s, '{M.SENTENCE_MARK}') AND len(regexp_extract_all(s, '{_NAME}')) >= {M.NAME_WORDS} AND {named} / len(regexp_extract_all(s, '{_NAME}')) >= {M.NAME_SHARE})"
+    weak = [M.WEAK[d]] if d in M.WEAK else []
+    fit = f"length(s) >= {M.SHORTEST} AND NOT {names} AND NOT (length(s) >= {M.REFERENCE_LENGTH} AND regexp_matches(s, '{M.REFERENCE}'))" + "".join(f" AND NOT regexp_matches(s, '{p}')" for p in [*M.NO_EVIDENCE, *weak]) + ("" if d == M.LOOSE else f" AND {hits} > 0")
     return f"SELECT '{d}' AS dimension, max(CASE WHEN {fit} THEN 1.6 * ({hits}) + {rest} END)::DOUBLE AS score, chunk_id, paper_id FROM s GROUP BY chunk_id, paper_id HAVING score > 0"
 
 
 DIM = "d AS (" + " UNION ALL ".join(_dimension_sql(d) for d in M.DIMENSIONS) + ")"
-SENT = r"s AS (SELECT paper_id, chunk_id, section, trim(unnest(string_split(regexp_replace(content, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)))) AS s FROM chunks_v)"
+SENT = rf"s AS (SELECT paper_id, chunk_id, section, trim(regexp_replace(trim(unnest(string_split(regexp_replace(content, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)))), '{M.PREFIXES}', '')) AS s FROM chunks_v)"
 
 
 @q("dimension_scores", f"WITH {SENT}, {DIM} SELECT paper_id, chunk_id, dimension, round(score, 6) AS score FROM d", "chunks_v")

@@ -122,6 +122,32 @@ def test_dimension_scores_by_hand(spark):
     }
 
 
+def test_fragments_and_lead_sentences_by_hand(spark):
+    rows = [
+        (1, "x", "2.1) Results: We improve accuracy by 3 percent."), (2, "x", "A Novel Framework for Training Large Models of Language"), (3, "x", "In ACL, a novel method here"), (4, "x", "The results are somewhat repetitive and higher here."),
+        (5, "x", "We build a new model with an adapter and a retriever for all. Starting from a base model. We use more."), (6, "x", "Raters find better responses than the baseline in most of the cases that we see. Accuracy improves by 5 points and results are higher."),
+        (7, "x", "We train a model " + "very " * 60 + "long."), (8, "x", "In ACL, novel idea"),
+    ]
+    df = spark.createDataFrame([(i, i, *r) for i, *r in rows], "paper_id int, chunk_id int, section string, content string")
+    got = {(r.chunk_id, r.dimension): r.snippet for r in M.dimension_scores(df).collect()}
+    assert got[1, "results"] == "We improve accuracy by 3 percent."
+    assert not any(i in (2, 3) for i, _ in got)  # a title; a line of the references
+    assert (4, "results") not in got and got[5, "method"] == "Starting from a base model."
+    assert got[6, "results"].startswith("Raters find better responses than") and got[7, "method"] == ("We train a model " + "very " * 60)[:220]
+    assert got[8, "innovation"] == "In ACL, novel idea"  # too short for a reference
+    texts = {"3. Method - We adapt": "We adapt", "- b) x": "x", "Training LIMA We train it": "We train it", "plain": "plain", "  ": ""}
+    one = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.f for r in one.select("t", M.fragment(F.col("t")).alias("f")).collect()} == texts
+
+
+def test_contract_by_hand(spark):
+    cells = spark.createDataFrame([(1, 10, "method", "a"), (1, 10, "results", "a"), (1, 11, "method", "b"), (1, 11, "results", None), (2, 10, "method", "a"), (3, 12, "method", None)], "query_id int, paper_id int, dimension string, chunk_id string")
+    scores = spark.createDataFrame([(1, "a", 0.7), (1, "b", 0.69), (2, "a", 0.9)], "query_id int, chunk_id string, rerank_score double")
+    blocks, answers = M.compare_contract(cells, scores)
+    assert {(r.query_id, r.chunk_id): (r.dimensions, r.support_status) for r in blocks.collect()} == {(1, "a"): (["method", "results"], "supported"), (1, "b"): (["method"], "partially_supported"), (2, "a"): (["method"], "supported")}
+    assert {r.query_id: (r.blocks, r.supported, r.answer_mode) for r in answers.collect()} == {1: (2, 1, "partial"), 2: (1, 1, "full"), 3: (0, 0, "abstain")}
+
+
 def test_summary_index(spark, tmp_path):
     rows = [(1, 10, "related_work", 2, "text", "", "b" * 300), (1, 11, "related_work", 1, "table", None, "a"), (1, 12, None, 3, "figure", "anchor", "c")]
     c = spark.createDataFrame(rows, "paper_id int, chunk_id int, section string, pos int, content_type string, anchor string, content string")
