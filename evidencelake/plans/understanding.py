@@ -112,7 +112,7 @@ def answer_contract(h):
 t AS (SELECT query_id, round(0.25 * least(papers / 12, 1) + 0.2 * least(sections / 5, 1) + 0.2 * least(types / 3, 1) + 0.25 * mean_top + 0.1 * support, 9) AS quality FROM s) SELECT query_id, round(quality, 5) AS quality, CASE WHEN quality >= 0.75 THEN 'answerable' WHEN quality >= 0.45 THEN 'partial' ELSE 'insufficient' END AS answerability FROM t""", "hits_v")
 def pack_quality(h):
     want = h.select("query_id").distinct().withColumns({"n_papers": F.lit(12), "n_sections": F.lit(5), "n_types": F.lit(3)})
-    return H.pack_quality(pack(h), want).select("query_id", F.round(F.round("quality", 9), 5).alias("quality"), "answerability")
+    return H.pack_quality(pack(h), want).select("query_id", T.rounded(F.col("quality"), 5).alias("quality"), "answerability")
 
 
 @q("retrieval_weakness", """WITH b AS (SELECT query_id, paper_id, count(*) AS n, sum(score) AS s FROM hits_v WHERE query_id % 3 > 0 OR paper_id % 20 = 0 GROUP BY ALL), m AS (SELECT query_id, sum(n) AS hits, round(sum(s) / sum(n), 9) AS mean_score, max(n) / sum(n) AS conc, count(*) AS papers FROM b GROUP BY 1)
