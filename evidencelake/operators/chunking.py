@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from evidencelake.functions.planning import has_equations, special_boundary
 
@@ -41,6 +47,32 @@ def imrad(items: DataFrame) -> DataFrame:
     return marked.withColumns({"section": section, "w": words}).groupBy("paper_id", "section").agg(F.sum("w").alias("words"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.max(F.when(F.col("any"), 0.9).otherwise(0.3)).alias("confidence"))
 
 
+#: Rows that a fold over papers gives out at once.
+FOLD_ROWS = 4096
+
+
+def fold_papers(rows: DataFrame, fold: Callable[[list[tuple]], list[dict]], kinds: str) -> DataFrame:
+    """``fold`` of each paper's rows, in order of ``pos``, without a call to Python for each paper: papers lie one after another in sorted partitions.
+
+    ``fold`` has a paper's rows as tuples in the columns' order and gives dicts of ``kinds``; ``paper_id`` is put before them.
+    """
+    schema = StructType.fromDDL(f"paper_id {dict(rows.dtypes)['paper_id']}, {kinds}")
+    at, arrow = rows.columns.index("paper_id"), to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        each = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
+        for paper, own in itertools.groupby(each, lambda r: r[at]):
+            out += [{"paper_id": paper, **x} for x in fold(list(own))]
+            if len(out) >= FOLD_ROWS:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.repartition("paper_id").sortWithinPartitions("paper_id", F.col("pos").asc_nulls_last()).mapInArrow(run, schema)
+
+
 def fold_chunks(items: DataFrame, size: int = 500) -> DataFrame:
     """G-2: items of a paper packed in order into chunks: ``paper_id, chunk_no, text, first_pos, last_pos, section, page_start, page_end, media``.
 
@@ -52,13 +84,12 @@ def fold_chunks(items: DataFrame, size: int = 500) -> DataFrame:
     have = set(items.columns)
     column = lambda c, kind, other=None: (F.col(c) if c in have else F.lit(other)).cast(kind).alias(c)
     rows = items.select("paper_id", "pos", "text", column("type", "string", "text"), column("page", "int"), column("bbox", "string"), column("section", "string"))
-    names = ["chunk_no", "text", "first_pos", "last_pos", "section", "page_start", "page_end", "media"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(own: list[tuple]) -> list[dict]:
         made: list[dict] = []
         waiting: list[dict] = []
-        for _, pos, text, kind, page, bbox, section in pdf.sort_values("pos").itertuples(index=False):
-            text, page = text or "", None if pd.isna(page) else int(page)
+        for _, pos, text, kind, page, bbox, section in own:
+            text = text or ""
             if kind in ("table", "picture"):
                 (made[-1]["media"] if made else waiting).append({"type": kind, "page": page, "bbox": bbox, "text": text if kind == "table" else None})
                 continue
@@ -74,14 +105,10 @@ def fold_chunks(items: DataFrame, size: int = 500) -> DataFrame:
             else:
                 made.append({"chunk_no": len(made), "text": text, "first_pos": pos, "last_pos": pos, "section": section, "page_start": page, "page_end": page, "media": waiting})
                 waiting = []
-        out = pd.DataFrame([[x[n] for n in names] for x in made], columns=names)
-        for n in ("page_start", "page_end"):
-            out[n] = out[n].astype("Int32")
-        out.insert(0, "paper_id", pdf["paper_id"].iloc[0])
-        return out
+        return made
 
     kinds = "chunk_no int, text string, first_pos long, last_pos long, section string, page_start int, page_end int, media array<struct<type: string, page: int, bbox: string, text: string>>"
-    return rows.groupBy("paper_id").applyInPandas(fold, f"paper_id {dict(items.dtypes)['paper_id']}, {kinds}")
+    return fold_papers(rows, fold, kinds)
 
 
 def fold_documents(docs: DataFrame, size: int = 500) -> DataFrame:
