@@ -180,11 +180,11 @@ def chunk_semantic(items: DataFrame, size: int | None = None, overlap: int = 100
         "paper_id", "pos", "page_num", F.coalesce("section", F.lit("")).alias("section"), "text", words_of(t).alias("words"), adaptive.cast("int").alias("size"), before.alias("start"), (before + F.length(t)).alias("end"),
         has_equations(t).alias("equations"), (low.contains("figure") | low.contains("table")).alias("figures"), special_boundary(t).alias("special"),
     )
-    names = ["paper_id", "chunk_no", "section", "page_start", "page_end", "start", "end", "words", "overlap", "equations", "figures", "special", "text"]
+    columns, names = marked.columns, ["chunk_no", "section", "page_start", "page_end", "start", "end", "words", "overlap", "equations", "figures", "special", "text"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(own: list[tuple]) -> list[dict]:
         made: list[dict] = []
-        for x in pdf.sort_values("pos").to_dict("records"):
+        for x in (dict(zip(columns, row)) for row in own):
             last = made[-1] if made else None
             joins = last and last["words"] < x["size"] and x["words"] < least * 0.5 and last["words"] + x["words"] <= most and not last["special"] and not x["special"]
             if joins:
@@ -196,10 +196,10 @@ def chunk_semantic(items: DataFrame, size: int | None = None, overlap: int = 100
             if n and overlap:
                 x.update(text=" ".join(made[n - 1]["text"].split()[-overlap:]) + "\n\n" + x["text"], overlap=overlap)
             x["words"] = len(x["text"].split())
-        return pd.DataFrame([[x[c] for c in names] for x in made], columns=names)
+        return [{c: x[c] for c in names} for x in made]
 
     kinds = "chunk_no int, section string, page_start int, page_end int, start long, end long, words int, overlap int, equations boolean, figures boolean, special boolean, text string"
-    return marked.groupBy("paper_id").applyInPandas(fold, f"paper_id {dict(items.dtypes)['paper_id']}, {kinds}")
+    return fold_papers(marked, fold, kinds)
 
 
 def section_summaries(chunks: DataFrame, n: int = 3, most: int = 200) -> DataFrame:
