@@ -414,14 +414,25 @@ def assign_sections(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 def chunk_by_section(items: DataFrame) -> DataFrame:
     """G-3: items ``paper_id, pos, text, section`` cut into windows of their section's size and overlap: ``paper_id, section, chunk_no, start, content``.
 
-    Items of a section are joined in order first; offsets are within the section. Sections are parts of one paper, so each is a small group.
+    The items of a section follow each other in order, with a line feed between; offsets are within the section. A section's text is never
+    held whole: running lengths give each item its place, and an item goes to the windows that it reaches into, in parts.
     """
-    joined = items.where("text is not null").groupBy("paper_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x.text), "\n").alias("whole"))
-    sized = joined.withColumn("p", section_params(F.col("section"))).where("length(whole) > 0")
-    step = F.col("p.size") - F.col("p.overlap")
-    starts = F.sequence(F.lit(0), F.greatest(F.length("whole") - F.col("p.overlap") - 1, F.lit(0)), step)
-    each = sized.select("paper_id", "section", "whole", "p", F.posexplode(starts).alias("chunk_no", "start"))
-    return each.select("paper_id", "section", "chunk_no", "start", F.trim(F.col("whole").substr(F.col("start") + 1, F.col("p.size"))).alias("content")).where("content <> ''")
+    by = Window.partitionBy("paper_id", "section").orderBy("pos", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = items.where("text is not null").select("paper_id", "section", "pos", "text")
+    total = known.groupBy(F.col("paper_id").alias("p0"), F.col("section").alias("s0")).agg((F.sum(F.length("text") + 1) - 1).alias("total"))
+    placed = known.withColumn("at", F.sum(F.length("text") + 1).over(by) - F.length("text") - 1)
+    same = F.col("paper_id").eqNullSafe(F.col("p0")) & F.col("section").eqNullSafe(F.col("s0"))
+    whole = placed.join(total, same).drop("p0", "s0").withColumn("text", F.when(F.col("at") + F.length("text") < F.col("total"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    p = section_params(F.col("section"))
+    sized = whole.where("length(text) > 0").select("paper_id", "section", "at", "text", "total", p["size"].cast("long").alias("size"), p["overlap"].cast("long").alias("overlap")).withColumn("step", F.col("size") - F.col("overlap"))
+    zero = F.lit(0).cast("long")
+    first = F.greatest(F.floor((F.col("at") - F.col("size")) / F.col("step")) + 1, zero)
+    last = F.least(F.floor((F.col("at") + F.length("text") - 1) / F.col("step")), F.floor(F.greatest(F.col("total") - F.col("overlap") - 1, zero) / F.col("step")))
+    reached = sized.withColumns({"first": first, "last": last}).where("first <= last").withColumn("n", F.explode(F.sequence("first", "last")))
+    begin = F.col("n") * F.col("step") - F.col("at")  # of the window, within the item
+    part = F.col("text").substr((F.greatest(begin, zero) + 1).cast("int"), (begin + F.col("size") - F.greatest(begin, zero)).cast("int"))
+    parts = reached.groupBy("paper_id", "section", F.col("n").cast("int").alias("chunk_no"), (F.col("n") * F.col("step")).cast("int").alias("start")).agg(F.sort_array(F.collect_list(F.struct("at", part.alias("part")))).alias("parts"))
+    return parts.select("paper_id", "section", "chunk_no", "start", F.trim(F.array_join(F.transform("parts", lambda x: x.part), "")).alias("content")).where("content <> ''")
 
 
 def section_index(chunks: DataFrame) -> DataFrame:
