@@ -300,13 +300,24 @@ def hydrate(cands: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def citation_hints(hits: DataFrame, edges: DataFrame, forward: bool, k: int = 5) -> DataFrame:
-    """C-15: papers that cite (forward) or are cited by a query's hits, without the hits, most cited first, k of each query."""
+    """C-15: papers that cite (forward) or are cited by a query's hits, without the hits, most cited first, k of each query.
+
+    The papers linked to a hit are ranked once for all queries; a query takes as many of each list as it has hits and ``k`` more, since no more than
+    its hits can be left out of them.
+    """
     here, there = ("dst", "src") if forward else ("src", "dst")
     own = hits.select("query_id", "paper_id").distinct()
-    found = own.join(edges.distinct(), F.col("paper_id") == F.col(here)).select("query_id", F.col(there).alias("paper_id")).distinct()
-    fresh = found.join(own, ["query_id", "paper_id"], "left_anti")
-    cited = edges.distinct().groupBy(F.col("dst").alias("paper_id")).agg(F.count("*").alias("cited_by"))
-    return top_k(fresh.join(cited, "paper_id", "left").na.fill({"cited_by": 0}), ["query_id"], "cited_by", "paper_id", k)
+    own = materialize(own.withColumn("room", F.count("*").over(Window.partitionBy("query_id")) + k), "own")
+    most, linked = own.agg(F.max("room")).first()[0] or 0, edges.select("src", "dst").distinct()
+    cited = linked.groupBy(F.col("dst").alias("other")).agg(F.count("*").alias("cited_by"))
+    each = linked.select(F.col(here).alias("paper_id"), F.col(there).alias("other")).join(own.select("paper_id"), "paper_id", "left_semi").join(cited, "other", "left").na.fill({"cited_by": 0})
+    listed = each.withColumn("__n", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("cited_by"), "other"))).where(F.col("__n") <= most)
+    found = own.join(listed, "paper_id").where("__n <= room").select("query_id", F.col("other").alias("paper_id"), "cited_by").distinct()
+    return top_k(found.join(own, ["query_id", "paper_id"], "left_anti"), ["query_id"], "cited_by", "paper_id", k)
+
+
+#: Parts of the papers of one method set.
+SET_PARTS = 32
 
 
 def same_method_hints(methods: DataFrame, least: float = 0.25) -> DataFrame:
