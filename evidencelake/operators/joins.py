@@ -321,13 +321,20 @@ SET_PARTS = 32
 
 
 def same_method_hints(methods: DataFrame, least: float = 0.25) -> DataFrame:
-    """C-16: pairs of papers whose method sets have a Jaccard similarity of ``least``; candidates share a method."""
-    one = methods.select("paper_id", "method").distinct()
-    size = one.groupBy("paper_id").agg(F.count("*").alias("n"))
-    a = one.join(size, "paper_id")
-    b = a.select(F.col("paper_id").alias("other_id"), "method", F.col("n").alias("m"))
-    both = a.join(b, "method").where("paper_id < other_id").groupBy("paper_id", "other_id", "n", "m").agg(F.count("*").alias("k"))
-    return both.withColumn("similarity", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("similarity") >= least).select("paper_id", "other_id", "similarity")
+    """C-16: pairs of papers whose method sets have a Jaccard similarity of ``least``; candidates share a method.
+
+    Papers with the same methods are compared as one; their pairs are only made for the result, where one side of a set's papers is dealt to ``SET_PARTS``
+    parts, so that a set of many papers is not the work of one task.
+    """
+    papers = methods.where("paper_id is not null").groupBy("paper_id").agg(F.sort_array(F.collect_set("method")).alias("methods"))  # nulls are no methods
+    papers = materialize(papers, "methods")
+    one = papers.select("methods").distinct().withColumns({"n": F.size("methods"), "method": F.explode("methods")})
+    other = one.select(F.col("methods").alias("others"), F.col("n").alias("m"), "method")
+    both = one.join(other, "method").groupBy("methods", "others", "n", "m").agg(F.count("*").alias("k"))
+    alike = both.withColumn("similarity", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("similarity") >= least).select("methods", "others", "similarity")
+    a = papers.withColumn("part", F.pmod(F.xxhash64("paper_id"), F.lit(SET_PARTS)).cast("int"))
+    b = papers.select(F.col("paper_id").alias("other_id"), F.col("methods").alias("others"), F.explode(F.sequence(F.lit(0), F.lit(SET_PARTS - 1))).alias("part"))
+    return a.join(alike, "methods").join(b, ["others", "part"]).where("paper_id < other_id").select("paper_id", "other_id", "similarity")
 
 
 def semantic_lookup(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
