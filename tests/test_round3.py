@@ -98,3 +98,22 @@ def test_papers_of_equal_methods_are_compared_once(spark):
         sets.setdefault(p, set()).update(() if m is None else (m,))
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert {(r.paper_id, r.other_id): r.similarity for r in df.collect()} == pytest.approx({k: v for k, v in want.items() if v >= 0.4})
+
+
+def test_evolution_band_is_whole(spark):
+    papers = [(i, 2000 + i * 7 % 12, [f"k{i % 9}", f"k{i % 4}"] if i % 10 else None, i % 3) for i in range(120)] + [(200, None, ["k1"], 0)]
+    hits = [(q, (q * 13 + i * 5) % 121 if q else 5) for q in range(15) for i in range(1 + q % 3)]
+    by, want = {p[0]: p for p in papers}, set()
+    for q in range(15):
+        own = {p for x, p in hits if x == q}
+        known = [by[p] for p in own if p in by]
+        if known:
+            years, mine = [p[1] for p in known], {w for p in known for w in p[2] or ()}
+            for p, y, ws, _ in papers:
+                ws = set(ws or ())
+                if p not in own and y and min(years) - 2 <= y <= max(years) + 2 and (abs(y - max(years)) <= 1 or mine | ws and len(mine & ws) / len(mine | ws) >= 0.05):
+                    want.add((q, p, y))
+    df = C.evolution_band_all(spark.createDataFrame(hits, "query_id int, paper_id int"), spark.createDataFrame(papers, "paper_id int, pub_year int, keywords array<string>, citations int"), 2)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    band = QUERIES["evolution_band"](spark, SF)
+    assert band.groupBy("query_id").count().where("count > 5").limit(1).count() == 1 and band.columns == ["query_id", "paper_id", "pub_year"]
