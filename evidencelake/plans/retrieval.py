@@ -80,21 +80,28 @@ def flagship_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, chunk_id`` where the chunk contains the question's text; candidates share its first run of three words.
+    """``query_id, chunk_id`` where the chunk contains the question's text; candidates share its second to fourth words between blanks.
 
-    While the questions are few by count, a chunk's runs that begin no question are left out before they become rows.
+    These words have blanks on both sides, so a chunk that contains the question has them whole, whatever precedes its first and follows
+    its last word. Questions of fewer than five words are looked for in every chunk. While the questions are few by count, a chunk's runs that are in no
+    question are left out before they become rows.
     """
-    asked = questions.withColumn("key", F.xxhash64(F.regexp_extract("question", r"^(\S+ \S+ \S+)", 1)))
+    own = F.split("question", " ")
+    joined = lambda a, b: F.concat_ws(" ", a, b)
+    asked = questions.where("question is not null").withColumns({"n": F.size(own), "key": F.xxhash64(F.array_join(F.slice(own, 2, 3), " "))})
+    few, asked = asked.where("n < 5").select("query_id", "question"), asked.where("n >= 5").drop("n")
     words = F.split("content", " ")
-    glue = lambda a, b: F.concat_ws(" ", a, b)
-    runs = F.zip_with(F.zip_with(words, F.slice(words, 2, F.size(words)), glue), F.slice(words, 3, F.size(words)), glue)
-    keys = F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.substring_index(r, "\n", -1))))
-    small = is_small(asked, MAX_PASSAGE_QUESTIONS)
+    runs = F.zip_with(F.zip_with(words, F.slice(words, 2, F.size(words)), joined), F.slice(words, 3, F.size(words)), joined)
+    keys = F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
+    small, kept = is_small(asked, MAX_PASSAGE_QUESTIONS), chunks
     if small:
-        chunks = chunks.crossJoin(F.broadcast(asked.agg(F.collect_set("key").alias("known"))))  # one row
+        kept = chunks.crossJoin(F.broadcast(asked.agg(F.collect_set("key").alias("known"))))  # one row
         keys = F.array_intersect(keys, "known")
-    marked = chunks.select("chunk_id", "content", F.explode(keys).alias("key"))
-    return marked.join(F.broadcast(asked) if small else asked, "key").where(F.col("content").contains(F.col("question"))).select("query_id", "chunk_id").distinct()
+    marked = kept.select("chunk_id", "content", F.explode(keys).alias("key"))
+    found = marked.join(F.broadcast(asked) if small else asked, "key").where(F.col("content").contains(F.col("question"))).select("query_id", "chunk_id")
+    if not few.isEmpty():
+        found = found.union(chunks.join(few, F.col("content").contains(F.col("question"))).select("query_id", "chunk_id"))
+    return found.distinct()
 
 
 KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
