@@ -117,3 +117,13 @@ def test_evolution_band_is_whole(spark):
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
     band = QUERIES["evolution_band"](spark, SF)
     assert band.groupBy("query_id").count().where("count > 5").limit(1).count() == 1 and band.columns == ["query_id", "paper_id", "pub_year"]
+
+
+def test_full_starts_go_no_further(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 300)] + [(500, 0), (500, 1)]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src long, dst long")
+    starts = spark.createDataFrame([(0,), (500,), (1001,)], "node long")
+    got = {}
+    for r in J.nearest(both, starts, 2, 4, spark.createDataFrame([(7, 2.0), (0, 1.0)], "node long, score double")).collect():
+        got.setdefault(r.start, []).append((r["rank"], r.node, r.distance))
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(1, 7, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1)], 500: [(1, 0, 1), (2, 1, 1), (3, 7, 2), (4, 2, 2)], 1001: [(1, 1, 1), (2, 0, 2), (3, 500, 2)]}
