@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import chunking as G, graph as J, joins as C
+from evidencelake.operators import chunking as G, graph as J, joins as C, reports as R
 from evidencelake.plans import retrieval
 from evidencelake.plans.catalog import QUERIES
 
@@ -127,3 +128,18 @@ def test_full_starts_go_no_further(spark):
     for r in J.nearest(both, starts, 2, 4, spark.createDataFrame([(7, 2.0), (0, 1.0)], "node long, score double")).collect():
         got.setdefault(r.start, []).append((r["rank"], r.node, r.distance))
     assert {k: sorted(v) for k, v in got.items()} == {0: [(1, 7, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1)], 500: [(1, 0, 1), (2, 1, 1), (3, 7, 2), (4, 2, 2)], 1001: [(1, 1, 1), (2, 0, 2), (3, 500, 2)]}
+
+
+def test_vectors_meet_within_their_scope_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    vec = [(i, i % 3, rng.normal(size=6).round(2).tolist()) for i in range(150)] + [(200 + i, 1, [1.0] * 6) for i in range(40)] + [(300, 1, None), (301, 1, [0.0] * 6), (302, 2, [1.0, 2.0]), (303, None, [1.0] * 6)]
+    q = [(i, i % 3, rng.normal(size=6).round(2).tolist()) for i in range(30)] + [(31, 1, [1.0] * 6), (32, 1, None), (33, 2, [2.0, 4.0])]
+    both = lambda rows, key: spark.createDataFrame(rows, f"{key} long, user_id long, embedding array<double>")
+    df = R.memory_search(both(q, "query_id"), both(vec, "memory_id").withColumn("memory", F.lit("m")), 4)
+    assert "MapInPandas" in plan(df)
+    cos = lambda a, b: 0.0 if not a or not b or len(a) != len(b) or not any(a) or not any(b) else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.memory_id))
+    want = {i: [(n, m) for n, (_, m) in enumerate(sorted((-round(cos(e, x), 12) + 0.0, m) for m, v, x in vec if v == u)[:4], 1)] for i, u, e in q}
+    assert {i: sorted(v) for i, v in got.items()} == want
