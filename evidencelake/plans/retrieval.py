@@ -193,8 +193,8 @@ def balance(h: DataFrame) -> DataFrame:
 f AS (SELECT query_id, chunk_id, min(list_no * 100 + pos) AS a FROM l GROUP BY ALL) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY a, chunk_id) AS pool_rank FROM f QUALIFY pool_rank <= 25""")
 def candidate_pool(h: DataFrame) -> DataFrame:
     no = F.when(F.col("branch") == "dense", 1).when(F.col("branch") == "sparse", 2).otherwise(3)
-    lists = h.select("query_id", no.alias("list_no"), F.col("page_num").alias("pos"), "chunk_id")
-    return R.candidate_pool(lists.unionByName(h.where("score > 0.5").select("query_id", F.lit(4).alias("list_no"), F.col("page_num").alias("pos"), "chunk_id")), 25)
+    places = F.array_compact(F.array(F.struct(no.alias("list_no"), F.col("page_num").alias("pos")), F.when(F.col("score") > 0.5, F.struct(F.lit(4).alias("list_no"), F.col("page_num").alias("pos")))))
+    return R.candidate_pool(h.select("query_id", "chunk_id", F.explode(places).alias("at")).select("query_id", "at.*", "chunk_id"), 25)
 
 
 DEDUPE = "WITH d AS (SELECT * FROM hits_v QUALIFY row_number() OVER (PARTITION BY query_id, {key} ORDER BY score DESC, chunk_id) = 1) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d QUALIFY rank <= 20"

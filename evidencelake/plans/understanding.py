@@ -90,7 +90,7 @@ def abstention(h):
 @q("answer_consistency", f"""WITH b AS (SELECT paper_id AS answer_id, content FROM chunks_v QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY quality DESC, chunk_id) <= 5), s AS (SELECT DISTINCT answer_id, unnest({TOK('content')}) AS token FROM b), a AS (SELECT answer_id, unnest({TOK('answer')}) AS token FROM answers_v)
 SELECT a.answer_id, round(count(s.token) / count(*), 6) AS consistency FROM a LEFT JOIN s ON s.answer_id = a.answer_id AND s.token = a.token GROUP BY 1""", "answers_v", "chunks_v")
 def answer_consistency(a, c):
-    s = sources(c.select("paper_id", "chunk_id", "content")).join(c.select(F.col("chunk_id").alias("source_id"), F.col("quality").alias("score")), "source_id")
+    s = c.select(F.col("paper_id").alias("answer_id"), F.col("chunk_id").alias("source_id"), F.col("content").alias("text"), F.col("quality").alias("score"))
     return H.answer_consistency(a, s).withColumn("consistency", F.round("consistency", 6))
 
 

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from evidencelake.operators import compare as M
+from evidencelake.plans import views
+from evidencelake.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -22,3 +28,20 @@ def test_equal_chunks_are_read_once(spark):
     assert all(found[p * 10 + i] == found[i] for p in range(30) for i in (0, 3)) and len(found) == 60
     assert ("method", "We train a model with an adapter.") in {x[:2] for x in found[0]}
     assert ("results", "The answers give better responses than bard: 42% of cases.") in {x[:2] for x in found[3]}
+
+
+@pytest.mark.parametrize("name", ["hits_v", "chunks_v"])
+def test_large_views_are_dealt_by_their_rows(spark, monkeypatch, name):
+    before = views.frame(spark, SF, name)
+    assert "RepartitionByExpression" not in plan(before)
+    monkeypatch.setattr(views, "MOST_AT_ONCE", 1000)
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
+    dealt = views.frame(spark, SF, name)
+    assert plan(dealt).count("RepartitionByExpression") == 2 and ", 6" in plan(dealt)
+    assert sorted(before.collect()) == sorted(dealt.collect())
+
+
+def test_hits_and_sources_are_read_once(spark):
+    assert plan(QUERIES["candidate_pool"](spark, SF)).count("l_linenumber") == plan(views.frame(spark, SF, "hits_v")).count("l_linenumber")
+    df = QUERIES["answer_consistency"](spark, SF)
+    assert plan(df).count("Join") == plan(views.frame(spark, SF, "chunks_v")).count("Join") + 1
