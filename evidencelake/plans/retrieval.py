@@ -8,7 +8,7 @@ from evidencelake.functions import text as T
 from evidencelake.operators import lexical as L, ranking as R, vectors as V
 from evidencelake.plans.registry import query
 from evidencelake.plans.views import frame, spark_sql, with_views
-from evidencelake.scratch import is_small
+from evidencelake.scratch import is_small, materialize
 from evidencelake.sources.tables import read_table
 
 #: Up to this many questions are broadcast whole (a few MB) to find the chunks that hold them.
@@ -244,6 +244,7 @@ u AS (SELECT query_id, chunk_id, min(paper_id) AS paper_id, round(sum(1.0 / (60
 
 
 def _hybrid(h: DataFrame) -> tuple[DataFrame, DataFrame]:
+    h = materialize(h.select("query_id", "paper_id", "chunk_id", "branch", "page_num", "score"), "hits")
     scope = h.where("paper_id % 3 < 2").select("query_id", "paper_id", (-F.col("paper_id")).alias("ord")).distinct()
     return R.hybrid_retrieval(h.where("branch <> 'sparse'").select("query_id", "paper_id", "chunk_id", "score"), h.where("page_num < 5"), scope, 3, 4)
 

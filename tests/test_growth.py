@@ -45,3 +45,8 @@ def test_hits_and_sources_are_read_once(spark):
     assert plan(QUERIES["candidate_pool"](spark, SF)).count("l_linenumber") == plan(views.frame(spark, SF, "hits_v")).count("l_linenumber")
     df = QUERIES["answer_consistency"](spark, SF)
     assert plan(df).count("Join") == plan(views.frame(spark, SF, "chunks_v")).count("Join") + 1
+
+
+def test_hybrid_retrieval_joins_its_hits_once(spark):
+    for name in ("hybrid_retrieval", "hybrid_report"):
+        assert "l_linenumber" not in plan(QUERIES[name](spark, SF))
