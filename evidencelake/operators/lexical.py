@@ -248,9 +248,12 @@ def credited(results: DataFrame, relevant: DataFrame, item: str) -> DataFrame:
     return marked.withColumn("hit", F.when((F.col("rel") == 1) & (n == 1), 1).otherwise(0))
 
 
-def retrieval_metrics(results: DataFrame, relevant: DataFrame, item: str = "chunk_id", ks: tuple[int, ...] = (5, 10), ndcg_k: int = 10) -> DataFrame:
-    """H-14: recall at each k, MRR and NDCG of every question with relevant items; 0 where nothing was found."""
-    gold = relevant.select("query_id", item).distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+def retrieval_metrics(results: DataFrame, relevant: DataFrame, item: str = "chunk_id", ks: tuple[int, ...] = (5, 10), ndcg_k: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    """H-14: recall at each k, MRR and NDCG of every question with relevant items; 0 where nothing was found.
+
+    With ``counts(query_id, n_relevant)`` of all relevant items, ``relevant`` need only have those among the results.
+    """
+    gold = counts if counts is not None else relevant.select("query_id", item).distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     per = credited(results, relevant, item).groupBy("query_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"hits_{k}") for k in ks],
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),

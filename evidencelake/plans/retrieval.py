@@ -134,10 +134,12 @@ SELECT query_id, n_relevant, round(count(rank) FILTER (rank <= 5) / n_relevant,
 round(coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g LEFT JOIN h USING (query_id) GROUP BY query_id, n_relevant""")
 def knn_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, e = vector_queries(spark, sf_dir)
-    found = V.knn_join(q, e, 10, drop_same=True)
-    mine = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = mine.join(e.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    return L.retrieval_metrics(found, relevant, "vec_id").select("query_id", "n_relevant", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg")])
+    found = materialize(V.knn_join(q, e, 10, drop_same=True), "found")
+    label = e.select("vec_id", "label").distinct()
+    mine = label.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    counts = mine.join(label.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").where("n_relevant > 0").select("query_id", "n_relevant")
+    relevant = found.select("query_id", "vec_id").join(mine, "query_id").join(label, ["vec_id", "label"]).select("query_id", "vec_id")
+    return L.retrieval_metrics(found, relevant, "vec_id", counts=counts).select("query_id", "n_relevant", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg")])
 
 
 @query("valid_vectors", "SELECT label, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda v: v <> 0)) > 0) AS kept, count(*) FILTER (NOT (len(embedding) = 64 AND len(list_filter(embedding, lambda v: v <> 0)) > 0)) AS skipped FROM embeddings GROUP BY label")

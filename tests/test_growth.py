@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import numpy as np
 import pytest
 
-from evidencelake.operators import compare as M
+from evidencelake.operators import compare as M, vectors as V
 from evidencelake.plans import views
 from evidencelake.plans.catalog import QUERIES
 
@@ -50,3 +51,26 @@ def test_hits_and_sources_are_read_once(spark):
 def test_hybrid_retrieval_joins_its_hits_once(spark):
     for name in ("hybrid_retrieval", "hybrid_report"):
         assert "l_linenumber" not in plan(QUERIES[name](spark, SF))
+
+
+def test_blocks_of_vectors_meet_in_groups(spark, monkeypatch):
+    rows = [(i, [float((i * i * 7 + j * 13) % 11 - 5) for j in range(8)]) for i in range(300)]
+    v = spark.createDataFrame(rows + [(300 + i, e) for i, e in rows[:50]], "vec_id long, embedding array<float>")  # equal vectors tie
+    q = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    m = np.array([r[1] for r in rows + rows[:50]])
+    unit, want = m / np.linalg.norm(m, axis=1, keepdims=True), set()
+    for i in range(0, 350, 5):
+        s = [round(float(x), 9) for x in (unit * unit[i]).sum(axis=1)]
+        want |= {(i, b, n + 1) for n, b in enumerate(sorted((j for j in range(350) if j != i), key=lambda j: (-s[j], j))[:4])}
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 40)
+    df = V.knn_join(q, v, 4, drop_same=True)
+    assert "FlatMapCoGroups" in plan(df) and {(r.query_id, r.vec_id, r.rank) for r in df.collect()} == want
+    near = V.ann_join(q, v, 4, nlist=6, nprobe=6)  # all cells, so exact
+    rows_of = lambda df: {(r.query_id, r.vec_id, r.rank) for r in df.collect()}
+    assert "FlatMapCoGroups" in plan(near) and rows_of(near) == rows_of(V.knn_join(q, v, 4))
+
+
+def test_labels_are_counted_not_paired(spark):
+    text = plan(QUERIES["knn_label_metrics"](spark, SF))
+    assert "NOT (vec_id" not in text and "MapInPandas" not in text
