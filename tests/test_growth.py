@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
-from evidencelake.operators import compare as M, vectors as V
+from evidencelake.operators import compare as M, graph as J, vectors as V
 from evidencelake.plans import views
 from evidencelake.plans.catalog import QUERIES
+from tests.test_operators import plain_neighbours
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,15 @@ def test_blocks_of_vectors_meet_in_groups(spark, monkeypatch):
 def test_labels_are_counted_not_paired(spark):
     text = plan(QUERIES["knn_label_metrics"](spark, SF))
     assert "NOT (vec_id" not in text and "MapInPandas" not in text
+
+
+@pytest.mark.parametrize("most", [110, 1_000_000])
+def test_neighbours_meet_in_cells(spark, monkeypatch, most):
+    rng = np.random.default_rng(3)
+    edges = [(0, i) for i in range(1, 120)] + [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(7, 7), (None, 3)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    for name in ("PAIRS_A_CELL", "BITS_A_CELL", "FOUND_A_CELL"):
+        monkeypatch.setattr(J, name, most)  # node 0 has more pairs than a cell of 110
+    df = J.neighbours(e, spark.range(0, 400, 3).select(F.col("id").alias("node")), 3)
+    assert "FlatMapCoGroups" in plan(df) and ("Aggregate" in plan(df)) == (most == 110)  # without such a node the last step is dealt, not summed up
+    assert {tuple(r) for r in df.collect()} == plain_neighbours(edges, range(0, 400, 3), 3)
