@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import numpy as np
 import pytest
 
-from evidencelake.operators import compare as M, graph as J, vectors as V
+from evidencelake.operators import compare as M, graph as J, joins as C, vectors as V
 from evidencelake.plans import views
 from evidencelake.plans.catalog import QUERIES
 from tests.test_operators import plain_neighbours
@@ -87,3 +87,20 @@ def test_neighbours_meet_in_cells(spark, monkeypatch, most):
     df = J.neighbours(e, spark.range(0, 400, 3).select(F.col("id").alias("node")), 3)
     assert "FlatMapCoGroups" in plan(df) and ("Aggregate" in plan(df)) == (most == 110)  # without such a node the last step is dealt, not summed up
     assert {tuple(r) for r in df.collect()} == plain_neighbours(edges, range(0, 400, 3), 3)
+
+
+def test_long_titles_are_compared_in_step_and_within_reach(monkeypatch):
+    monkeypatch.setattr(C, "_common_length", None)  # no pair on its own
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("etaoin shrdlu"), n))
+    base = [word(n) for n in (0, 3, 70, 200, 1300)]
+    near = lambda t, p: "".join(word(2) if rng.random() < p else c for c in t if rng.random() > p)
+    a = [near(t, p) for t in base for p in (0.0, 0.04, 0.1)]
+    b = [near(t, p) for t in base for p in (0.0, 0.05, 0.09)] + [t[n:] + t[:n] for t in base for n in (10, 100)]
+    i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+    both = np.array([len(a[x]) + len(b[y]) for x, y in zip(i, j)])
+    exact = np.array([round(C.indel_ratio(a[x], b[y]) * n / 200) if n else 0 for x, y, n in zip(i, j, both)])
+    for cutoff in (60, 85, 95):
+        need = np.ceil(cutoff * both / 200 - 1e-6).astype(np.int64)
+        got = C.common_lengths(a, b, i, j, need)
+        assert got.tolist() == np.where(exact >= need, exact, -1).tolist() and 0 < (got >= 0).sum() < len(i)
