@@ -104,3 +104,21 @@ def test_long_titles_are_compared_in_step_and_within_reach(monkeypatch):
         need = np.ceil(cutoff * both / 200 - 1e-6).astype(np.int64)
         got = C.common_lengths(a, b, i, j, need)
         assert got.tolist() == np.where(exact >= need, exact, -1).tolist() and 0 < (got >= 0).sum() < len(i)
+
+
+def test_large_graphs_are_dealt_by_their_rows(spark, monkeypatch):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_suppkey", F.col("l_suppkey") + F.col("l_partkey") % 7 * 100)
+    edges = lambda: J.coauthor_edges(li, "l_orderkey", "l_suppkey").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("shared").alias("weight"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    before = [rows(edges()), rows(J.communities(edges())), rows(J.louvain(edges())[0])]
+    monkeypatch.setattr(J, "MOST_AT_ONCE", 1000)
+    monkeypatch.setattr(J, "ROWS_A_TASK", 4000)
+    assert plan(edges()).count("RepartitionByExpression") == 3
+    matrix = J._matrix(edges(), "weight", "test")
+    votes = matrix.join(J._with_labels(spark.range(800).select(F.col("id").alias("dst"), F.col("id").alias("label")), 800), "dst").groupBy("src", "label").agg(F.sum("weight"))
+    votes.collect()
+    text = votes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text and "Bucketed: true" in text  # neither pairs nor votes are shuffled in a round
+    assert [rows(edges()), rows(J.communities(edges())), rows(J.louvain(edges())[0])] == before
+    monkeypatch.setattr(J, "MAX_LABELS", 0)
+    assert rows(J.communities(edges())) == before[1]
