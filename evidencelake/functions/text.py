@@ -101,7 +101,11 @@ def decomposer_family(q: Column) -> Column:
 
 def claim_type(claim: Column) -> Column:
     """H-1: kind of a claim."""
-    low = F.lower(F.coalesce(claim, F.lit("")))
+    return claim_type_of(F.lower(F.coalesce(claim, F.lit(""))))
+
+
+def claim_type_of(low: Column) -> Column:
+    """H-1: kind of a claim in lower case: a column of its own is lowered once, not for each word."""
     return first_rule([(has_any(low, w), f) for w, f in CLAIM_RULES], "factual")
 
 
@@ -162,7 +166,7 @@ def citation_density(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: split after final marks and white space, trimmed, empties out."""
-    parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[。！？.!?])\s+")
+    parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s(?<=[。！？.!?]\s)\s*")  # the mark is looked for at white space only
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -48,6 +48,11 @@ def sources(c):
     return c.select(F.col("paper_id").alias("answer_id"), F.col("chunk_id").alias("source_id"), F.col("content").alias("text"))
 
 
+def verified(a, c):
+    """The claims of answers against their sources; answers are dealt by id before they are taken apart, so that tasks do not go by the bytes of files and claims need no shuffle."""
+    return H.verify_claims(H.extract_claims(a.repartition("answer_id")), sources(c))
+
+
 TOK = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9_]{{3,}}'))"
 NUM = lambda x: f"list_distinct(regexp_extract_all({x}, '{T.NUMBER}'))"
 NEG = "['" + "', '".join(H.NEGATIONS) + "']"
@@ -62,13 +67,13 @@ LEVEL = "CASE WHEN score >= 0.72 THEN 'supported' WHEN score >= 0.5 THEN 'weakly
 
 @q("verify_claims", f"{VERIFY} SELECT answer_id, claim_no, round(score, 5) AS score, {LEVEL} AS support_level, coalesce(evidence, '') AS evidence FROM b", "answers_v", "chunks_v")
 def verify_claims(a, c):
-    out = H.verify_claims(H.extract_claims(a), sources(c))
+    out = verified(a, c)
     return out.select("answer_id", "claim_no", F.round("score", 5).alias("score"), "support_level", F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("evidence"))
 
 
 @q("claim_report", f"{VERIFY}, l AS (SELECT answer_id, {LEVEL} AS l FROM b) SELECT answer_id, count(*) AS claims, count(*) FILTER (l = 'supported') AS supported, count(*) FILTER (l = 'weakly_supported') AS weakly_supported, count(*) FILTER (l = 'partially_supported') AS partially_supported, count(*) FILTER (l = 'unsupported') AS unsupported, round(count(*) FILTER (l = 'unsupported') / count(*), 6) AS unsupported_rate FROM l GROUP BY answer_id", "answers_v", "chunks_v")
 def claim_report(a, c):
-    return H.claim_report(H.verify_claims(H.extract_claims(a), sources(c))).withColumn("unsupported_rate", F.round("unsupported_rate", 6))
+    return H.claim_report(verified(a, c)).withColumn("unsupported_rate", F.round("unsupported_rate", 6))
 
 
 @q("verify_citations", rf"""WITH a AS (SELECT answer_id, list_distinct(regexp_extract_all(answer, '{CITED}')) AS cited, len(list_filter({SENTENCES}, lambda s: regexp_matches(s, '{CITED}'))) / len({SENTENCES}) AS surface FROM answers_v),
@@ -206,7 +211,7 @@ def evidence_hints(c):
 @q("claim_row_summary", f"""{VERIFY}, l AS (SELECT answer_id, {LEVEL} AS l FROM b), n AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (l = 'supported') AS supported, count(*) FILTER (l = 'unsupported') AS unsupported FROM l GROUP BY 1)
 SELECT answer_id, claims, supported, unsupported, CASE WHEN unsupported > 0 OR supported = 0 THEN 'abstain' WHEN supported = claims THEN 'full' ELSE 'partial' END AS answer_mode FROM n""", "answers_v", "chunks_v")
 def claim_row_summary(a, c):
-    return H.claim_row_summary(H.verify_claims(H.extract_claims(a), sources(c))).select("answer_id", "claims", "supported", "unsupported", "answer_mode")
+    return H.claim_row_summary(verified(a, c)).select("answer_id", "claims", "supported", "unsupported", "answer_mode")
 
 
 #: Answers of which some have no claim: the first sentence alone where it is short.
@@ -220,14 +225,14 @@ round(coalesce(u / claims, CASE WHEN backend IN ('lexical_abstain_guard', 'no_cl
 def truthfulness_report(a, c):
     k = F.col("answer_id") % 5
     loose = a.withColumn("answer", F.when(k == 0, "Yes.").when(k == 1, "Insufficient evidence").when(k == 2, " ").otherwise(F.col("answer")))
-    out = H.truthfulness_report(loose, H.verify_claims(H.extract_claims(loose), sources(c)), sources(c.where("paper_id % 2 = 0")))
+    out = H.truthfulness_report(loose, verified(loose, c), sources(c.where("paper_id % 2 = 0")))
     return out.withColumn("unsupported_rate", F.round("unsupported_rate", 6))
 
 
 @q("repair_hints", f"""{VERIFY}, l AS (SELECT answer_id, claim_no, {LEVEL} AS l, coalesce(array_to_string((string_split(evidence, ','))[1:2], ', '), '') AS e FROM b)
 SELECT answer_id, claim_no, l <> 'supported' AS repairable, CASE WHEN l <> 'supported' THEN CASE WHEN e <> '' THEN 'Relink claim to stronger evidence ' || e || ' and rewrite for ' || l || ' support.' ELSE 'Retrieve stronger evidence or narrow the claim before rewriting.' END END AS repair_hint FROM l""", "answers_v", "chunks_v")
 def repair_hints(a, c):
-    return H.repair_hints(H.verify_claims(H.extract_claims(a), sources(c)))
+    return H.repair_hints(verified(a, c))
 
 
 @q("benchmark_summary", """WITH r AS (SELECT user_id AS run_id, event_id % 11 > 0 AS ok, user_id % 9 = 0 AS synthetic, CASE WHEN value < 15 THEN 1.0 ELSE 0.9003 END AS cov, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS uns, least(1, 0.6 + user_id % 4 * 0.05) AS con, CASE WHEN user_id % 7 = 0 THEN 0.5 ELSE 1.0 END AS jump, value AS lat FROM events),

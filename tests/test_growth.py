@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from evidencelake.operators import compare as M, graph as J, joins as C, vectors as V
+from evidencelake.functions import text as T
+from evidencelake.operators import claim_scores as S, compare as M, graph as J, joins as C, vectors as V, verify as H
 from evidencelake.plans import views
 from evidencelake.plans.catalog import QUERIES
 from tests.test_operators import plain_neighbours
@@ -122,3 +124,46 @@ def test_large_graphs_are_dealt_by_their_rows(spark, monkeypatch):
     assert [rows(edges()), rows(J.communities(edges())), rows(J.louvain(edges())[0])] == before
     monkeypatch.setattr(J, "MAX_LABELS", 0)
     assert rows(J.communities(edges())) == before[1]
+
+
+def test_claims_and_sources_meet_as_texts(spark):
+    """The scores of all pairs of a batch equal those of arrays, which were made and shuffled before; claims are not shuffled once more."""
+    rng = np.random.default_rng(11)
+    bits = ["model", "Not", "never", "12.5%", "12", "7.", "a_b", "İxİyz", "Kelvin", "。", "！", "\n", "? ", ". ", "! ", "\x0b", "汉字", "FAILS", "1.2.3%", "٣٤٥", "recall", "Σας", "　", "x1y2"]
+    made = lambda n: ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.integers(0, 14))) for _ in range(n)] + ["", None]
+    c = spark.createDataFrame([(i % 9, i, t, ["numeric", "factual", None][i % 3], 0) for i, t in enumerate(made(60))], "answer_id long, claim_no long, claim string, claim_type string, n_citations int")
+    s = spark.createDataFrame([(i % 8, i, t) for i, t in enumerate(made(150))], "answer_id long, source_id long, text string")
+    numbers = lambda t: F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(f"({T.NUMBER})"), 1))
+    common = lambda a, b: F.size(F.array_intersect(a, b))
+    neg = lambda t: F.arrays_overlap(t, F.array(*[F.lit(w) for w in H.NEGATIONS]))
+    both = c.join(s, "answer_id", "left").select("*", T.tokens3(F.col("claim")).alias("ct"), T.tokens3(F.col("text")).alias("st"), numbers(F.col("claim")).alias("cn"), numbers(F.col("text")).alias("sn"))
+    n = F.greatest(F.size("ct"), F.lit(1))
+    lexical = common(F.col("ct"), F.col("st")) / n
+    parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[。！？.!?])\s+")
+    total = lexical * 0.4 + common(F.col("ct"), F.col("st")) / F.greatest(F.least(F.size("ct"), F.size("st")), F.lit(1)) * 0.25 + F.array_max(F.transform(parts, lambda x: common(F.col("ct"), T.tokens3(x)) / n)) * 0.2
+    total += F.when(F.size("cn") > 0, common(F.col("cn"), F.col("sn")) / F.size("cn")).otherwise(0.0) * F.when(F.col("claim_type") == "numeric", 0.25).otherwise(0.05)
+    total -= F.when((neg(F.col("ct")) != neg(F.col("st"))) & (lexical >= 0.2), 0.18).otherwise(0.0)
+    want = both.select("claim_no", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("s")).groupBy("claim_no").agg(F.max("s"))
+    df = H.verify_claims(c, s)
+    assert "array_intersect" not in plan(df) and "array_distinct" not in plan(df)
+    scores = {r.claim_no: r.score for r in df.collect()}
+    assert scores == {r[0]: r[1] for r in want.collect()} and len(set(scores.values())) > 20 and scores[8] == 0.0  # answer 8 has no sources
+    report = QUERIES["claim_report"](spark, SF)
+    report.collect()
+    assert plan(report).count("RepartitionByExpression") == 1
+
+
+def test_claim_scores_in_slices(monkeypatch):
+    texts = ["The model fails. Recall is 12.5% of it", "", None, "recall 12.5%", "no such words", "model recall! model"]
+    rows = [(a, i % 2 == 0, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.bool_(), pa.string()))]
+    whole = S.scores(*columns).to_pylist()
+    monkeypatch.setattr(S, "BYTES_AT_ONCE", 50)
+    assert S.scores(*columns).to_pylist() == whole and len(S.scores(*[x[:0] for x in columns])) == 0
+    assert whole[0] == 1.0 and whole[3] == pytest.approx(0.4 / 4 + 0.25 + 0.2 / 4 + 0.05 - 0.18)  # the, model, fails, recall; only one side negates
+
+
+def test_claims_keep_what_citations_leave(spark):
+    a = spark.createDataFrame([(1, "[Paper A, Results] [Paper B, Methods]. [Paper C, Results]  [Paper D, x] . [Paper A, Results][Paper B, Methods] [A, b] It is better than [B, c]. [x] is a plain bracket")], "answer_id int, answer string")
+    got = [(r.claim_no, r.claim, r.n_citations, r.claim_type) for r in H.extract_claims(a).collect()]
+    assert got == [(1, ".", 2, "factual"), (2, ".", 2, "factual"), (3, "It is better than .", 4, "comparative"), (4, "[x] is a plain bracket", 0, "factual")]
