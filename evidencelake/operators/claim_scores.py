@@ -20,7 +20,24 @@ BLANK, MARK = (bytes(b in x for b in range(256)) for x in (b" \t\n\x0b\f\r", b".
 WIDE_MARKS = [tuple(m.encode()) for m in "。！？"]
 #: Letters beyond ASCII whose lower case has a letter of ASCII.
 LOWERED = {"K": "k", "İ": "i̇"}
-FIGURE = re.compile(T.NUMBER.encode())
+#: ``T.NUMBER``, and the bytes that it can be made of.
+FIGURE, OF_FIGURES = re.compile(T.NUMBER, re.ASCII), bytes(b if b in b"0123456789.%" else 0 for b in range(256))
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of all pieces of rows with ``counts`` places from ``starts`` on."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def _runs(raw: bytes, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Where runs of bytes that ``table`` does not make 0 begin, their sizes, and what it makes them."""
+    made = np.frombuffer(raw.translate(table), np.uint8)
+    inside = made > 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate(([0], edges)) if inside[:1].any() else edges
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return first, size, pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(made[inside])).dictionary_encode()
 
 
 def _taken_apart(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -28,28 +45,27 @@ def _taken_apart(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     for letter, low in LOWERED.items():
         texts = pc.replace_substring(texts, letter, low)
     joined = pc.binary_join_element_wise(texts, "", "\n")  # a line feed ends each text, so that none runs into the next
-    begins = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)
+    begins = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1).astype(np.int64)
     raw = joined.buffers()[2][: begins[-1]].to_pybytes()
-    data, low, blank, mark = (np.frombuffer(x, np.uint8) for x in (raw, *(raw.translate(t) for t in (LOWER, BLANK, MARK))))
-    inside = low > 0
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    edges = np.concatenate(([0], edges)) if inside[:1].any() else edges
-    first, size = edges[::2], edges[1::2] - edges[::2]
-    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(low[inside])).dictionary_encode()
+    owner = lambda places: np.searchsorted(begins, places, "right") - 1
+    first, size, words = _runs(raw, LOWER)
     long = size >= 3
-    first, word = first[long], words.indices.to_numpy()[long]
+    first, word = first[long], words.indices.to_numpy()[long].astype(np.int64)
 
+    data, blank, mark = (np.frombuffer(x, np.uint8) for x in (raw, raw.translate(BLANK), raw.translate(MARK)))
     stops = [begins[1:-1], np.flatnonzero(blank[1:] & mark[:-1]) + 1]
     for a, b, c in WIDE_MARKS if not raw.isascii() else ():
         stops.append(np.flatnonzero(blank[3:] & (data[:-3] == a) & (data[1:-2] == b) & (data[2:-1] == c)) + 3)
     sentence = np.searchsorted(np.sort(np.concatenate(stops)), first, "right")
 
-    numbers: dict[bytes, int] = {}
-    found = [(m.start(), numbers.setdefault(m.group(), len(numbers))) for m in FIGURE.finditer(raw)]
-    at, figure = np.array(found, np.int64).reshape(-1, 2).T
-    owner = lambda places: np.searchsorted(begins, places, "right") - 1
-    return owner(first), sentence, word.astype(np.int64), pc.is_in(words.dictionary, pa.array(NEGATIONS)).to_numpy(False), owner(at), figure
+    at, _, runs = _runs(raw, OF_FIGURES)
+    found = [FIGURE.findall(r) for r in runs.dictionary.to_pylist()]  # a figure ends where its run does
+    numbers: dict[str, int] = {}
+    figures = np.array([numbers.setdefault(x, len(numbers)) for f in found for x in f], np.int64)
+    counts = np.array([len(f) for f in found], np.int64)
+    run = runs.indices.to_numpy()
+    figure = figures[_spread((np.cumsum(counts) - counts)[run], counts[run])]
+    return owner(first), sentence, word, pc.is_in(words.dictionary, pa.array(NEGATIONS)).to_numpy(False), owner(np.repeat(at, counts[run])), figure
 
 
 def _different(x: np.ndarray) -> np.ndarray:
@@ -66,8 +82,7 @@ def _shared(own: np.ndarray, item: np.ndarray, n_all: int, i: np.ndarray, j: np.
     starts = np.cumsum(sizes) - sizes
     n = sizes[i]
     pair = np.repeat(np.arange(len(i)), n)
-    place = np.arange(len(pair)) + np.repeat(starts[i] - (np.cumsum(n) - n), n)
-    wanted = j[pair] * base + keys[place] % base
+    wanted = j[pair] * base + keys[_spread(starts[i], n)] % base
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
     hit = keys[at] == wanted
     return sizes, pair[hit], at[hit], keys
@@ -84,8 +99,7 @@ def _most_of_a_sentence(own: np.ndarray, sentence: np.ndarray, word: np.ndarray,
     counts = np.bincount(once // many, minlength=len(keys))
     starts = np.cumsum(counts) - counts
     c = counts[at]
-    which = np.arange(c.sum()) + np.repeat(starts[at] - (np.cumsum(c) - c), c)
-    met = np.sort(np.repeat(pair, c) * many + once[which] % many)
+    met = np.sort(np.repeat(pair, c) * many + once[_spread(starts[at], c)] % many)
     begins = np.flatnonzero(np.diff(met, prepend=-1))
     times, of = np.diff(begins, append=len(met)), met[begins] // many
     begins = np.flatnonzero(np.diff(of, prepend=-1))
