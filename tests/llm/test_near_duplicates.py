@@ -99,6 +99,26 @@ def test_both_ways_of_the_seed_join(spark, monkeypatch):
     assert D.op10_decontamination(spark, sf).orderBy("doc_id", "item_id").collect() == few
 
 
+def test_large_benchmarks_go_in_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(words(5, 50 + i) + words(20, i % 6) + words(5, 80 + i))) for i in range(30)], "doc_id long, text string")
+    items = [(100 * copy + i, " ".join(words(20, i)).upper() if copy else " ".join(words(20, i))) for copy in range(6) for i in range(6)] + [(900, " ".join(words(4, 1)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = {(i, 100 * copy + i % 6, 20, 20, 5) for i in range(30) for copy in range(6)} | {(i, 900, 4, 4, 5) for i in range(1, 30, 6)}
+    made, seeds = [], D.seeds
+    monkeypatch.setattr(D, "seeds", lambda rows: made.append(rows) or seeds(rows))
+    for most, rounds in ((D.MAX_BROADCAST_SEEDS, 1), (3 * 20 * len(D.MASKS), None), (D.MAX_BROADCAST_SEEDS, 1)):
+        made.clear()
+        monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", most)
+        out = D.find_leaks(docs, bench)
+        sides = [m for m in made if "item_id" in m.columns]
+        sizes = [m.count() for m in sides]  # equal texts are one
+        assert sum(sizes) == 6 and max(sizes) * 20 * len(D.MASKS) <= most and len(sizes) == (rounds or len(sizes))
+        assert {tuple(r) for r in out.collect()} == wanted
+    monkeypatch.setattr(D, "MAX_BROADCAST_SEEDS", 0)
+    plan = D.find_leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin [seed" in line for line in plan.splitlines())  # Spark's guess of a small side does not broadcast it
+
+
 def test_masks_hit_every_pattern_of_the_share():
     for n in range(D.SPAN, 2 * D.SPAN):
         for equal in itertools.combinations(range(n), -(-6 * n // 10)):
