@@ -9,11 +9,13 @@ BASE gives up to n (2, 3, 4, ... at first, then steps that grow as n does), and
 of that level in the corpus, so the counts decoded add up to those that were put in. A pair counts no more than its parts.
 
 The filter has shards by gram, each made by one task from one shuffle of (gram, count), so it grows with the corpus. While all shards fit in
-a broadcast of proven size they go to the workers; beyond that the grams of the texts travel to the shards.
+a broadcast of proven size they go to the workers; beyond that the texts are read again for each part of the shards of pairs that does, beside those of single tokens, and a text's sums are added up.
+Only where that would take too many rounds the grams of the texts travel to the shards.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -36,6 +38,8 @@ HASHES, BITS_EACH = 6, 14
 SMALL_SHARD, SHARDS, LARGE_SHARD = 4 << 20, 1024, 256 << 20
 #: The filter is broadcast up to this size, and so are exact counts of this many words (16 bytes each).
 MAX_FILTER_BYTES, MAX_HEAD_WORDS = 256 << 20, 4_000_000
+#: Rounds over the texts up to which a larger filter is broadcast part by part.
+MOST_ROUNDS = 16
 #: Tokens counted before a task hands out what it has, and tokens cut at once.
 COUNT_AT_ONCE, CUT_AT_ONCE = 3_000_000, 250_000
 SALT, BATCH = 16, 1 << 18
@@ -91,8 +95,15 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return 1 + np.searchsorted(FLOORS, n, "right")
 
 
+def single_shards(shards: int) -> int:
+    """The first of the shards hold single tokens, the others pairs; one shard holds both."""
+    return max(1, shards // 6)
+
+
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
-    return (grams >> np.uint64(20)) % np.uint64(shards)
+    ones = single_shards(shards)
+    at, pairs = grams >> np.uint64(20), grams & np.uint64(1) == 1
+    return np.where(pairs & (shards > 1), np.uint64(ones) + at % np.uint64(max(1, shards - ones)), at % np.uint64(ones))
 
 
 def entries(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,16 +276,36 @@ def _read(uri: str, kind: str, columns: list[str], shard: int | None = None) ->
                 yield int(f.path.rpartition("/shard=")[2].partition("/")[0]), pq.read_table(source, columns=columns)
 
 
-def _whole_filter(model: Model) -> Filter:
-    """All shards, read one by one into one array; the caller has checked their size."""
+def _shard_bytes(model: Model) -> list[int]:
     sizes = dict(model.parts.where("kind = 'bits'").select("shard", F.octet_length("bits")).collect())  # one row a shard
-    offsets = np.concatenate(([0], np.cumsum([sizes.get(s, 0) // 8 for s in range(model.shards)])))
+    return [sizes.get(s, 0) for s in range(model.shards)]
+
+
+def _whole_filter(model: Model, sizes: list[int] | None = None, span: tuple[int, int] | None = None) -> Filter:
+    """All shards, or those of single tokens and the ``span`` of others, read one by one into one array; the caller has checked their size."""
+    ones = single_shards(model.shards)
+    held = [span is None or s < ones or span[0] <= s < span[1] for s in range(model.shards)]
+    offsets = np.concatenate(([0], np.cumsum([n // 8 if h else 0 for n, h in zip(sizes or _shard_bytes(model), held)]))).astype(np.int64)
     words = np.empty(offsets[-1], np.uint64)
-    for shard, table in _read(model.uri, "bits", ["bits"]):
+    for shard, table in _read(model.uri, "bits", ["bits"]) if span is None else itertools.chain.from_iterable(_read(model.uri, "bits", ["bits"], s) for s in np.flatnonzero(held).tolist()):
         words[offsets[shard] : offsets[shard + 1]] = np.frombuffer(table.column("bits")[0].as_buffer(), np.uint64)
     return Filter(words, offsets)
 
 
+def _spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """The shards of pairs in runs that fit MAX_FILTER_BYTES together with those of single tokens; none if one does not, or if they are too many."""
+    ones = single_shards(len(sizes))
+    room, out = MAX_FILTER_BYTES - sum(sizes[:ones]), []
+    at = ones
+    while at < len(sizes) and len(out) <= MOST_ROUNDS:
+        end = at + int(np.searchsorted(np.cumsum(sizes[at:]), room, "right"))
+        if end == at:
+            return []
+        out.append((at, end))
+        at = end
+    return out if len(out) <= MOST_ROUNDS else []
+
+
 def _head(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
     """Exact counts of the words that occur most, sorted by gram, and L: these are all words of 2 ** L times or more (all words if it is 0)."""
     sizes = {r["at"]: r["count"] for r in model.words.groupBy((F.length(F.bin("n")) - 1).alias("at")).count().collect()}  # up to 63 rows
@@ -302,8 +333,8 @@ FIELDS = {
 class _Scorer:
     """Scores of texts from what was broadcast; ``rare`` and ``pairs`` hold what has to be looked up elsewhere."""
 
-    def __init__(self, head: tuple[np.ndarray, np.ndarray], exact: bool, known: Filter | None, tokens: int, kinds: int, means: tuple[np.ndarray, np.ndarray]):
-        self.head, self.exact, self.known, self.means, self.tokens = head, exact, known, means, tokens
+    def __init__(self, head: tuple[np.ndarray, np.ndarray], exact: bool, known: Filter | None, tokens: int, kinds: int, means: tuple[np.ndarray, np.ndarray], span: tuple[int, int] | None = None):
+        self.head, self.exact, self.known, self.means, self.tokens, self.span = head, exact, known, means, tokens, span
         self.all = tokens + 0.5 * (kinds + 1)
 
     def __call__(self, texts: list[str | None]) -> pa.StructArray:
@@ -325,15 +356,31 @@ class _Scorer:
         columns = [pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(score), rare, pairs]
         return pa.StructArray.from_arrays(columns, list(FIELDS))
 
+    def partial(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the sum over the tokens whose pairs belong to the span."""
+        flat, n = tokens_of(texts)
+        if not len(n):
+            return np.empty(0)
+        grams, of = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(n) - n
+        return np.add.reduceat(self._pairs(pair(before(flat, n), flat), single(grams), of, starts), starts)
+
     def _pairs(self, pairs: np.ndarray, grams: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it, by probes; ``grams[of]`` are the single tokens."""
+        """log10 P of each token after the one before it, by probes, 0 where the pair lies outside the span; ``grams[of]`` are the single tokens."""
         one = self.means[0][self.known.levels(grams)]
         word, prior = one[of], np.roll(one[of], 1)
         prior[starts] = word[-1]  # the end, with which every text closes
+        mine = slice(None)
+        if self.span is not None:
+            shard = shard_of(pairs, len(self.known.size))
+            mine = np.flatnonzero((shard >= self.span[0]) & (shard < self.span[1]))
+            pairs, word, prior = pairs[mine], word[mine], prior[mine]
         most = np.minimum(word, prior)
         both, ask = np.zeros(len(pairs)), np.flatnonzero(most)
         both[ask] = np.minimum(self.means[1][self.known.levels(pairs[ask])], most[ask])
-        return log_p(both, word, prior, self.all, np.log10)
+        out = np.zeros(len(of))
+        out[mine] = log_p(both, word, prior, self.all, np.log10)
+        return out
 
 
 def log_p(both, word, prior, everything, log10):
@@ -356,7 +403,10 @@ def _lists(columns: list[np.ndarray], which: np.ndarray, doc: np.ndarray, n: int
 def _probe(model: Model, rows: DataFrame, gram: str, level: str) -> DataFrame:
     """``rows`` with the level of a gram, found where its shard is: rows travel by shard, spread over SALT tasks each, and a task reads one shard at a time."""
     uri, shards = model.uri, model.shards
-    placed = rows.withColumn("__shard", F.pmod(F.shiftrightunsigned(gram, 20), F.lit(shards)).cast("int"))
+    ones, at = single_shards(shards), F.shiftrightunsigned(gram, 20)
+    others = F.pmod(at, F.lit(max(1, shards - ones))) + ones
+    shard = F.when((F.col(gram).bitwiseAND(F.lit(1)) == 1) & F.lit(shards > 1), others).otherwise(F.pmod(at, F.lit(ones)))
+    placed = rows.withColumn("__shard", shard.cast("int"))
     placed = placed.repartition("__shard", F.pmod(F.xxhash64(gram), F.lit(SALT))).sortWithinPartitions("__shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,6 +427,25 @@ def _probe(model: Model, rows: DataFrame, gram: str, level: str) -> DataFrame:
     return placed.mapInArrow(tidied(run), f"{kinds}, {level} int")
 
 
+def _partial(texts: DataFrame, model: Model, sizes: list[int], span: tuple[int, int]) -> DataFrame:
+    """``__text, part``: of each different text, by its hash, the sum over the pairs in a span of shards, written once."""
+    spark = texts.sparkSession
+    nothing = np.empty(0, np.int64)
+    sent = spark.sparkContext.broadcast(_Scorer((nothing, nothing), False, _whole_filter(model, sizes, span), model.tokens, model.kinds, model.means, span))
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = sent.value
+        with tidy():
+            for batch in batches:
+                yield pa.array(np.concatenate([np.empty(0), *[scorer.partial(t) for t in _slices(batch.to_pylist(), CUT_AT_ONCE)]]))
+
+    with small_texts(spark):
+        out = materialize(texts.select(F.xxhash64("text").alias("__text"), run("text").alias("part")).groupBy("__text").agg(F.first("part").alias("part")), "bloom-part")
+    sent.destroy()
+    return out
+
+
 def _decoded(level: str, means: np.ndarray) -> Column:
     return F.get(F.array(*[F.lit(float(m)) for m in means]), F.col(level))
 
@@ -389,10 +458,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     frequent words are broadcast, up to MAX_HEAD_WORDS; rarer words are joined. The rows are written once to the shared folder, without the text if ``keep_text`` is false. Words are told apart by 64-bit hashes.
     """
     grams, counts, least = _head(model)
-    by_shard = model.filter_bytes > MAX_FILTER_BYTES
-    known = None if by_shard else _whole_filter(model)
+    large = model.filter_bytes > MAX_FILTER_BYTES
+    sizes = _shard_bytes(model) if large else []
+    spans = _spans(sizes) if large else []
+    by_shard = large and not spans
+    known = None if by_shard else _whole_filter(model, sizes, spans[0]) if large else _whole_filter(model)
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(_Scorer((grams, counts), least == 0, known, model.tokens, model.kinds, model.means))
+    sent = spark.sparkContext.broadcast(_Scorer((grams, counts), least == 0, known, model.tokens, model.kinds, model.means, spans[0] if spans else None))
 
     @F.arrow_udf(", ".join(f"{n} {kind}" for n, kind in FIELDS.items()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -404,12 +476,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in new and (keep_text or c != text_col)]
-    made = docs.select(*rest, run.asNondeterministic()(F.col(text_col)).alias("__s")).select(*rest, *[F.col(f"__s.{n}").alias(f"__{n}") for n in FIELDS])
+    key = [F.xxhash64(text_col).alias("__text")] if spans else []
+    made = docs.select(*rest, *key, run.asNondeterministic()(F.col(text_col)).alias("__s")).select(*rest, *["__text"] * len(key), *[F.col(f"__s.{n}").alias(f"__{n}") for n in FIELDS])
     everything = model.tokens + 0.5 * (model.kinds + 1)
     rare, pairs = F.struct(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base")), F.lit(0.0)
     with small_texts(spark):
         made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "bloom-scores")
     sent.destroy()  # the scores are written, so executors need not keep the filter
+    del known
+    if len(spans) > 1:  # a text's sum over the pairs of each further part of the filter
+        parts = [_partial(docs.select(F.col(text_col).alias("text")), model, sizes, span) for span in spans[1:]]
+        sums = functools.reduce(DataFrame.unionByName, parts).groupBy("__text").agg(F.sum("part").alias("__rest"))
+        made = join_per_key(made, sums, "__text")
+        pairs = F.coalesce("__rest", pairs)
     if least:
         words = model.words.where(F.col("n") < (1 << least))
         each = join_per_key(made.select("__row", F.explode("__rare").alias("r")).select("__row", "r.gram", "r.times"), words, "gram")

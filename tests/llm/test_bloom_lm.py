@@ -92,6 +92,23 @@ def test_shards_and_joins_give_the_same(spark, monkeypatch, filter_bytes, head):
         assert math.isclose(r.base_score, want[d].base_score, rel_tol=1e-9) and math.isclose(r.score, many_rows[d].score, rel_tol=1e-9)
 
 
+def test_large_filters_go_in_rounds_without_a_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "SMALL_SHARD", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(20)).union(spark.createDataFrame([(None, None), (None, ""), (-1, None)], "doc_id long, text string"))
+    model = train(docs.where("doc_id % 3 > 0"))
+    rows = lambda: sorted(((r.doc_id or 0, *r[1:]) for r in score(docs, model, keep_text=False).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(bloom_lm, "MAX_FILTER_BYTES", model.filter_bytes // 2)
+    spans, written = [], []
+    partial, put = bloom_lm._partial, bloom_lm.materialize
+    monkeypatch.setattr(bloom_lm, "_partial", lambda *a: spans.append(a[-1]) or partial(*a))
+    monkeypatch.setattr(bloom_lm, "materialize", lambda df, name: written.append(put(df, name)) or written[-1])
+    got = rows()
+    assert len(spans) >= 2 and not any(w.where("size(__pairs) > 0").count() for w in written if "__pairs" in w.columns)
+    assert [g[:-1] for g in got] == [w[:-1] for w in want] and np.allclose([g[-1] for g in got], [w[-1] for w in want], rtol=1e-9)
+
+
 def test_odd_rows(spark):
     odd = [None, "", "  \t\n", "A a Ä ä", "A a Ä ä", "x " * 20_000, "a\x1cb\x85c d", "\x00 𝄞"]
     rows = spark.createDataFrame([(i if i else None, t, "mine", 1.5) for i, t in enumerate(odd)], "doc_id long, text string, score string, extra double")
