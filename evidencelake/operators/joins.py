@@ -38,8 +38,8 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-#: Pairs compared in step, fewest pairs for which that is faster than one after another, bytes of their tables and rows, and steps from one look at the bounds to the next.
-PAIRS_IN_STEP, FEWEST_IN_STEP, MOST_TABLE, STEPS = 16_384, 100, 64 << 20, 32
+#: Pairs compared in step, fewest pairs and most words of 64 characters for which that is faster than one after another, bytes of their tables and rows, and steps from one look at the bounds to the next.
+PAIRS_IN_STEP, FEWEST_IN_STEP, MOST_WORDS, MOST_TABLE, STEPS = 16_384, 100, 1 << 20, 64 << 20, 32
 
 
 def common_lengths(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def common_lengths(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, nee
     words = max(1, -(-max((len(x) for x in a), default=0) // 64))
     code = {c: k for k, c in enumerate(set().union(*a) & set().union(*b), 1)}  # 0: a character of one side only
     table = words * len(a) * (len(code) + 1)
-    if len(i) < FEWEST_IN_STEP or table * 8 > MOST_TABLE:
+    if len(i) < FEWEST_IN_STEP or words > MOST_WORDS or table * 8 > MOST_TABLE:
         for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
             out[k] = _common_length(a[x], b[y], int(need[k]))
         return np.where(out >= need, out, -1)
@@ -70,6 +70,9 @@ def common_lengths(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, nee
     most = max(1, min(PAIRS_IN_STEP, MOST_TABLE // (8 * words)))
     for lo in range(0, len(i), most):
         live = np.arange(lo, min(len(i), lo + most))
+        live = live[np.minimum(own[i[live]], lengths[j[live]]) >= need[live]]
+        if not len(live):
+            continue
         base, column, rest, size, want = i[live] * (len(code) + 1), j[live], lengths[j[live]], own[i[live]], need[live]
         rows = np.full((words, len(live)), ~np.uint64(0))
         ahead, behind, last = int((size - want).max()), int((rest - want).max()), int(rest.max())
@@ -352,25 +355,34 @@ def citation_hints(hits: DataFrame, edges: DataFrame, forward: bool, k: int = 5)
     return top_k(found.join(own, ["query_id", "paper_id"], "left_anti"), ["query_id"], "cited_by", "paper_id", k)
 
 
-#: Parts of the papers of one method set.
-SET_PARTS = 32
+#: Papers of one method set that one task holds on each side.
+SET_BLOCK = 4096
 
 
 def same_method_hints(methods: DataFrame, least: float = 0.25) -> DataFrame:
     """C-16: pairs of papers whose method sets have a Jaccard similarity of ``least``; candidates share a method.
 
-    Papers with the same methods are compared as one; their pairs are only made for the result, where one side of a set's papers is dealt to ``SET_PARTS``
-    parts, so that a set of many papers is not the work of one task.
+    Papers with the same methods are compared as one; their pairs are only made for the result, where the papers of a set are dealt into blocks of about ``SET_BLOCK``,
+    and blocks meet in tasks of their own. Sets go by number and methods stay with them: papers and blocks are joined by shuffle, since Spark's guess of their
+    size goes by compressed files and would broadcast what is many times as large.
     """
     papers = methods.where("paper_id is not null").groupBy("paper_id").agg(F.sort_array(F.collect_set("method")).alias("methods"))  # nulls are no methods
-    papers = materialize(papers, "methods")
-    one = papers.select("methods").distinct().withColumns({"n": F.size("methods"), "method": F.explode("methods")})
-    other = one.select(F.col("methods").alias("others"), F.col("n").alias("m"), "method")
-    both = one.join(other, "method").groupBy("methods", "others", "n", "m").agg(F.count("*").alias("k"))
-    alike = both.withColumn("similarity", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("similarity") >= least).select("methods", "others", "similarity")
-    a = papers.withColumn("part", F.pmod(F.xxhash64("paper_id"), F.lit(SET_PARTS)).cast("int"))
-    b = papers.select(F.col("paper_id").alias("other_id"), F.col("methods").alias("others"), F.explode(F.sequence(F.lit(0), F.lit(SET_PARTS - 1))).alias("part"))
-    return a.join(alike, "methods").join(b, ["others", "part"]).where("paper_id < other_id").select("paper_id", "other_id", "similarity")
+    papers = materialize(papers.withColumn("set", F.xxhash64(F.size("methods"), "methods")), "methods")
+    sets = materialize(papers.groupBy("set").agg(F.first("methods").alias("methods"), F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("blocks")), "sets")
+    one = sets.select("set", F.size("methods").alias("n"), F.explode("methods").alias("method"))
+    other = one.select(F.col("set").alias("other"), F.col("n").alias("m"), "method")
+    both = one.join(other.hint("merge"), "method").groupBy("set", "other", "n", "m").agg(F.count("*").alias("k"))
+    alike = both.withColumn("similarity", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).where(F.col("similarity") >= least)
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    size = lambda c: sets.select(F.col("set").alias(c), F.col("blocks").alias(f"of_{c}"))
+    cells = alike.join(size("set"), "set").join(size("other"), "other").select("set", "other", "similarity", blocks("of_set").alias("block"), "of_other")
+    cells = cells.select("set", "other", "block", blocks("of_other").alias("other_block"), "similarity")
+    dealt = papers.join(sets.select("set", "blocks"), "set").select("paper_id", "set", F.pmod(F.xxhash64("paper_id"), F.col("blocks")).cast("int").alias("block"))
+    cell, parts = ["set", "other", "block", "other_block"], 4 * int(methods.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since few rows make many pairs
+    a = cells.join(dealt.hint("merge"), ["set", "block"]).select(*cell, "paper_id", "similarity").repartition(parts, *cell)
+    own = dealt.select(F.col("paper_id").alias("other_id"), F.col("set").alias("other"), F.col("block").alias("other_block"))
+    b = cells.drop("similarity").join(own.hint("merge"), ["other", "other_block"]).select(*cell, "other_id").repartition(parts, *cell)
+    return a.join(b.hint("merge"), cell).where("paper_id < other_id").select("paper_id", "other_id", "similarity")
 
 
 def semantic_lookup(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:

@@ -167,3 +167,18 @@ def test_claims_keep_what_citations_leave(spark):
     a = spark.createDataFrame([(1, "[Paper A, Results] [Paper B, Methods]. [Paper C, Results]  [Paper D, x] . [Paper A, Results][Paper B, Methods] [A, b] It is better than [B, c]. [x] is a plain bracket")], "answer_id int, answer string")
     got = [(r.claim_no, r.claim, r.n_citations, r.claim_type) for r in H.extract_claims(a).collect()]
     assert got == [(1, ".", 2, "factual"), (2, ".", 2, "factual"), (3, "It is better than .", 4, "comparative"), (4, "[x] is a plain bracket", 0, "factual")]
+
+
+def test_papers_of_one_method_set_meet_in_blocks(spark, monkeypatch):
+    rows = [(p, m) for p in range(300) for m in range(6) if p % 3 == 0 or m != p % 4] + [(900, None), (None, 1)]
+    monkeypatch.setattr(C, "SET_BLOCK", 20)
+    df = C.same_method_hints(spark.createDataFrame(rows, "paper_id long, method long"), 0.7)
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert "paper_id" in physical and not any("BroadcastHashJoin" in x and "other_id" in y for x, y in zip(physical.splitlines(), physical.splitlines()[1:]))
+    assert sum("SortMergeJoin [set" in x for x in physical.splitlines()) >= 2  # cells of papers are shuffled, whatever Spark guesses of their size
+    sets = {}
+    for p, m in rows:
+        if p is not None and m is not None:
+            sets.setdefault(p, set()).add(m)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {(r.paper_id, r.other_id): r.similarity for r in df.collect()} == pytest.approx({k: v for k, v in want.items() if v >= 0.7})
