@@ -182,3 +182,26 @@ def test_papers_of_one_method_set_meet_in_blocks(spark, monkeypatch):
             sets.setdefault(p, set()).add(m)
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     assert {(r.paper_id, r.other_id): r.similarity for r in df.collect()} == pytest.approx({k: v for k, v in want.items() if v >= 0.7})
+
+
+@pytest.mark.parametrize("most", [1_000_000, 10])
+@pytest.mark.parametrize("name", [int, "n{:03d}".format])
+def test_first_neighbours_are_chosen_without_a_shuffle_of_candidates(spark, monkeypatch, most, name):
+    rng = np.random.default_rng(5)
+    edges = sorted({(name(int(a)), name(int(b))) for a, b in zip(rng.integers(0, 200, 500), rng.integers(0, 25, 500))})
+    e = spark.createDataFrame(edges, "src long, dst long" if name is int else "src string, dst string")
+    monkeypatch.setattr(J, "MAX_LISTED", most, raising=False)
+    monkeypatch.setattr(J, "STARTS_AT_ONCE", 7, raising=False)
+    plans, put = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, n: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if n == "front" else None, put(df, n))[1])
+    score = {name(i): float(i * 7 % 5) for i in range(0, 200, 2)}
+    weights = spark.createDataFrame(list(score.items()), e.select(e.src.alias("node")).schema.add("score", "double"))
+    starts = [name(i) for i in range(0, 210, 3)]
+    got = {}
+    for r in J.neighbours(e, spark.createDataFrame([(s,) for s in [*starts, None, starts[0]]], e.select(e.src.alias("node")).schema), 3, None, 6, weights).collect():
+        got.setdefault(r.start, []).append((r.rank, r.node, r.distance))
+    want = {}
+    for a, b, d in plain_neighbours(edges, starts, 3):
+        want.setdefault(a, []).append((d, -score.get(b, 0.0), b))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(n, b, d) for n, (d, _, b) in enumerate(sorted(v)[:6], 1)] for k, v in want.items()}
+    assert most == 10 or not any("hashpartitioning(start" in line and "node" in line for p in plans for line in p.splitlines())
